@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and whole ``text`` (null: empty), whatever else the table holds."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """``doc_id`` and whole ``text`` (null: empty), whatever else the table holds. Rows without a ``doc_id`` take no part."""
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def shared_dir(spark: SparkSession) -> str:
