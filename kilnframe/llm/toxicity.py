@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import saved, texts
 
 #: Characters that are read as the letter after the colon.
 LOOKALIKES = {
@@ -138,17 +138,15 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> tuple[float, flo
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame, least: int = 5, log_odds: float = 2.5, prevalent: float = 0.05, most_rows: int = 20_000, most_entries: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(labelled: DataFrame, least: int = 5, log_odds: float = 2.5, prevalent: float = 0.05, most_entries: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """Learn from ``labelled(doc_id, text, toxic)``.
 
-    ``most_rows`` bounds the labelled rows used: those that come first in the
-    order of a hash of their id; the marks of the toxic ones among them are what
-    the driver gets. ``most_entries`` bounds the lexicon, which is broadcast. Rows without a label are left out. With no rows of one class the
+    The rows are a bounded sample (see ``fitted``), so the driver may get the
+    marks of the toxic ones. ``most_entries`` bounds the lexicon, which is
+    broadcast. Rows without a label are left out. With no rows of one class the
     lexicon is empty and every text gets that class's share.
     """
     rows = labelled.where("toxic in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).distinct()
-    rows = rows.join(ids, "doc_id", "left_semi")
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pos: Counter = Counter()
@@ -213,10 +211,15 @@ def held_out(doc_id: F.Column | str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fitted(docs: DataFrame, labels: DataFrame, **params) -> Model:
-    """A model from the labelled rows that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held_out()).dropDuplicates(["doc_id"])
-    return fit(texts(docs).join(known, "doc_id"), **params)
+def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **params) -> Model:
+    """A model from labelled rows that are not held out, at most ``most_rows``: the first by a hash of their id.
+
+    Their ids are few by that bound and so are broadcast; their texts are
+    written once.
+    """
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    known = known.where(~held_out()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    return fit(saved(texts(docs).join(F.broadcast(known), "doc_id")), **params)
 
 
 def query(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
