@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, sharding, suffixes, toxicity
+from . import jaccard, mixing, packing, pst, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -30,12 +30,16 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.query(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op5_packing, op6_suffix_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op5_packing, op6_suffix_dedup, op8_suffix_tree_score, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
