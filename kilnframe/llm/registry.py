@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, mixing, packing, pst, sharding, suffixes, toxicity
+from . import crosspolytope, jaccard, lattice, mixing, packing, pst, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.query(table(spark, sf_dir, "documents"))
 
 
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.query(table(spark, sf_dir, "embeddings"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.query(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.query(table(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.query(table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op5_packing, op6_suffix_dedup, op8_suffix_tree_score, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op4_cross_polytope, op5_packing, op6_suffix_dedup, op7_lattice_dedup, op8_suffix_tree_score, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
