@@ -241,9 +241,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def distinct(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, all columns. Rows without a ``doc_id`` stay."""
+    """The rows of ``docs`` that are the first of their class, all columns; of rows with equal id and text one. Rows without a ``doc_id`` stay."""
     gone = join(docs, **params).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    return kept
 
 
 def sql(width: int = 5, threshold: float = 0.8) -> str:
