@@ -13,6 +13,7 @@ from kilnframe.operators import models as M
 from kilnframe.operators import prepare as P
 from kilnframe.operators import series as S
 from kilnframe.operators import stats as T
+from kilnframe.plans import flows as W
 from kilnframe.sources import tables as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -722,3 +723,60 @@ def m06_boosting(s: SparkSession, d: str) -> DataFrame:
 def m16_arima(s: SparkSession, d: str) -> DataFrame:
     x = _split_monthly(s, d).unpivot(["ts", "split"], ["y", "x"], "variable", "y")
     return M.arima_study(x, "variable", [(p, k, q) for p in (1, 2) for k in (0, 1) for q in (1,)])
+
+
+# -- studies ----------------------------------------------------------------------
+
+
+@query()
+def d24_imputation_study(s: SparkSession, d: str) -> DataFrame:
+    x = _split_wide(s, d).withColumn("e0", F.when(F.col("vec_id") % 11 == 0, None).otherwise(F.col("e0")))
+    return W.imputation_study(x, "vec_id", DIMS[:4], "target")
+
+
+@query()
+def d25_outlier_study(s: SparkSession, d: str) -> DataFrame:
+    return W.outlier_study(_split_wide(s, d), "vec_id", DIMS[:4], "target", 2.0)
+
+
+@query()
+def d26_scaling_study(s: SparkSession, d: str) -> DataFrame:
+    return W.scaling_study(_split_wide(s, d), "vec_id", DIMS[:4], "target")
+
+
+@query()
+def d27_balancing_study(s: SparkSession, d: str) -> DataFrame:
+    return W.balancing_study(_split_wide(s, d), "vec_id", DIMS[:4], "target")
+
+
+_FIT = {
+    "Simple Average": "(SELECT avg(y) FROM s WHERE split = 'train')",
+    "Persistence Realist": "(SELECT max_by(y, ts) FROM s WHERE split = 'train')",
+    "Persistence Optimist": "coalesce(lag(y) OVER (PARTITION BY split ORDER BY ts), (SELECT max_by(y, ts) FROM s WHERE split = 'train'))",
+    "Linear Regression": "(SELECT regr_intercept(y, x) FROM s WHERE split = 'train') + (SELECT regr_slope(y, x) FROM s WHERE split = 'train') * x",
+}
+
+
+@query(SPLIT_MONTHLY + ", f AS (" + "\nUNION ALL ".join(f"SELECT split, y, {e} AS yhat, '{m}' AS model FROM s" for m, e in _FIT.items()) + ")\n" + METRICS_SQL.replace("SELECT split,", "SELECT model, split,").replace("GROUP BY split", "GROUP BY model, split"))
+def d28_forecast_study(s: SparkSession, d: str) -> DataFrame:
+    x = W.forecast_study(D.monthly(s, d)).where(F.col("model").isin(*_FIT))
+    return x.withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "mape": F.round("mape", 6), "r2": F.round("r2", 6)})
+
+
+@query()
+def d23_aggregation_study(s: SparkSession, d: str) -> DataFrame:
+    return W.aggregation_study(D.daily(s, d), ["W", "M", "Q"])
+
+
+@query()
+def m10_multiple_regression(s: SparkSession, d: str) -> DataFrame:
+    x = D.table(s, d, "lineitem").select(F.col("l_extendedprice").alias("y"), "l_quantity", "l_discount", "l_tax", F.when(F.pmod(F.xxhash64("l_orderkey"), F.lit(10)) < 3, "test").otherwise("train").alias("split"))
+    return M.forecast_metrics(M.multiple_regression(x, ["l_quantity", "l_discount", "l_tax"], "y"), "y", "yhat", ["split"])
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def x_events_by_day(s: SparkSession, d: str) -> DataFrame:
+    from kilnframe.streaming.periods import windowed
+
+    x = windowed(D.table(s, d, "events"))
+    return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
