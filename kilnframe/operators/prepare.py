@@ -152,3 +152,38 @@ def smote(df: DataFrame, key: str, cols: Sequence[str], target: str, minority: i
     new = m.select(key, F.explode(F.sequence(F.lit(1), F.lit(extra))).alias("copy")).withColumn("_r", (F.floor(draw(F.concat_ws(":", key, "copy"), f"{seed}n") * k) + 1).cast("int"))
     j = new.join(near, [key, "_r"]).withColumn("u", draw(F.concat_ws(":", key, "copy"), f"{seed}u"))
     return j.select(key, "copy", *[(F.col("v")[i] + F.col("u") * (F.col("w")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(cols)])
+
+
+def knn_fill(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> DataFrame:
+    """Fill a null by the mean of the ``k`` nearest rows that have the value.
+
+    The distance runs over the coordinates both rows have, scaled up to all of
+    them; ties go to the smaller key. Every row with a gap is compared with every
+    donor, so this is for samples.
+    """
+    v = F.array(*[F.col(c).cast("double") for c in cols])
+    gaps = df.where(F.array_contains(F.transform(v, lambda x: x.isNull()), True)).select(key, v.alias("v"))
+    donors = df.select(F.col(key).alias("other"), v.alias("w"))
+    d = F.zip_with("v", "w", lambda a, b: (a - b) * (a - b))
+    there = F.size(F.filter(d, lambda x: x.isNotNull()))
+    dist = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) * len(cols) / F.nullif(there, F.lit(0)))
+    pairs = gaps.crossJoin(donors).where(F.col(key) != F.col("other")).withColumn("d", F.round(dist, 9)).where("d is not null")
+    out = df
+    for i, c in enumerate(cols):
+        w = Window.partitionBy(key).orderBy("d", "other")
+        m = pairs.where(F.col("v")[i].isNull() & F.col("w")[i].isNotNull()).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(key).agg(F.avg(F.col("w")[i]).alias("_fill"))
+        out = out.join(m, key, "left").withColumn(c, F.coalesce(c, "_fill")).drop("_fill")
+    return out.select(*df.columns)
+
+
+def variance_thresholds(most: float, step: float) -> list[float]:
+    """``step, 2 * step, ...`` up to ``most``, to three digits."""
+    return [round(i * step, 3) for i in range(1, int(-(-most // step) + 1)) if i * step <= most + 1e-9]
+
+
+def correlation_thresholds(least: float, step: float) -> list[float]:
+    out, i = [], 0
+    while least + i * step <= 1.0 + 1e-9:
+        out.append(round(least + i * step, 3))
+        i += 1
+    return out

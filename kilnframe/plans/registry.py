@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -780,3 +781,99 @@ def x_events_by_day(s: SparkSession, d: str) -> DataFrame:
 
     x = windowed(D.table(s, d, "events"))
     return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# -- more rows, fills and selections -------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice <= 200000")
+def r04_range_filter(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "orders").where("o_totalprice >= 1000 and o_totalprice <= 200000").select("o_orderkey", "o_totalprice")
+
+
+@query(WITH_MIXED + "SELECT row_id, band FROM mixed WHERE band IS NOT NULL")
+def r06_dropna_subset(s: SparkSession, d: str) -> DataFrame:
+    return D.mixed(s, d).select("row_id", "band").na.drop(subset=["band"])
+
+
+@query("SELECT doc_id FROM labels WHERE toxic = 1")
+def r08_filter_class(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "labels").where("toxic = 1").select("doc_id")
+
+
+@query(WITH_MONTHLY + "SELECT ts, round(y, 4) AS y FROM (SELECT *, row_number() OVER (ORDER BY ts) AS r FROM monthly) WHERE r > 4")
+def r14_tail(s: SparkSession, d: str) -> DataFrame:
+    x = D.monthly(s, d).withColumn("r", F.row_number().over(Window.orderBy("ts"))).where("r > 4")
+    return r6(x.select("ts", "y"), "y", digits=4)
+
+
+@query("SELECT coalesce(c_custkey, s_suppkey) AS k, c_acctbal, s_acctbal FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
+def j01_full_join(s: SparkSession, d: str) -> DataFrame:
+    a = D.table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal")
+    return a.join(D.table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal"), "k", "full")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey")
+def l01_sort(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey")
+
+
+@query(WITH_MIXED + "SELECT row_id, coalesce(text, '') AS text FROM mixed")
+def e03_fill_constant(s: SparkSession, d: str) -> DataFrame:
+    return D.mixed(s, d).select("row_id", "text").fillna({"text": ""})
+
+
+@query("SELECT p_partkey, abs(-p_size) AS a, round(sqrt(p_size), 6) AS b, CAST(ceil(p_retailprice) AS BIGINT) AS c, CAST(trunc(p_retailprice) AS INT) AS t, round(log10(p_retailprice), 6) AS l FROM part")
+def e13_numeric_functions(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "part").select("p_partkey", F.abs(-F.col("p_size")).alias("a"), F.round(F.sqrt("p_size"), 6).alias("b"), F.ceil("p_retailprice").alias("c"), F.col("p_retailprice").cast("int").alias("t"), F.round(F.log10("p_retailprice"), 6).alias("l"))
+
+
+@query("SELECT p_partkey, upper(p_name) AS u, substr(p_brand, 7) AS n, contains(lower(p_type), 'a') AS has_a, CAST(p_size AS DOUBLE) AS size FROM part")
+def e14_string_functions(s: SparkSession, d: str) -> DataFrame:
+    return D.table(s, d, "part").select("p_partkey", F.upper("p_name").alias("u"), F.substring("p_brand", 7, 100).alias("n"), F.contains(F.lower("p_type"), F.lit("a")).alias("has_a"), F.col("p_size").cast("double").alias("size"))
+
+
+@query(WITH_MIXED + "SELECT row_id, round(coalesce(l_tax, (SELECT avg(l_tax) FROM mixed)), 6) AS l_tax, coalesce(band, (SELECT band FROM mixed WHERE band IS NOT NULL GROUP BY band ORDER BY count(*) DESC, band LIMIT 1)) AS band FROM mixed")
+def d05_impute_frequent(s: SparkSession, d: str) -> DataFrame:
+    x = D.mixed(s, d).select("row_id", "l_tax", "band")
+    return r6(P.fill(x, P.fit_fill(x, ["l_tax"], ["band"])), "l_tax")
+
+
+@query(f"""WITH {D.wide_sql(range(4))}, g AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE e0 END AS e0, e1, e2, e3 FROM wide),
+n AS (SELECT a.vec_id, b.e0 AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt(((a.e1 - b.e1) * (a.e1 - b.e1) + (a.e2 - b.e2) * (a.e2 - b.e2) + (a.e3 - b.e3) * (a.e3 - b.e3)) * 4 / 3), 9), b.vec_id) AS r FROM g a JOIN g b ON a.e0 IS NULL AND b.e0 IS NOT NULL QUALIFY r <= 5),
+m AS (SELECT vec_id, avg(v) AS v FROM n GROUP BY 1) SELECT g.vec_id, round(coalesce(e0, v), 6) AS e0 FROM g LEFT JOIN m ON g.vec_id = m.vec_id""")
+def d06_knn_impute(s: SparkSession, d: str) -> DataFrame:
+    x = D.wide(s, d, range(4)).withColumn("e0", F.when(F.col("vec_id") % 11 == 0, None).otherwise(F.col("e0")))
+    return r6(P.knn_fill(x, "vec_id", DIMS[:4]).select("vec_id", "e0"), "e0")
+
+
+@query(WITH_MONTHLY + "SELECT ts, round((y - (SELECT avg(y) FROM monthly)) / (SELECT stddev_pop(y) FROM monthly), 6) AS y, round((x - (SELECT avg(x) FROM monthly)) / (SELECT stddev_pop(x) FROM monthly), 6) AS x FROM monthly")
+def d13_scale_series(s: SparkSession, d: str) -> DataFrame:
+    return r6(P.scale(D.monthly(s, d), ["y", "x"]), "y", "x")
+
+
+_VAR_AT = (0.015, 0.0155, 0.016)
+
+
+@query(f"WITH {D.wide_sql(range(8))}, v AS (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", DIMS) + f") SELECT CAST(t AS DOUBLE) AS threshold, variable FROM v, (SELECT unnest({list(_VAR_AT)}) AS t) WHERE variance < t")
+def d19_variance_study(s: SparkSession, d: str) -> DataFrame:
+    v = T.low_variance(D.wide(s, d, range(8)), DIMS, math.inf)
+    return v.select("variable", "variance", F.explode(F.array(*[F.lit(t) for t in _VAR_AT])).alias("threshold")).where("variance < threshold").select("threshold", "variable")
+
+
+_COR_AT = (0.01, 0.02, 0.04)
+
+
+@query(f"WITH c AS ({CORR_SQL}), t AS (SELECT CAST(unnest({list(_COR_AT)}) AS DOUBLE) AS threshold), m AS (SELECT threshold, v1, v2 FROM c, t WHERE corr >= threshold UNION ALL SELECT threshold, v2, v1 FROM c, t WHERE corr >= threshold) SELECT DISTINCT m.threshold, v2 AS variable FROM m JOIN (SELECT threshold, v1 FROM m GROUP BY ALL HAVING count(*) >= 2) k ON m.threshold = k.threshold AND m.v1 = k.v1")
+def d20_redundancy_study(s: SparkSession, d: str) -> DataFrame:
+    c = p20_abs_corr(s, d)
+    out = None
+    for t in _COR_AT:
+        x = T.redundant(c, t).withColumn("threshold", F.lit(t))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query(f"WITH {D.wide_sql(range(8))} SELECT vec_id, " + ", ".join(DIMS[2:]) + " FROM wide")
+def d22_apply_selection(s: SparkSession, d: str) -> DataFrame:
+    return D.wide(s, d, range(8)).drop("e0", "e1", "target")
