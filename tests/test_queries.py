@@ -3,6 +3,8 @@
 import math
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from kilnframe.plans import registry
@@ -22,7 +24,7 @@ def duck():
 def norm(frame):
     out = []
     for r in frame[sorted(frame.columns)].itertuples(index=False):
-        out.append(tuple("" if v is None or v != v or str(v) == "NaT" else f"{v:.8g}" if isinstance(v, float) and not math.isnan(v) else str(v) for v in r))
+        out.append(tuple("" if not isinstance(v, (list, np.ndarray)) and pd.isna(v) else f"{v:.8g}" if isinstance(v, float) and not math.isnan(v) else str(v) for v in r))
     return sorted(out)
 
 
