@@ -29,6 +29,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ BACK = LENGTH - GRAM
 LEAD = 3  # bytes of the anchor's hash before the suffix, by which runs are dealt out
 WIDTH = LEAD + LENGTH + BACK
 PAD = 0xFF  # no byte of UTF-8
-BLOCK_ANCHORS, BLOCK_SUFFIXES, PART_BYTES = 500_000, 100_000, 16 << 20
+BLOCK_ANCHORS, BLOCK_SUFFIXES, PART_BYTES, TOGETHER = 500_000, 60_000, 6 << 20, 25_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -220,11 +221,13 @@ def _lcp(m: np.ndarray) -> np.ndarray:
 
 def whole_mask(m: np.ndarray) -> np.ndarray:
     """Bit ``o``: the string that starts ``o`` bytes before the anchor lies in the document."""
-    right = (m[:, LEAD : LEAD + LENGTH] != PAD).sum(1)
-    left = (m[:, LEAD + LENGTH :] != PAD).sum(1)
-    o = np.arange(BACK + 1)
-    ok = (o <= left[:, None]) & (LENGTH - o <= right[:, None])
-    return (ok.astype(np.int64) << o).sum(1)
+    left, right = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
+    for i in range(0, len(m), 20_000):
+        right[i : i + 20_000] = (m[i : i + 20_000, LEAD : LEAD + LENGTH] != PAD).sum(1)
+        left[i : i + 20_000] = (m[i : i + 20_000, LEAD + LENGTH :] != PAD).sum(1)
+    # bits from 50 - right up to left
+    low = np.maximum(LENGTH - right, 0)
+    return np.where(low <= left, (np.int64(1) << (left + 1)) - (np.int64(1) << low), 0)
 
 
 def runs(parts: int):
@@ -368,16 +371,14 @@ def repeats(m: np.ndarray, lcp: np.ndarray, doc: np.ndarray) -> np.ndarray:
     ctx = np.cumsum(first) - 1
     at = np.flatnonzero(first)
     low = np.minimum.reduceat(doc, at)
-    full = whole_mask(m[at])
+    full = whole_mask(m) if len(at) == len(m) else whole_mask(m[at])
     bits = np.where(doc > low[ctx], full[ctx], 0)
     g = np.cumsum(lcp[at] < LEAD + GRAM) - 1
     shared = np.flatnonzero(np.bincount(g)[g] > 1)
-    for i in range(0, len(shared), 50_000):  # whole groups of equal anchors
-        a = i and int(np.searchsorted(g[shared], g[shared[i]], "right"))
-        b = int(np.searchsorted(g[shared], g[shared[min(len(shared), i + 50_000) - 1]], "right"))
+    b = 0
+    while b < len(shared):  # whole groups of equal anchors, some at a time
+        a, b = b, int(np.searchsorted(g[shared], g[shared[min(len(shared), b + TOGETHER) - 1]], "right"))
         part = shared[a:b]
-        if not len(part):
-            continue
         c = m[at[part]]
         line = np.concatenate([c[:, LEAD + LENGTH :][:, ::-1], c[:, LEAD : LEAD + LENGTH]], 1)
         found = np.zeros(len(part), np.int64)
@@ -432,9 +433,11 @@ def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not n:
                 continue
             d, tag, p = (np.concatenate(c) for c in zip(*cols))
-            keys, lcps, rows = zip(*loser_tree(sources))
-            m = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, WIDTH)
-            lcp, rows = np.array(lcps), np.array(rows)
+            m, lcp, rows = np.empty((n, WIDTH), np.uint8), np.empty(n, np.int64), np.empty(n, np.int64)
+            for i, group in enumerate(batched(loser_tree(sources), 4096)):
+                at = slice(i * 4096, i * 4096 + len(group))
+                keys, lcp[at], rows[at] = zip(*group)
+                m[at] = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, WIDTH)
             lcp[0] = 0
             bits = repeats(m, lcp, d[rows])
             keep = rows[bits != 0]
