@@ -33,6 +33,7 @@ from itertools import batched
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def runs(parts: int):
             keep[0] = 0
             tails = m[i:j][np.arange(WIDTH) >= keep[:, None]].tobytes()
             rows = _with_docs(d[i:j], (keep, "u1"), (tag[i:j], "<u4"), (p[i:j], "<u4"))
-            out.append((int(part[i]), 0, struct.pack("<I", len(rows)) + rows + tails))
+            out.append((int(part[i]), 0, struct.pack("<I", len(rows)) + rows + zstandard.compress(tails, 3)))
         return pd.DataFrame(out, columns=["part", "kind", "rows"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -427,7 +428,7 @@ def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for raw in mine.rows:
                 size = struct.unpack_from("<I", raw)[0]
                 d, lcp, tag, p = _docs_of(raw[4 : 4 + size], "u1", "<u4", "<u4")
-                sources.append(Run(lcp.tolist(), raw[4 + size :], n))
+                sources.append(Run(lcp.tolist(), zstandard.decompress(raw[4 + size :]), n))
                 cols.append((d, tag, p))
                 n += len(d)
             if not n:
@@ -459,7 +460,7 @@ def covered(raw: bytes, tag: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> n
 def marks(docs: DataFrame) -> DataFrame:
     """``(doc_id, text, marks)`` for every row, marks as arrays; one shuffle of the texts serves both joins."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 100)
     t = texts(docs)
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(max(partitions(spark), -(-total // PART_BYTES)), 1 << 24)
