@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import components, saved, small_batches, texts, whole_groups
 from .words import shingles
 
-HASHES, BANDS, STEP, BLOCK = 128, 32, 16, 256
+HASHES, BANDS, STEP, BLOCK = 128, 32, 16, 1024
 _rng = np.random.default_rng(20240501)
 _A = (_rng.integers(0, 2**63, HASHES, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 2**63, HASHES, np.int64).astype(np.uint64)
