@@ -132,11 +132,23 @@ def _starts(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    o = np.lexsort((pos, doc))
-    doc, pos = doc[o], pos[o].astype(np.int32)
-    b = _starts(doc)
-    return pd.DataFrame({"doc_id": doc[b], "pos": np.split(pos, b[1:]) if len(b) else []})
+def _dealt(doc: np.ndarray, pos: np.ndarray, parts: int) -> pd.DataFrame:
+    """Positions packed by a hash of their document."""
+    to = ((doc.astype(np.uint64) * _MIX) >> np.uint64(33)).astype(np.int64) % parts
+    o = np.argsort(to, kind="stable")
+    to, doc, pos = to[o], doc[o], pos[o]
+    b = _starts(to)
+    return pd.DataFrame([(int(to[i]), _with_docs(doc[i:j], (pos[i:j], "<u4"))) for i, j in zip(b, np.r_[b[1:], len(to)])], columns=["part", "rows"])
+
+
+def by_doc(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Packed positions to one row for each document."""
+    for pdf in whole_groups(it, "part"):
+        doc, pos = (np.concatenate(c) for c in zip(*(_docs_of(raw, "<u4") for raw in pdf.rows)))
+        o = np.lexsort((pos, doc))
+        doc, pos = doc[o], pos[o].astype(np.int32)
+        b = _starts(doc)
+        yield pd.DataFrame({"doc_id": doc[b], "pos": np.split(pos, b[1:])})
 
 
 def gather(parts: int):
@@ -181,22 +193,26 @@ def gather(parts: int):
     return run
 
 
-def prune(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The anchors that may repeat, ``(doc_id, pos)``, from ranges of hashes."""
-    for pdf in whole_groups(it, "part"):
-        for raw in pdf.rows[pdf.kind == 1]:
-            yield _by_doc(*_docs_of(raw, "<u4"))
-        for _, asked in pdf[pdf.kind == 0].groupby("part"):
-            d, hi, lo, p, told = (np.concatenate(c) for c in zip(*(_docs_of(raw, "<u2", "<u4", "<u4", "u1") for raw in asked.rows)))
-            h = hi.astype(np.uint64) << np.uint64(32) | lo
-            o = np.argsort(h)
-            h, d, p, told = h[o], d[o], p[o], told[o]
-            b = _starts(h)
-            if not len(b):
-                continue
-            again = np.repeat(np.minimum.reduceat(d, b) != np.maximum.reduceat(d, b), np.diff(np.r_[b, len(h)])) & (told == 0)
-            if again.any():
-                yield _by_doc(d[again], p[again])
+def prune(parts: int):
+    """The anchors that may repeat, from ranges of hashes, dealt out by document."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(it, "part"):
+            found = [_docs_of(raw, "<u4") for raw in pdf.rows[pdf.kind == 1]]
+            for _, asked in pdf[pdf.kind == 0].groupby("part"):
+                d, hi, lo, p, told = (np.concatenate(c) for c in zip(*(_docs_of(raw, "<u2", "<u4", "<u4", "u1") for raw in asked.rows)))
+                h = hi.astype(np.uint64) << np.uint64(32) | lo
+                o = np.argsort(h)
+                h, d, p, told = h[o], d[o], p[o], told[o]
+                b = _starts(h)
+                if len(b):
+                    again = np.repeat(np.minimum.reduceat(d, b) != np.maximum.reduceat(d, b), np.diff(np.r_[b, len(h)])) & (told == 0)
+                    found.append([d[again], p[again]])
+            doc, pos = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+            if len(doc):
+                yield _dealt(doc, pos, parts)
+
+    return run
 
 
 def suffix_keys(text: bytes, pos: np.ndarray) -> np.ndarray:
@@ -466,7 +482,7 @@ def marks(docs: DataFrame) -> DataFrame:
     parts = min(max(partitions(spark), -(-total // PART_BYTES)), 1 << 24)
     blob = "part int, kind int, rows binary"
     asked = t.mapInPandas(gather(parts), blob).repartition(parts, "part").sortWithinPartitions("part")
-    may = asked.mapInPandas(prune, "doc_id long, pos array<int>").groupBy("doc_id").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    may = asked.mapInPandas(prune(parts), "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part").mapInPandas(by_doc, "doc_id long, pos array<int>")
     sorted_runs = t.join(may, "doc_id").mapInPandas(runs(parts), blob).repartition(parts, "part").sortWithinPartitions("part")
     found = sorted_runs.mapInPandas(merge, MARKS).groupBy("doc_id").agg(F.collect_list("tag").alias("tag"), F.collect_list("pos").alias("pos"), F.collect_list("bits").alias("bits"))
     return t.join(found, "doc_id", "left")
