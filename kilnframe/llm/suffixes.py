@@ -473,15 +473,19 @@ def covered(raw: bytes, tag: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> n
     return np.cumsum(edge[:-1]) > 0
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, marks)`` for every row, marks as arrays; one shuffle of the texts serves both joins."""
+def marks(docs: DataFrame, carry: list[F.Column] | None = None) -> DataFrame:
+    """``(doc_id, text, marks)`` for every row, marks as arrays; one shuffle of the texts serves both joins.
+
+    ``carry``: columns that come along, as ``rest``. They go to both joins, so
+    that the shuffle stays one and the same.
+    """
     spark = docs.sparkSession
     small_batches(spark, 100)
-    t = texts(docs)
+    t = texts(docs) if carry is None else texts(docs, F.struct(*carry).alias("rest"))
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(max(partitions(spark), -(-total // PART_BYTES)), 1 << 24)
     blob = "part int, kind int, rows binary"
-    asked = t.mapInPandas(gather(parts), blob).repartition(parts, "part").sortWithinPartitions("part")
+    asked = t.select("doc_id", "text").mapInPandas(gather(parts), blob).repartition(parts, "part").sortWithinPartitions("part")
     may = asked.mapInPandas(prune(parts), "part int, rows binary").repartition(parts, "part").sortWithinPartitions("part").mapInPandas(by_doc, "doc_id long, pos array<int>")
     sorted_runs = t.join(may, "doc_id").mapInPandas(runs(parts), blob).repartition(parts, "part").sortWithinPartitions("part")
     found = sorted_runs.mapInPandas(merge, MARKS).groupBy("doc_id").agg(F.collect_list("tag").alias("tag"), F.collect_list("pos").alias("pos"), F.collect_list("bits").alias("bits"))
@@ -527,19 +531,19 @@ def removed(docs: DataFrame) -> DataFrame:
     ``doc_id`` stay as they are.
     """
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for i, t, *a in zip(pdf.doc_id, pdf.text, pdf.tag, pdf.pos, pdf.bits):
-                raw = t.encode()
-                gone = covered(raw, *_arrays(*a))
-                if gone.any():
-                    out.append((i, zlib.crc32(raw), np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")))
-            yield pd.DataFrame(out, columns=["doc_id", "_tag", "_kept"])
-
-    kept = marks(docs).where("size(tag) > 0").mapInPandas(run, "doc_id long, _tag long, _kept string").dropDuplicates(["doc_id", "_tag"])
-    tagged = docs.withColumn("_tag", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    got = tagged.join(kept, ["doc_id", "_tag"], "left").withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in docs.columns:
-        got = got.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return got.select(*docs.columns)
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, tag: pd.Series, pos: pd.Series, bits: pd.Series) -> pd.Series:
+        out = []
+        for t, *a in zip(text, tag, pos, bits):
+            raw = t.encode()
+            gone = covered(raw, *_arrays(*a))
+            out.append(np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore") if gone.any() else None)
+        return pd.Series(out, dtype=object)
+
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    m = marks(docs, [F.col("text").isNull().alias("_null"), *rest]).withColumn("_kept", cut("text", "tag", "pos", "bits"))
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col("rest._null"), F.coalesce("_kept", "text"))}
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col("_kept").isNull(), new["n_chars"]).otherwise(F.length("_kept").cast(kinds["n_chars"]))
+    return m.select(*[new[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
