@@ -80,7 +80,7 @@ def anchors(text: bytes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         edge = np.zeros(w - 1, np.uint64)
         p = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum) == h)
         at.append(p + start)
-        hashes.append(h[p])
+        hashes.append(h[p] * _MIX)  # the smallest hashes lie close together; this spreads them again
     if not at:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(at) == 1:
@@ -223,7 +223,7 @@ def suffix_keys(text: bytes, pos: np.ndarray) -> np.ndarray:
     m[:, LEAD : LEAD + LENGTH] = b[at + np.arange(LENGTH)]
     m[:, LEAD + LENGTH :] = b[at - 1 - np.arange(BACK)]
     two = np.ascontiguousarray(m[:, LEAD : LEAD + GRAM]).view("<u8")
-    m[:, :LEAD] = (_mixed(two[:, 0], two[:, 1]) >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+    m[:, :LEAD] = (_mixed(two[:, 0], two[:, 1]) * _MIX >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
     return m
 
 
