@@ -1,22 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are bytes of the text as its words read: lower case (A-Z only), one
-blank between words and an end mark after the last. ``fit`` counts all strings
-of six bytes in the training texts, sums them to the contexts of zero to five
-bytes and keeps a context if it is frequent and its next-symbol distribution
-diverges from that of the context one byte shorter; suffixes of kept contexts
-are kept. Distributions are smoothed by the shorter context's. A byte is scored
-in the longest kept context that ends before it.
-
-The unigram base needs the count of every word in the corpus. Words never meet
-the driver: each block of texts sends its distinct words by hash range, the
-range's task adds up the counts and returns each block's sums.
+blank between words and an end mark after the last. ``grow`` counts all strings
+of seven bytes in the training texts, sums them to the contexts of zero to six
+bytes and keeps a context if it was seen often enough and its next-symbol
+distribution diverges from that of the context one byte shorter; suffixes of
+kept contexts are kept. Distributions are smoothed by the shorter context's. A
+byte is scored in the longest kept context that ends before it. The tree is a
+table in the shared folder and grows with the corpus.
+
+The unigram base needs the count of every word in the corpus, the score the
+tree's value for every string of seven bytes. Neither meets the driver: blocks
+of texts send their distinct words and strings by hash range, the range's task
+adds up the counts, looks the strings up and returns each block's share.
 """
 
 from __future__ import annotations
 
 import math
 import struct
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +28,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, small_batches, texts, whole_groups
+from .common import discard, partitions, saved, small_batches, texts, whole_groups
 from .words import word_hashes
 
-DEPTH = 5
+DEPTH = 6
 END = b"\n"
 BLOCK_BYTES, BLOCK_DOCS, PART_BYTES = 3 << 20, 60_000, 16 << 20
+#: A super-block's blocks share their strings: it ends at so many bytes of text, distinct strings or blocks.
+SUPER_BYTES, SUPER_CODES, SUPER_BLOCKS = 36 << 20, 4_000_000, 4_000
 
 
 def codes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of some texts, its context and itself as one number of six bytes, and the text's place in the list."""
+    """For each symbol of some texts, its context and itself as one number of seven bytes, and the text's place in the list."""
     seqs = [b" ".join(r.split()) + END for r in raws]
     b = np.frombuffer(b"".join(END * DEPTH + s for s in seqs), np.uint8)
     n = len(b) - DEPTH
@@ -55,32 +60,37 @@ def _tally(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(code, n)``: strings of six bytes, added up over what one task reads."""
+    """``(code, n)``: strings of seven bytes and how often training texts hold them, added up over what one task reads."""
     xs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held: list[np.ndarray] = []
+    held: list[list[np.ndarray]] = [[], []]
     size = 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        v, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held[0]]), return_counts=True)
+        o = np.unique(np.concatenate([np.zeros(0, np.uint64), *held[1]]))
+        return _tally(np.concatenate([xs, v, o]), np.concatenate([ns, c, np.zeros(len(o), np.int64)]))
+
     for pdf in it:
-        for i in range(0, len(pdf), 256):
-            x, _ = codes([t.encode().lower() for t in pdf.text[i : i + 256]])
-            held.append(x)
-            size += len(x)
-            if size >= 4_000_000:
-                v, c = np.unique(np.concatenate(held), return_counts=True)
-                xs, ns = _tally(np.concatenate([xs, v]), np.concatenate([ns, c]))
-                held, size = [], 0
-                if len(xs) > 4_000_000:  # so that memory stays bounded; the sum is taken later
-                    yield pd.DataFrame({"code": xs.astype(np.int64), "n": ns})
-                    xs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for k, part in enumerate((pdf.text[~pdf.held_out], pdf.text[pdf.held_out])):
+            if len(part):
+                x, _ = codes([t.encode().lower() for t in part])
+                held[k].append(x)
+                size += len(x)
+        if size >= 4_000_000:
+            xs, ns = added()
+            held, size = [[], []], 0
+            if len(xs) > 4_000_000:  # so that memory stays bounded; the sum is taken later
+                yield pd.DataFrame({"code": xs.astype(np.int64), "n": ns})
+                xs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if size:
-        v, c = np.unique(np.concatenate(held), return_counts=True)
-        xs, ns = _tally(np.concatenate([xs, v]), np.concatenate([ns, c]))
+        xs, ns = added()
     if len(xs):
         yield pd.DataFrame({"code": xs.astype(np.int64), "n": ns})
 
 
 @dataclass
 class Tree:
-    """By depth: kept contexts and the log10 weight of their shorter context, and symbols in context with their log10 probability; all sorted."""
+    """A tree in one process, for small corpora. By depth: kept contexts and the log10 weight of their shorter context, and symbols in context with their log10 probability; all sorted."""
 
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
@@ -107,66 +117,65 @@ class Tree:
         out[open_] += self.rest  # a byte that no training text has
         return out
 
-    def score_texts(self, raws: list[bytes]) -> np.ndarray:
-        """log10 probability of each of at most 65,536 texts."""
-        out = np.zeros(len(raws))
-        at = 0
-        while at < len(raws):
-            end, size = at, 0
-            while end < len(raws) and (size == 0 or size + len(raws[end]) <= 2_000_000):
-                size += len(raws[end])
-                end += 1
-            x, d = codes(raws[at:end])
-            v = np.sort(x << np.uint64(16) | d.astype(np.uint64))
-            x, d = v >> np.uint64(16), (v & np.uint64(0xFFFF)).astype(np.int64)
-            s = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-            p = np.repeat(self.score(x[s]), np.diff(np.r_[s, len(x)]))
-            out[at:end] = np.bincount(d, p, end - at)
-            at = end
-        return out
-
 
 def _columns(df: DataFrame) -> tuple[np.ndarray, ...]:
-    """The columns of a bounded table as arrays, without a Python object for each value."""
+    """The columns of a table that one process can hold as arrays, without a Python object for each value."""
     t = df.toArrow()
     return tuple(t.column(i).to_numpy() for i in range(t.num_columns))
 
 
-def fit(train: DataFrame, least_share: float = 1e-5, divergence: float = 1.0, kappa: float = 4.0) -> Tree:
-    """The tree of ``train(doc_id, text)``.
+def grow(texts_: DataFrame, least: int = 16, divergence: float = 1.0, kappa: float = 4.0) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """The tree of the rows of ``texts_(text, held_out)`` that are not held out, as tables in the shared folder.
 
-    A context is kept if it makes up ``least_share`` of all symbols and its
+    By depth: all strings ``(c, s, n)`` of the corpus, context, symbol and
+    training count; those in kept contexts, ``(c, s, m, p)``; and the number of
+    training symbols. A context is kept if it was seen ``least`` times and its
     symbols' log likelihood gains at least ``divergence`` for each distinct one
-    over the shorter context. So there are at most ``1 / least_share`` contexts
-    of each depth, of at most 256 symbols, whatever the corpus; that bounds what
-    the driver gets and broadcasts. Without training texts every byte has the
-    probability 1/256.
+    over the shorter context. Both are absolute: what a corpus keeps, a larger
+    one of the same kind keeps as well. Without training texts every byte has
+    the probability 1/256.
     """
-    g = saved(train.mapInPandas(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
+    g = saved(texts_.select("text", "held_out").mapInPandas(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     total = g.agg(F.sum("n")).first()[0] or 0
-    low = max(1.0, least_share * total)
-    t = g.select(F.shiftright("code", 8).alias("c"), (F.col("code").bitwiseAND(255)).cast("int").alias("s"), "n")
-    levels: list[DataFrame] = [t]
+    levels = [g.select(F.shiftright("code", 8).alias("c"), (F.col("code").bitwiseAND(255)).cast("int").alias("s"), "n")]
     for d in range(DEPTH - 1, -1, -1):
-        t = t.groupBy(F.col("c").bitwiseAND((1 << 8 * d) - 1).alias("c"), "s").agg(F.sum("n").alias("n"))
-        levels.insert(0, t)
-    p = levels[0].select("c", "s", "n", F.lit(float(total)).alias("m"), ((F.col("n") + 1) / F.lit(total + 256.0)).alias("p"), F.lit(True).alias("kept"))
-    tables = [saved(p)]
+        levels.insert(0, saved(levels[0].groupBy(F.col("c").bitwiseAND((1 << 8 * d) - 1).alias("c"), "s").agg(F.sum("n").alias("n"))))
+    tables = [saved(levels[0].select("c", "s", "n", F.lit(float(total)).alias("m"), ((F.col("n") + 1) / F.lit(total + 256.0)).alias("p"), F.lit(True).alias("kept")))]
     for d in range(1, DEPTH + 1):
-        frequent = levels[d].groupBy("c").agg(F.sum("n").cast("double").alias("m"), F.count("*").alias("k")).where(F.col("m") >= low)
+        frequent = levels[d].groupBy("c").agg(F.sum("n").cast("double").alias("m"), F.count_if(F.col("n") > 0).alias("k")).where(F.col("m") >= least)
         t = levels[d].join(frequent, "c").withColumn("up", F.col("c").bitwiseAND((1 << 8 * (d - 1)) - 1))
         t = t.join(tables[-1].select(F.col("c").alias("up"), "s", F.col("p").alias("q")), ["up", "s"])
         t = t.withColumn("p", (F.col("n") + kappa * F.col("q")) / (F.col("m") + kappa))
         gain = t.groupBy("c").agg((F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))) >= divergence * F.first("k")).alias("kept"))
         tables.append(saved(t.join(gain, "c").select("c", "s", "n", "m", "p", "kept")))
     below = None
-    found: list[tuple[np.ndarray, ...]] = []
+    found: list[DataFrame] = []
     for d in range(DEPTH, -1, -1):
         keep = tables[d].where("kept").select("c").distinct()
         if below is not None:
             keep = keep.union(below.select(F.col("c").bitwiseAND((1 << 8 * d) - 1).alias("c"))).distinct()
-        found.insert(0, _columns(tables[d].join(keep, "c", "left_semi").select("c", F.col("s").cast("short").alias("s"), F.col("m").cast("float").alias("m"), F.col("p").cast("float").alias("p"))))
-        below = keep
+        below = saved(keep)
+        found.insert(0, tables[d].join(below, "c", "left_semi").select("c", "s", "m", "p"))
+    return levels, found, total
+
+
+def values(levels: list[DataFrame], found: list[DataFrame]) -> DataFrame:
+    """``(code, logp)``: log10 probability of each string of seven bytes in the corpus. The tables given are used up."""
+    best = found[0].select("c", "s", "p")
+    for d in range(1, DEPTH + 1):
+        up = best.select(F.col("c").alias("up"), "s", F.col("p").alias("q"))
+        t = levels[d].select("c", "s", F.col("c").bitwiseAND((1 << 8 * (d - 1)) - 1).alias("up")).join(found[d].select("c", "s", "p"), ["c", "s"], "left")
+        less, best = best, saved(t.join(up, ["up", "s"]).select("c", "s", F.coalesce("p", "q").alias("p")))
+        for used in (less, levels[d], found[d]):
+            discard(used)
+    return best.select((F.shiftleft("c", 8) + F.col("s")).alias("code"), F.log10("p").cast("float").alias("logp"))
+
+
+def fit(train: DataFrame, **params) -> Tree:
+    """The tree of ``train(doc_id, text)`` (see ``grow``), fetched whole."""
+    kappa = params.get("kappa", 4.0)
+    _, tables, total = grow(train.withColumn("held_out", F.lit(False)), **params)
+    found = [_columns(t.select("c", F.col("s").cast("short").alias("s"), F.col("m").cast("float").alias("m"), F.col("p").cast("float").alias("p"))) for t in tables]
     ctx, back, keys, logp = [], [], [], []
     for d, (c, sym, m, p) in enumerate(found):
         c = c.astype(np.uint64)
@@ -194,14 +203,56 @@ def _unpack(raw: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def send(parts: int, tree, modulus: int, held: int):
-    """Blocks of texts: their scores (kind 1) and their distinct words by hash range (kind 0)."""
+def _spread(x: np.ndarray, parts: int) -> np.ndarray:
+    """The hash range of each string."""
+    return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_part(x: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of strings by hash range, and each range's number, start and end in it."""
+    part = _spread(x, parts)
+    o = np.argsort(part, kind="stable")
+    part = part[o]
+    s = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return o, [(int(part[i]), int(i), int(j)) for i, j in zip(s, np.r_[s[1:], len(x)])]
+
+
+def shelve(parts: int):
+    """The strings' values packed by hash range (kind 3)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pd.DataFrame:
+            x, v = (np.concatenate(a) for a in zip(*held))
+            o, ranges = _by_part(x, parts)
+            x, v = x[o], v[o]
+            return pd.DataFrame([(p, 3, -2, _pack((x[i:j], "<u8"), (v[i:j], "<f4"))) for p, i, j in ranges], columns=["part", "kind", "block", "rows"])
+
+        for pdf in it:
+            if len(pdf):
+                held.append((pdf.code.to_numpy().astype(np.uint64), pdf.logp.to_numpy()))
+            if sum(len(x) for x, _ in held) >= 1_000_000:
+                yield out()
+                held = []
+        if held:
+            yield out()
+
+    return run
+
+
+def send(parts: int, modulus: int, held: int):
+    """Blocks of texts: the texts (kind 1) and their distinct words by hash range (kind 0); super-blocks: their distinct strings, whole (kind 4) and by hash range (kind 2).
+
+    A block's number is 4,096 times its super-block's and more.
+    """
 
     def block(ids: list[int], out: list[bool], raws: list[bytes], name: int) -> pd.DataFrame:
         hs = [word_hashes(r) for r in raws]
         size = np.array([len(h) for h in hs])
         ids_, out_ = np.array(ids, np.int64), np.array(out)
-        rows = [(name % parts, 1, name, _pack((ids_, "<i8"), (size + 1, "<i8"), (tree.value.score_texts(raws), "<f8"), (out_, "u1")))]
+        raw, length = zlib.compress(b"".join(raws), 1), np.array([len(r) for r in raws])
+        rows = [((name >> 12) % parts, 1, name, _pack((ids_, "<i8"), (size + 1, "<i8"), (length, "<i8"), (out_, "u1"), (np.frombuffer(raw, np.uint8), "u1")))]
         h = np.concatenate(hs)
         d = np.repeat(np.arange(len(ids)), size)
         o = np.argsort(h, kind="stable")
@@ -218,13 +269,18 @@ def send(parts: int, tree, modulus: int, held: int):
             rows.append((int(part[i]), 0, name, _pack((hp[w], "<u8"), (np.diff(np.r_[w, len(hp)]), "<u2"), (learn, "<u4"), (dp, "<u2"), (tp, "<u4"))))
         return pd.DataFrame(rows, columns=["part", "kind", "block", "rows"])
 
+    def strings(x: np.ndarray, name: int) -> pd.DataFrame:
+        rows = [((name >> 12) % parts, 4, name, zlib.compress(_pack((x, "<u8")), 1))]
+        o, ranges = _by_part(x, parts)
+        rows += [(p, 2, name, zlib.compress(_pack((x[o[i:j]], "<u8")), 1)) for p, i, j in ranges]
+        return pd.DataFrame(rows, columns=["part", "kind", "block", "rows"])
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        import zlib
-
-        name = TaskContext.get().partitionId() << 24
-        ids, out, raws, size = [], [], [], 0
+        top = TaskContext.get().partitionId() << 24
+        ids, out, raws, size, k, bytes_ = [], [], [], 0, 0, 0
+        seen = np.zeros(0, np.uint64)
         for pdf in it:
             for i, t in zip(pdf.doc_id, pdf.text):
                 ids.append(i)
@@ -232,19 +288,43 @@ def send(parts: int, tree, modulus: int, held: int):
                 raws.append(t.encode().lower())
                 size += len(raws[-1])
                 if size >= BLOCK_BYTES or len(ids) == BLOCK_DOCS:
-                    yield block(ids, out, raws, name)
-                    ids, out, raws, size, name = [], [], [], 0, name + 1
+                    yield block(ids, out, raws, top << 12 | k)
+                    seen = np.union1d(seen, codes(raws)[0])
+                    k, bytes_ = k + 1, bytes_ + size
+                    ids, out, raws, size = [], [], [], 0
+                    if bytes_ >= SUPER_BYTES or len(seen) >= SUPER_CODES or k == SUPER_BLOCKS:
+                        yield strings(seen, top << 12 | k)
+                        seen, top, k, bytes_ = np.zeros(0, np.uint64), top + 1, 0, 0
         if ids:
-            yield block(ids, out, raws, name)
+            yield block(ids, out, raws, top << 12 | k)
+            seen, k = np.union1d(seen, codes(raws)[0]), k + 1
+        if k:
+            yield strings(seen, top << 12 | k)
 
     return run
 
 
 def add_up(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of a hash range's words; each block gets its texts' sums over them, and block -1 the number of words in training texts."""
+    """Counts of a hash range's words and values of its strings.
+
+    Each block gets its texts' sums over the words, each super-block its
+    strings' values in the order sent, and block -1 the number of words in
+    training texts. Texts and whole lists of strings pass through.
+    """
     for pdf in whole_groups(it, "part"):
-        for b, raw in zip(pdf.block[pdf.kind == 1], pdf.rows[pdf.kind == 1]):
-            yield pd.DataFrame({"block": [b], "kind": [1], "rows": [raw]})
+        for b, kind, raw in zip(pdf.block, pdf.kind, pdf.rows):
+            if kind in (1, 4):
+                yield pd.DataFrame({"block": [b], "kind": [kind], "rows": [raw]})
+        for part, mine in pdf[pdf.kind >= 2].groupby("part"):
+            asked = mine[mine.kind == 2]
+            if not len(asked):
+                continue
+            x, v = (np.concatenate(a) for a in zip(*(_unpack(raw, "<u8", "<f4") for raw in mine.rows[mine.kind == 3])))
+            o = np.argsort(x)
+            x, v = x[o], v[o]
+            for b, raw in zip(asked.block, asked.rows):
+                y = _unpack(zlib.decompress(raw), "<u8")[0]
+                yield pd.DataFrame({"block": [b], "kind": [2], "rows": [_pack((np.array([part]), "<i4"), (v[np.searchsorted(x, y)], "<f4"))]})
         for _, mine in pdf[pdf.kind == 0].groupby("part"):
             got = [_unpack(raw, "<u8", "<u2", "<u4", "<u2", "<u4") for raw in mine.rows]
             words, code = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
@@ -260,21 +340,38 @@ def add_up(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["block", "kind", "rows"])
 
 
-def collect(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def collect(parts: int):
+    """Each text's sums: over its words, as the ranges returned them, and over the values of its strings."""
     cols = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "words"]
-    for pdf in whole_groups(it, "block"):
-        for b, g in pdf.groupby("block"):
-            if b < 0:
-                n = sum(int(_unpack(raw, "<i8")[0][0]) for raw in g.rows)
-                yield pd.DataFrame([(None, None, 0, 0, 0.0, 0.0, n)], columns=cols)
-                continue
-            ids, size, score, out = _unpack(g.rows[g.kind == 1].iloc[0], "<i8", "<i8", "<f8", "u1")
-            logs, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-            for raw in g.rows[g.kind == 0]:
-                d, v, k = _unpack(raw, "<u2", "<f8", "<u4")
-                logs[d] += v
-                known[d] += k
-            yield pd.DataFrame({"doc_id": ids, "held_out": out.astype(bool), "n_tokens": size, "n_known": known, "logs": logs, "score": score, "words": 0})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(it, "top"):
+            for top, whole in pdf.groupby("top"):
+                if top < 0:
+                    n = sum(int(_unpack(raw, "<i8")[0][0]) for raw in whole.rows)
+                    yield pd.DataFrame([(None, None, 0, 0, 0.0, 0.0, n)], columns=cols)
+                    continue
+                x = _unpack(zlib.decompress(whole.rows[whole.kind == 4].iloc[0]), "<u8")[0]
+                value = np.full(len(x), np.nan, np.float32)
+                o, ranges = _by_part(x, parts)
+                at = {p: o[i:j] for p, i, j in ranges}
+                for raw in whole.rows[whole.kind == 2]:
+                    p, v = _unpack(raw, "<i4", "<f4")
+                    value[at[int(p[0])]] = v
+                for b, g in whole[whole.kind < 2].groupby("block"):
+                    ids, size, length, out, raw = _unpack(g.rows[g.kind == 1].iloc[0], "<i8", "<i8", "<i8", "u1", "u1")
+                    text, end = zlib.decompress(raw.tobytes()), np.cumsum(length)
+                    y, d = codes([text[j - n : j] for j, n in zip(end, length)])
+                    by = np.argsort(y)
+                    score = np.bincount(d[by], value[np.searchsorted(x, y[by])], len(ids))
+                    logs, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+                    for raw in g.rows[g.kind == 0]:
+                        d, v, k = _unpack(raw, "<u2", "<f8", "<u4")
+                        logs[d] += v
+                        known[d] += k
+                    yield pd.DataFrame({"doc_id": ids, "held_out": out.astype(bool), "n_tokens": size, "n_known": known, "logs": logs, "score": score, "words": 0})
+
+    return run
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, **params) -> DataFrame:
@@ -285,14 +382,21 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, **params) -> DataFra
     """
     spark = docs.sparkSession
     small_batches(spark, 200)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step is saved; its shuffles are not read again
     t = texts(docs)
     out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held
-    tree = spark.sparkContext.broadcast(fit(t.where(~out), **params))
+    levels, found, _ = grow(t.withColumn("held_out", out), **params)
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(spark), -(-total // PART_BYTES))
-    sent = t.mapInPandas(send(parts, tree, modulus, held), "part int, kind int, block long, rows binary").repartition(parts, "part").sortWithinPartitions("part")
+    narrow = values(levels, found)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # these rows are not wide
+    shelves = saved(narrow.mapInPandas(shelve(parts), "part int, kind int, block long, rows binary"))
+    small_batches(spark, 200)
+    discard(narrow)
+    sent = t.mapInPandas(send(parts, modulus, held), "part int, kind int, block long, rows binary").union(shelves).repartition(parts, "part").sortWithinPartitions("part")
     sums = sent.mapInPandas(add_up, "block long, kind int, rows binary").withColumn("turn", F.when(F.col("block") < 0, F.pmod(F.xxhash64("rows"), F.lit(64))).otherwise(0))
-    got = saved(sums.repartition(parts, "block", "turn").sortWithinPartitions("block").mapInPandas(collect, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, words long"))
+    sums = sums.withColumn("top", F.shiftright("block", 12)).repartition(parts, "top", "turn").sortWithinPartitions("top")
+    got = saved(sums.mapInPandas(collect(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, words long"))
     all_ = got.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.count(F.when(~F.col("held_out"), 1)), F.sum("words")).first()
     n, ends, v = all_[0] or 0, all_[1], (all_[2] or 0) + (1 if all_[1] else 0)
     base = F.col("logs") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))

@@ -331,6 +331,23 @@ def test_suffix_tree_is_a_distribution(docs):
     assert len(tree.contexts[3]) > 0
 
 
+def test_suffix_tree_of_a_larger_corpus_keeps_its_contexts(spark, docs, corpus):
+    rng = random.Random(9)
+    rows = [*corpus, *((1000 + i, "".join(rng.choice("hjkmpsuvw ") for _ in range(20_000))) for i in range(40))]
+    small, large = pst.fit(common.texts(docs)), pst.fit(common.texts(spark.createDataFrame(rows, "doc_id long, text string")))
+    kept = {c for c in small.contexts[6].tolist() if b"\n" not in c.to_bytes(6, "big")}
+    assert kept and kept <= set(large.contexts[6].tolist())
+
+
+def test_suffix_tree_scores_are_those_of_one_process(docs, corpus):
+    tree = pst.fit(common.texts(docs).where("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"))
+    raws = [(t or "").encode().lower() for _, t in corpus]
+    x, d = pst.codes(raws)
+    want = np.bincount(d, tree.score(x), len(raws))
+    got = {r.doc_id: r.score for r in pst.query(docs).collect()}
+    assert np.allclose([got[i] for i, _ in corpus], want, rtol=1e-4)
+
+
 # -- licences ---------------------------------------------------------------------
 
 
