@@ -1,6 +1,7 @@
 """Licence scan: a trained paragraph classifier whose finds are confirmed by templates.
 
-Paragraphs are lines. Their features are words and pairs of words that occur in
+Paragraphs are lines and runs of adjacent lines, as notices are often wrapped;
+a line without words ends a run. Their features are words and pairs of words that occur in
 the templates. A softmax regression gives the probability of each licence family
 and of ``unknown``; it is trained on varied templates and on paragraphs of the
 corpus itself, and its temperature is fitted on other variations. A predicted
@@ -77,6 +78,7 @@ class Classifier:
     temperature: float
     triggers: frozenset[str]
     templates: dict[str, list[frozenset[str]]]
+    reach: int
 
     def row(self, words: list[str]) -> np.ndarray:
         return np.array(sorted({self.names[f] for f in features(words) if f in self.names}), np.int64)
@@ -92,10 +94,12 @@ class Classifier:
         best = max((len(t & have) / len(t) for t in self.templates[family]), default=0.0)
         return best if best >= share else 0.0
 
-    def paragraph(self, line: str, least: float, share: float) -> tuple[str, float, float] | None:
-        words = _WORD.findall(line.lower())
+    def paragraph(self, words: list[str], least: float, share: float) -> tuple[str, float, float] | None:
         if self.triggers.isdisjoint(words):
             return None
+        have = features(words) & self.names.keys()
+        if not any(len(t & have) >= share * len(t) for ts in self.templates.values() for t in ts):
+            return None
         p = self.probabilities(words)
         k = int(p.argmax())
         if self.families[k] == UNKNOWN or p[k] < least:
@@ -103,6 +107,34 @@ class Classifier:
         held = self.confirmed(words, self.families[k], share)
         return (self.families[k], float(p[k]), held) if held else None
 
+    def notices(self, text: str, least: float, share: float) -> list[tuple[int, str, float, float]]:
+        """Confirmed paragraphs by their first line, no two with a line in common.
+
+        A run goes on until the lines after its first hold twice the words of
+        the longest template. Of paragraphs that overlap, the one that holds
+        most of its template counts, then the one of fewest lines.
+        """
+        lines = [_WORD.findall(line) for line in text.lower().split("\n")]
+        hot = [not self.triggers.isdisjoint(w) for w in lines]
+        found = []
+        for i, first in enumerate(lines):
+            words, any_hot, j = list(first), hot[i], i
+            while words:
+                if any_hot and (f := self.paragraph(words, least, share)):
+                    found.append((-f[2], j - i, i, f))
+                j += 1
+                if j == len(lines) or not lines[j] or len(words) - len(first) >= self.reach:
+                    break
+                words += lines[j]
+                any_hot = any_hot or hot[j]
+        taken: set[int] = set()
+        out = []
+        for _, more, i, f in sorted(found):
+            if taken.isdisjoint(range(i, i + more + 1)):
+                taken.update(range(i, i + more + 1))
+                out.append((i, *f))
+        return sorted(out)
+
 
 def _varied(words: list[str], rng: np.random.Generator, noise: list[str]) -> list[str]:
     """A notice as it might stand in a text: some words gone, others around it."""
@@ -136,7 +168,7 @@ def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, most
     noise = [w for p in plain[:300] for w in p]
     families = [UNKNOWN, *templates]
     names = {f: i for i, f in enumerate(sorted(set().union(*(t for ts in sets.values() for t in ts))))}
-    model = Classifier(families, names, np.zeros((len(names) + 1, len(families))), 1.0, frozenset(w for w in names if " " not in w and w not in COMMON), sets)
+    model = Classifier(families, names, np.zeros((len(names) + 1, len(families))), 1.0, frozenset(w for w in names if " " not in w and w not in COMMON), sets, 2 * max(len(_WORD.findall(t.lower())) for ts in templates.values() for t in ts))
 
     def sample(n: int) -> tuple[np.ndarray, np.ndarray]:
         rows, y = [], []
@@ -174,14 +206,14 @@ def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, most
 def scan(docs: DataFrame, model: Classifier, least: float = 0.5, share: float = 0.7) -> DataFrame:
     """One row for each confirmed paragraph: ``(doc_id, paragraph, family, probability, held)``.
 
-    ``paragraph`` counts all lines from 0; ``held`` is the share of the template
+    ``paragraph`` is its first line, counted from 0; ``held`` is the share of the template
     found. A paragraph without a word of the families' own vocabulary is
     unknown. Empty and null texts have no rows.
     """
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = [(i, k, *found) for i, t in zip(pdf.doc_id, pdf.text) for k, line in enumerate(t.split("\n")) if (found := model.paragraph(line, least, share))]
+            out = [(i, *found) for i, t in zip(pdf.doc_id, pdf.text) for found in model.notices(t, least, share)]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "paragraph", "family", "probability", "held"])
 
@@ -189,16 +221,15 @@ def scan(docs: DataFrame, model: Classifier, least: float = 0.5, share: float =
 
 
 def query(docs: DataFrame, least: float = 0.5, share: float = 0.7) -> DataFrame:
-    """One row for each row of ``docs`` that has a ``doc_id``: its paragraphs, those with a licence, and the families in order, joined by commas."""
+    """One row for each row of ``docs`` that has a ``doc_id``: its lines, its confirmed paragraphs, and the families in order, joined by commas."""
     model = fit(docs)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for i, t in zip(pdf.doc_id, pdf.text):
-                lines = t.split("\n") if t else []
-                found = [f for line in lines if (f := model.paragraph(line, least, share))]
-                out.append((i, len(lines), len(found), ",".join(sorted({f[0] for f in found})), max((f[1] for f in found), default=0.0)))
+                found = model.notices(t, least, share)
+                out.append((i, t.count("\n") + 1 if t else 0, len(found), ",".join(sorted({f[1] for f in found})), max((f[2] for f in found), default=0.0)))
             yield pd.DataFrame(out, columns=["doc_id", "n_paragraphs", "n_licensed", "families", "probability"])
 
     return texts(docs).mapInPandas(run, "doc_id long, n_paragraphs long, n_licensed long, families string, probability double")

@@ -362,3 +362,17 @@ def test_licences(spark, nothing):
     assert right >= 0.9 * len(want)
     assert all(got[i].families == "" for i in (*range(30), 300, 301, 302))
     assert licences.query(nothing).count() == 0
+
+
+def test_licences_wrapped(spark):
+    import textwrap
+
+    rng = random.Random(11)
+    long = [(f, t) for f, ts in licences.TEMPLATES.items() for t in ts if len(t) > 80]
+    rows = [(i, "\n".join(prose(rng, 20) for _ in range(4))) for i in range(30)]
+    rows += [(100 + k, prose(rng, 9) + "\n\n" + "\n".join("# " + x for x in textwrap.wrap(t, 60)) + "\n\n" + prose(rng, 9)) for k, (_, t) in enumerate(long)]
+    rows += [(200, "Released under the MIT License.\nLicensed under CC BY 4.0.")]
+    got = {r.doc_id: r for r in licences.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[100 + k].families, got[100 + k].n_licensed) for k in range(len(long))] == [(f, 1) for f, _ in long]
+    assert (got[200].families, got[200].n_licensed) == ("CC-BY,MIT", 2)
+    assert all(got[i].n_licensed == 0 for i in range(30))
