@@ -6,8 +6,10 @@ anchors at equal offsets. About one position in seventeen is an anchor, and the
 sorted suffixes of the anchors hold every match.
 
 1. ``gather``: anchors of a block of texts, packed by hash ranges.
-2. ``prune``: anchors whose hash occurs in two documents stay (a superset of
-   what can match; no text moves for the others).
+2. ``prune``: of a 50-byte match either the 33 bytes that end with the anchor or
+   the 33 bytes that begin with it are part. Anchors with one of the two in two
+   documents stay (a superset of what can match; no text moves for the others,
+   so common grams of prose end here).
 3. ``runs``: a block's suffixes at those anchors, 50 bytes from the anchor and
    then the 34 before it, backwards, sorted and front-coded into a run, which is
    exchanged by ranges of the anchor's hash.
@@ -41,6 +43,7 @@ from .common import partitions, small_batches, texts, whole_groups
 
 LENGTH, GRAM = 50, 16
 BACK = LENGTH - GRAM
+HALF = BACK // 2  # a match covers so many bytes on one side of its anchor at least
 LEAD = 3  # bytes of the anchor's hash before the suffix, by which runs are dealt out
 WIDTH = LEAD + LENGTH + BACK
 PAD = 0xFF  # no byte of UTF-8
@@ -89,6 +92,34 @@ def anchors(text: bytes, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     return p, np.concatenate(hashes)[first]
 
 
+def sides(text: bytes, pos: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Two short hashes for each anchor: of the 17 bytes before and of the 17 bytes after it, each with the gram's own; a side that the text cuts off has none (0)."""
+    b = np.frombuffer(text, np.uint8)
+    out = np.zeros((len(pos), 2), np.uint16)
+    for k, (ok, first) in enumerate(((pos >= HALF, pos - HALF), (pos + GRAM + HALF <= len(b), pos + GRAM))):
+        at = first[ok]
+        x = np.zeros((len(at), 24), np.uint8)
+        for j in range(HALF):
+            x[:, j] = b[at + j]
+        y = x.view("<u8")
+        v = _mixed(_mixed(y[:, 0], y[:, 1]), y[:, 2]) ^ h[ok]
+        out[ok, k] = np.maximum((v * _MIX) >> np.uint64(48), 1)
+    return out
+
+
+def _again(h: np.ndarray, side: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which anchors share their hash and one of their sides with another document."""
+    found = np.zeros(len(h), bool)
+    for k in range(2):
+        ok = np.flatnonzero(side[:, k])
+        o = ok[np.lexsort((side[ok, k], h[ok]))]
+        if not len(o):
+            continue
+        b = np.flatnonzero(np.r_[True, (h[o][1:] != h[o][:-1]) | (side[o, k][1:] != side[o, k][:-1])])
+        found[o] |= np.repeat(np.minimum.reduceat(d[o], b) != np.maximum.reduceat(d[o], b), np.diff(np.r_[b, len(o)]))
+    return found
+
+
 def _planes(a: np.ndarray, dtype: str) -> bytes:
     """The numbers' first bytes, then their second bytes, and so on: alike bytes together compress."""
     b = np.ascontiguousarray(a.astype(dtype))
@@ -114,18 +145,22 @@ def _unpacked(raw: bytes, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _with_docs(doc: np.ndarray, *columns: tuple[np.ndarray, str]) -> bytes:
-    """Rows whose documents are numbers of a short list."""
-    names, code = np.unique(doc, return_inverse=True)
-    head = _packed((names, "<i8"))
+def _with_docs(doc: np.ndarray, *columns: tuple[np.ndarray, str], tag: np.ndarray | None = None) -> bytes:
+    """Rows whose documents (and their tags) are numbers of a short list."""
+    tag = np.zeros(len(doc), np.int64) if tag is None else tag
+    o = np.lexsort((tag, doc))
+    new = np.r_[True, (doc[o][1:] != doc[o][:-1]) | (tag[o][1:] != tag[o][:-1])] if len(doc) else np.zeros(0, bool)
+    code = np.empty(len(doc), np.int64)
+    code[o] = np.cumsum(new) - 1
+    head = _packed((doc[o][new], "<i8"), (tag[o][new], "<u4"))
     return struct.pack("<I", len(head)) + head + _packed((code, "<u4"), *columns)
 
 
-def _docs_of(raw: bytes, *types: str) -> list[np.ndarray]:
+def _docs_of(raw: bytes, *types: str, tags: bool = False) -> list[np.ndarray]:
     size = struct.unpack_from("<I", raw)[0]
-    names = _unpacked(raw[4 : 4 + size], "<i8")[0]
+    names, known = _unpacked(raw[4 : 4 + size], "<i8", "<u4")
     code, *rest = _unpacked(raw[4 + size :], "<u4", *types)
-    return [names[code], *rest]
+    return [names[code], *([known[code]] if tags else []), *rest]
 
 
 def _starts(a: np.ndarray) -> np.ndarray:
@@ -154,41 +189,40 @@ def by_doc(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def gather(parts: int):
     """Blocks of texts to ``(part, kind, rows)``: kind 0 asks who else has the hash, kind 1 is known to repeat."""
 
-    def block(h: np.ndarray, d: np.ndarray, p: np.ndarray, turn: int) -> pd.DataFrame:
+    def block(h: np.ndarray, d: np.ndarray, p: np.ndarray, side: np.ndarray, turn: int) -> pd.DataFrame:
         h = h >> np.uint64(16)
-        o = np.lexsort((d, h))
-        h, d, p = h[o], d[o], p[o]
-        b = _starts(h)
-        size = np.diff(np.r_[b, len(h)])
-        several = np.minimum.reduceat(d, b) != np.maximum.reduceat(d, b)
-        known = np.repeat(several, size)
-        ask = ~known
-        ask[b[several]] = True  # one stands for them
+        known = _again(h, side, d)
         out = [(turn % parts, 1, _with_docs(d[known], (p[known], "<u4")))] if known.any() else []
-        told = known[ask]
-        h, d, p = h[ask], d[ask], p[ask]
+        # one of those with the same hash and sides stands for them
+        o = np.lexsort((d, side[:, 1], side[:, 0], known, h))
+        h, d, p, side, known = h[o], d[o], p[o], side[o], known[o]
+        first = np.r_[True, (h[1:] != h[:-1]) | (side[1:] != side[:-1]).any(1)] if len(h) else known
+        ask = first | ~known
+        h, d, p, side, told = h[ask], d[ask], p[ask], side[ask], known[ask]
         part = ((h >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         e = _starts(part)
         for i, j in zip(e, np.r_[e[1:], len(part)]):
-            out.append((int(part[i]), 0, _with_docs(d[i:j], (h[i:j] >> np.uint64(32), "<u2"), (h[i:j] & np.uint64(0xFFFFFFFF), "<u4"), (p[i:j], "<u4"), (told[i:j], "u1"))))
+            hp = h[i:j]
+            out.append((int(part[i]), 0, _with_docs(d[i:j], (hp >> np.uint64(32), "<u2"), (hp & np.uint64(0xFFFFFFFF), "<u4"), (p[i:j], "<u4"), (side[i:j, 0], "<u2"), (side[i:j, 1], "<u2"), (told[i:j], "u1"))))
         return pd.DataFrame(out, columns=["part", "kind", "rows"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         turn = TaskContext.get().partitionId() * 7919
-        hs, ds, ps, n = [], [], [], 0
+        held, n = [], 0
         for pdf in it:
             for i, t in zip(pdf.doc_id, pdf.text):
-                p, h = anchors(t.encode())
+                raw = t.encode()
+                p, h = anchors(raw)
                 if len(p):
-                    hs.append(h), ps.append(p), ds.append(np.full(len(p), i, np.int64))
+                    held.append((h, np.full(len(p), i, np.int64), p, sides(raw, p, h)))
                     n += len(p)
                 if n >= BLOCK_ANCHORS:
-                    yield block(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), turn)
-                    hs, ds, ps, n, turn = [], [], [], 0, turn + 1
+                    yield block(*map(np.concatenate, zip(*held)), turn)
+                    held, n, turn = [], 0, turn + 1
         if n:
-            yield block(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), turn)
+            yield block(*map(np.concatenate, zip(*held)), turn)
 
     return run
 
@@ -200,14 +234,10 @@ def prune(parts: int):
         for pdf in whole_groups(it, "part"):
             found = [_docs_of(raw, "<u4") for raw in pdf.rows[pdf.kind == 1]]
             for _, asked in pdf[pdf.kind == 0].groupby("part"):
-                d, hi, lo, p, told = (np.concatenate(c) for c in zip(*(_docs_of(raw, "<u2", "<u4", "<u4", "u1") for raw in asked.rows)))
+                d, hi, lo, p, left, right, told = (np.concatenate(c) for c in zip(*(_docs_of(raw, "<u2", "<u4", "<u4", "<u2", "<u2", "u1") for raw in asked.rows)))
                 h = hi.astype(np.uint64) << np.uint64(32) | lo
-                o = np.argsort(h)
-                h, d, p, told = h[o], d[o], p[o], told[o]
-                b = _starts(h)
-                if len(b):
-                    again = np.repeat(np.minimum.reduceat(d, b) != np.maximum.reduceat(d, b), np.diff(np.r_[b, len(h)])) & (told == 0)
-                    found.append([d[again], p[again]])
+                again = _again(h, np.stack([left, right], 1), d) & (told == 0)
+                found.append([d[again], p[again]])
             doc, pos = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
             if len(doc):
                 yield _dealt(doc, pos, parts)
@@ -260,7 +290,7 @@ def runs(parts: int):
         if later.any():
             full = whole_mask(m[later])
             keep = full != 0
-            out.append((turn % parts, 1, _with_docs(d[later][keep], (tag[later][keep], "<u4"), (p[later][keep], "<u4"), (full[keep], "<i8"))))
+            out.append((turn % parts, 1, _with_docs(d[later][keep], (p[later][keep], "<u4"), (full[keep], "<i8"), tag=tag[later][keep])))
         m, d, tag, p = m[~later], d[~later], tag[~later], p[~later]
         lcp = _lcp(m)
         lead = m[:, 0].astype(np.int64) << 16 | m[:, 1].astype(np.int64) << 8 | m[:, 2]
@@ -270,7 +300,7 @@ def runs(parts: int):
             keep = lcp[i:j].copy()
             keep[0] = 0
             tails = m[i:j][np.arange(WIDTH) >= keep[:, None]].tobytes()
-            rows = _with_docs(d[i:j], (keep, "u1"), (tag[i:j], "<u4"), (p[i:j], "<u4"))
+            rows = _with_docs(d[i:j], (keep, "u1"), (p[i:j], "<u4"), tag=tag[i:j])
             out.append((int(part[i]), 0, struct.pack("<I", len(rows)) + rows + zstandard.compress(tails, 3)))
         return pd.DataFrame(out, columns=["part", "kind", "rows"])
 
@@ -437,13 +467,13 @@ def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs to marks ``(doc_id, tag, pos, bits)``; ``tag`` tells apart rows that share an id."""
     for pdf in whole_groups(it, "part"):
         for raw in pdf.rows[pdf.kind == 1]:
-            d, tag, p, bits = _docs_of(raw, "<u4", "<u4", "<i8")
+            d, tag, p, bits = _docs_of(raw, "<u4", "<i8", tags=True)
             yield pd.DataFrame({"doc_id": d, "tag": tag.astype(np.int64), "pos": p.astype(np.int32), "bits": bits})
         for _, mine in pdf[pdf.kind == 0].groupby("part"):
             sources, cols, n = [], [], 0
             for raw in mine.rows:
                 size = struct.unpack_from("<I", raw)[0]
-                d, lcp, tag, p = _docs_of(raw[4 : 4 + size], "u1", "<u4", "<u4")
+                d, tag, lcp, p = _docs_of(raw[4 : 4 + size], "u1", "<u4", tags=True)
                 sources.append(Run(lcp.tolist(), zstandard.decompress(raw[4 + size :]), n))
                 cols.append((d, tag, p))
                 n += len(d)
