@@ -1,24 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Symbols are bytes of the text as its words read: lower case (A-Z only), one
-blank between words and an end mark after the last. ``grow`` counts all strings
-of seven bytes in the training texts, sums them to the contexts of zero to six
-bytes and keeps a context if it was seen often enough and its next-symbol
-distribution diverges from that of the context one byte shorter; suffixes of
-kept contexts are kept. Distributions are smoothed by the shorter context's. A
-byte is scored in the longest kept context that ends before it. The tree is a
-table in the shared folder and grows with the corpus.
-
-The unigram base needs the count of every word in the corpus, the score the
-tree's value for every string of seven bytes. Neither meets the driver: blocks
-of texts send their distinct words and strings by hash range, the range's task
-adds up the counts, looks the strings up and returns each block's share.
+Symbols are words and the end of a text. A state is a context of up to
+``DEPTH`` words. The tree grows from the root, whose distribution is the
+unigram's with one added to each count. A context is looked at if its words
+were seen ``least`` times; it is kept if the symbols after it diverge from what
+the longest kept shorter context says: their log likelihood, each symbol left
+out of the counts that predict it, gains ``gain`` nats at least. The
+distribution of a kept context is its counts smoothed by ``kappa`` times the
+shorter one's distribution. A symbol is scored in the longest kept context
+that ends before it. Both limits are absolute: what a corpus keeps, a larger
+one of the same kind keeps as well, so the tree grows with the corpus.
+
+Neither counts nor tree meet the driver. The texts become blocks of word
+numbers. Level by level, each block sends its distinct (context, symbol) pairs
+by hash range of the context; the range's task adds up the counts, tests the
+contexts and returns to each block the counts of its own pairs. A context that
+makes up more than a ten-thousandth of all tokens is dealt out further by its
+symbols, and its gain is summed apart; there are 10,000 of those at most.
 """
 
 from __future__ import annotations
 
-import math
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,379 +30,326 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import pack, starts, unpack
 from .common import discard, partitions, saved, small_batches, texts, whole_groups
-from .words import word_hashes
-
-DEPTH = 6
-END = b"\n"
-BLOCK_BYTES, BLOCK_DOCS, PART_BYTES = 3 << 20, 60_000, 16 << 20
-#: A super-block's blocks share their strings: it ends at so many bytes of text, distinct strings or blocks.
-SUPER_BYTES, SUPER_CODES, SUPER_BLOCKS = 36 << 20, 4_000_000, 4_000
-
-
-def codes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol of some texts, its context and itself as one number of seven bytes, and the text's place in the list."""
-    seqs = [b" ".join(r.split()) + END for r in raws]
-    b = np.frombuffer(b"".join(END * DEPTH + s for s in seqs), np.uint8)
-    n = len(b) - DEPTH
-    x = np.zeros(max(n, 0), np.uint64)
-    for j in range(DEPTH + 1):
-        x = (x << np.uint64(8)) | b[j : j + n]
-    size = np.array([len(s) for s in seqs])
-    start = np.cumsum(np.r_[0, size[:-1] + DEPTH]) if len(seqs) else np.zeros(0, np.int64)
-    at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(seqs) else np.zeros(0, np.int64)
-    return x[at], np.repeat(np.arange(len(seqs)), size)
-
-
-def _tally(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    o = np.argsort(x)
-    x, n = x[o], n[o]
-    s = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    return x[s], np.add.reduceat(n, s)
-
-
-def grams(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``(code, n)``: strings of seven bytes and how often training texts hold them, added up over what one task reads."""
-    xs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held: list[list[np.ndarray]] = [[], []]
-    size = 0
-
-    def added() -> tuple[np.ndarray, np.ndarray]:
-        v, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held[0]]), return_counts=True)
-        o = np.unique(np.concatenate([np.zeros(0, np.uint64), *held[1]]))
-        return _tally(np.concatenate([xs, v, o]), np.concatenate([ns, c, np.zeros(len(o), np.int64)]))
+from .words import mix, word_hashes
 
-    for pdf in it:
-        for k, part in enumerate((pdf.text[~pdf.held_out], pdf.text[pdf.held_out])):
-            if len(part):
-                x, _ = codes([t.encode().lower() for t in part])
-                held[k].append(x)
-                size += len(x)
-        if size >= 4_000_000:
-            xs, ns = added()
-            held, size = [[], []], 0
-            if len(xs) > 4_000_000:  # so that memory stays bounded; the sum is taken later
-                yield pd.DataFrame({"code": xs.astype(np.int64), "n": ns})
-                xs, ns = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if size:
-        xs, ns = added()
-    if len(xs):
-        yield pd.DataFrame({"code": xs.astype(np.int64), "n": ns})
+DEPTH = 3
+BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, HOT = 10 << 20, 100_000, 16 << 20, 100_000
+END = np.uint64(0x2545F4914F6CDD1D)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+STATE = "block long, rows binary"
+#: kind 0: a block's share of a range; 1: the gain of a part of a hot context; 2: words of the range that training texts have
+ANSWER = "kind int, block long, part int, rows binary, context long, gain double, words long"
 
 
-@dataclass
-class Tree:
-    """A tree in one process, for small corpora. By depth: kept contexts and the log10 weight of their shorter context, and symbols in context with their log10 probability; all sorted."""
-
-    contexts: list[np.ndarray]
-    backoff: list[np.ndarray]
-    keys: list[np.ndarray]
-    logp: list[np.ndarray]
-    rest: float
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """log10 probability of each (context, symbol)."""
-        out = np.zeros(len(x))
-        open_ = np.arange(len(x))
-        for d in range(DEPTH, -1, -1):
-            if not len(open_) or not len(self.contexts[d]):
-                continue
-            k = x[open_] & np.uint64((1 << 8 * (d + 1)) - 1)
-            i = np.minimum(np.searchsorted(self.contexts[d], k >> np.uint64(8)), len(self.contexts[d]) - 1)
-            here = self.contexts[d][i] == k >> np.uint64(8)
-            j = np.minimum(np.searchsorted(self.keys[d], k), len(self.keys[d]) - 1)
-            hit = here & (self.keys[d][j] == k)
-            out[open_[hit]] += self.logp[d][j[hit]]
-            down = here & ~hit
-            out[open_[down]] += self.backoff[d][i[down]]
-            open_ = open_[~hit]
-        out[open_] += self.rest  # a byte that no training text has
-        return out
-
-
-def _columns(df: DataFrame) -> tuple[np.ndarray, ...]:
-    """The columns of a table that one process can hold as arrays, without a Python object for each value."""
-    t = df.toArrow()
-    return tuple(t.column(i).to_numpy() for i in range(t.num_columns))
-
-
-def grow(texts_: DataFrame, least: int = 16, divergence: float = 1.0, kappa: float = 4.0) -> tuple[list[DataFrame], list[DataFrame], int]:
-    """The tree of the rows of ``texts_(text, held_out)`` that are not held out, as tables in the shared folder.
-
-    By depth: all strings ``(c, s, n)`` of the corpus, context, symbol and
-    training count; those in kept contexts, ``(c, s, m, p)``; and the number of
-    training symbols. A context is kept if it was seen ``least`` times and its
-    symbols' log likelihood gains at least ``divergence`` for each distinct one
-    over the shorter context. Both are absolute: what a corpus keeps, a larger
-    one of the same kind keeps as well. Without training texts every byte has
-    the probability 1/256.
-    """
-    g = saved(texts_.select("text", "held_out").mapInPandas(grams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    total = g.agg(F.sum("n")).first()[0] or 0
-    levels = [g.select(F.shiftright("code", 8).alias("c"), (F.col("code").bitwiseAND(255)).cast("int").alias("s"), "n")]
-    for d in range(DEPTH - 1, -1, -1):
-        levels.insert(0, saved(levels[0].groupBy(F.col("c").bitwiseAND((1 << 8 * d) - 1).alias("c"), "s").agg(F.sum("n").alias("n"))))
-    tables = [saved(levels[0].select("c", "s", "n", F.lit(float(total)).alias("m"), ((F.col("n") + 1) / F.lit(total + 256.0)).alias("p"), F.lit(True).alias("kept")))]
-    for d in range(1, DEPTH + 1):
-        frequent = levels[d].groupBy("c").agg(F.sum("n").cast("double").alias("m"), F.count_if(F.col("n") > 0).alias("k")).where(F.col("m") >= least)
-        t = levels[d].join(frequent, "c").withColumn("up", F.col("c").bitwiseAND((1 << 8 * (d - 1)) - 1))
-        t = t.join(tables[-1].select(F.col("c").alias("up"), "s", F.col("p").alias("q")), ["up", "s"])
-        t = t.withColumn("p", (F.col("n") + kappa * F.col("q")) / (F.col("m") + kappa))
-        gain = t.groupBy("c").agg((F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))) >= divergence * F.first("k")).alias("kept"))
-        tables.append(saved(t.join(gain, "c").select("c", "s", "n", "m", "p", "kept")))
-    below = None
-    found: list[DataFrame] = []
-    for d in range(DEPTH, -1, -1):
-        keep = tables[d].where("kept").select("c").distinct()
-        if below is not None:
-            keep = keep.union(below.select(F.col("c").bitwiseAND((1 << 8 * d) - 1).alias("c"))).distinct()
-        below = saved(keep)
-        found.insert(0, tables[d].join(below, "c", "left_semi").select("c", "s", "m", "p"))
-    return levels, found, total
-
-
-def values(levels: list[DataFrame], found: list[DataFrame]) -> DataFrame:
-    """``(code, logp)``: log10 probability of each string of seven bytes in the corpus. The tables given are used up."""
-    best = found[0].select("c", "s", "p")
-    for d in range(1, DEPTH + 1):
-        up = best.select(F.col("c").alias("up"), "s", F.col("p").alias("q"))
-        t = levels[d].select("c", "s", F.col("c").bitwiseAND((1 << 8 * (d - 1)) - 1).alias("up")).join(found[d].select("c", "s", "p"), ["c", "s"], "left")
-        less, best = best, saved(t.join(up, ["up", "s"]).select("c", "s", F.coalesce("p", "q").alias("p")))
-        for used in (less, levels[d], found[d]):
-            discard(used)
-    return best.select((F.shiftleft("c", 8) + F.col("s")).alias("code"), F.log10("p").cast("float").alias("logp"))
-
-
-def fit(train: DataFrame, **params) -> Tree:
-    """The tree of ``train(doc_id, text)`` (see ``grow``), fetched whole."""
-    kappa = params.get("kappa", 4.0)
-    _, tables, total = grow(train.withColumn("held_out", F.lit(False)), **params)
-    found = [_columns(t.select("c", F.col("s").cast("short").alias("s"), F.col("m").cast("float").alias("m"), F.col("p").cast("float").alias("p"))) for t in tables]
-    ctx, back, keys, logp = [], [], [], []
-    for d, (c, sym, m, p) in enumerate(found):
-        c = c.astype(np.uint64)
-        k = c << np.uint64(8) | sym.astype(np.uint64)
-        o = np.argsort(k)
-        keys.append(k[o])
-        logp.append(np.log10(p[o]))
-        u, first = np.unique(c, return_index=True)
-        ctx.append(u)
-        back.append(np.log10(kappa / (m[first] + kappa)) if d else np.zeros(len(u), np.float32))
-    return Tree(ctx, back, keys, logp, -math.log10(total + 256.0))
-
-
-def _pack(*arrays: tuple[np.ndarray, str]) -> bytes:
-    return b"".join(struct.pack("<I", len(a)) + a.astype(t).tobytes() for a, t in arrays)
-
-
-def _unpack(raw: bytes, *types: str) -> list[np.ndarray]:
-    at, out = 0, []
-    for t in types:
-        n = struct.unpack_from("<I", raw, at)[0]
-        size = n * np.dtype(t).itemsize
-        out.append(np.frombuffer(raw, t, n, at + 4))
-        at += 4 + size
-    return out
-
-
-def _spread(x: np.ndarray, parts: int) -> np.ndarray:
-    """The hash range of each string."""
-    return ((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-def _by_part(x: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of strings by hash range, and each range's number, start and end in it."""
-    part = _spread(x, parts)
-    o = np.argsort(part, kind="stable")
-    part = part[o]
-    s = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(x) else np.zeros(0, np.int64)
-    return o, [(int(part[i]), int(i), int(j)) for i, j in zip(s, np.r_[s[1:], len(x)])]
+@dataclass(frozen=True)
+class Rule:
+    least: int = 2
+    gain: float = 1.0
+    kappa: float = 16.0
 
 
-def shelve(parts: int):
-    """The strings' values packed by hash range (kind 3)."""
+@dataclass
+class Block:
+    """Texts as numbers of ``words``, and what is known of each token: ``levels[d - 1]`` holds twice the count of its context of ``d`` words and itself in training texts, plus one if the context is kept."""
+
+    ids: np.ndarray
+    out: np.ndarray
+    sizes: np.ndarray
+    words: np.ndarray
+    code: np.ndarray
+    counts: np.ndarray
+    levels: list[np.ndarray]
+
+    def packed(self) -> bytes:
+        return pack((self.ids, "<i8"), (self.out, "u1"), (self.sizes, "<i8"), (self.words, "<u8"), (self.code, "<u4"), (self.counts, "<u8"), *[(v, "<i8") for v in self.levels])
+
+    @staticmethod
+    def of(raw: bytes, depth: int) -> Block:
+        ids, out, sizes, words, code, counts, *levels = unpack(raw, "<i8", "u1", "<i8", "<u8", "<u4", "<u8", *["<i8"] * depth)
+        return Block(ids, out.astype(bool), sizes, words, code, counts.astype(np.int64), levels)
+
+    def training(self) -> np.ndarray:
+        return np.repeat(~self.out, self.sizes)
+
+    def place(self) -> np.ndarray:
+        """Each token's place in its text."""
+        return np.arange(len(self.code)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def seen(self, depth: int) -> np.ndarray:
+        """How often training texts hold the ``depth`` words before each token."""
+        n = self.levels[depth - 2] >> 1 if depth > 1 else self.counts[self.code]
+        m = np.r_[np.zeros(1, np.int64), n[:-1]] if len(n) else n
+        return np.where(self.place() >= depth, m, 0)
+
+    def likelihood(self, total: int, vocabulary: int, rule: Rule) -> np.ndarray:
+        """The probability of each token in the longest kept context known so far."""
+        q = ((self.counts + 1) / (total + vocabulary + 1.0))[self.code]
+        for d, v in enumerate(self.levels, 1):
+            n, m = v >> 1, self.seen(d)
+            q = np.where(v & 1, (n + rule.kappa * q) / (m + rule.kappa), q)
+        return q
+
+    def grams(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the ``depth`` words before each token, and of those and itself."""
+        w = self.words[self.code]
+        g, before = w, w
+        for _ in range(depth):
+            before = np.r_[np.zeros(1, np.uint64), g[:-1]] if len(g) else g
+            g = mix(before * _MUL + w)
+        return before, g
+
+
+def gather(modulus: int, held: int):
+    """Texts to blocks."""
+
+    def block(ids: list[int], raws: list[bytes], name: int) -> pd.DataFrame:
+        hs = [np.append(word_hashes(r), END) for r in raws]
+        words, code = np.unique(np.concatenate(hs), return_inverse=True)
+        out = np.array([zlib.crc32(str(i).encode()) % modulus == held for i in ids])
+        b = Block(np.array(ids, np.int64), out, np.array([len(h) for h in hs]), words, code.ravel(), np.zeros(0), [])
+        return pd.DataFrame({"block": [name], "rows": [b.packed()]})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pd.DataFrame:
-            x, v = (np.concatenate(a) for a in zip(*held))
-            o, ranges = _by_part(x, parts)
-            x, v = x[o], v[o]
-            return pd.DataFrame([(p, 3, -2, _pack((x[i:j], "<u8"), (v[i:j], "<f4"))) for p, i, j in ranges], columns=["part", "kind", "block", "rows"])
+        from pyspark import TaskContext
 
+        name = TaskContext.get().partitionId() << 32
+        ids, raws, size = [], [], 0
         for pdf in it:
-            if len(pdf):
-                held.append((pdf.code.to_numpy().astype(np.uint64), pdf.logp.to_numpy()))
-            if sum(len(x) for x, _ in held) >= 1_000_000:
-                yield out()
-                held = []
-        if held:
-            yield out()
+            for i, t in zip(pdf.doc_id, pdf.text):
+                ids.append(i)
+                raws.append(t.encode().lower())
+                size += len(raws[-1])
+                if size >= BLOCK_BYTES or len(ids) == BLOCK_DOCS:
+                    yield block(ids, raws, name)
+                    ids, raws, size, name = [], [], 0, name + 1
+        if ids:
+            yield block(ids, raws, name)
 
     return run
 
 
-def send(parts: int, modulus: int, held: int):
-    """Blocks of texts: the texts (kind 1) and their distinct words by hash range (kind 0); super-blocks: their distinct strings, whole (kind 4) and by hash range (kind 2).
+def _range(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
-    A block's number is 4,096 times its super-block's and more.
-    """
 
-    def block(ids: list[int], out: list[bool], raws: list[bytes], name: int) -> pd.DataFrame:
-        hs = [word_hashes(r) for r in raws]
-        size = np.array([len(h) for h in hs])
-        ids_, out_ = np.array(ids, np.int64), np.array(out)
-        raw, length = zlib.compress(b"".join(raws), 1), np.array([len(r) for r in raws])
-        rows = [((name >> 12) % parts, 1, name, _pack((ids_, "<i8"), (size + 1, "<i8"), (length, "<i8"), (out_, "u1"), (np.frombuffer(raw, np.uint8), "u1")))]
-        h = np.concatenate(hs)
-        d = np.repeat(np.arange(len(ids)), size)
-        o = np.argsort(h, kind="stable")
-        h, d = h[o], d[o]
-        s = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
-        tf = np.diff(np.r_[s, len(h)])
-        h, d = h[s], d[s]
-        part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        e = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(h) else []
-        for i, j in zip(e, np.r_[e[1:], len(h)] if len(h) else []):
-            hp, dp, tp = h[i:j], d[i:j], tf[i:j]
-            w = np.flatnonzero(np.r_[True, hp[1:] != hp[:-1]])
-            learn = np.add.reduceat(np.where(out_[dp], 0, tp), w)
-            rows.append((int(part[i]), 0, name, _pack((hp[w], "<u8"), (np.diff(np.r_[w, len(hp)]), "<u2"), (learn, "<u4"), (dp, "<u2"), (tp, "<u4"))))
-        return pd.DataFrame(rows, columns=["part", "kind", "block", "rows"])
-
-    def strings(x: np.ndarray, name: int) -> pd.DataFrame:
-        rows = [((name >> 12) % parts, 4, name, zlib.compress(_pack((x, "<u8")), 1))]
-        o, ranges = _by_part(x, parts)
-        rows += [(p, 2, name, zlib.compress(_pack((x[o[i:j]], "<u8")), 1)) for p, i, j in ranges]
-        return pd.DataFrame(rows, columns=["part", "kind", "block", "rows"])
+def _split(part: np.ndarray) -> list[tuple[int, int, int]]:
+    s = starts(part)
+    return [(int(part[i]), int(i), int(j)) for i, j in zip(s, np.r_[s[1:], len(part)])]
 
+
+def word_order(b: Block, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    part = _range(b.words, parts)
+    o = np.argsort(part, kind="stable")
+    return o, part[o]
+
+
+def ask_words(parts: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+        for pdf in it:
+            for name, raw in zip(pdf.block, pdf.rows):
+                b = Block.of(raw, 0)
+                n = np.bincount(b.code[b.training()], minlength=len(b.words))
+                o, part = word_order(b, parts)
+                yield pd.DataFrame([(p, name, pack((b.words[o[i:j]], "<u8"), (n[o[i:j]], "<u8"))) for p, i, j in _split(part)], columns=["part", "block", "rows"])
+
+    return run
+
+
+def answer_words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in whole_groups(it, "part"):
+        for part, g in pdf.groupby("part"):
+            got = [unpack(raw, "<u8", "<u8") for raw in g.rows]
+            words, code = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
+            count = np.bincount(code.ravel(), np.concatenate([n for _, n in got]).astype(float), len(words))
+            back = np.split(count[code.ravel()], np.cumsum([len(x) for x, _ in got])[:-1])
+            rows = [(0, name, part, pack((n, "<u8")), 0, 0.0, 0) for name, n in zip(g.block, back)]
+            yield pd.DataFrame([*rows, (2, -1, part, None, 0, 0.0, int((count > 0).sum()))], columns=_names(ANSWER))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
 
-        top = TaskContext.get().partitionId() << 24
-        ids, out, raws, size, k, bytes_ = [], [], [], 0, 0, 0
-        seen = np.zeros(0, np.uint64)
+@dataclass
+class Pairs:
+    """A block's distinct (context, symbol) pairs in the order in which they are sent, and each looked-at token's place among them."""
+
+    alive: np.ndarray
+    place: np.ndarray
+    context: np.ndarray
+    symbol: np.ndarray
+    hot: np.ndarray
+    part: np.ndarray
+    first: np.ndarray
+
+
+def pairs(b: Block, depth: int, parts: int, rule: Rule, hot: int) -> Pairs:
+    m = b.seen(depth)
+    alive = np.flatnonzero(m >= rule.least)
+    context, symbol = (x[alive] for x in b.grams(depth))
+    symbol = symbol >> np.uint64(32)
+    o = np.lexsort((symbol, context))
+    at = starts(context[o], symbol[o])
+    first = alive[o[at]]
+    c, s = context[o[at]], symbol[o[at]]
+    is_hot = m[first] > hot
+    part = _range(np.where(is_hot, c ^ (s << np.uint64(32)), c), parts)
+    by = np.argsort(part, kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    place = np.empty(len(alive), np.int64)
+    place[o] = np.repeat(rank, np.diff(np.r_[at, len(o)]))
+    return Pairs(alive, place, c[by], s[by], is_hot[by], part[by], first[by])
+
+
+def ask(depth: int, parts: int, rule: Rule, hot: int, total: int, vocabulary: int):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for i, t in zip(pdf.doc_id, pdf.text):
-                ids.append(i)
-                out.append(zlib.crc32(str(i).encode()) % modulus == held)
-                raws.append(t.encode().lower())
-                size += len(raws[-1])
-                if size >= BLOCK_BYTES or len(ids) == BLOCK_DOCS:
-                    yield block(ids, out, raws, top << 12 | k)
-                    seen = np.union1d(seen, codes(raws)[0])
-                    k, bytes_ = k + 1, bytes_ + size
-                    ids, out, raws, size = [], [], [], 0
-                    if bytes_ >= SUPER_BYTES or len(seen) >= SUPER_CODES or k == SUPER_BLOCKS:
-                        yield strings(seen, top << 12 | k)
-                        seen, top, k, bytes_ = np.zeros(0, np.uint64), top + 1, 0, 0
-        if ids:
-            yield block(ids, out, raws, top << 12 | k)
-            seen, k = np.union1d(seen, codes(raws)[0]), k + 1
-        if k:
-            yield strings(seen, top << 12 | k)
+            for name, raw in zip(pdf.block, pdf.rows):
+                b = Block.of(raw, depth - 1)
+                x = pairs(b, depth, parts, rule, hot)
+                n = np.bincount(x.place, b.training()[x.alive], len(x.part)).astype(np.int64)
+                bits = np.round(-np.log2(b.likelihood(total, vocabulary, rule)[x.first]) * 512)
+                m = b.seen(depth)[x.first]
+                rows = []
+                for p, i, j in _split(x.part):
+                    c = starts(x.context[i:j])
+                    rows.append((p, name, pack((x.context[i:j][c], "<u8"), (np.diff(np.r_[c, j - i]), "<u4"), (m[i:j][c], "<u8"), (x.hot[i:j][c], "u1"), (x.symbol[i:j], "<u4"), (n[i:j], "<u4"), (bits[i:j], "<u2"))))
+                yield pd.DataFrame(rows, columns=["part", "block", "rows"])
 
     return run
 
 
-def add_up(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of a hash range's words and values of its strings.
+def answer(rule: Rule):
+    """Counts of a range's pairs for the blocks that asked; a context's pairs are all here, unless it is hot."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(it, "part"):
+            for part, g in pdf.groupby("part"):
+                got = [unpack(raw, "<u8", "<u4", "<u8", "u1", "<u4", "<u4", "<u2") for raw in g.rows]
+                each = [x[1].astype(np.int64) for x in got]
+                context, m, hot = (np.concatenate([np.repeat(x[k], e) for x, e in zip(got, each)]) for k in (0, 2, 3))
+                symbol, n, bits = (np.concatenate([x[k] for x in got]) for k in (4, 5, 6))
+                o = np.lexsort((symbol, context))
+                at = starts(context[o], symbol[o])
+                count = np.add.reduceat(n[o].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+                c, m, q, hot = context[o[at]], m[o[at]].astype(float), 2.0 ** (bits[o[at]].astype(float) / -512.0), hot[o[at]].astype(bool)
+                left_out = np.where(count > 0, (np.maximum(count - 1, 0) + rule.kappa * q) / (m - 1 + rule.kappa) / q, 1.0)
+                s = starts(c)
+                gains = np.add.reduceat(count * np.log(left_out), s) if len(s) else np.zeros(0)
+                kept = np.repeat((gains >= rule.gain) & ~hot[s], np.diff(np.r_[s, len(c)])) if len(s) else np.zeros(0, bool)
+                value = np.empty(len(o), np.int64)
+                value[o] = np.repeat(2 * count + kept, np.diff(np.r_[at, len(o)]))
+                back = np.split(value, np.cumsum([len(x[4]) for x in got])[:-1])
+                rows = [(0, name, part, pack((v, "<u8")), 0, 0.0, 0) for name, v in zip(g.block, back)]
+                rows += [(1, -1, part, None, int(h), float(x), 0) for h, x in zip(c[s][hot[s]].astype(np.int64), gains[hot[s]])]
+                yield pd.DataFrame(rows, columns=_names(ANSWER))
+
+    return run
 
-    Each block gets its texts' sums over the words, each super-block its
-    strings' values in the order sent, and block -1 the number of words in
-    training texts. Texts and whole lists of strings pass through.
-    """
-    for pdf in whole_groups(it, "part"):
-        for b, kind, raw in zip(pdf.block, pdf.kind, pdf.rows):
-            if kind in (1, 4):
-                yield pd.DataFrame({"block": [b], "kind": [kind], "rows": [raw]})
-        for part, mine in pdf[pdf.kind >= 2].groupby("part"):
-            asked = mine[mine.kind == 2]
-            if not len(asked):
-                continue
-            x, v = (np.concatenate(a) for a in zip(*(_unpack(raw, "<u8", "<f4") for raw in mine.rows[mine.kind == 3])))
-            o = np.argsort(x)
-            x, v = x[o], v[o]
-            for b, raw in zip(asked.block, asked.rows):
-                y = _unpack(zlib.decompress(raw), "<u8")[0]
-                yield pd.DataFrame({"block": [b], "kind": [2], "rows": [_pack((np.array([part]), "<i4"), (v[np.searchsorted(x, y)], "<f4"))]})
-        for _, mine in pdf[pdf.kind == 0].groupby("part"):
-            got = [_unpack(raw, "<u8", "<u2", "<u4", "<u2", "<u4") for raw in mine.rows]
-            words, code = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-            count = np.bincount(code.ravel(), np.concatenate([g[2] for g in got]), len(words))
-            value = np.log10(count + 1)
-            out, at = [(-1, 0, _pack((np.array([(count > 0).sum()]), "<i8")))], 0
-            for b, g in zip(mine.block, got):
-                c = np.repeat(code.ravel()[at : at + len(g[0])], g[1])
-                at += len(g[0])
-                d, tf = g[3].astype(np.int64), g[4].astype(np.float64)
-                u, k = np.unique(d, return_inverse=True)
-                out.append((b, 0, _pack((u, "<u2"), (np.bincount(k, value[c] * tf, len(u)), "<f8"), (np.bincount(k, (count[c] > 0) * tf, len(u)), "<u4"))))
-            yield pd.DataFrame(out, columns=["block", "kind", "rows"])
-
-
-def collect(parts: int):
-    """Each text's sums: over its words, as the ranges returned them, and over the values of its strings."""
-    cols = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "words"]
 
+def step(depth: int, parts: int, rule: Rule, hot: int, kept: frozenset[int]):
+    """Blocks and what they got back to blocks that know one level more."""
+
+    def known(b: Block, got: dict[int, bytes]) -> Block:
+        if not depth:
+            o, part = word_order(b, parts)
+            b.counts = np.zeros(len(b.words), np.int64)
+            for p, i, j in _split(part):
+                b.counts[o[i:j]] = unpack(got[p], "<u8")[0]
+            return b
+        x = pairs(b, depth, parts, rule, hot)
+        value = np.zeros(len(x.part), np.int64)
+        for p, i, j in _split(x.part):
+            value[i:j] = unpack(got[p], "<u8")[0]
+        if kept:
+            value |= x.hot & np.isin(x.context.astype(np.int64), np.fromiter(kept, np.int64))
+        v = np.zeros(len(b.code), np.int64)
+        v[x.alive] = value[x.place]
+        b.levels.append(v)
+        return b
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Block]]:
+        for pdf in whole_groups(it, "block"):
+            for name, g in pdf.groupby("block"):
+                state = g.rows[g.part < 0].iloc[0]
+                yield name, known(Block.of(state, max(0, depth - 1)), dict(zip(g.part[g.part >= 0], g.rows[g.part >= 0])))
+
+    return run
+
+
+def states(blocks):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(it, "top"):
-            for top, whole in pdf.groupby("top"):
-                if top < 0:
-                    n = sum(int(_unpack(raw, "<i8")[0][0]) for raw in whole.rows)
-                    yield pd.DataFrame([(None, None, 0, 0, 0.0, 0.0, n)], columns=cols)
-                    continue
-                x = _unpack(zlib.decompress(whole.rows[whole.kind == 4].iloc[0]), "<u8")[0]
-                value = np.full(len(x), np.nan, np.float32)
-                o, ranges = _by_part(x, parts)
-                at = {p: o[i:j] for p, i, j in ranges}
-                for raw in whole.rows[whole.kind == 2]:
-                    p, v = _unpack(raw, "<i4", "<f4")
-                    value[at[int(p[0])]] = v
-                for b, g in whole[whole.kind < 2].groupby("block"):
-                    ids, size, length, out, raw = _unpack(g.rows[g.kind == 1].iloc[0], "<i8", "<i8", "<i8", "u1", "u1")
-                    text, end = zlib.decompress(raw.tobytes()), np.cumsum(length)
-                    y, d = codes([text[j - n : j] for j, n in zip(end, length)])
-                    by = np.argsort(y)
-                    score = np.bincount(d[by], value[np.searchsorted(x, y[by])], len(ids))
-                    logs, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-                    for raw in g.rows[g.kind == 0]:
-                        d, v, k = _unpack(raw, "<u2", "<f8", "<u4")
-                        logs[d] += v
-                        known[d] += k
-                    yield pd.DataFrame({"doc_id": ids, "held_out": out.astype(bool), "n_tokens": size, "n_known": known, "logs": logs, "score": score, "words": 0})
+        for name, b in blocks(it):
+            yield pd.DataFrame({"block": [name], "rows": [b.packed()]})
 
     return run
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, **params) -> DataFrame:
+def scores(blocks, total: int, vocabulary: int, rule: Rule):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, b in blocks(it):
+            doc = np.repeat(np.arange(len(b.ids)), b.sizes)
+            sums = lambda v: np.bincount(doc, v, len(b.ids))
+            base = np.log10((b.counts + 1) / (total + vocabulary + 1.0))[b.code]
+            yield pd.DataFrame({
+                "doc_id": b.ids, "held_out": b.out, "n_tokens": b.sizes, "n_known": sums(b.counts[b.code] > 0).astype(np.int64), "train_tokens": total,
+                "base_score": sums(base), "score": sums(np.log10(b.likelihood(total, vocabulary, rule))),
+            })
+
+    return run
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, rule: Rule = Rule(), depth: int = DEPTH) -> DataFrame:
     """Contract of ``op8``: one row for each row of ``docs`` that has a ``doc_id``.
 
     Null and empty texts are the end alone. Repeated rows count and are scored
-    each for itself. An empty table gives no rows.
+    each for itself. An empty table gives no rows. A context doesn't reach over
+    the start of its text. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     small_batches(spark, 200)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # each step is saved; its shuffles are not read again
     t = texts(docs)
-    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == held
-    levels, found, _ = grow(t.withColumn("held_out", out), **params)
-    total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(partitions(spark), -(-total // PART_BYTES))
-    narrow = values(levels, found)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # these rows are not wide
-    shelves = saved(narrow.mapInPandas(shelve(parts), "part int, kind int, block long, rows binary"))
-    small_batches(spark, 200)
-    discard(narrow)
-    sent = t.mapInPandas(send(parts, modulus, held), "part int, kind int, block long, rows binary").union(shelves).repartition(parts, "part").sortWithinPartitions("part")
-    sums = sent.mapInPandas(add_up, "block long, kind int, rows binary").withColumn("turn", F.when(F.col("block") < 0, F.pmod(F.xxhash64("rows"), F.lit(64))).otherwise(0))
-    sums = sums.withColumn("top", F.shiftright("block", 12)).repartition(parts, "top", "turn").sortWithinPartitions("top")
-    got = saved(sums.mapInPandas(collect(parts), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, words long"))
-    all_ = got.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.count(F.when(~F.col("held_out"), 1)), F.sum("words")).first()
-    n, ends, v = all_[0] or 0, all_[1], (all_[2] or 0) + (1 if all_[1] else 0)
-    base = F.col("logs") + F.lit(math.log10(ends + 1)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return got.where("doc_id is not null").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    total_bytes = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(spark), -(-total_bytes // PART_BYTES))
+    state = saved(t.mapInPandas(gather(modulus, held), STATE))
+    count = state.mapInPandas(_tokens, "n long")
+    total = count.agg(F.sum("n")).first()[0] or 0
+    hot, vocabulary = max(HOT, total // 10_000), 0
+
+    def sent(run, by) -> DataFrame:
+        asked = state.mapInPandas(run, "part int, block long, rows binary").repartition(parts, "part").sortWithinPartitions("part")
+        return saved(asked.mapInPandas(by, ANSWER))
+
+    for d in range(depth + 1):
+        if d == 0:
+            back = sent(ask_words(parts), answer_words)
+            vocabulary = back.agg(F.sum("words")).first()[0] or 0
+            kept: frozenset[int] = frozenset()
+        else:
+            back = sent(ask(d, parts, rule, hot, total, vocabulary), answer(rule))
+            large = back.where("kind = 1").groupBy("context").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= rule.gain)
+            kept = frozenset(r.context for r in large.select("context").collect())  # 10,000 at most
+        both = state.select("block", F.lit(-1).alias("part"), "rows").union(back.where("kind = 0").select("block", "part", "rows"))
+        both = both.repartition(parts, "block").sortWithinPartitions("block")
+        run = step(d, parts, rule, hot, kept)
+        if d < depth:
+            used, state = state, saved(both.mapInPandas(states(run), STATE))
+            discard(used), discard(back)
+    return both.mapInPandas(scores(run, total, vocabulary, rule), SCORES)
+
+
+def _tokens(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in it:
+        for raw in pdf.rows:
+            b = Block.of(raw, 0)
+            yield pd.DataFrame({"n": [int(b.sizes[~b.out].sum())]})
 
 
 def query(docs: DataFrame) -> DataFrame:

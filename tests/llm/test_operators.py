@@ -308,44 +308,66 @@ def test_lattice_points_are_nearest():
 # -- language model ---------------------------------------------------------------
 
 
-def test_suffix_tree_scores(docs, corpus, nothing):
-    got = {r.doc_id: r for r in pst.query(docs).collect()}
+def tree_brute(rows, out, rule, depth=3):
+    """Counts, the base and the tree's score of each text, and the kept contexts, with dicts."""
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
-    words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for i, t in corpus}
-    out = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
-    c = Counter(w for i, ws in words.items() if not out[i] for w in ws)
-    n, v = sum(c.values()), len(c)
-    for i, ws in words.items():
+    words = [[*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for _, t in rows]
+    c, after = Counter(), {}
+    for ws, o in zip(words, out):
+        if not o:
+            c.update(ws)
+            for k in range(len(ws)):
+                for d in range(1, min(depth, k) + 1):
+                    after.setdefault(tuple(ws[k - d : k]), Counter())[ws[k]] += 1
+    n, v, kept = sum(c.values()), len(c), {}
+
+    def p(ctx, w):
+        if not ctx:
+            return (c[w] + 1) / (n + v + 1)
+        q = p(ctx[1:], w)
+        if ctx in kept:
+            a = after[ctx]
+            return (a[w] + rule.kappa * q) / (sum(a.values()) + rule.kappa)
+        return q
+
+    for ctx, a in sorted(after.items(), key=lambda x: len(x[0])):
+        m = sum(a.values())
+        if m >= rule.least and sum(k * math.log((k - 1 + rule.kappa * q) / (m - 1 + rule.kappa) / q) for w, k in a.items() for q in [p(ctx[1:], w)]) >= rule.gain:
+            kept[ctx] = m
+    score = [sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), w)) for k, w in enumerate(ws)) for ws in words]
+    base = [sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws) for ws in words]
+    return words, c, n, base, score, kept
+
+
+@pytest.mark.parametrize("hot", [100_000, 10])
+def test_suffix_tree_scores(docs, corpus, nothing, hot, monkeypatch):
+    monkeypatch.setattr(pst, "HOT", hot)
+    monkeypatch.setattr(pst, "BLOCK_BYTES", 9_000)
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in corpus]
+    words, c, n, base, score, kept = tree_brute(corpus, out, pst.Rule())
+    got = {r.doc_id: r for r in pst.query(docs).collect()}
+    for (i, _), o, ws, b, s in zip(corpus, out, words, base, score):
         g = got[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (out[i], len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(g.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert g.score < 0
-    assert pst.query(nothing).count() == 0
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (o, len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(g.base_score, b, rel_tol=1e-9) and math.isclose(g.score, s, rel_tol=1e-6), i
+    assert max(map(len, kept)) == 3 and any(m > 10 for m in kept.values())
+    assert sum(score) > sum(base)
+    if hot > 10:
+        assert pst.query(nothing).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(docs):
-    tree = pst.fit(common.texts(docs))
-    for before in (b"\n\n\n\n\n", b"an be", b"defin", b"zzzzz", b"q\x00rq\x00"):
-        x = np.array([int.from_bytes(before + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert math.isclose((10 ** tree.score(x)).sum(), 1.0, rel_tol=1e-3)
-    assert len(tree.contexts[3]) > 0
+def test_suffix_tree_grows_with_the_corpus(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40) + " fixed words that come again " + prose(rng, 40)) for i in range(60)]
+    more = [(1000 + i, " ".join(rng.choice("hjkmpsuvw") for _ in range(2_000))) for i in range(40)]
+    small, large = (tree_brute(r, [False] * len(r), pst.Rule())[-1] for r in (rows, [*rows, *more]))
+    assert ("fixed", "words", "that") in small and {x for x in small if x[0] == "fixed"} <= large.keys()
 
 
-def test_suffix_tree_of_a_larger_corpus_keeps_its_contexts(spark, docs, corpus):
-    rng = random.Random(9)
-    rows = [*corpus, *((1000 + i, "".join(rng.choice("hjkmpsuvw ") for _ in range(20_000))) for i in range(40))]
-    small, large = pst.fit(common.texts(docs)), pst.fit(common.texts(spark.createDataFrame(rows, "doc_id long, text string")))
-    kept = {c for c in small.contexts[6].tolist() if b"\n" not in c.to_bytes(6, "big")}
-    assert kept and kept <= set(large.contexts[6].tolist())
-
-
-def test_suffix_tree_scores_are_those_of_one_process(docs, corpus):
-    tree = pst.fit(common.texts(docs).where("crc32(cast(cast(doc_id as string) as binary)) % 7 <> 2"))
-    raws = [(t or "").encode().lower() for _, t in corpus]
-    x, d = pst.codes(raws)
-    want = np.bincount(d, tree.score(x), len(raws))
-    got = {r.doc_id: r.score for r in pst.query(docs).collect()}
-    assert np.allclose([got[i] for i, _ in corpus], want, rtol=1e-4)
+def test_suffix_tree_ids_may_repeat(spark):
+    d = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d"), (None, "a b")], "doc_id long, text string")
+    got = pst.query(d).collect()
+    assert sorted(r.n_tokens for r in got) == [2, 4, 4] and {r.train_tokens for r in got} == {0 if zlib.crc32(b"1") % 7 == 2 else 10}
 
 
 # -- licences ---------------------------------------------------------------------
