@@ -35,7 +35,7 @@ from .common import discard, partitions, saved, small_batches, texts, whole_grou
 from .words import mix, word_hashes
 
 DEPTH = 3
-BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, HOT = 10 << 20, 100_000, 16 << 20, 100_000
+BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, HOT = 5 << 20, 100_000, 10 << 20, 100_000
 END = np.uint64(0x2545F4914F6CDD1D)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 STATE = "block long, rows binary"
@@ -172,6 +172,20 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+def by_context(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """An order by context, then by symbol (32 bits): one sort of shortened keys; only where those say too little are pairs sorted whole."""
+    short = np.uint64(24)
+    key = context >> short << short | symbol.astype(np.uint64) >> np.uint64(8)
+    o = np.argsort(key)
+    k, c, s = key[o], context[o], symbol[o]
+    top = k >> short
+    mixed = (top[1:] == top[:-1]) & ((c[1:] != c[:-1]) | ((k[1:] == k[:-1]) & (s[1:] != s[:-1])))
+    if mixed.any():
+        at = np.flatnonzero(np.isin(top, top[1:][mixed]))
+        o[at] = o[at][np.lexsort((s[at], c[at]))]
+    return o
+
+
 @dataclass
 class Pairs:
     """A block's distinct (context, symbol) pairs in the order in which they are sent, and each looked-at token's place among them."""
@@ -190,7 +204,7 @@ def pairs(b: Block, depth: int, parts: int, rule: Rule, hot: int) -> Pairs:
     alive = np.flatnonzero(m >= rule.least)
     context, symbol = (x[alive] for x in b.grams(depth))
     symbol = symbol >> np.uint64(32)
-    o = np.lexsort((symbol, context))
+    o = by_context(context, symbol)
     at = starts(context[o], symbol[o])
     first = alive[o[at]]
     c, s = context[o[at]], symbol[o[at]]
@@ -232,7 +246,7 @@ def answer(rule: Rule):
                 each = [x[1].astype(np.int64) for x in got]
                 context, m, hot = (np.concatenate([np.repeat(x[k], e) for x, e in zip(got, each)]) for k in (0, 2, 3))
                 symbol, n, bits = (np.concatenate([x[k] for x in got]) for k in (4, 5, 6))
-                o = np.lexsort((symbol, context))
+                o = by_context(context, symbol)
                 at = starts(context[o], symbol[o])
                 count = np.add.reduceat(n[o].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
                 c, m, q, hot = context[o[at]], m[o[at]].astype(float), 2.0 ** (bits[o[at]].astype(float) / -512.0), hot[o[at]].astype(bool)

@@ -356,6 +356,14 @@ def test_suffix_tree_scores(docs, corpus, nothing, hot, monkeypatch):
         assert pst.query(nothing).count() == 0
 
 
+def test_pairs_are_in_order():
+    rng = np.random.default_rng(8)
+    c = rng.choice(np.r_[np.arange(5), 2**40 + np.arange(3), rng.integers(0, 2**63, 40)], 3000).astype(np.uint64)
+    s = rng.integers(0, 2**12, 3000).astype(np.uint64)
+    o = pst.by_context(c, s)
+    assert list(zip(c[o], s[o])) == sorted(zip(c, s))
+
+
 def test_suffix_tree_grows_with_the_corpus(spark):
     rng = random.Random(9)
     rows = [(i, prose(rng, 40) + " fixed words that come again " + prose(rng, 40)) for i in range(60)]
