@@ -1,10 +1,14 @@
 """Nearest neighbours by cross-polytope hashing.
 
-A table rotates unit vectors by a fast pseudo-rotation and assigns each to the
-nearest signed axis. A query probes in each table the axes nearest to it. The
-vectors of an axis are dealt into blocks of bounded size; a block scores all
-queries that probe it on the original vectors and passes on its best. The best
-of all blocks, each vector once, are the result.
+A table turns unit vectors by two fast pseudo-rotations; the nearest signed axis
+of each joins to a code, so 64 dimensions have up to 128 x 128 cells; the second
+one uses as many of its axes as there are vectors to fill the cells. A query
+probes in each table the cells whose two axes are nearest to it together, a
+share of all cells that falls with about the root of their number. Cells are
+dealt into blocks by their own counts, whole cells while they are small; a query
+goes once to each block that has vectors of its cells. A block scores the
+queries with the vectors of the cells they probe, on the original components,
+and passes on its best. The best of all blocks, each vector once, are the result.
 """
 
 from __future__ import annotations
@@ -20,88 +24,200 @@ from pyspark.sql.window import Window
 from .common import saved, small_batches, whole_groups
 from .vectors import products, rotated, unit, usable
 
-TABLES, PROBES, BLOCK = 14, 14, 2000
+TABLES, PROBES, BLOCK = 14, 14, 4000
+#: The second axes are doubled in number while cells would hold so many vectors on average.
+FILL = 2
+#: So many of a rotation's nearest axes are joined to the other's.
+AXES = 24
+BEST = "query_id long, ids array<long>, scores array<double>"
 
 
-def _axes(x: np.ndarray, table: int, probes: int) -> np.ndarray:
-    """The ``probes`` nearest signed axes of each vector, nearest first."""
-    y = rotated(x, 7_000 + table)
-    signed = np.concatenate([y, -y], 1)
-    k = min(probes, signed.shape[1])
-    top = np.argpartition(-signed, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(signed, top, 1), axis=1, kind="stable"), 1)
+def second_axes(n: int, dim: int) -> int:
+    """How many axes of the second rotation are used for ``n`` vectors."""
+    whole = 2 << (dim - 1).bit_length()
+    m = 1
+    while 2 * m * whole * FILL <= n and m < whole:
+        m *= 2
+    return m
+
+
+def _signed(x: np.ndarray, table: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's closeness to the signed axes of a table's two rotations."""
+    a, b = (rotated(x, 7_000 + 2 * table + k) for k in range(2))
+    b = b[:, : second // 2]
+    return np.concatenate([a, -a], 1), np.concatenate([b, -b], 1) if second > 1 else np.zeros((len(x), 1))
+
+
+def _top(s: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` largest in each row, largest first, ties to the first."""
+    k = min(k, s.shape[1])
+    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(s), 1))
+    top.sort(1)
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+
+
+def own_cells(x: np.ndarray, table: int, second: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two nearest axes of each unit vector."""
+    a, b = _signed(x, table, second)
+    return a.argmax(1), b.argmax(1)
+
+
+def probed_cells(x: np.ndarray, table: int, second: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two axes of each of the cells with the largest sums of closeness: ``probes``, and more as cells get more."""
+    a, b = _signed(x, table, second)
+    probes = int(probes * second**0.49)
+    i, j = _top(a, AXES), _top(b, AXES)
+    m = j.shape[1]
+    both = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
+    p = _top(both.reshape(len(x), -1), probes)
+    return np.take_along_axis(i, p // m, 1), np.take_along_axis(j, p % m, 1)
+
+
+def _placed(n: int, tables: int, probes: int):
+    """``(cell, axis, vec_id, v)`` for each cell of a vector; ``cell`` names dimension, table and first axis. Probed second axes come as one list."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for dim, g in pdf.groupby("dim"):
+                v, ids = g.v.to_numpy(), g.vec_id.to_numpy()
+                x, second = unit(np.stack(v).astype(np.float64)), second_axes(n, int(dim))
+                for t in range(tables):
+                    base = (int(dim) << 40) + (t << 32)
+                    if not probes:
+                        i, j = own_cells(x, t, second)
+                        yield pd.DataFrame({"cell": base + i, "axis": j.astype(np.int32), "vec_id": ids, "v": v})
+                        continue
+                    i, j = probed_cells(x, t, second, probes)
+                    rows = [(base + int(first), j[r][i[r] == first], ids[r], v[r]) for r in range(len(x)) for first in np.unique(i[r])]
+                    yield pd.DataFrame(rows, columns=["cell", "axes", "vec_id", "v"])
+
+    return run
+
+
+def _nearest(own: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, lists: list[np.ndarray] | None, axis: np.ndarray | None, k: int) -> pd.DataFrame:
+    """The ``k`` best of a block for each query: of all its vectors, or of those whose axis is in the query's list."""
+    out = []
+    if lists is None:
+        for i in range(0, len(a), 256):
+            s = products(a[i : i + 256], b)
+            s[own[i : i + 256, None] == ids[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            v = np.take_along_axis(s, top, 1)
+            out += [(q, ids[t[w > -np.inf]], w[w > -np.inf]) for q, t, w in zip(own[i : i + 256], top, v)]
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+    at, bt = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    o = np.argsort(axis, kind="stable")
+    sorted_ = axis[o]
+    size = np.array([len(x) for x in lists])
+    every = np.concatenate(lists)
+    low, high = np.searchsorted(sorted_, every), np.searchsorted(sorted_, every, "right")
+    n = high - low
+    place = o[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    query = np.repeat(np.repeat(np.arange(len(lists)), size), n)
+    go = ids[place] != own[query]
+    place, query = place[go], query[go]
+    s = np.zeros(len(place))
+    for c in range(0, len(place), 200_000):
+        for d in range(len(at)):
+            s[c : c + 200_000] += at[d][query[c : c + 200_000]] * bt[d][place[c : c + 200_000]]
+    by = np.lexsort((ids[place], -s, query))
+    query, place, s = query[by], place[by], s[by]
+    first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
+    for f, e in zip(first, np.r_[first[1:], len(query)]):
+        e = min(e, f + k)
+        out.append((own[query[f]], ids[place[f:e]], s[f:e]))
+    return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+
+
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    """``rows(block, vec_id, v, axis, axes)``: a row with neither null is a query that probes ``axes``; without either it is compared with all of the block."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(it, "block"):
+            for _, g in pdf.groupby("block", sort=False):
+                a, b = g[g.q], g[~g.q]
+                if not len(a) or not len(b):
+                    continue
+                b = b.sort_values("vec_id", kind="stable")
+                lists = None if a["axes"].iloc[0] is None else [np.asarray(x) for x in a["axes"]]
+                stacked = (np.stack(x.v.to_numpy()).astype(np.float64) for x in (a, b))
+                yield _nearest(a.vec_id.to_numpy(), next(stacked), b.vec_id.to_numpy(), next(stacked), lists, b["axis"].to_numpy(), k)
+
+    return rows.repartition("block").sortWithinPartitions("block").mapInPandas(run, BEST)
+
+
+def _merged(best: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of all blocks: ``query_id, rank, vec_id, score``."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(it, "query_id"):
+            query = np.repeat(pdf.query_id.to_numpy(), pdf.ids.map(len))
+            ids, s = np.concatenate(pdf.ids.to_numpy()), np.concatenate(pdf.scores.to_numpy())
+            o = np.lexsort((-s, ids, query))  # an id once, by its best row
+            one = o[np.r_[True, (query[o][1:] != query[o][:-1]) | (ids[o][1:] != ids[o][:-1])]]
+            o = one[np.lexsort((ids[one], -s[one], query[one]))]
+            query, ids, s = query[o], ids[o], s[o]
+            first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+            rank = np.arange(len(query)) - np.repeat(first, np.diff(np.r_[first, len(query)])) + 1
+            yield pd.DataFrame({"query_id": query, "rank": rank, "vec_id": ids, "score": s})[rank <= k]
+
+    return best.repartition("query_id").sortWithinPartitions("query_id").mapInPandas(run, "query_id long, rank int, vec_id long, score double")
+
+
+def candidates(vectors: DataFrame, is_query: F.Column, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The vectors that take part, and ``(block, vec_id, v, axis, axes, q)``: what meets in each block.
+
+    Cells of one first axis are packed in the order of the second while a block
+    has room for them; a larger cell has blocks of its own, among which its
+    vectors are dealt by a hash. The counts of the cells are at most as many as
+    tables times cells, whatever the number of vectors.
+    """
+    kind = vectors.schema["embedding"].dataType  # components travel as they came and become doubles where they are used
+    all_ = saved(usable(vectors).select("vec_id", F.col("v").cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size("v").alias("dim")))
+    v, n = kind.simpleString(), all_.count()
+    index = all_.select("vec_id", "v", "dim").mapInPandas(_placed(n, tables, 0), f"cell long, axis int, vec_id long, v {v}")
+    asked = all_.where("q").select("vec_id", "v", "dim").mapInPandas(_placed(n, tables, probes), f"cell long, axes array<int>, vec_id long, v {v}")
+    counts = all_.select("vec_id", "v", "dim").mapInPandas(_placed(n, tables, 0), f"cell long, axis int, vec_id long, v {v}").groupBy("cell", "axis").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("cell").orderBy("axis").rowsBetween(Window.unboundedPreceding, -1))
+    s = F.ceil(F.col("m") / block).cast("int")
+    turn = F.when(s > 1, -1 - F.col("axis")).otherwise(F.floor(F.coalesce(before, F.lit(0)) / block).cast("int"))
+    cells = saved(counts.select("cell", "axis", turn.alias("turn"), s.alias("s")))
+    name = lambda salt: F.xxhash64("cell", "turn", salt).alias("block")
+    mine = index.join(cells, ["cell", "axis"]).select(name(F.pmod(F.xxhash64("vec_id"), "s")), "vec_id", "v", "axis", F.lit(None).cast("array<int>").alias("axes"), F.lit(False).alias("q"))
+    # a query goes to the blocks of its cells, once each
+    probe = asked.select("cell", "vec_id", "axes", F.explode("axes").alias("axis")).join(cells, ["cell", "axis"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s").cast("bigint") - 1)))
+    to = probe.groupBy("cell", "vec_id", name("salt")).agg(F.collect_set("axis").alias("axes"))
+    ours = to.join(all_.where("q").select("vec_id", "v"), "vec_id").select("block", "vec_id", "v", F.lit(None).cast("int").alias("axis"), "axes", F.lit(True).alias("q"))
+    return all_, mine.unionByName(ours)
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` nearest of all other vectors that were found.
 
     ``score`` is the inner product in double precision; ties go to the smaller
-    ``vec_id``. Vectors of other lengths than the most common one are compared
-    with those of their own length only. If the probed axes hold fewer than
-    ``k`` vectors, the query is scored against all vectors, block by block. An
-    empty table gives no rows. Repeated ids: a query meets no row of its own id,
-    and an id ranks once, by its best row.
+    ``vec_id``. Vectors are compared with those of their own length only. If
+    the probed cells hold fewer than ``k`` vectors, the query is scored against
+    all vectors, block by block. An empty table gives no rows. Repeated ids: a
+    query meets no row of its own id, each of its rows asks for it, and an id
+    ranks once, by its best row.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
-    all_ = saved(usable(vectors).select("vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("q"), F.size("v").alias("dim")))
-    n = all_.count()
-    blocks = max(1, round(n / (2 * block) / 8))  # an axis of the smallest dimension in use has about n / 16
-
-    def placed(probing: int):
-        def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in it:
-                for dim, g in pdf.groupby("dim"):
-                    x = unit(np.stack(g.v.to_numpy()).astype(np.float64))
-                    for t in range(tables):
-                        ax = _axes(x, t, probing)
-                        m = ax.shape[1]
-                        yield pd.DataFrame({"cell": (int(dim) << 40 | t << 32) + ax.ravel().astype(np.int64), "vec_id": np.repeat(g.vec_id.to_numpy(), m), "v": [r for r in g.v.to_numpy() for _ in range(m)]})
-
-        return run
-
-    schema = "cell long, vec_id long, v array<double>"
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    index = all_.select("vec_id", "v", "dim").mapInPandas(placed(1), schema).select("cell", salt.alias("salt"), "vec_id", "v", F.lit(False).alias("q"))
-    asked = all_.where("q").select("vec_id", "v", "dim").mapInPandas(placed(probes), schema).select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("salt"), "vec_id", "v", F.lit(True).alias("q"))
-    best = _best(index.unionByName(asked), k)
-    found = best.groupBy("query_id").agg(F.count_distinct("vec_id").alias("m"))
-    # the exact way for queries whose probed axes are too empty
-    few = all_.where("q").select(F.col("vec_id").alias("query_id")).distinct().join(found.where(F.col("m") >= k), "query_id", "left_anti")
-    few = saved(few)
+    all_, rows = candidates(vectors, is_query, tables, probes, block)
+    best = saved(_best(rows, k))
+    # the exact way for queries whose cells are too empty
+    enough = best.select("query_id", F.explode("ids").alias("id")).groupBy("query_id").agg(F.count_distinct("id").alias("m")).where(F.col("m") >= k)
+    few = saved(all_.where("q").select(F.col("vec_id").alias("query_id")).distinct().join(enough, "query_id", "left_anti"))
     if few.limit(1).count():
         late = all_.where("q").join(few.withColumnRenamed("query_id", "vec_id"), "vec_id", "left_semi")
+        n = all_.count()
         whole = max(1, round(n / block))
-        at = F.pmod(F.xxhash64("vec_id"), F.lit(whole)).cast("int")
-        i2 = all_.select(F.col("dim").cast("long").alias("cell"), at.alias("salt"), "vec_id", "v", F.lit(False).alias("q"))
-        a2 = late.select(F.col("dim").cast("long").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("salt"), "vec_id", "v", F.lit(True).alias("q"))
+        nothing = [F.lit(None).cast("int").alias("axis"), F.lit(None).cast("array<int>").alias("axes")]
+        i2 = all_.select(F.xxhash64("dim", F.pmod(F.xxhash64("vec_id"), F.lit(whole)).cast("int")).alias("block"), "vec_id", "v", *nothing, F.lit(False).alias("q"))
+        salted = late.select("dim", F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("salt"), "vec_id", "v")
+        a2 = salted.select(F.xxhash64("dim", "salt").alias("block"), "vec_id", "v", *nothing, F.lit(True).alias("q"))
         best = best.unionByName(_best(i2.unionByName(a2), k))
-    once = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _best(rows: DataFrame, k: int) -> DataFrame:
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(it, "group"):
-            for _, g in pdf.groupby(["cell", "salt"], sort=False):
-                a, b = g[g.q], g[~g.q]
-                if not len(a) or not len(b):
-                    continue
-                b = b.sort_values("vec_id", kind="stable")
-                ids, x = b.vec_id.to_numpy(), np.stack(b.v.to_numpy())
-                for i in range(0, len(a), 256):
-                    part = a.iloc[i : i + 256]
-                    own = part.vec_id.to_numpy()
-                    s = products(np.stack(part.v.to_numpy()), x)
-                    s[own[:, None] == ids[None, :]] = -np.inf
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    v = np.take_along_axis(s, top, 1)
-                    ok = v > -np.inf
-                    yield pd.DataFrame({"query_id": np.repeat(own, ok.sum(1)), "vec_id": ids[top][ok], "score": v[ok]})
-
-    g = rows.withColumn("group", F.xxhash64("cell", "salt"))
-    return g.repartition("group").sortWithinPartitions("group").mapInPandas(run, "query_id long, vec_id long, score double")
+    return _merged(best, k)
 
 
 def query(vectors: DataFrame) -> DataFrame:
