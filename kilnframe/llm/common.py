@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         known = got.get() if got.isDefined() else None
     if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="kilnframe-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -62,7 +64,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in each Arrow batch, so that wide rows (texts, packed runs) stay within a worker's memory."""
+    """Fewer rows in each Arrow batch, so that wide rows (texts, packed runs) stay within a worker's memory.
+
+    The session keeps the setting, as a plan reads it when it runs.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -89,10 +94,6 @@ def whole_groups(it: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield pd.concat(held, ignore_index=True)
 
 
-def per_partition(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    return df.mapInPandas(fn, schema)
-
-
 def components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
     """``(id, component_id)``: the smallest id that is reachable over ``edges(u, v)``.
 

@@ -58,21 +58,21 @@ def needed(threshold: float, tolerance: float) -> list[int]:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, cls, n, sig)``: equal ``cls`` means equal shingle sets; ``n`` is their size."""
+    """``(doc_id, cls, n, sig, th)``: equal ``cls`` means equal shingle sets; ``n`` is their size; ``th`` names the text."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for i, t in zip(pdf.doc_id, pdf.text):
                 h = shingles(t.lower().encode(), width)
-                out.append((i, digest(h), len(h), signature(h).tobytes() if len(h) else b""))
-            yield pd.DataFrame(out, columns=["doc_id", "cls", "n", "sig"])
+                out.append((i, digest(h), len(h), signature(h).tobytes() if len(h) else b"", hashlib.md5(t.encode()).digest()))
+            yield pd.DataFrame(out, columns=["doc_id", "cls", "n", "sig", "th"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, cls binary, n long, sig binary")
+    return texts(docs).mapInPandas(run, "doc_id long, cls binary, n long, sig binary, th binary")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """``(gid, band, id, side)``: classes to compare. Equal buckets of several bands count once, under the first band."""
+    """``(gid, more, band, id, side)``: classes to compare; ``gid`` and ``more`` are 128 bits that name a group. Equal buckets of several bands count once, under the first band."""
 
     def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mul = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5][: HASHES // BANDS], np.uint64)
@@ -92,8 +92,8 @@ def buckets(reps: DataFrame) -> DataFrame:
     dealt = dealt.select("key", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.struct("id", (F.col("mine") == F.greatest("mine", "other")).cast("int").alias("side")).alias("x"))
     groups = dealt.groupBy("key", "band", "i", "j").agg(F.array_sort(F.collect_list("x")).alias("xs")).where("size(xs) > 1")
     # a block with itself has one side; two blocks have two
-    once = groups.groupBy(F.xxhash64("xs", F.col("i") == F.col("j")).alias("gid")).agg(F.min("band").alias("band"), F.first("xs").alias("xs"), F.first(F.col("i") < F.col("j")).alias("two"))
-    return once.select("gid", "band", "two", F.explode("xs").alias("x")).select("gid", "band", "two", "x.id", "x.side")
+    once = groups.groupBy(F.xxhash64("xs", F.col("i") == F.col("j")).alias("gid"), F.xxhash64(F.lit(1), F.col("i") == F.col("j"), "xs").alias("more")).agg(F.min("band").alias("band"), F.first("xs").alias("xs"), F.first(F.col("i") < F.col("j")).alias("two"))
+    return once.select("gid", "more", "band", "two", F.explode("xs").alias("x")).select("gid", "more", "band", "two", "x.id", "x.side")
 
 
 def prune(threshold: float, tolerance: float):
@@ -126,15 +126,15 @@ def prune(threshold: float, tolerance: float):
             if len(y):
                 out[x] = ids[y].tolist()
                 seen[y] = seen[x] = True
-        return [(g.gid.iloc[0], ids[i], out.get(i, [])) for i in np.flatnonzero(seen).tolist()]
+        return [(g.gid.iloc[0], g.more.iloc[0], ids[i], out.get(i, [])) for i in np.flatnonzero(seen).tolist()]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(it, "gid"):
             rows = []
-            for _, g in pdf.sort_values(["gid", "id"]).groupby("gid", sort=False):
+            for _, g in pdf.sort_values(["gid", "more", "id"]).groupby(["gid", "more"], sort=False):
                 if len(g) > 1:
                     rows += group(g)
-            yield pd.DataFrame(rows, columns=["gid", "id", "partners"])
+            yield pd.DataFrame(rows, columns=["gid", "more", "id", "partners"])
 
     return run
 
@@ -186,64 +186,79 @@ def verify(threshold: float, width: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(it, "gid"):
             rows = []
-            for _, g in pdf.groupby("gid", sort=False):
+            for _, g in pdf.groupby(["gid", "more"], sort=False):
                 rows += group(g)
             yield pd.DataFrame(rows, columns=["id", "links", "root"])
 
     return run
 
 
-def join(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
-    """One row for each row of ``docs`` that has a ``doc_id``.
-
-    ``copy_of``: the smallest ``doc_id`` with the same set of ``width``-word
-    shingles; ``n_links``: the other rows whose similarity is at least
-    ``threshold``; ``class_id``: the smallest ``doc_id`` that links lead to.
-    Words stand between ASCII white space, in lower case. A text of fewer words
-    is one shingle; a text without words (null, empty) is linked to nothing. Rows
-    that share an id are one document with each of its texts.
-
-    A pair of similarity 0.8 meets in one of 32 bands of 4 values but for one in
-    10 million, and is pruned wrongly with at most ``tolerance`` at each step.
-    """
+def _classed(docs: DataFrame, width: int, threshold: float, tolerance: float) -> DataFrame:
+    """The columns of ``join``, and for each row its text's name ``th`` and the first ``(doc_id, th)`` of its class."""
     spark = docs.sparkSession
     small_batches(spark)
     sk = saved(sketches(docs, width))
     some = sk.where("n > 0")
-    classes = some.groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    classes = some.groupBy("cls").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "th")).alias("row"))
     # an id with several texts stands for each of them by the least of their sets
-    reps = saved(some.join(classes.withColumnRenamed("cls", "c"), (F.col("doc_id") == F.col("id")) & (F.col("cls") == F.col("c"))).select("id", "cls", "n", "sig", "copies").dropDuplicates(["cls"]))
+    reps = saved(some.join(classes.withColumnRenamed("cls", "c"), (F.col("doc_id") == F.col("id")) & (F.col("cls") == F.col("c"))).select("id", "cls", "n", "sig", "copies", "row").dropDuplicates(["cls"]))
     # several classes can have the same smallest id if ids repeat; a class then goes by a number of its own
     reps = reps.withColumn("doc", F.col("id")).withColumn("id", F.xxhash64("cls"))
     pairs = buckets(reps).join(reps.select("id", "n", "sig"), "id")
-    pruned = pairs.repartition("gid").sortWithinPartitions("gid").mapInPandas(prune(threshold, tolerance), "gid long, id long, partners array<long>")
+    pruned = pairs.repartition("gid").sortWithinPartitions("gid").mapInPandas(prune(threshold, tolerance), "gid long, more long, id long, partners array<long>")
     pruned = saved(pruned)
     own = pruned.select("id").distinct().join(reps.select("id", "doc", "cls", "copies"), "id")
     held = texts(docs).join(own, F.col("doc_id") == F.col("doc")).select("id", "text", "copies", "cls")
     links = pruned.join(held, "id").repartition("gid").sortWithinPartitions("gid").mapInPandas(verify(threshold, width), "id long, links long, root long")
     links = saved(links)
     comp = components(links.select(F.col("id").alias("u"), F.col("root").alias("v")), links.select("id"))
-    low = comp.join(reps.select("id", "doc"), "id")
-    first = low.groupBy("component_id").agg(F.min("doc").alias("class_doc"))
+    low = comp.join(reps.select("id", "row"), "id")
+    first = low.groupBy("component_id").agg(F.min("row").alias("first"))
     n = links.groupBy("id").agg(F.sum("links").alias("links"))
-    known = reps.select("id", "cls", "copies", "doc").join(n, "id", "left").join(low.join(first, "component_id").select("id", "class_doc"), "id", "left")
+    known = reps.select("id", "cls", "copies", "doc", "row").join(n, "id", "left").join(low.join(first, "component_id").select("id", "first"), "id", "left")
+    known = known.select("cls", "copies", "doc", "links", F.coalesce("first", "row").alias("first"))
     out = sk.join(known, "cls", "left")
     return out.select(
         "doc_id",
-        F.coalesce("class_doc", "doc", "doc_id").alias("class_id"),
+        F.coalesce("first.doc_id", "doc_id").alias("class_id"),
         (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.coalesce("doc", "doc_id").alias("copy_of"),
+        "th",
+        "first",
     )
 
 
+def join(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
+    """One row for each row of ``docs`` that has a ``doc_id``.
+
+    ``copy_of``: the smallest ``doc_id`` with the same set of ``width``-word
+    shingles; ``n_links``: the other rows whose similarity is at least
+    ``threshold``; ``class_id``: the smallest ``doc_id`` that links lead to.
+    Words stand between ASCII white space, in lower case. A text of fewer words
+    is one shingle; a text without words (null, empty) is linked to nothing. Rows
+    that share an id are judged each by its own text, so they can be of
+    different classes.
+
+    A pair of similarity 0.8 meets in one of 32 bands of 4 values but for one in
+    10 million, and is pruned wrongly with at most ``tolerance`` at each step.
+    """
+    return _classed(docs, width, threshold, tolerance).select("doc_id", "class_id", "n_links", "copy_of")
+
+
 def query(docs: DataFrame) -> DataFrame:
     return join(docs)
 
 
-def distinct(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, all columns; of rows with equal id and text one. Rows without a ``doc_id`` stay."""
-    gone = join(docs, **params).where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def distinct(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-7) -> DataFrame:
+    """The first row of each class, all columns: that of the smallest ``doc_id``, then of the smallest MD5 of its text.
+
+    Of rows with equal id and text one is kept. Rows without a ``doc_id`` stay,
+    and so do texts without words.
+    """
+    known = _classed(docs, width, threshold, tolerance)
+    gone = known.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias("_id"), "th").distinct()
+    th = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    kept = docs.withColumn("_th", th).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("th")), "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -78,14 +78,15 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, prob
 
     Equal vectors of one label are found as such and compared once. A vector
     that takes no part (see ``usable``), or whose label is null, has no links.
-    Rows that share an id are one vector with each of its contents. Vectors of
-    different lengths are never linked.
+    Rows that share an id are one vector with each of its contents: it links
+    with each other id that one of them meets, once, and joins what they reach.
+    Vectors of different lengths are never linked.
     """
     spark = vectors.sparkSession
     small_batches(spark, 2000)
     every = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"))
     v = saved(usable(vectors).where("label is not null").withColumn("key", F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("v", lambda x: (x + 0.0).cast("string"))), 256)))
-    classes = v.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = v.groupBy("key").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = saved(classes.withColumn("cid", F.xxhash64("key")))
 
     def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,13 +104,13 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, prob
     mine = rows.join(met, ["cell", "label"]).withColumn("s", s).withColumn("mine", F.pmod(F.xxhash64("cid"), "s").cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     groups = dealt.groupBy("cell", "label", "i", "j").agg(F.array_sort(F.collect_list("cid")).alias("cids")).where("size(cids) > 1")
-    once = groups.select(F.xxhash64("cids").alias("gid"), "cids").dropDuplicates(["gid"])
-    pairs = once.select("gid", F.explode("cids").alias("cid")).join(classes.select("cid", "v"), "cid")
+    once = groups.select(F.xxhash64("cids").alias("gid"), F.xxhash64(F.lit(1), "cids").alias("more"), "cids").dropDuplicates(["gid", "more"])
+    pairs = once.select("gid", "more", F.explode("cids").alias("cid")).join(classes.select("cid", "v"), "cid")
 
     def verify(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(it, "gid"):
             ids, near = [], []
-            for _, g in pdf.groupby("gid", sort=False):
+            for _, g in pdf.groupby(["gid", "more"], sort=False):
                 cid = g.cid.to_numpy()
                 raw = np.stack(g.v.to_numpy())
                 norm = np.sqrt((raw * raw).sum(1))
@@ -125,15 +126,30 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, prob
     found = pairs.repartition("gid").sortWithinPartitions("gid").mapInPandas(verify, "cid long, near array<long>")
     links = saved(found.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     edges = links.select(F.col("cid").alias("u"), F.explode("near").alias("v"))
-    n = edges.join(classes.select(F.col("cid").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("links"))
-    comp = components(edges, links.select(F.col("cid").alias("id"))).withColumnRenamed("id", "cid")
+    member = v.select("vec_id", "key").distinct().join(classes.select("key", "cid"), "key").select("vec_id", "cid")
+    many = member.groupBy("vec_id").agg(F.count("*").alias("n"), F.min("cid").alias("low")).where("n > 1")
+    several = saved(member.join(many, "vec_id").select("vec_id", "cid", "low"))  # ids with more than one content
+    # whose links are counted: a class for all its ids of one content, or an id of several; and the classes they meet
+    meets = classes.select(F.col("cid").alias("u"), F.col("cid").alias("v")).union(edges)
+    ids = several.join(meets, F.col("cid") == F.col("u")).select(F.col("vec_id"), "v").distinct()
+    counts = classes.select(F.col("cid").alias("v"), "copies")
+    twice = several.select(F.col("cid").alias("v"), F.col("vec_id").alias("other"))
+
+    def links_of(unit: DataFrame, by: str) -> DataFrame:
+        """Other ids that a unit meets: all members of its classes, less those counted more than once, less itself."""
+        n = unit.join(counts, "v").groupBy(by).agg(F.sum("copies").alias("n"))
+        over = unit.join(twice, "v").groupBy(by, "other").agg((F.count("*") - 1).alias("more")).groupBy(by).agg(F.sum("more").alias("more"))
+        return n.join(over, by, "left").select(by, (F.col("n") - F.coalesce("more", F.lit(0)) - 1).alias("n_links"))
+
+    shared = several.where("cid <> low").select(F.col("cid").alias("u"), F.col("low").alias("v"))
+    linked = edges.union(shared)
+    comp = components(linked, linked.select(F.col("u").alias("id")).union(linked.select(F.col("v").alias("id")))).withColumnRenamed("id", "cid")
     first = comp.join(classes.select("cid", "id"), "cid").groupBy("component_id").agg(F.min("id").alias("low"))
-    known = classes.select("cid", "key", "id", "copies").join(n.withColumnRenamed("u", "cid"), "cid", "left").join(comp.join(first, "component_id").select("cid", "low"), "cid", "left")
-    got = v.select("vec_id", "key").join(known, "key")
-    # rows that share an id: their links add up, and they reach what each of them reaches
-    got = got.groupBy("vec_id").agg((F.sum(F.col("copies") - 1) + F.sum(F.coalesce("links", F.lit(0)))).alias("n_links"), F.min(F.coalesce("low", "id")).alias("component_id"))
+    of_class = classes.select("cid", "key", "id").join(links_of(meets, "u").withColumnRenamed("u", "cid"), "cid").join(comp.join(first, "component_id").select("cid", "low"), "cid", "left")
+    got = v.select("vec_id", "key").join(of_class, "key").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min(F.coalesce("low", "id")).alias("component_id"))
+    got = got.join(links_of(ids, "vec_id").withColumnRenamed("n_links", "all_links"), "vec_id", "left")
     out = every.join(got, "vec_id", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("all_links", "n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def query(vectors: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ number for which the expected tokens are the budget. DataFrame operations only.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -50,7 +51,7 @@ def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     return s.crossJoin(F.broadcast(s.agg(F.sum("p").alias("all")))).select(dim, (F.col("p") / F.col("all")).alias(f"target_{dim}"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.5, tolerance: float = 1e-12, most_rounds: int = 60) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.5, tolerance: float = 1e-10, most_rounds: int = 60) -> DataFrame:
     """``cells`` with ``weight``, by which its tokens count.
 
     ``targets[dim][value]`` are shares; a dimension that isn't named gets
@@ -68,15 +69,19 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
             goal = tempered(full, d, alpha)
         t = t.join(goal, d, "left").fillna(0.0, [f"target_{d}"])
     t = saved(t.withColumn("mass", F.col("tokens").cast("double")))
-    total = t.agg(F.sum("tokens")).first()[0]
+    n, total = t.agg(F.count("*"), F.sum("tokens")).first()
+    t = t.repartition(-(-n // 100_000) or 1)  # the windows of few cells then need no exchange
     rounds, off = 0, 1.0
     while total and rounds < most_rounds and off > tolerance:
         for _ in range(5):
             for d in DIMS:
                 w = F.sum("mass").over(Window.partitionBy(d))
                 t = t.withColumn("mass", F.when(w > 0, F.col("mass") * F.col(f"target_{d}") * total / w).otherwise(F.lit(0.0)))
-        t, rounds = saved(t), rounds + 5
-        off = max(t.groupBy(d).agg((F.abs(F.sum("mass") / total - F.first(f"target_{d}"))).alias("x")).agg(F.max("x")).first()[0] for d in DIMS[:2])
+        t, rounds = saved(t).repartition(-(-n // 100_000) or 1), rounds + 5
+        far = [F.abs(F.sum("mass").over(Window.partitionBy(d)) / total - F.col(f"target_{d}")) for d in DIMS[:2]]
+        off = t.select(F.greatest(*far).alias("x")).agg(F.max("x")).first()[0]
+    if total and off > 1e-6:
+        warnings.warn(f"marginals are still off by {off:.2g} after {rounds} rounds; they may contradict each other", stacklevel=2)
     w = t.select(*DIMS, (F.col("mass") / F.col("tokens")).alias("weight"))
     return cells.join(w, list(DIMS), "left").fillna(1.0, ["weight"])
 
@@ -103,16 +108,20 @@ def uniform(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def _cells(m: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, alpha: float, budget: float) -> DataFrame:
+    cells = m.groupBy(*DIMS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
+    return saved(rated(rake(cells, targets, alpha), budget).select(*DIMS, "weight", "probability"))
+
+
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.5, budget: float = 0.5, seed: int = 42, topic: Column | None = None) -> DataFrame:
     """One row for each document: its cell, ``weight``, ``probability`` and whether it is ``selected``.
 
-    A null id draws the same number as any other null id. Repeated ids are
-    selected or left together. The cells are as many as sources times languages
+    Rows that share an id, and rows without one, draw the same number, but each
+    is held against the probability of its own cell. The cells are as many as sources times languages
     times topics that occur; Spark broadcasts them only if they are small.
     """
     m = saved(measured(docs, topic))
-    cells = m.groupBy(*DIMS).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"))
-    cells = saved(rated(rake(cells, targets, alpha), budget).select(*DIMS, "weight", "probability"))
+    cells = _cells(m, targets, alpha, budget)
     u = uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
     return m.join(cells, list(DIMS)).select("doc_id", *DIMS, "n_tokens", "weight", "probability", (u < F.col("probability")).alias("selected"))
 
@@ -122,10 +131,13 @@ def query(docs: DataFrame) -> DataFrame:
     return got.withColumns({c: F.round(c, 5) for c in ("weight", "probability")})
 
 
-def sampled(docs: DataFrame, **params) -> DataFrame:
-    """The selected rows of ``docs``, all their columns."""
-    chosen = mix(docs, **params).where("selected").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
+def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.5, budget: float = 0.5, seed: int = 42, topic: Column | None = None) -> DataFrame:
+    """The selected rows of ``docs``, all their columns; see ``mix``, whose numbers they have. Rows are decided in place, so those without an id stay or go like others."""
+    none, text = F.lit("(none)"), F.coalesce(F.col("text"), F.lit(""))
+    cells = _cells(measured(docs, topic), targets, alpha, budget).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("probability").alias("_p"))
+    own = {"_source": F.coalesce(F.col("source").cast("string"), none), "_lang": F.coalesce(F.col("lang").cast("string"), none), "_topic": F.coalesce(topic if topic is not None else text_topic(text), none)}
+    u = uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
+    return docs.withColumns(own).join(cells, list(own)).where(u < F.col("_p")).select(*docs.columns)
 
 
 def sql(alpha: float = 0.5, budget: float = 0.5, seed: int = 42, rounds: int = 60) -> str:

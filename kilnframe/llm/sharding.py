@@ -43,22 +43,14 @@ def bits(prefix: str, depth: str) -> F.Column:
     return F.expr(f"if({depth} = 0, '', lpad(bin({prefix}), cast({depth} as int), '0'))")
 
 
-def assign(docs: DataFrame, limit_bytes: int, key: str = "doc_id") -> DataFrame:
-    """``(key, n_bytes, shard, depth, shard_bytes, shard_docs)`` for each row of ``docs``.
-
-    ``shard`` is the bit prefix, as text: empty if everything fits in one shard.
-    Bytes are those of the UTF-8 text (null: 0). A single text over the limit is
-    a shard of its own. Rows with the same key share all 60 bits; if they don't
-    fit, bits of a hash of the row itself follow, so a key that holds a third of
-    all rows is split like any other shard. A null key hashes as the text
-    ``null``.
-    """
+def _placed(docs: DataFrame, limit_bytes: int, key: str, row: F.Column) -> DataFrame:
+    """``(row, k, n_bytes, shard, depth)``; ``row`` tells the rows of ``docs`` apart."""
     rows = saved(
         docs.select(
             F.col(key).alias("k"),
             F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
             F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long").alias("h"),
-            F.monotonically_increasing_id().alias("row"),
+            row.alias("row"),
         )
     )
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
@@ -71,7 +63,20 @@ def assign(docs: DataFrame, limit_bytes: int, key: str = "doc_id") -> DataFrame:
         deep = sub.unionByName(rest.select("row", F.lit(BITS).cast("int").alias("depth"), F.col("h").alias("prefix")))
         deep = deep.join(again.select("row", "h0"), "row")
         placed = placed.unionByName(deep.select("row", F.concat(bits("h0", str(BITS)), bits("prefix", "depth")).alias("shard"), (F.lit(BITS) + F.col("depth")).cast("int").alias("depth")))
-    got = saved(rows.join(placed, "row").select(F.col("k").alias(key), "n_bytes", "shard", "depth"))
+    return saved(rows.join(placed, "row").select("row", "k", "n_bytes", "shard", "depth"))
+
+
+def assign(docs: DataFrame, limit_bytes: int, key: str = "doc_id") -> DataFrame:
+    """``(key, n_bytes, shard, depth, shard_bytes, shard_docs)`` for each row of ``docs``.
+
+    ``shard`` is the bit prefix, as text: empty if everything fits in one shard.
+    Bytes are those of the UTF-8 text (null: 0). A single text over the limit is
+    a shard of its own. Rows with the same key share all 60 bits; if they don't
+    fit, bits of a hash of the row itself follow, so a key that holds a third of
+    all rows is split like any other shard. A null key hashes as the text
+    ``null``.
+    """
+    got = _placed(docs, limit_bytes, key, F.monotonically_increasing_id()).withColumnRenamed("k", key)
     sums = got.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
     return got.join(sums, "shard").select(key, "n_bytes", "shard", "depth", "shard_bytes", "shard_docs")
 
@@ -81,13 +86,15 @@ def directory(assigned: DataFrame) -> DataFrame:
     return assigned.select("shard", "depth", "shard_bytes", "shard_docs").distinct()
 
 
-def write(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The documents as Parquet, a folder for each shard; rows of a shard go to one task, which the limit bounds."""
-    placed = docs.join(assigned.select(key, "shard").distinct(), key)
-    placed.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write(docs: DataFrame, limit_bytes: int, path: str, key: str = "doc_id") -> None:
+    """The rows of ``docs``, each once, as Parquet, a folder ``shard=b<bits>`` for each shard; rows of a shard go to one task, which the limit bounds."""
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    placed = _placed(numbered, limit_bytes, key, F.col("_row")).select(F.col("row").alias("_row"), F.concat(F.lit("b"), "shard").alias("shard"))
+    numbered.join(placed, "_row").drop("_row").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
-LIMIT = 64 << 20
+#: A shard of the query: small, so that small tables are split as large ones are.
+LIMIT = 256 << 10
 
 
 def query(docs: DataFrame) -> DataFrame:

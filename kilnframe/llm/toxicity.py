@@ -3,7 +3,8 @@
 ``fit`` learns which words, and which stems that begin words, mark toxic
 documents; ``score`` matches them in whole texts. Folding maps homoglyphs,
 accents and digit substitutions to one skeleton alphabet, so ``1d1ot`` and
-``idiot`` are the same word. Matches inside an exception phrase do not count.
+``idiot`` are the same word. Matches inside an exception phrase do not count;
+phrases are given, or learned from clean documents that hold an entry.
 The weighted sum is divided by the number of words and turned into a
 probability by a logistic curve fitted on the same rows.
 """
@@ -30,9 +31,6 @@ LOOKALIKES = {
     "l": "1|iіӏιıíìîïīł", "o": "0оοøóòôöõō", "e": "3еεéèêëēę", "a": "4@аαáàâäãåā", "s": "5$ѕšśß", "t": "7тτť",
     "c": "сçćč", "p": "рρ", "x": "хχ", "y": "уγýÿ", "h": "һ", "k": "кκ", "m": "м", "n": "ñńηп", "b": "8ьβ", "u": "úùûüūυ", "v": "ν", "d": "ԁđ", "g": "9ɡ", "w": "ԝω", "z": "2žźż", "j": "ј",
 }
-#: Phrases in which a marked word is meant literally.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "take out the trash", "class clown", "clown fish", "rodeo clown", "sore loser", "winner and loser", "pond scum", "soap scum", "idiot proof", "worthless check")
-
 _FOLD = {ord(c): k for k, cs in LOOKALIKES.items() for c in cs} | {ord(chr(0x3B1 + 17)): "s"}
 _INNER = re.compile(r"(?<=\w)[@$|!](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
@@ -138,12 +136,12 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> tuple[float, flo
     return float(a), float(b)
 
 
-def fit(labelled: DataFrame, least: int = 5, log_odds: float = 2.5, prevalent: float = 0.05, most_entries: int = 2_000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+def fit(labelled: DataFrame, least: int = 5, log_odds: float = 2.5, prevalent: float = 0.05, most_entries: int = 2_000, exceptions: tuple[str, ...] = ()) -> Model:
     """Learn from ``labelled(doc_id, text, toxic)``.
 
     The rows are a bounded sample (see ``fitted``), so the driver may get the
     marks of the toxic ones. ``most_entries`` bounds the lexicon, which is
-    broadcast. Rows without a label are left out. With no rows of one class the
+    broadcast. ``exceptions`` come besides those that are learned. Rows without a label are left out. With no rows of one class the
     lexicon is empty and every text gets that class's share.
     """
     rows = labelled.where("toxic in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
@@ -176,10 +174,41 @@ def fit(labelled: DataFrame, least: int = 5, log_odds: float = 2.5, prevalent: f
             yield pd.DataFrame({"marks": [sorted(marks(fold(t)) & names) for t in pdf.text]})
 
     toxic = [set(r.marks) for r in rows.where("toxic = 1").select("text").mapInPandas(named, "marks array<string>").toLocalIterator()]
-    draft = Model(choose(got, toxic, n_pos, n_neg, least, log_odds, prevalent, most_entries), exceptions, 0.0, 1.0)
+    entries = choose(got, toxic, n_pos, n_neg, least, log_odds, prevalent, most_entries)
+    draft = Model(entries, (*exceptions, *learned(rows, entries, least)), 0.0, 1.0)
     seen = rates(rows.select("text", "toxic"), draft).select("rate", "toxic").toPandas()
     bias, slope = logistic(np.log1p(1000 * seen.rate.to_numpy()), seen.toxic.to_numpy(float))
-    return Model(draft.entries, exceptions, bias, max(slope, 0.0))
+    return Model(draft.entries, draft.exceptions, bias, max(slope, 0.0))
+
+
+def phrases(folded: str, matcher: ahocorasick.Automaton) -> set[str]:
+    """Each word that holds a match, with the word before it and with the word after it."""
+    out: set[str] = set()
+    for end, (size, _) in matcher.iter(folded):
+        start = end - size + 1
+        stop = folded.index(" ", end if folded[end] == " " else end + 1)
+        before = folded.rfind(" ", 0, start) if start else -1
+        if before >= 0:
+            out.add(folded[before + 1 : stop])
+        after = folded.find(" ", stop + 1)
+        if after >= 0:
+            out.add(folded[start + 1 : after])
+    return out
+
+
+def learned(rows: DataFrame, entries: dict[str, float], least: int, most: int = 1_000) -> tuple[str, ...]:
+    """Exception phrases: two words with a match, in ``least`` clean documents and in no toxic one; the most frequent ``most``."""
+    if not entries:
+        return ()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Model(entries, (), 0.0, 1.0).matcher()
+        for pdf in it:
+            got = [(p, int(y)) for t, y in zip(pdf.text, pdf.toxic) for p in phrases(fold(t), matcher)]
+            yield pd.DataFrame(got, columns=["phrase", "toxic"])
+
+    n = rows.mapInPandas(run, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n"))
+    return tuple(r.phrase for r in n.where((F.col("pos") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "phrase").limit(most).collect())
 
 
 def rates(df: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +228,7 @@ def rates(df: DataFrame, model: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, rate, n_hits)`` for every row of ``docs``, repeated rows included.
+    """``(doc_id, score, rate, n_hits)`` for every row of ``docs`` that has a ``doc_id``, repeated rows included.
 
     Empty and null texts have rate 0 and get the curve's value there.
     """
@@ -212,18 +241,18 @@ def held_out(doc_id: F.Column | str = "doc_id"):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, **params) -> Model:
-    """A model from labelled rows that are not held out, at most ``most_rows``: the first by a hash of their id.
+    """A model from labelled rows that are not held out, at most ``most_rows``: the first by a hash of their id. Ids with both labels are left out.
 
     Their ids are few by that bound and so are broadcast; their texts are
     written once.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    known = known.where(~held_out()).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    known = known.where(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     return fit(saved(texts(docs).join(F.broadcast(known), "doc_id")), **params)
 
 
 def query(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Contract of ``op10``: one row for each row of ``docs``."""
+    """Contract of ``op10``: one row for each row of ``docs`` that has a ``doc_id``, repeated rows included."""
     got = score(docs, fitted(docs, labels))
     return got.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "rate", "n_hits")
 

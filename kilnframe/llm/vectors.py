@@ -11,8 +11,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     """``(vec_id, v array<double>, label)`` of the vectors that take part.
 
     A vector that is null, empty, all zero, or holds a null or a component that
-    is not finite takes no part, nor does a row without an id. Of rows that
-    share an id and their whole content one is kept.
+    is not finite takes no part, nor does a row without an id. Repeated rows
+    stay; the operators say what they make of them.
     """
     v = F.col("embedding").cast("array<double>")
     label = F.col("label").cast("long") if "label" in vectors.columns else F.lit(None).cast("long")
