@@ -153,10 +153,11 @@ def _with_docs(doc: np.ndarray, *columns: tuple[np.ndarray, str], tag: np.ndarra
     code = np.empty(len(doc), np.int64)
     code[o] = np.cumsum(new) - 1
     head = _packed((doc[o][new], "<i8"), (tag[o][new], "<u4"))
-    return struct.pack("<I", len(head)) + head + _packed((code, "<u4"), *columns)
+    return zstandard.compress(struct.pack("<I", len(head)) + head + _packed((code, "<u4"), *columns), 3)
 
 
 def _docs_of(raw: bytes, *types: str, tags: bool = False) -> list[np.ndarray]:
+    raw = zstandard.decompress(raw)
     size = struct.unpack_from("<I", raw)[0]
     names, known = _unpacked(raw[4 : 4 + size], "<i8", "<u4")
     code, *rest = _unpacked(raw[4 + size :], "<u4", *types)
@@ -190,7 +191,7 @@ def gather(parts: int):
     """Blocks of texts to ``(part, kind, rows)``: kind 0 asks who else has the hash, kind 1 is known to repeat."""
 
     def block(h: np.ndarray, d: np.ndarray, p: np.ndarray, side: np.ndarray, turn: int) -> pd.DataFrame:
-        h = h >> np.uint64(16)
+        h = h >> np.uint64(24)
         known = _again(h, side, d)
         out = [(turn % parts, 1, _with_docs(d[known], (p[known], "<u4")))] if known.any() else []
         # one of those with the same hash and sides stands for them
@@ -199,11 +200,11 @@ def gather(parts: int):
         first = np.r_[True, (h[1:] != h[:-1]) | (side[1:] != side[:-1]).any(1)] if len(h) else known
         ask = first | ~known
         h, d, p, side, told = h[ask], d[ask], p[ask], side[ask], known[ask]
-        part = ((h >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part = ((h >> np.uint64(8)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         e = _starts(part)
         for i, j in zip(e, np.r_[e[1:], len(part)]):
-            hp = h[i:j]
-            out.append((int(part[i]), 0, _with_docs(d[i:j], (hp >> np.uint64(32), "<u2"), (hp & np.uint64(0xFFFFFFFF), "<u4"), (p[i:j], "<u4"), (side[i:j, 0], "<u2"), (side[i:j, 1], "<u2"), (told[i:j], "u1"))))
+            steps = np.diff(h[i:j], prepend=np.uint64(0))  # in order, so they are small
+            out.append((int(part[i]), 0, _with_docs(d[i:j], (steps, "<u8"), (p[i:j], "<u4"), (side[i:j, 0], "<u2"), (side[i:j, 1], "<u2"), (told[i:j], "u1"))))
         return pd.DataFrame(out, columns=["part", "kind", "rows"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,8 +235,9 @@ def prune(parts: int):
         for pdf in whole_groups(it, "part"):
             found = [_docs_of(raw, "<u4") for raw in pdf.rows[pdf.kind == 1]]
             for _, asked in pdf[pdf.kind == 0].groupby("part"):
-                d, hi, lo, p, left, right, told = (np.concatenate(c) for c in zip(*(_docs_of(raw, "<u2", "<u4", "<u4", "<u2", "<u2", "u1") for raw in asked.rows)))
-                h = hi.astype(np.uint64) << np.uint64(32) | lo
+                got = [_docs_of(raw, "<u8", "<u4", "<u2", "<u2", "u1") for raw in asked.rows]
+                h = np.concatenate([np.cumsum(x[1], dtype=np.uint64) for x in got])
+                d, p, left, right, told = (np.concatenate([x[k] for x in got]) for k in (0, 2, 3, 4, 5))
                 again = _again(h, np.stack([left, right], 1), d) & (told == 0)
                 found.append([d[again], p[again]])
             doc, pos = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
@@ -301,7 +303,7 @@ def runs(parts: int):
             keep[0] = 0
             tails = m[i:j][np.arange(WIDTH) >= keep[:, None]].tobytes()
             rows = _with_docs(d[i:j], (keep, "u1"), (p[i:j], "<u4"), tag=tag[i:j])
-            out.append((int(part[i]), 0, struct.pack("<I", len(rows)) + rows + zstandard.compress(tails, 3)))
+            out.append((int(part[i]), 0, struct.pack("<I", len(rows)) + rows + zstandard.compress(tails, 6)))
         return pd.DataFrame(out, columns=["part", "kind", "rows"])
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
