@@ -52,12 +52,22 @@ def forecast_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -
     return x.select(*by, "rmse", "mae", "mape", F.when(t > 0, 1 - F.col("_e") / t).when(F.col("_e") == 0, 1.0).otherwise(0.0).alias("r2"))
 
 
-def incumbent(df: DataFrame, order: str, value: str, least: float = 0.001, start: float = 0.0) -> DataFrame:
-    """The candidate kept by an ordered fold: a later one replaces it only if better by more than ``least``."""
-    xs = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("i"), F.col(value).cast("double").alias("v"))))
+def incumbent(df: DataFrame, order: str, value: str, least: float = 0.001, start: float = 0.0, block: int = 10_000) -> DataFrame:
+    """The candidate kept by an ordered fold: a later one replaces it only if better by more than ``least``.
+
+    Only a value above all before it can replace one, so those records are
+    found first, by blocks of ``order`` (whole numbers) and the blocks' maxima;
+    they are few, and the fold runs over them.
+    """
+    x = df.select(F.col(order).cast("long").alias("i"), F.col(value).cast("double").alias("v")).where("v is not null").withColumn("b", F.floor(F.col("i") / block))
+    up = lambda *by: Window.partitionBy(*by) if by else Window.partitionBy()
+    top = x.groupBy("b").agg(F.max("v").alias("m")).select("b", F.max("m").over(up().orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    seen = F.greatest(F.max("v").over(up("b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.col("before"))
+    records = x.join(F.broadcast(top), "b").withColumn("seen", seen).where(F.col("seen").isNull() | (F.col("v") > F.col("seen")))
+    xs = F.array_sort(F.collect_list(F.struct("i", "v")))
     zero = F.struct(F.lit(None).cast("long").alias("i"), F.lit(start).cast("double").alias("v"))
     step = F.aggregate(xs, zero, lambda a, x: F.when(x["v"] - a["v"] > least, F.struct(x["i"].alias("i"), x["v"].alias("v"))).otherwise(a))
-    return df.agg(step.alias("best")).select(F.col("best.i").alias("candidate"), F.col("best.v").alias("value"))
+    return records.agg(step.alias("best")).select(F.col("best.i").alias("candidate"), F.col("best.v").alias("value"))
 
 
 # -- classifiers --------------------------------------------------------------
@@ -121,7 +131,7 @@ def ml_study(df: DataFrame, cols: Sequence[str], target: str, family: str, grid:
     from pyspark.ml.feature import VectorAssembler
 
     kinds = {"tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosting": GBTClassifier, "perceptron": MultilayerPerceptronClassifier}
-    x = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(df).select("features", F.col(target).cast("double").alias("label"), "split").cache()
+    x = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(df).select("features", F.col(target).cast("double").alias("label"), "split")
     train = x.where("split = 'train'")
     out = None
     for i, params in enumerate(grid):

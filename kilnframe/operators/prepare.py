@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kilnframe.operators.stats import describe
+from kilnframe.operators.stats import describe, exact_quantiles
 
 
 def fit_scope(df: DataFrame, scope: str) -> DataFrame:
@@ -19,10 +19,11 @@ def fit_scope(df: DataFrame, scope: str) -> DataFrame:
 def fit_fill(df: DataFrame, numeric: Sequence[str], symbolic: Sequence[str], how: str = "mean", scope: str = "all") -> dict[str, object]:
     """Mean or median of numeric columns and the most frequent value of the others (ties: the smallest)."""
     t = fit_scope(df, scope)
-    stat = F.avg if how == "mean" else lambda c: F.percentile(F.col(c), F.lit(0.5))
     out: dict[str, object] = {}
-    if numeric:
-        out |= t.agg(*[stat(c).alias(c) for c in numeric]).first().asDict()
+    if numeric and how == "mean":
+        out |= t.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict()
+    elif numeric:
+        out |= {c: q[0] for c, q in exact_quantiles(t, numeric, (0.5,)).items()}
     if symbolic:
         x = t.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in symbolic])).alias("r")).select("r.*")
         n = x.where("v is not null").groupBy("c", "v").agg(F.count("*").alias("n"))
@@ -44,7 +45,7 @@ def drop_sparse(df: DataFrame, least_columns: float = 0.1, least_rows: float = 0
 
 def fit_bounds(df: DataFrame, cols: Sequence[str], k: float = 5.0, scope: str = "all") -> dict[str, tuple[float, float, float]]:
     """Per column: mean - k deviations, mean + k deviations, median."""
-    return {r.variable: (r["mean"] - k * r["std"], r["mean"] + k * r["std"], r.p50) for r in describe(fit_scope(df, scope), cols).collect() if r["std"] is not None}
+    return {r.variable: (r["mean"] - k * r["std"], r["mean"] + k * r["std"], r.p50) for r in describe(fit_scope(df, scope), cols, distinct=False).collect() if r["std"] is not None}
 
 
 def drop_outliers(df: DataFrame, bounds: Mapping[str, tuple[float, float, float]]) -> DataFrame:
@@ -85,6 +86,27 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
+def ranks(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``df`` with ``rank``, from 0, in the order of a hash of ``key``.
+
+    Rows are counted by the first bits of the hash and ranked within them, so
+    no task sees all rows. Rows that share a key come next to each other.
+    """
+    x = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    x = x.withColumn("_b", F.substring("_h", 1, 3))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = x.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", before.alias("_before"))  # at most 4,096 rows
+    r = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
+    return x.join(F.broadcast(n), "_b").withColumn("rank", (F.col("_before") + r).cast("long")).drop("_h", "_b", "_before")
+
+
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` draws from all rows: draw ``i`` takes the row whose rank is ``floor(u(i) * rows)``."""
+    size = df.count()
+    d = df.sparkSession.range(n).select(F.floor(draw("id", seed) * size).cast("long").alias("rank"))
+    return d.join(ranks(df, key, seed), "rank").drop("rank")
+
+
 def split_random(df: DataFrame, key: str, test: float = 0.3, seed: int = 42) -> DataFrame:
     """An exact split: ``ceil(test * n)`` rows are ``test``, those of the smallest hashes.
 
@@ -124,7 +146,7 @@ def undersample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFra
     """The majority cut to the minority's size, by hash order."""
     n = class_sizes(df, target)
     low = min(n, key=lambda k: (n[k], k))
-    parts = [df.where(F.col(target) == low)] + [sample(df.where(F.col(target) == k), key, n[low], seed) for k in sorted(n) if k != low]
+    parts = [df.where(F.col(target) == low)] + [ranks(df.where(F.col(target) == k), key, seed).where(F.col("rank") < n[low]).drop("rank") for k in sorted(n) if k != low]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -132,12 +154,10 @@ def undersample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFra
 
 
 def oversample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFrame:
-    """The minority drawn with replacement to the majority's size: copy ``i`` of all takes the row of rank ``hash(i) mod n``."""
+    """The minority drawn with replacement to the majority's size."""
     n = class_sizes(df, target)
     low, top = min(n, key=lambda k: (n[k], k)), max(n, key=lambda k: (n[k], k))
-    small = df.where(F.col(target) == low).withColumn("_r", F.row_number().over(Window.orderBy(key)) - 1)
-    d = df.sparkSession.range(n[top]).select(F.floor(draw("id", seed) * n[low]).cast("int").alias("_r"))
-    return df.where(F.col(target) != low).unionByName(d.join(small, "_r").drop("_r"))
+    return df.where(F.col(target) != low).unionByName(sample_with_replacement(df.where(F.col(target) == low), key, n[top], seed))
 
 
 def smote(df: DataFrame, key: str, cols: Sequence[str], target: str, minority: int, k: int = 5, extra: int = 1, seed: int = 42) -> DataFrame:

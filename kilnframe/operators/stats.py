@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,14 +23,99 @@ def long_form(row: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> Dat
     return row.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 
 
-def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Count, distinct values, mean, sample deviation and exact quartiles of each column, in one pass."""
+SMALL = 10_000
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], small: int = SMALL, buckets: int = 512) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of each column, exact, without sorting it or holding its distinct values.
+
+    Values are counted by equal buckets of their range; the bucket that holds a
+    wanted rank is counted by buckets in turn, all columns and ranks in one pass,
+    until it holds ``small`` rows or one value; those few are ranked here. The
+    driver gets counts of buckets. Missing values and NaN don't count.
+    """
+    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    row = df.agg(*[f(x[c]).alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}
+    for i, c in enumerate(cols):
+        n = row[f"{i}n"]
+        for p in ps:
+            for r in {int((n - 1) * p), -int(-(n - 1) * p // 1)} if n else ():
+                open_[c, r] = (row[f"{i}lo"], row[f"{i}hi"], 0, n)
+    got: dict[tuple[str, int], float] = {}
+
+    def ranges() -> list[tuple[str, float, float, int, int]]:
+        return sorted({(c, *v) for (c, _), v in open_.items()})
+
+    def inside(c: str, lo: float, hi: float) -> F.Column:
+        return (x[c] >= lo) & (x[c] <= hi)
+
+    while open_:
+        for k, (lo, hi, _, _) in list(open_.items()):
+            if lo == hi:
+                got[k] = lo
+                del open_[k]
+        now = ranges()
+        wide = [(i, r) for i, r in enumerate(now) if r[4] > small]
+        if not wide:
+            break
+        at = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), F.least(F.floor((x[c] - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).alias("b"), x[c].alias("x"))) for i, (c, lo, hi, _, _) in wide]
+        part = df.select(F.explode(F.array_compact(F.array(*at))).alias("r")).select("r.*").groupBy("i", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "b").collect()
+        for i, (c, lo, hi, before, n) in wide:
+            for k in [k for k, v in open_.items() if (k[0], *v) == (c, lo, hi, before, n)]:
+                at_ = before
+                for b in (b for b in part if b.i == i):
+                    if at_ + b.n > k[1]:
+                        open_[k] = (b.lo, b.hi, at_, b.n)
+                        break
+                    at_ += b.n
+    now = ranges()
+    if now:
+        at = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), x[c].alias("x"))) for i, (c, lo, hi, _, _) in enumerate(now)]
+        few = df.select(F.explode(F.array_compact(F.array(*at))).alias("r")).select("r.*").groupBy("i", "x").agg(F.count("*").alias("n")).orderBy("i", "x").collect()
+        for i, (c, lo, hi, before, n) in enumerate(now):
+            for k in [k for k, v in open_.items() if (k[0], *v) == (c, lo, hi, before, n)]:
+                at_ = before
+                for v in (v for v in few if v.i == i):
+                    at_ += v.n
+                    if at_ > k[1]:
+                        got[k] = v.x
+                        break
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(cols):
+        n = row[f"{i}n"]
+        out[c] = []
+        for p in ps:
+            h = (n - 1) * p
+            low, high = (got[c, int(h)], got[c, -int(-h // 1)]) if n else (None, None)
+            out[c].append(None if low is None else low + (high - low) * (h - int(h)))
+    return out
+
+
+def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), distinct: bool = True) -> DataFrame:
+    """Count, distinct values (if asked for), mean, sample deviation and exact quartiles of each column.
+
+    ``by`` is for groups of bounded size, whose quartiles are taken in memory.
+    """
+    if not by:
+        row = df.agg(*[f.alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count(c)), ("mean", F.avg(F.col(c).cast("double"))), ("std", F.stddev_samp(F.col(c).cast("double"))), ("lo", F.min(F.col(c).cast("double"))), ("hi", F.max(F.col(c).cast("double"))))]).first()
+        q = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+        seen: dict[str, int] = {}
+        if distinct:
+            each = None
+            for c in cols:  # a distinct for each column, added up before the shuffle
+                one = df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*").alias("n")).select(F.lit(c).alias("variable"), "n")
+                each = one if each is None else each.unionByName(one)
+            seen = {r.variable: r.n for r in each.collect()}
+        rows = [(c, row[f"{i}n"], *([seen[c]] if distinct else []), row[f"{i}mean"], row[f"{i}std"], row[f"{i}lo"], *q[c], row[f"{i}hi"]) for i, c in enumerate(cols)]
+        kinds = "variable string, count long, " + ("nunique long, " if distinct else "") + "mean double, std double, min double, p25 double, p50 double, p75 double, max double"
+        return df.sparkSession.createDataFrame(rows, kinds)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.count(c).alias(f"{c}__count"), F.count_distinct(F.col(c)).alias(f"{c}__nunique"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    row = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    row = df.groupBy(*by).agg(*aggs)
     items = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{f}").alias(f) for f in ("count", "nunique", "mean", "std", "min")], *[F.col(f"{c}__q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], F.col(f"{c}__max").alias("max")) for c in cols]
     return row.select(*by, F.explode(F.array(*items)).alias("r")).select(*by, "r.*")
 
@@ -64,7 +151,7 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
 
 def thresholds(df: DataFrame, cols: Sequence[str], std_k: float = 2.0, iqr_k: float = 1.5) -> DataFrame:
     """Per variable the bounds by deviation and by quartile distance."""
-    d = describe(df, cols)
+    d = describe(df, cols, distinct=False)
     iqr = F.col("p75") - F.col("p25")
     return d.select("variable", (F.col("mean") - std_k * F.col("std")).alias("std_low"), (F.col("mean") + std_k * F.col("std")).alias("std_top"), (F.col("p25") - iqr_k * iqr).alias("iqr_low"), (F.col("p75") + iqr_k * iqr).alias("iqr_top"))
 
@@ -81,7 +168,7 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], std_k: float = 2.0, iqr_k
 
 def box(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Quartiles and the whiskers: the extreme values within ``k`` quartile distances."""
-    t = describe(df, cols).select("variable", "p25", "p50", "p75", (F.col("p25") - k * (F.col("p75") - F.col("p25"))).alias("low"), (F.col("p75") + k * (F.col("p75") - F.col("p25"))).alias("top"))
+    t = describe(df, cols, distinct=False).select("variable", "p25", "p50", "p75", (F.col("p25") - k * (F.col("p75") - F.col("p25"))).alias("low"), (F.col("p75") + k * (F.col("p75") - F.col("p25"))).alias("top"))
     x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("r.*")
     w = x.join(F.broadcast(t), "variable").where("x >= low and x <= top").groupBy("variable").agg(F.min("x").alias("whisker_low"), F.max("x").alias("whisker_high"))
     return t.join(w, "variable", "left").select("variable", "whisker_low", "p25", "p50", "p75", "whisker_high")
@@ -111,23 +198,33 @@ def dms(df: DataFrame, col: str, positive: str, negative: str) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """Absolute correlation of each pair ``v1 < v2`` over the rows where both are there; null for a constant."""
-    pairs = [(a, b) for a in cols for b in cols if a < b]
-    aggs = []
-    for a, b in pairs:
-        there = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(there, F.col(a).cast("double")), F.when(there, F.col(b).cast("double"))
-        aggs.append(F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))).alias(f"{a}__{b}"))
-    if len(pairs) <= 60:
-        row = df.agg(*aggs)
-        return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("v1"), F.lit(b).alias("v2"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs])).alias("r")).select("r.*")
-    cells = df.select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-    i = F.explode(F.array(*[F.struct(F.lit(cols.index(a)).alias("i"), F.lit(cols.index(b)).alias("j")) for a, b in pairs]))
-    x = cells.select("v", i.alias("p")).select("p.i", "p.j", F.col("v")[F.col("p.i")].alias("x"), F.col("v")[F.col("p.j")].alias("y")).where("x is not null and y is not null")
-    c = x.groupBy("i", "j").agg(F.abs(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("corr"))
-    names = F.array(*[F.lit(n) for n in cols])
-    return c.select(names[F.col("i")].alias("v1"), names[F.col("j")].alias("v2"), "corr")
+def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Absolute correlation of each pair ``v1 < v2`` over the rows where both are there; null for a constant or without such rows.
+
+    One pass: each task adds up counts, sums, squares and products of all pairs
+    of its rows, taken from the columns' means; those tables of pairs are summed.
+    """
+    names = sorted(cols)
+    d = len(names)
+    mean = [m or 0.0 for m in df.agg(*[F.avg(F.col(c).cast("double")) for c in names]).first()]
+    i, j = np.triu_indices(d, 1)
+
+    def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, d, d))
+        for pdf in it:
+            x = pdf.to_numpy(float) - mean
+            there = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x]
+        yield pd.DataFrame({"i": i, "j": j} | {k: t[i, j] for k, t in zip(("n", "x", "y", "xx", "yy", "xy"), total)})
+
+    part = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    t = part.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
+    vx, vy = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), F.col("n")), F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("n"))
+    flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))
+    r = F.abs(F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.sqrt(vx * vy)))
+    at = F.array(*[F.lit(c) for c in names])
+    return t.select(at[F.col("i")].alias("v1"), at[F.col("j")].alias("v2"), F.when(~flat, r).alias("corr"))
 
 
 def mirrored(corr: DataFrame) -> DataFrame:
@@ -135,11 +232,14 @@ def mirrored(corr: DataFrame) -> DataFrame:
     return corr.unionByName(corr.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "corr"))
 
 
-def redundant(corr: DataFrame, threshold: float, least_partners: int = 2) -> DataFrame:
-    """Variables to drop: all partners of a variable that has at least ``least_partners`` correlated ones."""
-    m = mirrored(corr).where(F.col("corr") >= threshold)
-    many = m.groupBy("v1").agg(F.count("*").alias("n")).where(F.col("n") >= least_partners)
-    return m.join(many.select("v1"), "v1", "left_semi").select(F.col("v2").alias("variable")).distinct()
+def redundant(corr: DataFrame, thresholds: float | Sequence[float], least_partners: int = 2) -> DataFrame:
+    """Variables to drop: all partners of a variable that has at least ``least_partners`` correlated ones; for several thresholds a row for each of them."""
+    several = not isinstance(thresholds, float)
+    at = F.explode(F.array(*[F.lit(float(t)) for t in (thresholds if several else [thresholds])]))
+    m = mirrored(corr).withColumn("threshold", at).where(F.col("corr") >= F.col("threshold"))
+    many = m.groupBy("threshold", "v1").agg(F.count("*").alias("n")).where(F.col("n") >= least_partners)
+    out = m.join(many.select("threshold", "v1"), ["threshold", "v1"], "left_semi").select("threshold", F.col("v2").alias("variable")).distinct()
+    return out if several else out.drop("threshold")
 
 
 def low_variance(df: DataFrame, cols: Sequence[str], threshold: float) -> DataFrame:

@@ -79,3 +79,10 @@ def aggregation_study(series: DataFrame, levels: Sequence[str], how: str = "sum"
         m = forecast_study(S.aggregate(series, v, {"y": how, "x": how})).withColumn("level", F.lit(v))
         out = m if out is None else out.unionByName(m)
     return out
+
+
+def forecast_scaling_study(series: DataFrame) -> DataFrame:
+    """Metrics of the linear regression on the series as it is, standardised and brought to [0, 1], parameters from ``train``."""
+    s = P.split_temporal(series, "ts")
+    steps = {"Standard": lambda x: P.scale(x, ["y", "x"], "zscore", "train"), "MinMax": lambda x: P.scale(x, ["y", "x"], "minmax", "train")}
+    return techniques(s, steps, lambda x: M.forecast_metrics(M.linear_regression(x, "x", "y"), "y", "yhat", ["split"]))

@@ -23,6 +23,7 @@ _SQL: dict[str, str] = {}
 NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 SERIES = ("y", "x")
 DIMS = tuple(f"e{i}" for i in range(8))
+ALL = tuple(f"e{i}" for i in range(64))
 
 
 def query(sql: str | None = None):
@@ -224,12 +225,12 @@ def p19_sparsity_per_class(s: SparkSession, d: str) -> DataFrame:
     return D.table(s, d, "lineitem").groupBy("l_returnflag", F.floor(F.col("l_quantity") / 5).cast("int").alias("x_bin"), F.floor(F.col("l_extendedprice") / 10000).cast("int").alias("y_bin")).agg(F.count("*").alias("n"))
 
 
-CORR_SQL = f"WITH {D.wide_sql(range(8))}, l AS (" + union("SELECT vec_id, '{c}' AS v, {c} AS x FROM wide", DIMS) + ")\nSELECT a.v AS v1, b.v AS v2, round(abs(corr(a.x, b.x)), 6) AS corr FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.v < b.v GROUP BY 1, 2"
+CORR_SQL = f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS v, {c} AS x FROM wide", ALL) + ")\nSELECT a.v AS v1, b.v AS v2, round(abs(corr(a.x, b.x)), 6) AS corr FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.v < b.v GROUP BY 1, 2"
 
 
 @query(CORR_SQL)
 def p20_abs_corr(s: SparkSession, d: str) -> DataFrame:
-    return r6(T.correlations(D.wide(s, d, range(8)), "vec_id", DIMS), "corr")
+    return r6(T.correlations(D.wide(s, d, range(64)), ALL), "corr")
 
 
 @query("SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM orders")
@@ -379,13 +380,12 @@ def l04_extreme_classes(s: SparkSession, d: str) -> DataFrame:
     return p12_class_distribution(s, d).agg(F.min_by("toxic", "n").alias("minority"), F.max_by("toxic", "n").alias("majority"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_size / 50.0 AS v FROM part WHERE p_partkey <= 60),
+@query("""WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_partkey AS i, p_retailprice AS v FROM part),
 f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS candidate, CAST(0 AS DOUBLE) AS value UNION ALL
-  SELECT k + 1, CASE WHEN v - value > 0.001 THEN i ELSE candidate END, CASE WHEN v - value > 0.001 THEN CAST(v AS DOUBLE) ELSE value END FROM f JOIN c ON c.i = f.k + 1)
+  SELECT k + 1, CASE WHEN v - value > 0.001 THEN i ELSE candidate END, CASE WHEN v - value > 0.001 THEN CAST(v AS DOUBLE) ELSE value END FROM f JOIN c ON c.n = f.k + 1)
 SELECT candidate, round(value, 6) AS value FROM f ORDER BY k DESC LIMIT 1""")
 def l05_incumbent(s: SparkSession, d: str) -> DataFrame:
-    c = D.table(s, d, "part").where("p_partkey <= 60").select(F.row_number().over(Window.orderBy("p_partkey")).alias("i"), (F.col("p_size") / 50.0).alias("v"))
-    return r6(M.incumbent(c, "i", "v"), "value")
+    return r6(M.incumbent(D.table(s, d, "part"), "p_partkey", "p_retailprice"), "value")
 
 
 # -- encodings --------------------------------------------------------------------
@@ -484,11 +484,9 @@ def r09_sample(s: SparkSession, d: str) -> DataFrame:
     return P.sample(D.table(s, d, "orders"), "o_orderkey", 500).select("o_orderkey")
 
 
-@query(f"SELECT o_orderkey, count(*) AS copies FROM (SELECT CAST(floor({_hash('i', '42')} * 100) AS INT) AS r FROM (SELECT unnest(range(300)) AS i)) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders QUALIFY r < 100) USING (r) GROUP BY 1")
+@query(f"SELECT o_orderkey, count(*) AS copies FROM (SELECT CAST(floor({_hash('i', '42')} * (SELECT count(*) FROM orders)) AS BIGINT) AS r FROM (SELECT unnest(range(300)) AS i)) JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat(o_orderkey, ':42')), o_orderkey) - 1 AS r FROM orders) USING (r) GROUP BY 1")
 def r10_sample_with_replacement(s: SparkSession, d: str) -> DataFrame:
-    o = D.table(s, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(100).withColumn("r", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
-    draws = s.range(300).select(F.floor(P.draw("id", 42) * 100).cast("int").alias("r"))
-    return draws.join(o, "r").groupBy("o_orderkey").agg(F.count("*").alias("copies"))
+    return P.sample_with_replacement(D.table(s, d, "orders").select("o_orderkey"), "o_orderkey", 300).groupBy("o_orderkey").agg(F.count("*").alias("copies"))
 
 
 _SPLIT = "CASE WHEN row_number() OVER (ORDER BY md5(concat({k}, ':42')), {k}) <= ceil(0.3 * (SELECT count(*) FROM {t})) THEN 'test' ELSE 'train' END AS split"
@@ -589,7 +587,7 @@ def d14_undersample(s: SparkSession, d: str) -> DataFrame:
     return P.undersample(D.table(s, d, "labels").select("doc_id", "toxic"), "doc_id", "toxic")
 
 
-@query(f"""WITH n AS (SELECT count(*) FILTER (WHERE toxic = 1) AS lo, count(*) FILTER (WHERE toxic = 0) AS hi FROM labels), r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS r FROM labels WHERE toxic = 1)
+@query(f"""WITH n AS (SELECT count(*) FILTER (WHERE toxic = 1) AS lo, count(*) FILTER (WHERE toxic = 0) AS hi FROM labels), r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat(doc_id, ':42')), doc_id) - 1 AS r FROM labels WHERE toxic = 1)
 SELECT doc_id, toxic, CAST(1 AS BIGINT) AS copies FROM labels WHERE toxic = 0 UNION ALL
 SELECT doc_id, CAST(1 AS INT), count(*) FROM (SELECT CAST(floor({_hash('i', '42')} * lo) AS INT) AS r FROM n, (SELECT unnest(range((SELECT hi FROM n))) AS i)) JOIN r USING (r) GROUP BY 1""")
 def d15_oversample(s: SparkSession, d: str) -> DataFrame:
@@ -609,9 +607,9 @@ def d16_smote(s: SparkSession, d: str) -> DataFrame:
     return r6(P.smote(D.wide(s, d, range(4)), "vec_id", cols, "target", 1), *cols)
 
 
-@query(f"WITH {D.wide_sql(range(8))} SELECT variable, round(variance, 8) AS variance FROM (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", DIMS) + ") WHERE variance < 0.0156")
+@query(f"WITH {D.wide_sql(range(64))} SELECT variable, round(variance, 8) AS variance FROM (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", ALL) + ") WHERE variance < 0.0156")
 def d17_low_variance(s: SparkSession, d: str) -> DataFrame:
-    return r6(T.low_variance(D.wide(s, d, range(8)), DIMS, 0.0156), "variance", digits=8)
+    return r6(T.low_variance(D.wide(s, d, range(64)), ALL, 0.0156), "variance", digits=8)
 
 
 @query(f"WITH c AS ({CORR_SQL}), m AS (SELECT v1, v2 FROM c WHERE corr >= 0.02 UNION ALL SELECT v2, v1 FROM c WHERE corr >= 0.02) SELECT DISTINCT v2 AS variable FROM m WHERE v1 IN (SELECT v1 FROM m GROUP BY v1 HAVING count(*) >= 2)")
@@ -852,28 +850,43 @@ def d13_scale_series(s: SparkSession, d: str) -> DataFrame:
     return r6(P.scale(D.monthly(s, d), ["y", "x"]), "y", "x")
 
 
-_VAR_AT = (0.015, 0.0155, 0.016)
+_VAR_AT = P.variance_thresholds(0.03, 0.001)
 
 
-@query(f"WITH {D.wide_sql(range(8))}, v AS (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", DIMS) + f") SELECT CAST(t AS DOUBLE) AS threshold, variable FROM v, (SELECT unnest({list(_VAR_AT)}) AS t) WHERE variance < t")
+@query(f"WITH {D.wide_sql(range(64))}, v AS (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", ALL) + f") SELECT CAST(t AS DOUBLE) AS threshold, variable FROM v, (SELECT unnest({list(_VAR_AT)}) AS t) WHERE variance < t")
 def d19_variance_study(s: SparkSession, d: str) -> DataFrame:
-    v = T.low_variance(D.wide(s, d, range(8)), DIMS, math.inf)
+    v = T.low_variance(D.wide(s, d, range(64)), ALL, math.inf)
     return v.select("variable", "variance", F.explode(F.array(*[F.lit(t) for t in _VAR_AT])).alias("threshold")).where("variance < threshold").select("threshold", "variable")
 
 
-_COR_AT = (0.01, 0.02, 0.04)
+_COR_AT = P.correlation_thresholds(0.05, 0.05)
 
 
 @query(f"WITH c AS ({CORR_SQL}), t AS (SELECT CAST(unnest({list(_COR_AT)}) AS DOUBLE) AS threshold), m AS (SELECT threshold, v1, v2 FROM c, t WHERE corr >= threshold UNION ALL SELECT threshold, v2, v1 FROM c, t WHERE corr >= threshold) SELECT DISTINCT m.threshold, v2 AS variable FROM m JOIN (SELECT threshold, v1 FROM m GROUP BY ALL HAVING count(*) >= 2) k ON m.threshold = k.threshold AND m.v1 = k.v1")
 def d20_redundancy_study(s: SparkSession, d: str) -> DataFrame:
-    c = p20_abs_corr(s, d)
-    out = None
-    for t in _COR_AT:
-        x = T.redundant(c, t).withColumn("threshold", F.lit(t))
-        out = x if out is None else out.unionByName(x)
-    return out
+    return T.redundant(p20_abs_corr(s, d), _COR_AT)
 
 
-@query(f"WITH {D.wide_sql(range(8))} SELECT vec_id, " + ", ".join(DIMS[2:]) + " FROM wide")
+@query(f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS variable, {c} AS x FROM wide", ALL) + f"), low AS ({_SQL['d17_low_variance']}), same AS ({_SQL['d18_redundant']})\nSELECT vec_id, variable, x FROM l WHERE variable NOT IN (SELECT variable FROM low) AND variable NOT IN (SELECT variable FROM same)")
 def d22_apply_selection(s: SparkSession, d: str) -> DataFrame:
-    return D.wide(s, d, range(8)).drop("e0", "e1", "target")
+    """Drops what the two selectors name, some of 64 columns, and returns the rest in long form."""
+    gone = {r.variable for r in d17_low_variance(s, d).select("variable").union(d18_redundant(s, d)).collect()}
+    x = D.wide(s, d, range(64)).drop("target", *gone)
+    left = [c for c in ALL if c not in gone]
+    return x.unpivot("vec_id", left, "variable", "x") if left else s.createDataFrame([], "vec_id long, variable string, x double")
+
+
+_SCALED = {"Original": ("y", "x"), "Standard": ("(y - my) / sy", "(x - mx) / sx"), "MinMax": ("(y - ly) / (hy - ly)", "(x - lx) / (hx - lx)")}
+
+
+@query(SPLIT_MONTHLY + ", p AS (SELECT avg(y) AS my, stddev_pop(y) AS sy, min(y) AS ly, max(y) AS hy, avg(x) AS mx, stddev_pop(x) AS sx, min(x) AS lx, max(x) AS hx FROM s WHERE split = 'train'), z AS (" + "\nUNION ALL ".join(f"SELECT '{t}' AS technique, split, {y} AS y, {x} AS x FROM s, p" for t, (y, x) in _SCALED.items())
+       + "), c AS (SELECT technique, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM z WHERE split = 'train' GROUP BY technique), f AS (SELECT z.*, b + a * x AS yhat FROM z JOIN c USING (technique))\n" + METRICS_SQL.replace("SELECT split,", "SELECT technique, split,").replace("GROUP BY split", "GROUP BY technique, split"))
+def d28_forecast_scaling_study(s: SparkSession, d: str) -> DataFrame:
+    x = W.forecast_scaling_study(D.monthly(s, d))
+    return x.withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "mape": F.round("mape", 6), "r2": F.round("r2", 6)})
+
+
+@query()
+def m20_forecast_models(s: SparkSession, d: str) -> DataFrame:
+    """All six baseline forecasters; the SQL of ``d28_forecast_study`` has four of them, ``m14`` and ``m15`` the others."""
+    return W.forecast_study(D.monthly(s, d))

@@ -1,7 +1,10 @@
 """Small literal fixtures with answers worked out by hand."""
 
 import math
+import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,7 +40,7 @@ def test_constant_columns(spark):
     df = spark.createDataFrame([(1, 5.0, 1.0), (2, 5.0, 2.0), (3, 5.0, 3.0)], "k int, c double, x double")
     assert {r.c for r in P.scale(df, ["c"]).collect()} == {0.0}
     assert {r.c for r in P.scale(df, ["c"], "minmax").collect()} == {0.0}
-    assert T.correlations(df, "k", ["c", "x"]).first()["corr"] is None
+    assert T.correlations(df, ["c", "x"]).first()["corr"] is None
     assert T.low_variance(df, ["c", "x"], 0.5).first().variable == "c"
 
 
@@ -176,3 +179,43 @@ def test_stream_matches_batch(spark, tmp_path):
         assert spark.table("by_day").exceptAll(windowed(src)).count() == 0
     finally:
         q.stop()
+
+
+def test_exact_quantiles_of_uneven_values(spark):
+    rng = random.Random(1)
+    xs = [rng.choice([0.0, 0.0, 1.5, rng.lognormvariate(0, 6), -rng.random()]) for _ in range(3000)]
+    df = spark.createDataFrame([(x, 7.0, None if i % 2 else x) for i, x in enumerate(xs)] + [(None, None, None)], "a double, b double, c double")
+    got = T.exact_quantiles(df, ["a", "b", "c"], (0.0, 0.25, 0.5, 0.99, 1.0), small=20, buckets=8)
+    for c, v in (("a", xs), ("b", [7.0]), ("c", xs[::2])):
+        assert np.allclose(got[c], np.quantile(v, (0.0, 0.25, 0.5, 0.99, 1.0)), rtol=1e-12)
+    assert T.exact_quantiles(df.limit(0), ["a"], (0.5,)) == {"a": [None]}
+
+
+def test_correlations_are_the_same_for_any_number_of_columns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 14)) + 1e6
+    x[:, 3] += 5 * x[:, 2]
+    frame = pd.DataFrame(x, columns=[f"c{k:02d}" for k in range(14)])
+    frame.iloc[:100, 0] = np.nan
+    frame.iloc[100:, 1] = np.nan
+    frame["c05"] = 4.0
+    df = spark.createDataFrame(frame).replace(float("nan"), None)
+    want = frame.corr().abs()
+    for cols in (list(frame.columns)[:6], list(frame.columns)):
+        got = {(r.v1, r.v2): r["corr"] for r in T.correlations(df, cols).collect()}
+        assert len(got) == len(cols) * (len(cols) - 1) // 2
+        for (a, b), c in got.items():
+            assert c is None if np.isnan(want.loc[a, b]) else abs(c - want.loc[a, b]) < 1e-7, (a, b)
+
+
+def test_ranks_and_incumbent(spark):
+    df = spark.range(500).withColumn("v", (F.col("id") * 37 % 101).cast("double") / 100)
+    assert sorted(r["rank"] for r in P.ranks(df, "id").collect()) == list(range(500))
+    drawn = P.sample_with_replacement(df, "id", 2000)
+    assert drawn.count() == 2000 and drawn.select("id").distinct().count() > 450
+    best, kept = 0.0, None
+    for r in df.orderBy("id").collect():
+        if r.v - best > 0.05:
+            best, kept = r.v, r.id
+    for block in (7, 10_000):
+        assert tuple(M.incumbent(df, "id", "v", 0.05, block=block).first()) == (kept, best)
