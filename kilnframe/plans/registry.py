@@ -867,10 +867,10 @@ def d20_redundancy_study(s: SparkSession, d: str) -> DataFrame:
     return T.redundant(p20_abs_corr(s, d), _COR_AT)
 
 
-@query(f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS variable, {c} AS x FROM wide", ALL) + f"), low AS ({_SQL['d17_low_variance']}), same AS ({_SQL['d18_redundant']})\nSELECT vec_id, variable, x FROM l WHERE variable NOT IN (SELECT variable FROM low) AND variable NOT IN (SELECT variable FROM same)")
+@query(f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS variable, {c} AS x FROM wide", ALL) + f"), low AS ({_SQL['d17_low_variance']}), same AS ({_SQL['d18_redundant'].replace('0.02', '0.12')})\nSELECT vec_id, variable, x FROM l WHERE variable NOT IN (SELECT variable FROM low) AND variable NOT IN (SELECT variable FROM same)")
 def d22_apply_selection(s: SparkSession, d: str) -> DataFrame:
     """Drops what the two selectors name, some of 64 columns, and returns the rest in long form."""
-    gone = {r.variable for r in d17_low_variance(s, d).select("variable").union(d18_redundant(s, d)).collect()}
+    gone = {r.variable for r in d17_low_variance(s, d).select("variable").union(T.redundant(p20_abs_corr(s, d), 0.12)).collect()}
     x = D.wide(s, d, range(64)).drop("target", *gone)
     left = [c for c in ALL if c not in gone]
     return x.unpivot("vec_id", left, "variable", "x") if left else s.createDataFrame([], "vec_id long, variable string, x double")
