@@ -216,6 +216,29 @@ def test_neighbours_are_alike():
     others = [np.array([100 + 3 * k, 101 + 3 * k], np.uint16) for k in range(8)]
     s = packing.Index([a, b, a[:8], *others]).scores(0)
     assert int(np.argsort(-s)[1]) == 2 and s[1] == 0
+    long = [np.arange(k, k + 300, dtype=np.uint16) for k in range(0, 900, 100)]  # all terms count, not only the heaviest
+    ix = packing.Index(long)
+    doc, term, w = packing.Corpus(9, 2700, np.bincount(packing.postings(long)[1], minlength=packing.TERMS)).weigh(long)
+    for d in range(9):
+        brute = [sum(x for i, t, x in zip(doc, term, w) if i == other and t in set(long[d].tolist())) for other in range(9)]
+        unused = np.arange(9) >= d
+        assert np.allclose(np.where(unused, ix.scores(d, unused), 0), np.where(unused, brute, 0))
+
+
+def test_packing_files_like_documents_together(spark):
+    rng = np.random.default_rng(4)
+    topics = [[f"{chr(97 + k)}{''.join(chr(97 + x) for x in rng.integers(0, 26, 7))}" for _ in range(40)] for k in range(8)]
+    rows = [(i, " ".join(rng.choice(topics[i % 8], 60))) for i in range(400)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)]  # a large group of copies
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, window=256, shard_bytes=20_000).toPandas()
+    assert got.groupby("doc_id").length.sum().eq(got.groupby("doc_id").doc_tokens.first()).all() and got.doc_id.nunique() == 700
+    got["topic"] = np.where(got.doc_id >= 1000, 3, got.doc_id % 8)
+    same = got.groupby("sequence_id").topic.nunique()
+    assert (same == 1).mean() > 0.7
+    tokens_of = got.assign(shard=got.sequence_id // 2**22).groupby("shard").length.sum()
+    assert tokens_of.max() * 4 < 3 * 20_000
+    base, parts, n = packing.directory(np.array([5, 0, 7, 25, 3, 3, 6]), 10)
+    assert n == 7 and base.tolist() == [0, 0, 1, 2, 5, 5, 6] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1]
 
 
 # -- mixing and sharding ----------------------------------------------------------
