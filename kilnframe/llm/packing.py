@@ -33,7 +33,8 @@ def postings(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """The documents, their distinct terms in order, and how often each occurs."""
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    key = np.sort(np.repeat(np.arange(len(docs), dtype=np.int64), [len(d) for d in docs]) << 16 | np.concatenate(docs).astype(np.int64))
+    kind = np.uint32 if len(docs) <= TERMS else np.uint64
+    key = np.sort(np.repeat(np.arange(len(docs), dtype=kind) << 16, [len(d) for d in docs]) | np.concatenate(docs).astype(kind)).astype(np.int64)
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     return key[at] >> 16, key[at] & 0xFFFF, np.diff(np.r_[at, len(key)]).astype(np.float64)
 
@@ -56,12 +57,14 @@ class Corpus:
         """The two terms that weigh most in each document, where a term of fewer than ``fill`` documents weighs less in proportion."""
         doc, term, w = self.weigh(docs)
         w = w * np.minimum(1.0, self.df[term] / max(1.0, fill))
-        order = np.lexsort((term, -w, doc))
-        doc, term = doc[order], term[order]
-        at = np.searchsorted(doc, np.arange(len(docs) + 1))
-        has, two = np.diff(at) > 0, np.diff(at) > 1
+        has, at = np.unique(doc, return_index=True)
         first, second = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-        first[has], second[two] = term[at[:-1][has]], term[at[:-1][two] + 1]
+        for found in (first, second):
+            if len(has):
+                top = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, at), np.diff(np.r_[at, len(w)])))
+                top = top[np.unique(doc[top], return_index=True)[1]]  # ties to the smaller term
+                found[has] = np.where(w[top] > 0, term[top], 0)
+                w[top] = 0.0
         return first, second
 
 

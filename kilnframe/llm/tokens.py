@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -43,11 +44,15 @@ class WordTokenizer:
             if len(self.pieces) >= _KEEP // 2:
                 self.pieces.clear()
             s = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-            got = self.pieces[p] = np.array([t.id for t in self.bpe(s)], np.uint16).tobytes()
+            got = self.pieces[p] = array("H", [t.id for t in self.bpe(s)]).tobytes()
         return got
 
     def _part(self, s: str) -> bytes:
-        return self._piece(s) if s.isascii() and s.isalpha() else b"".join(map(self._piece, _PIECE.findall(s)))
+        if s.isalpha():
+            return self._piece(s)
+        if s[-1] in ",.;:!?" and s[:-1].isalpha():
+            return self._piece(s[:-1]) + self._piece(s[-1])
+        return b"".join(map(self._piece, _PIECE.findall(s)))
 
     def encode(self, text: str) -> np.ndarray:
         if not _PLAIN.match(text) or "<|" in text:
