@@ -161,7 +161,9 @@ def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, most
     """
     sets = {f: [frozenset(features(_WORD.findall(t.lower()))) for t in ts] for f, ts in templates.items()}
     line = F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
-    some = texts(docs).orderBy(F.xxhash64("doc_id")).limit(most_paragraphs // 3).select("doc_id", line)
+    h = F.xxhash64("doc_id")
+    cut = texts(docs).select(h.alias("h")).orderBy("h").limit(most_paragraphs // 3).agg(F.max("h")).first()[0]  # so that only the sample's texts are sorted
+    some = texts(docs).where(h <= F.lit(cut).cast("long")).orderBy(h, "text").limit(most_paragraphs // 3).select("doc_id", line)
     plain = [_WORD.findall(r.line.lower()) for r in some.where("trim(line) <> ''").orderBy(F.xxhash64("doc_id", "line"), "line").limit(most_paragraphs).collect()]
     plain = [w for w in plain if w and not any(len(t & features(w)) >= 0.5 * len(t) for ts in sets.values() for t in ts)]
     rng = np.random.default_rng(seed)
