@@ -12,8 +12,8 @@ def pack(*columns: tuple[np.ndarray, str]) -> bytes:
     """Columns of any lengths: the numbers' first bytes, then their second bytes, and so on, as alike bytes together compress."""
     out = []
     for a, t in columns:
-        b = np.ascontiguousarray(np.asarray(a).astype(t))
-        out.append(struct.pack("<Q", len(b)) + (b.view(np.uint8).reshape(len(b), -1).T.tobytes() if len(b) else b""))
+        b = np.ascontiguousarray(np.asarray(a).astype(t, copy=False))
+        out += [struct.pack("<Q", len(b)), np.ascontiguousarray(b.view(np.uint8).reshape(len(b), -1).T) if len(b) else b""]
     return zstandard.compress(b"".join(out), 1)
 
 
@@ -22,8 +22,10 @@ def unpack(raw: bytes, *types: str) -> list[np.ndarray]:
     raw, at, out = zstandard.decompress(raw), 0, []
     for t in types:
         n, size = struct.unpack_from("<Q", raw, at)[0], np.dtype(t).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * size, at + 8)
-        out.append(np.ascontiguousarray(planes.reshape(size, n).T).view(t).ravel() if n else np.zeros(0, t))
+        b = np.empty((n, size), np.uint8)
+        for k, plane in enumerate(np.frombuffer(raw, np.uint8, n * size, at + 8).reshape(size, n)):
+            b[:, k] = plane
+        out.append(b.view(t).ravel())
         at += 8 + n * size
     return out
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,7 @@ DEPTH = 3
 BLOCK_BYTES, BLOCK_DOCS, PART_BYTES, HOT = 5 << 20, 100_000, 10 << 20, 100_000
 END = np.uint64(0x2545F4914F6CDD1D)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
+_PROBABILITY = 2.0 ** (np.arange(1 << 16) / -512.0)  # of a number of bits, in 512ths
 STATE = "block long, rows binary"
 #: kind 0: a block's share of a range; 1: the gain of a part of a hot context; 2: words of the range that training texts have
 ANSWER = "kind int, block long, part int, rows binary, context long, gain double, words long"
@@ -73,6 +75,7 @@ class Block:
     def training(self) -> np.ndarray:
         return np.repeat(~self.out, self.sizes)
 
+    @cached_property
     def place(self) -> np.ndarray:
         """Each token's place in its text."""
         return np.arange(len(self.code)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
@@ -81,7 +84,7 @@ class Block:
         """How often training texts hold the ``depth`` words before each token."""
         n = self.levels[depth - 2] >> 1 if depth > 1 else self.counts[self.code]
         m = np.r_[np.zeros(1, np.int64), n[:-1]] if len(n) else n
-        return np.where(self.place() >= depth, m, 0)
+        return np.where(self.place >= depth, m, 0)
 
     def likelihood(self, total: int, vocabulary: int, rule: Rule) -> np.ndarray:
         """The probability of each token in the longest kept context known so far."""
@@ -106,9 +109,12 @@ def gather(modulus: int, held: int):
 
     def block(ids: list[int], raws: list[bytes], name: int) -> pd.DataFrame:
         hs = [np.append(word_hashes(r), END) for r in raws]
-        words, code = np.unique(np.concatenate(hs), return_inverse=True)
+        words, code, n = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+        o = np.argsort(-n)  # frequent words first: small numbers compress
+        rank = np.empty(len(o), np.int64)
+        rank[o] = np.arange(len(o))
         out = np.array([zlib.crc32(str(i).encode()) % modulus == held for i in ids])
-        b = Block(np.array(ids, np.int64), out, np.array([len(h) for h in hs]), words, code.ravel(), np.zeros(0), [])
+        b = Block(np.array(ids, np.int64), out, np.array([len(h) for h in hs]), words[o], rank[code.ravel()], np.zeros(0), [])
         return pd.DataFrame({"block": [name], "rows": [b.packed()]})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +137,8 @@ def gather(modulus: int, held: int):
 
 
 def _range(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Ranges of hashes, in the hashes' order."""
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _split(part: np.ndarray) -> list[tuple[int, int, int]]:
@@ -168,6 +175,11 @@ def answer_words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([*rows, (2, -1, part, None, 0, 0.0, int((count > 0).sum()))], columns=_names(ANSWER))
 
 
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours, modulo the type's range; small where ``x`` is sorted."""
+    return np.r_[x[:1], x[1:] - x[:-1]]
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -230,7 +242,7 @@ def ask(depth: int, parts: int, rule: Rule, hot: int, total: int, vocabulary: in
                 rows = []
                 for p, i, j in _split(x.part):
                     c = starts(x.context[i:j])
-                    rows.append((p, name, pack((x.context[i:j][c], "<u8"), (np.diff(np.r_[c, j - i]), "<u4"), (m[i:j][c], "<u8"), (x.hot[i:j][c], "u1"), (x.symbol[i:j], "<u4"), (n[i:j], "<u4"), (bits[i:j], "<u2"))))
+                    rows.append((p, name, pack((_gaps(x.context[i:j][c]), "<u8"), (np.diff(np.r_[c, j - i]), "<u4"), (m[i:j][c], "<u8"), (x.hot[i:j][c], "u1"), (_gaps(x.symbol[i:j].astype("<u4")), "<u4"), (n[i:j], "<u4"), (bits[i:j], "<u2"))))
                 yield pd.DataFrame(rows, columns=["part", "block", "rows"])
 
     return run
@@ -244,12 +256,14 @@ def answer(rule: Rule):
             for part, g in pdf.groupby("part"):
                 got = [unpack(raw, "<u8", "<u4", "<u8", "u1", "<u4", "<u4", "<u2") for raw in g.rows]
                 each = [x[1].astype(np.int64) for x in got]
-                context, m, hot = (np.concatenate([np.repeat(x[k], e) for x, e in zip(got, each)]) for k in (0, 2, 3))
-                symbol, n, bits = (np.concatenate([x[k] for x in got]) for k in (4, 5, 6))
+                context = np.concatenate([np.repeat(np.cumsum(x[0]), e) for x, e in zip(got, each)])
+                symbol = np.concatenate([np.cumsum(x[4], dtype=np.uint32) for x in got])
+                m, hot = (np.concatenate([np.repeat(x[k], e) for x, e in zip(got, each)]) for k in (2, 3))
+                n, bits = (np.concatenate([x[k] for x in got]) for k in (5, 6))
                 o = by_context(context, symbol)
                 at = starts(context[o], symbol[o])
                 count = np.add.reduceat(n[o].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-                c, m, q, hot = context[o[at]], m[o[at]].astype(float), 2.0 ** (bits[o[at]].astype(float) / -512.0), hot[o[at]].astype(bool)
+                c, m, q, hot = context[o[at]], m[o[at]].astype(float), _PROBABILITY[bits[o[at]]], hot[o[at]].astype(bool)
                 left_out = np.where(count > 0, (np.maximum(count - 1, 0) + rule.kappa * q) / (m - 1 + rule.kappa) / q, 1.0)
                 s = starts(c)
                 gains = np.add.reduceat(count * np.log(left_out), s) if len(s) else np.zeros(0)
