@@ -620,24 +620,24 @@ def d18_redundant(s: SparkSession, d: str) -> DataFrame:
 # -- models -----------------------------------------------------------------------
 
 
-def _split_wide(s: SparkSession, d: str) -> DataFrame:
-    return D.wide(s, d, range(8)).withColumn("split", F.when(F.pmod("vec_id", F.lit(10)) < 3, "test").otherwise("train"))
+def _split_wide(s: SparkSession, d: str, n: int = len(DIMS)) -> DataFrame:
+    return D.wide(s, d, range(n)).withColumn("split", F.when(F.pmod("vec_id", F.lit(10)) < 3, "test").otherwise("train"))
 
 
-SPLIT_WIDE = f"WITH {D.wide_sql(range(8))}, x AS (" + union("SELECT vec_id, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split, target AS label, '{c}' AS variable, {c} AS x FROM wide", DIMS) + "),\npr AS (SELECT label AS class, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM x WHERE split = 'train' AND variable = 'e0' GROUP BY label)"
+SPLIT_WIDE = f"WITH {D.wide_sql(range(64))}, x AS (" + union("SELECT vec_id, CASE WHEN vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split, target AS label, '{c}' AS variable, {c} AS x FROM wide", ALL) + "),\npr AS (SELECT label AS class, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM x WHERE split = 'train' AND variable = 'e0' GROUP BY label)"
 PICK = "SELECT vec_id, split, label, first(class ORDER BY round(ll, 9) DESC, class) AS predicted FROM s GROUP BY vec_id, split, label"
 
 
 @query(SPLIT_WIDE + f""", ep AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(x) AS v FROM x WHERE split = 'train' GROUP BY variable)), f AS (SELECT variable, label AS class, avg(x) AS mu, var_pop(x) + any_value(eps) AS vr FROM x, ep WHERE split = 'train' GROUP BY 1, 2),
 s AS (SELECT vec_id, split, label, f.class, sum(-0.5 * ln(2 * pi() * vr) - (x - mu) * (x - mu) / (2 * vr)) + any_value(prior) AS ll FROM x JOIN f USING (variable) JOIN pr ON pr.class = f.class GROUP BY 1, 2, 3, 4) {PICK}""")
 def m01_gaussian_nb(s: SparkSession, d: str) -> DataFrame:
-    return M.gaussian_nb(_split_wide(s, d), "vec_id", DIMS, "target")
+    return M.gaussian_nb(_split_wide(s, d, 64), "vec_id", ALL, "target")
 
 
 @query(SPLIT_WIDE + f""", f AS (SELECT variable, label AS class, (sum(CAST(x > 0 AS DOUBLE)) + 1) / (count(*) + 2) AS p FROM x WHERE split = 'train' GROUP BY 1, 2),
 s AS (SELECT vec_id, split, label, f.class, sum(CASE WHEN x > 0 THEN ln(p) ELSE ln(1 - p) END) + any_value(prior) AS ll FROM x JOIN f USING (variable) JOIN pr ON pr.class = f.class GROUP BY 1, 2, 3, 4) {PICK}""")
 def m01_bernoulli_nb(s: SparkSession, d: str) -> DataFrame:
-    return M.bernoulli_nb(_split_wide(s, d), "vec_id", DIMS, "target")
+    return M.bernoulli_nb(_split_wide(s, d, 64), "vec_id", ALL, "target")
 
 
 @query(f"""WITH {D.wide_sql(range(8))}, n AS (SELECT a.vec_id, a.target AS label, b.target AS vote, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DIMS)}), 9), b.vec_id) AS r
