@@ -640,11 +640,11 @@ def m01_bernoulli_nb(s: SparkSession, d: str) -> DataFrame:
     return M.bernoulli_nb(_split_wide(s, d, 64), "vec_id", ALL, "target")
 
 
-@query(f"""WITH {D.wide_sql(range(8))}, n AS (SELECT a.vec_id, a.target AS label, b.target AS vote, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in DIMS)}), 9), b.vec_id) AS r
+@query(f"""WITH {D.wide_sql(range(64))}, n AS (SELECT a.vec_id, a.target AS label, b.target AS vote, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in ALL)}), 9), b.vec_id) AS r
 FROM wide a JOIN wide b ON a.vec_id % 10 < 3 AND b.vec_id % 10 >= 3 QUALIFY r <= 5),
 v AS (SELECT CAST(k AS INT) AS k, vec_id, label, vote, count(*) AS c FROM n, (SELECT unnest([1, 3, 5]) AS k) WHERE r <= k GROUP BY ALL) SELECT k, vec_id, label, first(vote ORDER BY c DESC, vote) AS predicted FROM v GROUP BY 1, 2, 3""")
 def m02_knn(s: SparkSession, d: str) -> DataFrame:
-    return M.knn(_split_wide(s, d), "vec_id", DIMS, "target", (1, 3, 5))
+    return M.knn(_split_wide(s, d, 64), "vec_id", ALL, "target", (1, 3, 5))
 
 
 _PRED = "p AS (SELECT doc_id, toxic AS y, CAST(quality = 0 AS INT) AS p, n_chars FROM labels JOIN documents USING (doc_id))"
