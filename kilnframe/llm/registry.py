@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, jaccard, lattice, licences, mixing, packing, pst, sharding, suffixes, toxicity
+from . import crosspolytope, jaccard, lattice, licences, mixing, packing, prefixcounts, pst, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -50,8 +50,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixcounts.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op4_cross_polytope, op5_packing, op6_suffix_dedup, op7_lattice_dedup, op8_suffix_tree_score, op9_licence_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op4_cross_polytope, op5_packing, op6_suffix_dedup, op7_lattice_dedup, op8_suffix_tree_score, op9_licence_scan, op10_toxicity, op11_prefix_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
