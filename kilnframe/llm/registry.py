@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, jaccard, lattice, licences, mixing, packing, prefixcounts, pst, sharding, suffixes, toxicity
+from . import annular, crosspolytope, jaccard, lattice, licences, mixing, packing, prefixcounts, pst, repair, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -54,9 +54,17 @@ def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixcounts.query(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.query(table(spark, sf_dir, "conversations"))
+
+
+def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annular.query(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op4_cross_polytope, op5_packing, op6_suffix_dedup, op7_lattice_dedup, op8_suffix_tree_score, op9_licence_scan, op10_toxicity, op11_prefix_counts)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_mixing, op3_sharding, op4_cross_polytope, op5_packing, op6_suffix_dedup, op7_lattice_dedup, op8_suffix_tree_score, op9_licence_scan, op10_toxicity, op11_prefix_counts, op12_conversation_repair, op13_annular_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_jaccard_join": jaccard.sql(), "op2_mixing": mixing.sql(), "op3_sharding": sharding.sql()}
+    return {"op1_jaccard_join": jaccard.sql(), "op2_mixing": mixing.sql(), "op3_sharding": sharding.sql(), "op12_conversation_repair": repair.sql(), "op13_annular_codes": annular.sql()}
