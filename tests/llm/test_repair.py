@@ -121,7 +121,7 @@ def test_blocks_and_edits():
     rows = [("system", "Be brief."), ("user", "Hi."), ("user", "Hi."), ("assistant", "")]
     b = repair.Block([0, 1, 1, 2], [r for r, _ in rows], [t for _, t in rows])
     report = repair.alone(b)
-    assert report[:7] == (0, 1, 1, 0, 1, 8, "DDDD")
+    assert report[:7] == (0, 1, 1, 0, 1, 6, "RRDD")
     assert hashlib.sha256("\n".join(repair.apply(rows, report[6])).encode()).hexdigest() == report[7]
 
 
