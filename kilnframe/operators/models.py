@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kilnframe.operators import neighbours as N
+
 # -- evaluation ---------------------------------------------------------------
 
 
@@ -107,22 +109,68 @@ def bernoulli_nb(df: DataFrame, key: str, cols: Sequence[str], target: str, alph
     return _by_class(x, f, _priors(df, target).drop("n"), key, term)
 
 
-def knn(df: DataFrame, key: str, cols: Sequence[str], target: str, ks: Sequence[int], metric: str = "euclidean") -> DataFrame:
-    """Predictions of the test rows for every ``k``: one ranking to the largest ``k`` serves all.
+def knn(df: DataFrame, key: str, cols: Sequence[str], target: str, ks: Sequence[int], metric: str | Sequence[str] = "euclidean", scope: str = "test", slots: Sequence[N.Slot] | None = None) -> DataFrame:
+    """``(slot, k, key, split, label, predicted)``: the votes of the nearest ``train`` rows for every ``k``.
+
+    One search to the largest ``k`` serves all of them and all metrics; ``slots``
+    names other ways to compare, on some of the variables. Predicted are the rows
+    whose ``split`` is ``scope``, or with ``all`` every row, a training row then
+    being its own neighbour. Votes tie to the smaller label, distances to the
+    smaller key. Rows with a missing value, and training rows without a label,
+    take no part.
+    """
+    ways = list(slots or [(m, m, range(len(cols))) for m in ([metric] if isinstance(metric, str) else metric)])
+    asked = df if scope == "all" else df.where(F.col("split") == scope)
+    near = N.nearest(asked, df.where(F.col(target).isNotNull() & (F.col("split") == "train")), key, cols, max(ks), target, ways)
+    kind = dict(df.dtypes)[target]
+    votes = near.select("slot", F.col("key").alias(key), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), N.vote(F.col("near"), k).cast(kind).alias("predicted")) for k in ks])).alias("r"))
+    return votes.join(asked.select(key, "split", F.col(target).alias("label")), key).select("slot", "r.k", key, "split", "label", "r.predicted")
+
+
+def best_of(values: Sequence[float | None], least: float = 0.001, start: float = 0.0) -> int | None:
+    """The place of the value kept by an ordered fold: a later one replaces it only if better by more than ``least``.
+
+    The rule of ``incumbent`` for the measures of a grid, which are a short list.
+    """
+    at, top = None, start
+    for i, v in enumerate(values):
+        if v is not None and v - top > least:
+            at, top = i, v
+    return at
+
+
+MEASURES = ("accuracy", "recall", "precision", "auc", "f1")
+STUDY = "study string, candidate int, params string, split string, " + ", ".join(f"{m} double" for m in MEASURES) + ", winner boolean"
+
+
+def studied(spark, grid: Sequence[tuple[str, dict[str, dict[str, float]]]], curve, measure: str = "recall", least: float = 0.001) -> DataFrame:
+    """Rows of a search: the grid's measures on both splits with its winner marked, then its overfitting curve.
 
-    Test rows are compared with all training rows, in blocks that Spark makes of
-    them; per test row only the nearest stay. Votes tie to the smaller label,
-    distances to the smaller key.
+    ``grid`` has the candidates in order, each with the measures of each split;
+    the winner is that of the test split. ``curve`` gets its place in the grid
+    and returns such a list for the curve.
     """
-    v = F.array(*[F.col(c).cast("double") for c in cols])
-    te = df.where("split = 'test'").select(key, F.col(target).alias("label"), v.alias("v"))
-    tr = df.where("split = 'train'").select(F.col(key).alias("other"), F.col(target).alias("vote"), v.alias("w"))
-    diff = F.zip_with("v", "w", lambda a, b: F.abs(a - b))
-    d = {"euclidean": lambda: F.sqrt(F.aggregate(F.transform(diff, lambda x: x * x), F.lit(0.0), lambda a, b: a + b)), "manhattan": lambda: F.aggregate(diff, F.lit(0.0), lambda a, b: a + b), "chebyshev": lambda: F.array_max(diff)}[metric]()
-    near = te.crossJoin(tr).select(key, "label", "vote", F.row_number().over(Window.partitionBy(key).orderBy(F.round(d, 9), "other")).alias("r")).where(F.col("r") <= max(ks))
-    each = near.select(key, "label", "vote", "r", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).where("r <= k")
-    votes = each.groupBy("k", key, "label", "vote").agg(F.count("*").alias("n"))
-    return votes.groupBy("k", key, "label").agg(F.max_by("vote", F.struct("n", -F.col("vote"))).alias("predicted"))
+    at = best_of([g.get("test", {}).get(measure) for _, g in grid], least)
+    rows = [("grid", i, p, s, *[float(m[c]) for c in MEASURES], i == at) for i, (p, g) in enumerate(grid) for s, m in sorted(g.items())]
+    if at is not None:
+        rows += [("curve", i, p, s, *[float(m[c]) for c in MEASURES], p == grid[at][0]) for i, (p, g) in enumerate(curve(at)) for s, m in sorted(g.items())]
+    return spark.createDataFrame(rows, STUDY)
+
+
+def measured(predicted: DataFrame, by: Sequence[str]) -> dict[tuple, dict[str, dict[str, float]]]:
+    """Measures by ``by`` and split of ``(label, predicted, split)``; a row for each candidate comes to the driver."""
+    out: dict[tuple, dict[str, dict[str, float]]] = {}
+    for r in class_metrics(predicted, "label", "predicted", [*by, "split"]).collect():
+        out.setdefault(tuple(r[b] for b in by), {})[r.split] = {m: r[m] for m in MEASURES}
+    return out
+
+
+def knn_study(df: DataFrame, key: str, cols: Sequence[str], target: str, ks: Sequence[int] = range(1, 26, 2), metrics: Sequence[str] = N.METRICS, measure: str = "recall") -> DataFrame:
+    """Every metric and ``k`` on both splits, the winner, and the curve of its metric over ``k``: one search for all."""
+    got = measured(knn(df, key, cols, target, list(ks), metrics, "all"), ["slot", "k"])
+    order = [(m, k) for m in metrics for k in ks]
+    rows = [(f"metric={m}, k={k}", got.get((m, k), {})) for m, k in order]
+    return studied(df.sparkSession, rows, lambda at: [r for r, o in zip(rows, order) if o[0] == order[at][0]], measure)
 
 
 def ml_study(df: DataFrame, cols: Sequence[str], target: str, family: str, grid: Sequence[dict]) -> DataFrame:

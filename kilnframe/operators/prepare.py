@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kilnframe.operators.neighbours import donors, nearest
 from kilnframe.operators.stats import describe, exact_quantiles
 
 
@@ -160,17 +161,28 @@ def oversample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFram
     return df.where(F.col(target) != low).unionByName(sample_with_replacement(df.where(F.col(target) == low), key, n[top], seed))
 
 
-def smote(df: DataFrame, key: str, cols: Sequence[str], target: str, minority: int, k: int = 5, extra: int = 1, seed: int = 42) -> DataFrame:
-    """``extra`` new rows for each minority row, between it and one of its ``k`` nearest minority neighbours.
+def smote(df: DataFrame, key: str, cols: Sequence[str], target: str, minority: int, k: int = 5, extra: int | None = None, seed: int = 42) -> DataFrame:
+    """``(key, copy, cols)``: new rows between minority rows and one of their ``k`` nearest minority neighbours.
 
-    Meant for a minority of a size that can be compared with itself.
+    As many as make the minority as large as the largest class, dealt out evenly:
+    each row gets its share and those of the first ranks by hash one more;
+    ``extra`` asks for a fixed number a row instead. A row without a missing
+    value takes part; a minority of one row has no neighbour and no new rows.
     """
-    m = df.where(F.col(target) == minority).select(key, F.array(*[F.col(c).cast("double") for c in cols]).alias("v"))
-    o = m.select(F.col(key).alias("other"), F.col("v").alias("w"))
-    dist = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = m.join(o, F.col(key) != F.col("other")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.round(dist, 9), "other"))).where(F.col("_r") <= k)
-    new = m.select(key, F.explode(F.sequence(F.lit(1), F.lit(extra))).alias("copy")).withColumn("_r", (F.floor(draw(F.concat_ws(":", key, "copy"), f"{seed}n") * k) + 1).cast("int"))
-    j = new.join(near, [key, "_r"]).withColumn("u", draw(F.concat_ws(":", key, "copy"), f"{seed}u"))
+    m = df.where(F.col(target) == minority).na.drop(subset=[key, *cols]).select(key, *[F.col(c).cast("double").alias(c) for c in cols])
+    near = nearest(m, m, key, cols, k, apart=True).where(F.size("near") > 0).select(F.col("key").alias(key), "near")
+    if extra is None:
+        size = class_sizes(df, target)
+        have, more = m.count(), max(size.values(), default=0) - size.get(minority, 0)
+        each, rest = divmod(more, have) if have else (0, 0)
+        turns = ranks(m.select(key), key, seed).withColumn("n", F.lit(each) + (F.col("rank") < rest).cast("int"))
+    else:
+        turns = m.select(key).withColumn("n", F.lit(extra))
+    new = turns.where("n > 0").select(key, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
+    new = new.withColumn("u", draw(F.concat_ws(":", key, "copy"), f"{seed}u")).withColumn("r", draw(F.concat_ws(":", key, "copy"), f"{seed}n"))
+    to = new.join(near, key).select(key, "copy", "u", F.col("near")[F.floor(F.col("r") * F.size("near")).cast("int")]["other"].alias("other"))
+    v = F.array(*[F.col(c) for c in cols])
+    j = to.join(m.select(key, v.alias("v")), key).join(m.select(F.col(key).alias("other"), v.alias("w")), "other")
     return j.select(key, "copy", *[(F.col("v")[i] + F.col("u") * (F.col("w")[i] - F.col("v")[i])).alias(c) for i, c in enumerate(cols)])
 
 
@@ -178,22 +190,14 @@ def knn_fill(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> DataFr
     """Fill a null by the mean of the ``k`` nearest rows that have the value.
 
     The distance runs over the coordinates both rows have, scaled up to all of
-    them; ties go to the smaller key. Every row with a gap is compared with every
-    donor, so this is for samples.
+    them; ties go to the smaller key. A gap without a donor, and that of a row
+    without a key, stays.
     """
-    v = F.array(*[F.col(c).cast("double") for c in cols])
-    gaps = df.where(F.array_contains(F.transform(v, lambda x: x.isNull()), True)).select(key, v.alias("v"))
-    donors = df.select(F.col(key).alias("other"), v.alias("w"))
-    d = F.zip_with("v", "w", lambda a, b: (a - b) * (a - b))
-    there = F.size(F.filter(d, lambda x: x.isNotNull()))
-    dist = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))) * len(cols) / F.nullif(there, F.lit(0)))
-    pairs = gaps.crossJoin(donors).where(F.col(key) != F.col("other")).withColumn("d", F.round(dist, 9)).where("d is not null")
-    out = df
-    for i, c in enumerate(cols):
-        w = Window.partitionBy(key).orderBy("d", "other")
-        m = pairs.where(F.col("v")[i].isNull() & F.col("w")[i].isNotNull()).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(key).agg(F.avg(F.col("w")[i]).alias("_fill"))
-        out = out.join(m, key, "left").withColumn(c, F.coalesce(c, "_fill")).drop("_fill")
-    return out.select(*df.columns)
+    near = donors(df, key, cols, k)
+    mean = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["val"]) / F.size("near")
+    fills = near.where(F.size("near") > 0).groupBy(F.col("key").alias("_kiln_key")).agg(F.map_from_entries(F.collect_list(F.struct("slot", mean))).alias("_kiln_fill"))
+    met = df.join(fills, F.col(key).cast(dict(fills.dtypes)["_kiln_key"]) == F.col("_kiln_key"), "left")
+    return met.select(*[F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.col("_kiln_fill")[c]).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def variance_thresholds(most: float, step: float) -> list[float]:

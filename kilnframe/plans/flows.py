@@ -24,7 +24,7 @@ def techniques(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]
 def classified(df: DataFrame, key: str, cols: Sequence[str], target: str, k: int = 5) -> DataFrame:
     """Metrics of naive Bayes and of nearest neighbours, for rows with a ``split``."""
     nb = M.class_metrics(M.gaussian_nb(df, key, cols, target), "label", "predicted", ["split"]).withColumn("model", F.lit("NB"))
-    kn = M.class_metrics(M.knn(df, key, cols, target, (k,)), "label", "predicted").withColumn("split", F.lit("test")).withColumn("model", F.lit("KNN"))
+    kn = M.class_metrics(M.knn(df, key, cols, target, (k,)), "label", "predicted", ["split"]).withColumn("model", F.lit("KNN"))
     return nb.unionByName(kn)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from kilnframe.functions import encode as E
 from kilnframe.operators import models as M
+from kilnframe.operators import neighbours as N
 from kilnframe.operators import prepare as P
 from kilnframe.operators import series as S
 from kilnframe.operators import stats as T
@@ -595,16 +596,18 @@ def d15_oversample(s: SparkSession, d: str) -> DataFrame:
     return x.groupBy("doc_id", "toxic").agg(F.count("*").alias("copies"))
 
 
-_SM = ", ".join(f"round(a.v[{i + 1}] + u * (b.v[{i + 1}] - a.v[{i + 1}]), 6) AS e{i}" for i in range(4))
+_SM = ", ".join(f"round(a.v[{i + 1}] + u * (b.v[{i + 1}] - a.v[{i + 1}]), 6) AS e{i}" for i in range(64))
 
 
-@query(f"""WITH m AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:4]] AS v FROM embeddings WHERE label = 0),
-n AS (SELECT a.vec_id AS k, b.vec_id AS o, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 5)]), 9), b.vec_id) AS r FROM m a JOIN m b ON a.vec_id <> b.vec_id QUALIFY r <= 5),
-g AS (SELECT vec_id, CAST(1 AS INT) AS copy, CAST(floor({_hash("concat_ws(':', vec_id, 1)", '42n')} * 5) + 1 AS INT) AS r, {_hash("concat_ws(':', vec_id, 1)", '42u')} AS u FROM m)
+@query(f"""WITH m AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE label = 0),
+n AS (SELECT a.vec_id AS k, b.vec_id AS o, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt(list_sum([(a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) FOR i IN range(1, 65)])), 9), b.vec_id) AS r FROM m a JOIN m b ON a.vec_id <> b.vec_id QUALIFY r <= 5),
+q AS (SELECT (SELECT count(*) FROM m) AS lo, (SELECT count(*) FROM embeddings WHERE label <> 0) AS hi), s AS (SELECT k, count(*) AS near FROM n GROUP BY 1),
+h AS (SELECT vec_id, (hi - lo) // lo + CAST(row_number() OVER (ORDER BY md5(concat(vec_id, ':42')), vec_id) <= (hi - lo) % lo AS INT) AS copies FROM m, q),
+g AS (SELECT vec_id, CAST(copy AS INT) AS copy, CAST(floor({_hash("concat_ws(':', vec_id, copy)", '42n')} * near) + 1 AS INT) AS r, {_hash("concat_ws(':', vec_id, copy)", '42u')} AS u FROM (SELECT vec_id, unnest(range(1, copies + 1)) AS copy FROM h) JOIN s ON s.k = vec_id)
 SELECT g.vec_id, g.copy, {_SM} FROM g JOIN n ON n.k = g.vec_id AND n.r = g.r JOIN m a ON a.vec_id = g.vec_id JOIN m b ON b.vec_id = n.o""")
 def d16_smote(s: SparkSession, d: str) -> DataFrame:
-    cols = DIMS[:4]
-    return r6(P.smote(D.wide(s, d, range(4)), "vec_id", cols, "target", 1), *cols)
+    """As many new rows as make both classes equal, in all 64 columns."""
+    return r6(P.smote(D.wide(s, d, range(64)), "vec_id", ALL, "target", 1), *ALL)
 
 
 @query(f"WITH {D.wide_sql(range(64))} SELECT variable, round(variance, 8) AS variance FROM (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", ALL) + ") WHERE variance < 0.0156")
@@ -640,11 +643,48 @@ def m01_bernoulli_nb(s: SparkSession, d: str) -> DataFrame:
     return M.bernoulli_nb(_split_wide(s, d, 64), "vec_id", ALL, "target")
 
 
-@query(f"""WITH {D.wide_sql(range(64))}, n AS (SELECT a.vec_id, a.target AS label, b.target AS vote, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in ALL)}), 9), b.vec_id) AS r
-FROM wide a JOIN wide b ON a.vec_id % 10 < 3 AND b.vec_id % 10 >= 3 QUALIFY r <= 5),
-v AS (SELECT CAST(k AS INT) AS k, vec_id, label, vote, count(*) AS c FROM n, (SELECT unnest([1, 3, 5]) AS k) WHERE r <= k GROUP BY ALL) SELECT k, vec_id, label, first(vote ORDER BY c DESC, vote) AS predicted FROM v GROUP BY 1, 2, 3""")
+_DIST = {"manhattan": " + ".join(f"abs(a.{c} - b.{c})" for c in ALL), "euclidean": "sqrt(" + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in ALL) + ")", "chebyshev": "greatest(" + ", ".join(f"abs(a.{c} - b.{c})" for c in ALL) + ")"}
+KS = tuple(range(1, 26, 2))
+
+
+def _votes_sql(asked: str = "a.vec_id % 10 < 3", ks: tuple[int, ...] = KS) -> str:
+    """``v``: the most frequent label of the nearest training rows for each metric and k."""
+    near = "\nUNION ALL ".join(f"SELECT '{m}' AS metric, a.vec_id, CASE WHEN a.vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split, a.target AS label, b.target AS vote, b.vec_id AS other, round({e}, 9) AS d FROM wide a JOIN wide b ON {asked} AND b.vec_id % 10 >= 3" for m, e in _DIST.items())
+    return f"""WITH {D.wide_sql(range(64))}, n AS ({near}), t AS (SELECT *, row_number() OVER (PARTITION BY metric, vec_id ORDER BY d, other) AS r FROM n QUALIFY r <= {max(ks)}),
+c AS (SELECT metric, CAST(k AS INT) AS k, vec_id, split, label, vote, count(*) AS c FROM t, (SELECT unnest({list(ks)}) AS k) WHERE r <= k GROUP BY ALL), v AS (SELECT metric, k, vec_id, split, label, first(vote ORDER BY c DESC, vote) AS predicted FROM c GROUP BY ALL)"""
+
+
+@query(_votes_sql() + " SELECT metric, k, vec_id, label, predicted FROM v")
 def m02_knn(s: SparkSession, d: str) -> DataFrame:
-    return M.knn(_split_wide(s, d, 64), "vec_id", ALL, "target", (1, 3, 5))
+    """Every odd k to 25 by three metrics: 39 settings of one search."""
+    return M.knn(_split_wide(s, d, 64), "vec_id", ALL, "target", KS, N.METRICS).select(F.col("slot").alias("metric"), "k", "vec_id", "label", "predicted")
+
+
+_COUNTED = "CAST(count(*) FILTER (WHERE label = 1 AND predicted = 1) AS BIGINT) AS tp, CAST(count(*) FILTER (WHERE label <> 1 AND predicted = 1) AS BIGINT) AS fp, CAST(count(*) FILTER (WHERE label = 1 AND predicted <> 1) AS BIGINT) AS fn, CAST(count(*) FILTER (WHERE label <> 1 AND predicted <> 1) AS BIGINT) AS tn"
+_MEASURED = "round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round((coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2, 6) AS auc, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"
+
+
+def _folded_sql(grid: str, params: str, same: str, measure: str = "recall") -> str:
+    """A search in SQL after ``grid``, a table ``m`` of measures by place ``i`` and split: the ordered fold, and the curve of rows that are as the winner by ``same``."""
+    out = f"round(accuracy, 6) AS accuracy, round(recall, 6) AS recall, round(precision, 6) AS precision, round(auc, 6) AS auc, round(f1, 6) AS f1"
+    return f"""WITH RECURSIVE {grid.removeprefix('WITH ')},
+f AS (SELECT 0 AS k, CAST(NULL AS INT) AS w, CAST(0 AS DOUBLE) AS top UNION ALL SELECT f.k + 1, CASE WHEN {measure} - top > 0.001 THEN i ELSE w END, CASE WHEN {measure} - top > 0.001 THEN {measure} ELSE top END FROM f JOIN m ON m.i = f.k AND m.split = 'test'),
+b AS (SELECT w FROM f ORDER BY f.k DESC LIMIT 1), best AS (SELECT DISTINCT m.* EXCLUDE (split, accuracy, recall, precision, auc, f1) FROM m JOIN b ON i = w)
+SELECT 'grid' AS study, CAST(i AS INT) AS candidate, {params} AS params, split, {out}, coalesce(i = w, false) AS winner FROM m, b
+UNION ALL SELECT 'curve', CAST(dense_rank() OVER (ORDER BY i) - 1 AS INT), {params}, split, {out}, i = w FROM m, b WHERE EXISTS (SELECT 1 FROM best WHERE {same})"""
+
+
+_KNN_GRID = _votes_sql("true") + f", g AS (SELECT metric, k, split, {_COUNTED} FROM v GROUP BY ALL), m AS (SELECT list_position({list(N.METRICS)}, metric) * {len(KS)} - {len(KS)} + (k - 1) // 2 AS i, metric, k, split, {_MEASURED.replace('round(', '(').replace(', 6)', ')')} FROM g)"
+
+
+def _study(x: DataFrame) -> DataFrame:
+    return r6(x, *M.MEASURES)
+
+
+@query(_folded_sql(_KNN_GRID, "'metric=' || metric || ', k=' || k", "best.metric = m.metric"))
+def m02_knn_study(s: SparkSession, d: str) -> DataFrame:
+    """The 39 settings on both splits, the winner by recall, and its curve over k."""
+    return _study(M.knn_study(_split_wide(s, d, 64), "vec_id", ALL, "target"))
 
 
 _PRED = "p AS (SELECT doc_id, toxic AS y, CAST(quality = 0 AS INT) AS p, n_chars FROM labels JOIN documents USING (doc_id))"
@@ -729,23 +769,23 @@ def m16_arima(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def d24_imputation_study(s: SparkSession, d: str) -> DataFrame:
-    x = _split_wide(s, d).withColumn("e0", F.when(F.col("vec_id") % 11 == 0, None).otherwise(F.col("e0")))
-    return W.imputation_study(x, "vec_id", DIMS[:4], "target")
+    x = _split_wide(s, d, 64).withColumn("e0", F.when(F.col("vec_id") % 11 == 0, None).otherwise(F.col("e0")))
+    return W.imputation_study(x, "vec_id", ALL, "target")
 
 
 @query()
 def d25_outlier_study(s: SparkSession, d: str) -> DataFrame:
-    return W.outlier_study(_split_wide(s, d), "vec_id", DIMS[:4], "target", 2.0)
+    return W.outlier_study(_split_wide(s, d, 64), "vec_id", ALL, "target", 2.0)
 
 
 @query()
 def d26_scaling_study(s: SparkSession, d: str) -> DataFrame:
-    return W.scaling_study(_split_wide(s, d), "vec_id", DIMS[:4], "target")
+    return W.scaling_study(_split_wide(s, d, 64), "vec_id", ALL, "target")
 
 
 @query()
 def d27_balancing_study(s: SparkSession, d: str) -> DataFrame:
-    return W.balancing_study(_split_wide(s, d), "vec_id", DIMS[:4], "target")
+    return W.balancing_study(_split_wide(s, d, 64), "vec_id", ALL, "target")
 
 
 _FIT = {
@@ -837,12 +877,18 @@ def d05_impute_frequent(s: SparkSession, d: str) -> DataFrame:
     return r6(P.fill(x, P.fit_fill(x, ["l_tax"], ["band"])), "l_tax")
 
 
-@query(f"""WITH {D.wide_sql(range(4))}, g AS (SELECT vec_id, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE e0 END AS e0, e1, e2, e3 FROM wide),
-n AS (SELECT a.vec_id, b.e0 AS v, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(sqrt(((a.e1 - b.e1) * (a.e1 - b.e1) + (a.e2 - b.e2) * (a.e2 - b.e2) + (a.e3 - b.e3) * (a.e3 - b.e3)) * 4 / 3), 9), b.vec_id) AS r FROM g a JOIN g b ON a.e0 IS NULL AND b.e0 IS NOT NULL QUALIFY r <= 5),
-m AS (SELECT vec_id, avg(v) AS v FROM n GROUP BY 1) SELECT g.vec_id, round(coalesce(e0, v), 6) AS e0 FROM g LEFT JOIN m ON g.vec_id = m.vec_id""")
+_GAPS = {"e0": 11, "e9": 7, "e40": 13}
+_THERE = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in ALL)
+_BOTH = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INT)" for c in ALL)
+
+
+@query(f"WITH {D.wide_sql(range(64))}, g AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN vec_id % {k} = 0 THEN NULL ELSE {c} END AS {c}" for c, k in _GAPS.items()) + f") FROM wide), p AS (SELECT a.vec_id, b.vec_id AS other, round(sqrt(({_THERE}) * 64 / nullif({_BOTH}, 0)), 9) AS d, " + ", ".join(f"a.{c} IS NULL AND b.{c} IS NOT NULL AS m_{c}, b.{c} AS v_{c}" for c in _GAPS) + " FROM g a JOIN g b ON " + " OR ".join(f"a.{c} IS NULL" for c in _GAPS) + ")"
+       + "".join(f", f_{c} AS (SELECT vec_id, avg(v) AS v FROM (SELECT vec_id, v_{c} AS v FROM p WHERE m_{c} AND d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, other) <= 5) GROUP BY 1)" for c in _GAPS)
+       + " SELECT g.vec_id, " + ", ".join(f"round(coalesce({c}, f_{c}.v), 6) AS {c}" for c in _GAPS) + " FROM g " + " ".join(f"LEFT JOIN f_{c} ON g.vec_id = f_{c}.vec_id" for c in _GAPS))
 def d06_knn_impute(s: SparkSession, d: str) -> DataFrame:
-    x = D.wide(s, d, range(4)).withColumn("e0", F.when(F.col("vec_id") % 11 == 0, None).otherwise(F.col("e0")))
-    return r6(P.knn_fill(x, "vec_id", DIMS[:4]).select("vec_id", "e0"), "e0")
+    """Gaps in three of 64 columns; distances over all of them."""
+    x = D.wide(s, d, range(64)).withColumns({c: F.when(F.col("vec_id") % k == 0, None).otherwise(F.col(c)) for c, k in _GAPS.items()})
+    return r6(P.knn_fill(x, "vec_id", ALL).select("vec_id", *_GAPS), *_GAPS)
 
 
 @query(WITH_MONTHLY + "SELECT ts, round((y - (SELECT avg(y) FROM monthly)) / (SELECT stddev_pop(y) FROM monthly), 6) AS y, round((x - (SELECT avg(x) FROM monthly)) / (SELECT stddev_pop(x) FROM monthly), 6) AS x FROM monthly")
