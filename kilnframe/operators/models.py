@@ -13,10 +13,10 @@ from kilnframe.operators import neighbours as N
 # -- evaluation ---------------------------------------------------------------
 
 
-def class_metrics(df: DataFrame, label: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, recall, precision, AUC of the hard labels, F1; positive is 1, undefined is 0."""
+def class_metrics(df: DataFrame, label: str, predicted: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Accuracy, recall, precision, AUC of the hard labels, F1; positive is 1, undefined is 0; a row counts ``weight`` times."""
     y, p = F.col(label) == 1, F.col(predicted) == 1
-    n = {k: F.sum(c.cast("long")).alias(k) for k, c in (("tp", y & p), ("fp", ~y & p), ("fn", y & ~p), ("tn", ~y & ~p))}
+    n = {k: F.sum(c.cast("long") * F.col(weight) if weight else c.cast("long")).alias(k) for k, c in (("tp", y & p), ("fp", ~y & p), ("fn", y & ~p), ("tn", ~y & ~p))}
     x = df.groupBy(*by).agg(*n.values()) if by else df.agg(*n.values())
     z = F.lit(0.0)
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), z)
@@ -173,22 +173,31 @@ def knn_study(df: DataFrame, key: str, cols: Sequence[str], target: str, ks: Seq
     return studied(df.sparkSession, rows, lambda at: [r for r, o in zip(rows, order) if o[0] == order[at][0]], measure)
 
 
-def ml_study(df: DataFrame, cols: Sequence[str], target: str, family: str, grid: Sequence[dict]) -> DataFrame:
-    """Train each candidate of a ``pyspark.ml`` family on ``train`` rows; metrics of both splits."""
-    from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+def perceptron_study(df: DataFrame, cols: Sequence[str], target: str, rates: Sequence[float], lag: int, rounds: int, hidden: Sequence[int] = (16,), measure: str = "recall") -> DataFrame:
+    """A search over learning rates and numbers of iterations: a fit of ``lag`` iterations goes on from the weights before it.
+
+    Gradient descent whose step falls with the root of the iteration, the one
+    schedule that ``pyspark.ml`` has; it starts again with each lag. Rows with a
+    gap take no part. The curve is that of the winner's rate.
+    """
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    kinds = {"tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosting": GBTClassifier, "perceptron": MultilayerPerceptronClassifier}
-    x = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(df).select("features", F.col(target).cast("double").alias("label"), "split")
-    train = x.where("split = 'train'")
-    out = None
-    for i, params in enumerate(grid):
-        more = {"layers": [len(cols), *params.get("hidden", (16,)), 2]} if family == "perceptron" else {}
-        model = kinds[family](featuresCol="features", labelCol="label", seed=42, **more, **{k: v for k, v in params.items() if k != "hidden"}).fit(train)
-        m = class_metrics(model.transform(x), "label", "prediction", ["split"])
-        m = m.select(F.lit(i).alias("candidate"), F.lit(str(sorted(params.items()))).alias("params"), "split", "accuracy", "recall", "precision", "auc", "f1")
-        out = m if out is None else out.unionByName(m)
-    return out
+    x = VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="skip").transform(df).where(F.col(target).isNotNull()).select("features", F.col(target).cast("double").alias("label"), "split").persist()
+    order, rows = [(r, n) for r in rates for n in range(1, rounds + 1)], []
+    try:
+        train = x.where("split = 'train'")
+        for rate in rates:
+            weights = None
+            for n in range(1, rounds + 1):
+                net = MultilayerPerceptronClassifier(layers=[len(cols), *hidden, 2], maxIter=lag, stepSize=rate, solver="gd", seed=42, tol=0.0)
+                model = (net.setInitialWeights(weights) if weights is not None else net).fit(train)
+                weights = model.weights
+                got = measured(model.transform(x).withColumnRenamed("prediction", "predicted"), [])
+                rows.append((f"stepSize={rate}, maxIter={n * lag}", got.get((), {})))
+    finally:
+        x.unpersist()
+    return studied(df.sparkSession, rows, lambda i: [r for r, o in zip(rows, order) if o[0] == order[i][0]], measure)
 
 
 def linear_regression(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -232,6 +241,32 @@ def rolling_mean_forecast(df: DataFrame, window: int) -> DataFrame:
     return rows.join(F.broadcast(path), "_i").drop("_i")
 
 
+WINDOWS = (3, 5, 7, 10, 15, 20, 25, 30, 40, 50)
+ALPHAS = tuple(i / 10 for i in range(1, 10))
+
+
+def forecast_search(df: DataFrame, candidates: Sequence[tuple[str, DataFrame]], measure: str = "r2", least: float = 0.001) -> DataFrame:
+    """``(candidate, params, split, rmse, mae, mape, r2, winner)`` of forecasts with ``yhat``; the winner is that of the fold over the test rows, which starts below any value."""
+    out = None
+    for i, (name, f) in enumerate(candidates):
+        one = f.select("split", "y", "yhat", F.lit(i).alias("candidate"), F.lit(name).alias("params"))
+        out = one if out is None else out.unionByName(one)
+    rows = forecast_metrics(out, "y", "yhat", ["candidate", "params", "split"]).collect()  # candidates x 2
+    tests = sorted((r for r in rows if r.split == "test"), key=lambda r: r.candidate)
+    at = best_of([r[measure] for r in tests], least, -100_000.0)
+    best = None if at is None else tests[at].candidate
+    kind = "candidate int, params string, split string, rmse double, mae double, mape double, r2 double, winner boolean"
+    return df.sparkSession.createDataFrame([(r.candidate, r.params, r.split, r.rmse, r.mae, r.mape, r.r2, r.candidate == best) for r in sorted(rows, key=lambda r: (r.candidate, r.split))], kind)
+
+
+def rolling_mean_study(df: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    return forecast_search(df, [(f"window={w}", rolling_mean_forecast(df, w)) for w in windows])
+
+
+def smoothing_study(df: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    return forecast_search(df, [(f"alpha={a}", exponential_smoothing(df, a)) for a in alphas])
+
+
 def exponential_smoothing(df: DataFrame, alpha: float) -> DataFrame:
     """A flat forecast of the last level; the level starts at the first value."""
     ys = F.transform(F.array_sort(F.collect_list(F.struct("ts", "y"))), lambda r: r["y"])

@@ -138,8 +138,11 @@ def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, kerne
                 b = np.frombuffer(row["m"].as_buffer(), np.float64).reshape(len(keys), -1)
                 for slot, qk, d, others, vals in kernel(qkeys, a, keys, b, row["vals"].as_py()):
                     at = _best(d, k)
-                    near = [[{"d": float(x), "other": others[j], "val": vals[j]} for x, j in zip(d[r, at[r]].tolist(), at[r].tolist()) if np.isfinite(x)] for r in range(len(qk))]
-                    yield pa.RecordBatch.from_pydict({"slot": pa.array([slot] * len(qk)), "key": pa.array(qk, item.field("other").type), "near": pa.array(near, pa.list_(item))})
+                    near = np.take_along_axis(d, at, 1)
+                    there = np.isfinite(near)
+                    flat, ends = pa.array(at[there]), np.r_[0, np.cumsum(there.sum(1))].astype(np.int32)
+                    items = pa.StructArray.from_arrays([pa.array(near[there]), pa.array(others, item.field("other").type).take(flat), pa.array(vals, pa.float64()).take(flat)], ["d", "other", "val"])
+                    yield pa.RecordBatch.from_arrays([pa.array([slot] * len(qk)), pa.array(qk, item.field("other").type), pa.ListArray.from_arrays(pa.array(ends), items)], ["slot", "key", "near"])
 
     return _merged(_met(queries, points, key_type, block, take).mapInArrow(run, kind), k)
 

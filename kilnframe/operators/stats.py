@@ -31,56 +31,78 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], sma
 
     Values are counted by equal buckets of their range; the bucket that holds a
     wanted rank is counted by buckets in turn, all columns and ranks in one pass,
-    until it holds ``small`` rows or one value; those few are ranked here. The
-    driver gets counts of buckets. Missing values and NaN don't count.
+    until it holds ``small`` rows, one value, or values too close to be told
+    apart by halves of their difference; those few values are ranked here. The
+    driver gets counts of buckets. Missing values and NaN don't count; infinite
+    values are ranks at the two ends, and between two values of which one is
+    infinite the quantile is that infinite one (NaN between both).
     """
+    inf = float("inf")
     x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    row = df.agg(*[f(x[c]).alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    finite = {c: F.when(F.abs(x[c]) != inf, x[c]) for c in cols}
+    row = df.agg(*[f.alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count(x[c])), ("low", F.count_if(x[c] == -inf)), ("m", F.count(finite[c])), ("lo", F.min(finite[c])), ("hi", F.max(finite[c])))]).first()
+    got: dict[tuple[str, int], float] = {}
     open_: dict[tuple[str, int], tuple[float, float, int, int]] = {}
     for i, c in enumerate(cols):
-        n = row[f"{i}n"]
+        n, low, m = row[f"{i}n"], row[f"{i}low"], row[f"{i}m"]
         for p in ps:
             for r in {int((n - 1) * p), -int(-(n - 1) * p // 1)} if n else ():
-                open_[c, r] = (row[f"{i}lo"], row[f"{i}hi"], 0, n)
-    got: dict[tuple[str, int], float] = {}
-
-    def ranges() -> list[tuple[str, float, float, int, int]]:
-        return sorted({(c, *v) for (c, _), v in open_.items()})
-
-    def inside(c: str, lo: float, hi: float) -> F.Column:
-        return (x[c] >= lo) & (x[c] <= hi)
-
+                if low <= r < low + m:
+                    open_[c, r] = (row[f"{i}lo"], row[f"{i}hi"], low, m)
+                else:
+                    got[c, r] = -inf if r < low else inf
+
+    def settle(now: list[tuple[str, float, float, int, int]], counts: dict[int, list], found) -> None:
+        """Find each wanted rank in the sorted counts of its range."""
+        place = {(c, lo, hi, before, n): i for i, (c, lo, hi, before, n) in enumerate(now)}
+        for (c, r), v in list(open_.items()):
+            at = v[2]
+            for b in counts.get(place.get((c, *v), -1), ()):
+                if at + b.n > r:
+                    found((c, r), b, at, v)
+                    break
+                at += b.n
+
+    def narrow(k, b, at, old) -> None:
+        if b.lo == b.hi:
+            got[k] = b.lo
+            del open_[k]
+        else:
+            open_[k] = (b.lo, b.hi, at, b.n)
+            if (b.lo, b.hi) == old[:2]:
+                close.add((k[0], *open_[k]))
+
+    def take(k, v, at, old) -> None:
+        got[k] = v.x
+        del open_[k]
+
+    def counted(now: list[tuple[str, float, float, int, int]], what, *keys: str) -> dict[int, list]:
+        at = [F.when((finite[c] >= lo) & (finite[c] <= hi), F.struct(F.lit(i).alias("i"), *what(c, lo, hi))) for i, (c, lo, hi, _, _) in enumerate(now)]
+        rows = df.select(F.explode(F.array_compact(F.array(*at))).alias("r")).select("r.*")
+        out: dict[int, list] = {}
+        for r in rows.groupBy("i", *keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", *keys).collect():
+            out.setdefault(r.i, []).append(r)
+        return out
+
+    def bucket(c: str, lo: float, hi: float) -> tuple:
+        share = (finite[c] / 2 - lo / 2) / (hi / 2 - lo / 2)
+        return F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("b"), finite[c].alias("x")
+
+    close: set[tuple] = set()
     while open_:
-        for k, (lo, hi, _, _) in list(open_.items()):
-            if lo == hi:
-                got[k] = lo
+        for k, v in list(open_.items()):
+            if v[0] == v[1]:
+                got[k] = v[0]
                 del open_[k]
-        now = ranges()
-        wide = [(i, r) for i, r in enumerate(now) if r[4] > small]
+            elif v[1] / 2 - v[0] / 2 == 0.0:
+                close.add((k[0], *v))
+        wide = sorted({(c, *v) for (c, _), v in open_.items() if v[3] > small and (c, *v) not in close})
         if not wide:
             break
-        at = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), F.least(F.floor((x[c] - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).alias("b"), x[c].alias("x"))) for i, (c, lo, hi, _, _) in wide]
-        part = df.select(F.explode(F.array_compact(F.array(*at))).alias("r")).select("r.*").groupBy("i", "b").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("i", "b").collect()
-        for i, (c, lo, hi, before, n) in wide:
-            for k in [k for k, v in open_.items() if (k[0], *v) == (c, lo, hi, before, n)]:
-                at_ = before
-                for b in (b for b in part if b.i == i):
-                    if at_ + b.n > k[1]:
-                        open_[k] = (b.lo, b.hi, at_, b.n)
-                        break
-                    at_ += b.n
-    now = ranges()
-    if now:
-        at = [F.when(inside(c, lo, hi), F.struct(F.lit(i).alias("i"), x[c].alias("x"))) for i, (c, lo, hi, _, _) in enumerate(now)]
-        few = df.select(F.explode(F.array_compact(F.array(*at))).alias("r")).select("r.*").groupBy("i", "x").agg(F.count("*").alias("n")).orderBy("i", "x").collect()
-        for i, (c, lo, hi, before, n) in enumerate(now):
-            for k in [k for k, v in open_.items() if (k[0], *v) == (c, lo, hi, before, n)]:
-                at_ = before
-                for v in (v for v in few if v.i == i):
-                    at_ += v.n
-                    if at_ > k[1]:
-                        got[k] = v.x
-                        break
+        settle(wide, counted(wide, bucket, "b"), narrow)
+    few = sorted({(c, *v) for (c, _), v in open_.items()})
+    if few:
+        settle(few, counted(few, lambda c, lo, hi: (finite[c].alias("x"),), "x"), take)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         n = row[f"{i}n"]
@@ -88,7 +110,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], sma
         for p in ps:
             h = (n - 1) * p
             low, high = (got[c, int(h)], got[c, -int(-h // 1)]) if n else (None, None)
-            out[c].append(None if low is None else low + (high - low) * (h - int(h)))
+            part = h - int(h)
+            out[c].append(low if low is None or low == high or not part else low * (1 - part) + high * part if abs(high / 2 - low / 2) > 1e307 else low + (high - low) * part)
     return out
 
 
@@ -199,26 +222,28 @@ def dms(df: DataFrame, col: str, positive: str, negative: str) -> DataFrame:
 
 
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Absolute correlation of each pair ``v1 < v2`` over the rows where both are there; null for a constant or without such rows.
+    """Absolute correlation of each pair ``v1 < v2`` over the rows where both are finite; null for a constant or without such rows.
 
     One pass: each task adds up counts, sums, squares and products of all pairs
     of its rows, taken from the columns' means; those tables of pairs are summed.
     """
     names = sorted(cols)
     d = len(names)
-    mean = [m or 0.0 for m in df.agg(*[F.avg(F.col(c).cast("double")) for c in names]).first()]
+    x = [F.col(c).cast("double") for c in names]
+    x = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).alias(n) for n, c in zip(names, x)]
+    mean = [m or 0.0 for m in df.select(*x).agg(*[F.avg(c) for c in names]).first()]
     i, j = np.triu_indices(d, 1)
 
     def sums(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((6, d, d))
         for pdf in it:
-            x = pdf.to_numpy(float) - mean
-            there = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            total += [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x]
+            v = pdf.to_numpy(float) - mean
+            there = (~np.isnan(v)).astype(float)
+            v = np.nan_to_num(v)
+            total += [there.T @ there, v.T @ there, there.T @ v, (v * v).T @ there, there.T @ (v * v), v.T @ v]
         yield pd.DataFrame({"i": i, "j": j} | {k: t[i, j] for k, t in zip(("n", "x", "y", "xx", "yy", "xy"), total)})
 
-    part = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+    part = df.select(*x).mapInPandas(sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
     t = part.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")])
     vx, vy = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), F.col("n")), F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("n"))
     flat = (vx <= 1e-12 * F.col("xx")) | (vy <= 1e-12 * F.col("yy"))

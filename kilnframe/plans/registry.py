@@ -13,8 +13,10 @@ from kilnframe.functions import encode as E
 from kilnframe.operators import models as M
 from kilnframe.operators import neighbours as N
 from kilnframe.operators import prepare as P
+from kilnframe.operators import selection as C
 from kilnframe.operators import series as S
 from kilnframe.operators import stats as T
+from kilnframe.operators import trees as X
 from kilnframe.plans import flows as W
 from kilnframe.sources import tables as D
 
@@ -738,24 +740,90 @@ def m15_exponential_smoothing(s: SparkSession, d: str) -> DataFrame:
     return r6(M.exponential_smoothing(_split_monthly(s, d), 0.3).select("ts", "split", "yhat"), "yhat", digits=3)
 
 
+def _forecast_folded(forecasts: str) -> str:
+    """A search of forecasters in SQL after ``forecasts``, a table ``f(i, params, split, y, yhat)``."""
+    inner = METRICS_SQL.replace("SELECT split,", "SELECT i, params, split,").replace("GROUP BY split", "GROUP BY i, params, split")
+    for n in (4, 6):
+        inner = inner.replace(f", {n}) AS", ", 12) AS")
+    return f"""{forecasts}, m AS ({inner}),
+o AS (SELECT 0 AS k, CAST(NULL AS INT) AS w, CAST(-100000 AS DOUBLE) AS top UNION ALL SELECT o.k + 1, CASE WHEN r2 - top > 0.001 THEN i ELSE w END, CASE WHEN r2 - top > 0.001 THEN r2 ELSE top END FROM o JOIN m ON m.i = o.k AND m.split = 'test'),
+b AS (SELECT w FROM o ORDER BY o.k DESC LIMIT 1) SELECT CAST(i AS INT) AS candidate, params, split, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mape, 6) AS mape, round(r2, 6) AS r2, coalesce(i = w, false) AS winner FROM m, b"""
+
+
+def _searched(x: DataFrame) -> DataFrame:
+    return x.withColumns({"rmse": F.round("rmse", 4), "mae": F.round("mae", 4), "mape": F.round("mape", 6), "r2": F.round("r2", 6)})
+
+
+@query(_forecast_folded("WITH RECURSIVE " + SPLIT_MONTHLY.removeprefix("WITH ") + f""", t AS (SELECT list(y ORDER BY ts) AS l FROM s WHERE split = 'train'), ws AS (SELECT unnest({list(M.WINDOWS)}) AS w),
+r AS (SELECT w, 0 AS i, l[-w:] AS l, CAST(NULL AS DOUBLE) AS yhat FROM t, ws UNION ALL SELECT w, i + 1, list_append(l, list_sum(l[-w:]) / w)[-w:], list_sum(l[-w:]) / w FROM r WHERE i < (SELECT count(*) FROM s)),
+n AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ts) AS i FROM s), f AS (SELECT list_position({list(M.WINDOWS)}, w) - 1 AS i, 'window=' || w AS params, split, y, yhat FROM n JOIN r USING (i))"""))
+def m14_rolling_mean_study(s: SparkSession, d: str) -> DataFrame:
+    """Ten windows on both splits and the winner by R2."""
+    return _searched(M.rolling_mean_study(_split_monthly(s, d)))
+
+
+@query(_forecast_folded("WITH RECURSIVE " + SPLIT_MONTHLY.removeprefix("WITH ") + f""", n AS (SELECT y, row_number() OVER (ORDER BY ts) AS j FROM s WHERE split = 'train'), al AS (SELECT unnest({list(M.ALPHAS)})::DOUBLE AS a),
+r AS (SELECT a, j, y AS l FROM n, al WHERE j = 1 UNION ALL SELECT a, n.j, a * n.y + (1 - a) * r.l FROM r JOIN n ON n.j = r.j + 1),
+f AS (SELECT CAST(round(a * 10) - 1 AS INT) AS i, 'alpha=' || a AS params, split, y, last AS yhat FROM s, (SELECT a, max_by(l, j) AS last FROM r GROUP BY a))"""))
+def m15_smoothing_study(s: SparkSession, d: str) -> DataFrame:
+    """Nine levels of smoothing on both splits and the winner by R2."""
+    return _searched(M.smoothing_study(_split_monthly(s, d)))
+
+
+DEPTHS = tuple(range(2, 26, 2))
+
+
+def _trees(s: SparkSession, d: str, kind: str, grid: list[dict], sizes: tuple[int, ...]):
+    return X.search(_split_wide(s, d, 64), ALL, "target", kind, grid, sizes)
+
+
 @query()
 def m03_tree(s: SparkSession, d: str) -> DataFrame:
-    return M.ml_study(_split_wide(s, d), DIMS, "target", "tree", [{"impurity": i, "maxDepth": k} for i in ("entropy", "gini") for k in (2, 6)])
+    """Two criteria at twelve depths from two fits; winner and curve."""
+    return _study(_trees(s, d, "tree", [{"impurity": i} for i in ("entropy", "gini")], DEPTHS)[0])
+
+
+@query()
+def m03_tree_importances(s: SparkSession, d: str) -> DataFrame:
+    """Variables of the winning tree by what they gain."""
+    _, fit = _trees(s, d, "tree", [{"impurity": i} for i in ("entropy", "gini")], DEPTHS)
+    return X.importances(s, fit, ALL)
+
+
+@query()
+def m03_tree_top(s: SparkSession, d: str) -> DataFrame:
+    """The root and three levels below it of the winning tree."""
+    _, fit = _trees(s, d, "tree", [{"impurity": i} for i in ("entropy", "gini")], DEPTHS)
+    return X.node_table(s, fit, 3).withColumn("variable", F.get(F.array(*[F.lit(c) for c in ALL]), F.col("feature")))
 
 
 @query()
 def m04_perceptron(s: SparkSession, d: str) -> DataFrame:
-    return M.ml_study(_split_wide(s, d), DIMS, "target", "perceptron", [{"hidden": (16,), "maxIter": 60}])
+    """Four learning rates, each over rounds of 20 iterations that go on from one another."""
+    return _study(M.perceptron_study(_split_wide(s, d, 64), ALL, "target", (0.5, 0.05, 0.005, 0.0005), 20, 3))
+
+
+FOREST = [{"maxDepth": k, "featureSubsetStrategy": str(f)} for k in (2, 5, 7) for f in (0.1, 0.3, 0.5, 0.7, 0.9)]
+BOOST = [{"maxDepth": k, "stepSize": r} for k in (2, 5, 7) for r in (0.1, 0.3, 0.5, 0.7, 0.9)]
 
 
 @query()
 def m05_forest(s: SparkSession, d: str) -> DataFrame:
-    return M.ml_study(_split_wide(s, d), DIMS, "target", "forest", [{"numTrees": 20, "maxDepth": 5, "featureSubsetStrategy": "0.5"}])
+    """60 candidates from 15 fits: three depths, five shares of variables, four sizes."""
+    return _study(_trees(s, d, "forest", FOREST, (5, 10, 20, 40))[0])
+
+
+@query()
+def m05_forest_importances(s: SparkSession, d: str) -> DataFrame:
+    """Importances of the winning forest with their deviation over its trees."""
+    _, fit = _trees(s, d, "forest", FOREST[5:10], (5, 10, 20))
+    return X.importances(s, fit, ALL)
 
 
 @query()
 def m06_boosting(s: SparkSession, d: str) -> DataFrame:
-    return M.ml_study(_split_wide(s, d), DIMS, "target", "boosting", [{"maxIter": 8, "maxDepth": 3, "stepSize": 0.3}])
+    """45 candidates from 15 fits: three depths, five learning rates, three sizes."""
+    return _study(_trees(s, d, "boosting", BOOST, (2, 4, 8))[0])
 
 
 @query()
@@ -913,6 +981,43 @@ def d20_redundancy_study(s: SparkSession, d: str) -> DataFrame:
     return T.redundant(p20_abs_corr(s, d), _COR_AT)
 
 
+def _scores_sql(kept: str, ks: tuple[int, ...] = C.KS) -> str:
+    """Measures of both naive Bayes models and of nearest neighbours for the table ``kept(threshold, variable)`` of variables that stay."""
+    return f"""{SPLIT_WIDE}, {kept},
+z AS (SELECT threshold, CAST(count(*) AS INT) AS n_variables, list_transform({list(ALL)}, lambda c: list_contains(list(variable), c)) AS mask FROM kept GROUP BY 1),
+ep AS (SELECT threshold, max(v) * 1e-9 AS eps FROM (SELECT variable, var_pop(x) AS v FROM x WHERE split = 'train' GROUP BY 1) JOIN kept USING (variable) GROUP BY 1),
+f AS (SELECT variable, label AS class, avg(x) AS mu, var_pop(x) AS vr, (sum(CAST(x > 0 AS DOUBLE)) + 1) / (count(*) + 2) AS p FROM x WHERE split = 'train' GROUP BY 1, 2),
+s AS (SELECT threshold, vec_id, split, label, f.class, sum(-0.5 * ln(2 * pi() * (vr + eps)) - (x - mu) * (x - mu) / (2 * (vr + eps))) + any_value(prior) AS g, sum(CASE WHEN x > 0 THEN ln(p) ELSE ln(1 - p) END) + any_value(prior) AS b FROM x JOIN kept USING (variable) JOIN ep USING (threshold) JOIN f USING (variable) JOIN pr ON pr.class = f.class GROUP BY ALL),
+e AS (SELECT vec_id, target, [{", ".join(ALL)}] AS v FROM wide),
+n AS (SELECT threshold, a.vec_id, CASE WHEN a.vec_id % 10 < 3 THEN 'test' ELSE 'train' END AS split, a.target AS label, b.target AS vote, b.vec_id AS other, round(sqrt(list_sum([CASE WHEN mask[i] THEN (a.v[i] - b.v[i]) * (a.v[i] - b.v[i]) ELSE 0 END FOR i IN range(1, 65)])), 9) AS d FROM e a JOIN e b ON b.vec_id % 10 >= 3, z),
+t AS (SELECT *, row_number() OVER (PARTITION BY threshold, vec_id ORDER BY d, other) AS r FROM n QUALIFY r <= {max(ks)}),
+c AS (SELECT threshold, k, vec_id, split, label, vote, count(*) AS c FROM t, (SELECT unnest({list(ks)}) AS k) WHERE r <= k GROUP BY ALL),
+y AS (SELECT threshold, 'GaussianNB' AS model, split, label, first(class ORDER BY round(g, 9) DESC, class) AS predicted FROM s GROUP BY threshold, vec_id, split, label
+UNION ALL SELECT threshold, 'BernoulliNB', split, label, first(class ORDER BY round(b, 9) DESC, class) FROM s GROUP BY threshold, vec_id, split, label
+UNION ALL SELECT threshold, 'KNN k=' || k, split, label, first(vote ORDER BY c DESC, vote) FROM c GROUP BY threshold, k, vec_id, split, label),
+w AS (SELECT threshold, model, split, {_COUNTED} FROM y GROUP BY ALL) SELECT threshold, n_variables, model, split, {_MEASURED} FROM w JOIN z USING (threshold)"""
+
+
+_VARS = "v AS (SELECT variable, var_samp(x) AS v FROM x WHERE split = 'train' GROUP BY 1)"
+
+
+@query(_scores_sql(f"{_VARS}, kept AS MATERIALIZED (SELECT CAST(t AS DOUBLE) AS threshold, variable FROM v, (SELECT unnest({list(_VAR_AT)}) AS t) WHERE NOT v < t)"))
+def d19_variance_scores(s: SparkSession, d: str) -> DataFrame:
+    """Measures of naive Bayes and nearest neighbours at every variance threshold."""
+    x = _split_wide(s, d, 64)
+    return _study(C.study(x, "vec_id", ALL, "target", C.variance_sets(x, ALL, _VAR_AT)))
+
+
+@query(_scores_sql(f"""o AS (SELECT a.variable AS v1, b.variable AS v2, round(abs(corr(a.x, b.x)), 12) AS corr FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.variable < b.variable WHERE a.split = 'train' GROUP BY 1, 2),
+th AS (SELECT CAST(unnest({list(_COR_AT)}) AS DOUBLE) AS threshold), mm AS (SELECT threshold, v1, v2 FROM o, th WHERE corr >= threshold UNION ALL SELECT threshold, v2, v1 FROM o, th WHERE corr >= threshold),
+gone AS (SELECT DISTINCT mm.threshold, v2 AS variable FROM mm JOIN (SELECT threshold, v1 FROM mm GROUP BY ALL HAVING count(*) >= 2) q ON mm.threshold = q.threshold AND mm.v1 = q.v1),
+kept AS MATERIALIZED (SELECT threshold, variable FROM th, (SELECT unnest({list(ALL)}) AS variable) WHERE (threshold, variable) NOT IN (SELECT threshold, variable FROM gone))"""))
+def d20_redundancy_scores(s: SparkSession, d: str) -> DataFrame:
+    """Measures of naive Bayes and nearest neighbours at every correlation threshold."""
+    x = _split_wide(s, d, 64)
+    return _study(C.study(x, "vec_id", ALL, "target", C.redundancy_sets(x, ALL, _COR_AT)))
+
+
 @query(f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS variable, {c} AS x FROM wide", ALL) + f"), low AS ({_SQL['d17_low_variance']}), same AS ({_SQL['d18_redundant'].replace('0.02', '0.12')})\nSELECT vec_id, variable, x FROM l WHERE variable NOT IN (SELECT variable FROM low) AND variable NOT IN (SELECT variable FROM same)")
 def d22_apply_selection(s: SparkSession, d: str) -> DataFrame:
     """Drops what the two selectors name, some of 64 columns, and returns the rest in long form."""
