@@ -65,15 +65,23 @@ def truncate_outliers(df: DataFrame, bounds: Mapping[str, tuple[float, float, fl
     return df.withColumns({c: F.when(F.col(c) > top, F.lit(top)).when(F.col(c) < low, F.lit(low)).otherwise(F.col(c).cast("double")) for c, (low, top, _) in bounds.items()})
 
 
-def scale(df: DataFrame, cols: Sequence[str], how: str = "zscore", scope: str = "all") -> DataFrame:
-    """``zscore`` with the population deviation, or ``minmax``; a constant column becomes 0."""
-    t = fit_scope(df, scope)
-    p = t.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]).first()
+def fit_scale(df: DataFrame, cols: Sequence[str], how: str = "zscore", scope: str = "all") -> dict[str, tuple[float | None, float]]:
+    """Per column what to take off and what to divide by: mean and population deviation, or minimum and range; a constant column divides by 1."""
+    p = fit_scope(df, scope).agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]).first()
     out = {}
     for c in cols:
         a, b = (p[f"{c}__m"], p[f"{c}__s"]) if how == "zscore" else (p[f"{c}__lo"], None if p[f"{c}__hi"] is None else p[f"{c}__hi"] - p[f"{c}__lo"])
-        out[c] = (F.col(c) - F.lit(a)) / F.lit(float(b) if b else 1.0)
-    return df.withColumns(out)
+        out[c] = (a, float(b) if b else 1.0)
+    return out
+
+
+def apply_scale(df: DataFrame, by: Mapping[str, Sequence[float | None]]) -> DataFrame:
+    return df.withColumns({c: (F.col(c) - F.lit(a)) / F.lit(b) for c, (a, b) in by.items()})
+
+
+def scale(df: DataFrame, cols: Sequence[str], how: str = "zscore", scope: str = "all") -> DataFrame:
+    """``zscore`` with the population deviation, or ``minmax``; a constant column becomes 0."""
+    return apply_scale(df, fit_scale(df, cols, how, scope))
 
 
 def draw(key: Column | str, seed: int | str) -> Column:
@@ -101,10 +109,11 @@ def ranks(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return x.join(F.broadcast(n), "_b").withColumn("rank", (F.col("_before") + r).cast("long")).drop("_h", "_b", "_before")
 
 
-def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` draws from all rows: draw ``i`` takes the row whose rank is ``floor(u(i) * rows)``."""
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42, number: str | None = None) -> DataFrame:
+    """``n`` draws from all rows: draw ``i`` takes the row whose rank is ``floor(u(i) * rows)``; ``number`` names a column for ``i``."""
     size = df.count()
-    d = df.sparkSession.range(n).select(F.floor(draw("id", seed) * size).cast("long").alias("rank"))
+    i = [F.col("id").alias(number)] if number else []
+    d = df.sparkSession.range(n).select(F.floor(draw("id", seed) * size).cast("long").alias("rank"), *i)
     return d.join(ranks(df, key, seed), "rank").drop("rank")
 
 
@@ -200,6 +209,30 @@ def knn_fill(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> DataFr
     return met.select(*[F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), F.col("_kiln_fill")[c]).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def balanced(df: DataFrame, key: str, cols: Sequence[str], target: str, how: str, seed: int = 42) -> DataFrame:
+    """Rows ``(key, cols, target)`` with classes of one size by ``undersampling``, ``oversampling`` or ``smote``.
+
+    ``key`` must be a whole number; drawn and new rows get keys above the
+    largest, in an order that doesn't depend on partitioning. SMOTE is for two
+    classes and leaves a minority of fewer than two rows as it is.
+    """
+    x = df.select(key, *cols, target)
+    if how == "undersampling":
+        return undersample(x, key, target, seed)
+    n = class_sizes(x, target)
+    if len(n) < 2:
+        return x
+    low, most, top = min(n, key=lambda k: (n[k], k)), max(n.values()), x.agg(F.max(key)).first()[0]
+    if how == "oversampling":
+        new = sample_with_replacement(x.where(F.col(target) == low), key, most, seed, "_kiln_draw").withColumn(key, F.col("_kiln_draw") + F.lit(top + 1)).drop("_kiln_draw")
+        return x.where(F.col(target) != low).unionByName(new.select(*x.columns))
+    new = ranks(smote(x, key, cols, target, low, seed=seed).withColumn("_kiln_row", F.concat_ws(":", key, "copy")), "_kiln_row", seed)
+    kinds = dict(x.dtypes)
+    new = new.withColumn(key, F.col("rank") + F.lit(top + 1)).withColumn(target, F.lit(low).cast(kinds[target]))
+    wide = x.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in cols], target)
+    return wide.unionByName(new.select(*wide.columns))
+
+
 def variance_thresholds(most: float, step: float) -> list[float]:
     """``step, 2 * step, ...`` up to ``most``, to three digits."""
     return [round(i * step, 3) for i in range(1, int(-(-most // step) + 1)) if i * step <= most + 1e-9]

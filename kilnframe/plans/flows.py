@@ -48,10 +48,10 @@ def scaling_study(df: DataFrame, key: str, cols: Sequence[str], target: str) ->
 
 
 def balancing_study(df: DataFrame, key: str, cols: Sequence[str], target: str) -> DataFrame:
-    train, test = df.where("split = 'train'"), df.where("split = 'test'")
-    under = lambda _: P.undersample(train, key, target).unionByName(test)
-    over = lambda _: P.oversample(train, key, target).withColumn(key, F.monotonically_increasing_id() * 2 + 1_000_000_000).unionByName(test)
-    return techniques(df, {"Undersampling": under, "Oversampling": over}, lambda x: classified(x, key, cols, target))
+    """Training rows balanced in three ways; the test rows stay."""
+    train, test = df.where("split = 'train'"), df.where("split = 'test'").select(key, *cols, target, "split")
+    way = lambda how: lambda _: P.balanced(train, key, cols, target, how).withColumn("split", F.lit("train")).unionByName(test)
+    return techniques(df, {"Undersampling": way("undersampling"), "Oversampling": way("oversampling"), "SMOTE": way("smote")}, lambda x: classified(x, key, cols, target))
 
 
 def forecast_study(series: DataFrame, window: int = 5, alpha: float = 0.3) -> DataFrame:

@@ -17,8 +17,10 @@ from kilnframe.operators import selection as C
 from kilnframe.operators import series as S
 from kilnframe.operators import stats as T
 from kilnframe.operators import trees as X
+from kilnframe.plans import chain as H
 from kilnframe.plans import flows as W
 from kilnframe.sources import tables as D
+from kilnframe.sources.shared import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -27,6 +29,7 @@ NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 SERIES = ("y", "x")
 DIMS = tuple(f"e{i}" for i in range(8))
 ALL = tuple(f"e{i}" for i in range(64))
+_GAPS = {"e0": 11, "e9": 7, "e40": 13}
 
 
 def query(sql: str | None = None):
@@ -945,7 +948,6 @@ def d05_impute_frequent(s: SparkSession, d: str) -> DataFrame:
     return r6(P.fill(x, P.fit_fill(x, ["l_tax"], ["band"])), "l_tax")
 
 
-_GAPS = {"e0": 11, "e9": 7, "e40": 13}
 _THERE = " + ".join(f"coalesce((a.{c} - b.{c}) * (a.{c} - b.{c}), 0)" for c in ALL)
 _BOTH = " + ".join(f"CAST(a.{c} IS NOT NULL AND b.{c} IS NOT NULL AS INT)" for c in ALL)
 
@@ -1018,6 +1020,21 @@ def d20_redundancy_scores(s: SparkSession, d: str) -> DataFrame:
     return _study(C.study(x, "vec_id", ALL, "target", C.redundancy_sets(x, ALL, _COR_AT)))
 
 
+@query()
+def d30_classification_chain(s: SparkSession, d: str) -> DataFrame:
+    """Five stages, each going on from the winner of the one before; a row for each technique."""
+    x = _split_wide(s, d, 64).withColumns({c: F.when(F.col("vec_id") % k == 0, None).otherwise(F.col(c)) for c, k in _GAPS.items()})
+    t = H.Table(x, "vec_id", ALL, "target")
+    return H.run(t, H.classification_stages((0.013, 0.015, 0.017, 0.02), (0.1, 0.15, 0.3)), H.classification_scores(), folder(s, "chain"))[1]
+
+
+@query()
+def d30_forecast_chain(s: SparkSession, d: str) -> DataFrame:
+    """Aggregation, scaling, smoothing and differences of the daily series; a row for each technique."""
+    t = H.Table(P.split_temporal(D.daily(s, d), "ts", 0.9), "ts", ("y", "x"), "y")
+    return H.run(t, H.forecast_stages(), H.forecast_scores, folder(s, "chain"))[1]
+
+
 @query(f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS variable, {c} AS x FROM wide", ALL) + f"), low AS ({_SQL['d17_low_variance']}), same AS ({_SQL['d18_redundant'].replace('0.02', '0.12')})\nSELECT vec_id, variable, x FROM l WHERE variable NOT IN (SELECT variable FROM low) AND variable NOT IN (SELECT variable FROM same)")
 def d22_apply_selection(s: SparkSession, d: str) -> DataFrame:
     """Drops what the two selectors name, some of 64 columns, and returns the rest in long form."""
