@@ -1,10 +1,13 @@
 """Nearest neighbours by cross-polytope hashing.
 
-A table turns unit vectors by two fast pseudo-rotations; the nearest signed axis
-of each joins to a code, so 64 dimensions have up to 128 x 128 cells; the second
-one uses as many of its axes as there are vectors to fill the cells. A query
-probes in each table the cells whose two axes are nearest to it together, a
-share of all cells that falls with about the root of their number. Cells are
+Stored vectors are indexed apart by ranges of their norms, a third of an octave
+each, so that within a range the largest inner products are nearly those of the
+smallest angles; a query probes every range. A table turns unit vectors by three
+fast pseudo-rotations; the nearest signed axis of each joins to a code, so 64
+dimensions have up to 128 x 128 x 128 cells; the second and third use as many of
+their axes as a range has vectors to fill the cells. A query probes in each
+table the cells whose axes are nearest to it together, a share of all cells that
+falls with about the root of their number. Cells are
 dealt into blocks by their own counts, whole cells while they are small; a query
 goes once to each block that has vectors of its cells. A block scores the
 queries with the vectors of the cells they probe, on the original components,
@@ -32,20 +35,37 @@ AXES = 24
 BEST = "query_id long, ids array<long>, scores array<double>"
 
 
+#: Vectors are indexed by norm in ranges of a third of an octave below the largest; the last range holds all that is smaller.
+RANGES = 16
+
+
 def second_axes(n: int, dim: int) -> int:
-    """How many axes of the second rotation are used for ``n`` vectors."""
+    """How many cells a first axis is divided into for ``n`` vectors: axes of the second rotation, and when all are used, pairs of them and axes of the third."""
     whole = 2 << (dim - 1).bit_length()
     m = 1
-    while 2 * m * whole * FILL <= n and m < whole:
+    while 2 * m * whole * FILL <= n and m < whole * whole:
         m *= 2
     return m
 
 
-def _signed(x: np.ndarray, table: int, second: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's closeness to the signed axes of a table's two rotations."""
-    a, b = (rotated(x, 7_000 + 2 * table + k) for k in range(2))
-    b = b[:, : second // 2]
-    return np.concatenate([a, -a], 1), np.concatenate([b, -b], 1) if second > 1 else np.zeros((len(x), 1))
+def ranges(norm: np.ndarray, largest: float) -> np.ndarray:
+    """The range of each norm: 0 for the largest, rounded, so that norms equal but for rounding share one."""
+    return np.clip(np.rint(-3.0 * np.log2(norm / largest)), 0, RANGES - 1).astype(np.int64)
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1)
+    return np.linalg.norm(x / top[:, None], axis=1) * top
+
+
+def _signed(x: np.ndarray, table: int, second: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each unit vector's closeness to the signed axes of a table's three rotations."""
+    whole = 2 << (x.shape[1] - 1).bit_length()
+    a, b, c = (rotated(x, seed) for seed in (7_000 + 2 * table, 7_001 + 2 * table, 70_000 + table))
+    b = b[:, : min(second, whole) // 2]
+    c = c[:, : second // whole // 2]
+    both = lambda y: np.concatenate([y, -y], 1) if y.shape[1] else np.zeros((len(y), 1))
+    return both(a), both(b), both(c)
 
 
 def _top(s: np.ndarray, k: int) -> np.ndarray:
@@ -57,43 +77,78 @@ def _top(s: np.ndarray, k: int) -> np.ndarray:
 
 
 def own_cells(x: np.ndarray, table: int, second: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two nearest axes of each unit vector."""
-    a, b = _signed(x, table, second)
-    return a.argmax(1), b.argmax(1)
+    """The nearest axis of each vector, and the number of its cell there: nearest axes of the second and third rotation."""
+    a, b, c = _signed(x, table, second)
+    return a.argmax(1), b.argmax(1) * c.shape[1] + c.argmax(1)
 
 
 def probed_cells(x: np.ndarray, table: int, second: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two axes of each of the cells with the largest sums of closeness: ``probes``, and more as cells get more."""
-    a, b = _signed(x, table, second)
+    """The cells with the largest sums of closeness: ``probes``, and more as cells get more."""
+    if len(x) > 256:
+        parts = [probed_cells(x[i : i + 256], table, second, probes) for i in range(0, len(x), 256)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    a, b, c = _signed(x, table, second)
     probes = int(probes * second**0.49)
-    i, j = _top(a, AXES), _top(b, AXES)
-    m = j.shape[1]
-    both = np.take_along_axis(a, i, 1)[:, :, None] + np.take_along_axis(b, j, 1)[:, None, :]
+    j, k = _top(b, AXES), _top(c, AXES)
+    inner = np.take_along_axis(b, j, 1)[:, :, None] + np.take_along_axis(c, k, 1)[:, None, :]
+    cell = (j[:, :, None] * c.shape[1] + k[:, None, :]).reshape(len(x), -1)
+    inner = inner.reshape(len(x), -1)
+    best = _top(inner, 8 * AXES)  # pairs of axes, from the closest down
+    inner, cell = np.take_along_axis(inner, best, 1), np.take_along_axis(cell, best, 1)
+    i = _top(a, 2 * AXES)
+    m = cell.shape[1]
+    both = np.take_along_axis(a, i, 1)[:, :, None] + inner[:, None, :]
     p = _top(both.reshape(len(x), -1), probes)
-    return np.take_along_axis(i, p // m, 1), np.take_along_axis(j, p % m, 1)
+    return np.take_along_axis(i, p // m, 1), np.take_along_axis(cell, p % m, 1)
 
 
-def _placed(n: int, tables: int, probes: int):
-    """``(cell, axis, vec_id, v)`` for each cell of a vector; ``cell`` names dimension, table and first axis. Probed second axes come as one list."""
+def _placed(largest: dict[int, float], sizes: dict[tuple[int, int], int], tables: int, probes: int):
+    """``(cell, axis, vec_id, v)`` for each cell of a vector; ``cell`` names dimension, table, range of norms and first axis. Probed cells of a first axis come as one list; every range is probed."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for dim, g in pdf.groupby("dim"):
-                v, ids = g.v.to_numpy(), g.vec_id.to_numpy()
-                x, second = unit(np.stack(v).astype(np.float64)), second_axes(n, int(dim))
-                for t in range(tables):
-                    base = (int(dim) << 40) + (t << 32)
-                    if not probes:
-                        i, j = own_cells(x, t, second)
-                        yield pd.DataFrame({"cell": base + i, "axis": j.astype(np.int32), "vec_id": ids, "v": v})
+                dim, v, ids = int(dim), g.v.to_numpy(), g.vec_id.to_numpy()
+                raw = np.stack(v).astype(np.float64)
+                x, mine = unit(raw), ranges(norms(raw), largest[dim])
+                for (d, part), n in sizes.items():
+                    rows = np.flatnonzero(mine == part) if not probes else np.arange(len(x))
+                    if d != dim or not len(rows):
                         continue
-                    i, j = probed_cells(x, t, second, probes)
-                    rows = [(base + int(first), j[r][i[r] == first], ids[r], v[r]) for r in range(len(x)) for first in np.unique(i[r])]
-                    yield pd.DataFrame(rows, columns=["cell", "axes", "vec_id", "v"])
+                    second = second_axes(n, dim)
+                    for t in range(tables):
+                        base = (dim << 40) + (t << 32) + (part << 28)
+                        if not probes:
+                            i, j = own_cells(x[rows], t, second)
+                            yield pd.DataFrame({"cell": base + i, "axis": j.astype(np.int32), "vec_id": ids[rows], "v": v[rows]})
+                            continue
+                        i, j = probed_cells(x, t, second, probes)
+                        out = [(base + int(first), j[r][i[r] == first], ids[r], v[r]) for r in range(len(x)) for first in np.unique(i[r])]
+                        yield pd.DataFrame(out, columns=["cell", "axes", "vec_id", "v"])
 
     return run
 
 
+def _sizes(all_: DataFrame) -> tuple[dict[int, float], dict[tuple[int, int], int]]:
+    """The largest norm of each length of vectors, and how many vectors each range of norms has; a few numbers a length."""
+
+    def top(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for dim, g in pdf.groupby("dim"):
+                yield pd.DataFrame({"dim": [int(dim)], "norm": [norms(np.stack(g.v.to_numpy()).astype(np.float64)).max()]})
+
+    largest = {r.dim: r.norm for r in all_.select("v", "dim").mapInPandas(top, "dim int, norm double").groupBy("dim").agg(F.max("norm").alias("norm")).collect()}
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for dim, g in pdf.groupby("dim"):
+                part, n = np.unique(ranges(norms(np.stack(g.v.to_numpy()).astype(np.float64)), largest[int(dim)]), return_counts=True)
+                yield pd.DataFrame({"dim": int(dim), "part": part, "n": n})
+
+    found = all_.select("v", "dim").mapInPandas(count, "dim int, part int, n long").groupBy("dim", "part").agg(F.sum("n").alias("n")).collect()
+    return largest, {(r.dim, r.part): r.n for r in sorted(found, key=lambda r: (r.dim, r.part))}
+
+
 def _nearest(own: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, lists: list[np.ndarray] | None, axis: np.ndarray | None, k: int) -> pd.DataFrame:
     """The ``k`` best of a block for each query: of all its vectors, or of those whose axis is in the query's list."""
     out = []
@@ -174,10 +229,10 @@ def candidates(vectors: DataFrame, is_query: F.Column, tables: int = TABLES, pro
     """
     kind = vectors.schema["embedding"].dataType  # components travel as they came and become doubles where they are used
     all_ = saved(usable(vectors).select("vec_id", F.col("v").cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"), F.size("v").alias("dim")))
-    v, n = kind.simpleString(), all_.count()
-    index = all_.select("vec_id", "v", "dim").mapInPandas(_placed(n, tables, 0), f"cell long, axis int, vec_id long, v {v}")
-    asked = all_.where("q").select("vec_id", "v", "dim").mapInPandas(_placed(n, tables, probes), f"cell long, axes array<int>, vec_id long, v {v}")
-    counts = all_.select("vec_id", "v", "dim").mapInPandas(_placed(n, tables, 0), f"cell long, axis int, vec_id long, v {v}").groupBy("cell", "axis").agg(F.count("*").alias("m"))
+    v, (largest, sizes) = kind.simpleString(), _sizes(all_)
+    index = all_.select("vec_id", "v", "dim").mapInPandas(_placed(largest, sizes, tables, 0), f"cell long, axis int, vec_id long, v {v}")
+    asked = all_.where("q").select("vec_id", "v", "dim").mapInPandas(_placed(largest, sizes, tables, probes), f"cell long, axes array<int>, vec_id long, v {v}")
+    counts = all_.select("vec_id", "v", "dim").mapInPandas(_placed(largest, sizes, tables, 0), f"cell long, axis int, vec_id long, v {v}").groupBy("cell", "axis").agg(F.count("*").alias("m"))
     before = F.sum("m").over(Window.partitionBy("cell").orderBy("axis").rowsBetween(Window.unboundedPreceding, -1))
     s = F.ceil(F.col("m") / block).cast("int")
     turn = F.when(s > 1, -1 - F.col("axis")).otherwise(F.floor(F.coalesce(before, F.lit(0)) / block).cast("int"))

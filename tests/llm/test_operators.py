@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,7 +326,7 @@ def test_the_index_is_selective():
     """Recall against all inner products, and the share of all vectors that are candidates, on 50,000 unit vectors without any structure."""
     rng = np.random.default_rng(11)
     x = vector_tools.unit(rng.standard_normal((50_000, 64)))
-    assert [crosspolytope.second_axes(n, 64) for n in (0, 500, 2_000, 50_000, 10**9)] == [1, 1, 4, 128, 128]
+    assert [crosspolytope.second_axes(n, 64) for n in (0, 500, 2_000, 50_000, 200_000, 10**9)] == [1, 1, 4, 128, 512, 16384]
     q = np.arange(0, 50_000, 500)
     found = [set() for _ in q]
     for t in range(crosspolytope.TABLES):
@@ -468,3 +469,25 @@ def test_licences_wrapped(spark):
     assert [(got[100 + k].families, got[100 + k].n_licensed) for k in range(len(long))] == [(f, 1) for f, _ in long]
     assert (got[200].families, got[200].n_licensed) == ("CC-BY,MIT", 2)
     assert all(got[i].n_licensed == 0 for i in range(30))
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.5])
+def test_polytope_recall_by_inner_product(spark, sigma):
+    """Norms of all sizes: most of the 20 largest inner products are found, among far fewer than all vectors, and scores are exact."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 32))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, sigma, (6000, 1))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": x.tolist()})).repartition(4)
+    got = crosspolytope.search(df, F.col("vec_id") % 100 == 0, k=20).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        ip = x @ x[q]
+        ip[q] = -np.inf
+        hit += len(set(np.argsort(-ip)[:20]) & set(g.vec_id))
+        assert np.allclose(g.sort_values("rank").score, ip[g.sort_values("rank").vec_id])
+    assert hit / (60 * 20) >= 0.9
+
+
+def test_ranges_of_norms():
+    assert crosspolytope.ranges(np.array([1.0, 1.0 - 1e-9, 0.8, 0.5, 1e-9]), 1.0).tolist() == [0, 0, 1, 3, crosspolytope.RANGES - 1]
+    assert np.allclose(crosspolytope.norms(np.array([[3e300, 4e300], [3e-300, 4e-300]])), [5e300, 5e-300])
