@@ -162,14 +162,55 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
 
 
-def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
-    """Equal bins, the last one closed; by default ``max(10, min(100, int(range / 1000)))`` of them."""
+def histogram(df: DataFrame, col: str, bins: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Equal bins, the last one closed; by default ``max(10, min(100, int(range / 1000)))`` of them. With ``by`` each group has its own range."""
     x = F.col(col).cast("double")
-    s = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    s = df.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     k = F.lit(bins) if bins else F.greatest(F.lit(10), F.least(F.lit(100), ((F.col("hi") - F.col("lo")) / 1000).cast("int")))
     s = s.withColumn("bins", k.cast("int"))
     i = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)).cast("int")
-    return df.where(x.isNotNull()).crossJoin(F.broadcast(s)).groupBy(i.alias("bin"), "lo", "hi", "bins").agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.col("bins")).alias("left_edge"), "n")
+    met = df.where(x.isNotNull()).join(s, list(by)) if by else df.where(x.isNotNull()).crossJoin(F.broadcast(s))
+    return met.groupBy(*by, i.alias("bin"), "lo", "hi", "bins").agg(F.count("*").alias("n")).select(*by, "bin", (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / F.col("bins")).alias("left_edge"), "n")
+
+
+def pair_counts(df: DataFrame, cols: Sequence[str], bins: int = 10, target: str | None = None) -> DataFrame:
+    """``(v1, v2[, target], x_bin, y_bin, n)``: how the rows of each pair of columns lie in equal bins of their ranges, empty cells left out.
+
+    Two passes: the ranges, then counts that each task adds up in tables of bins
+    by bins (as products of indicator matrices, for any number of columns). A row
+    counts for a pair if both values are finite; ``target`` is a whole number, of
+    which a task holds a table for each value it meets, null among them.
+    """
+    names = sorted(cols)
+    d = len(names)
+    x = [F.col(c).cast("double") for c in names]
+    x = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).alias(n) for n, c in zip(names, x)]
+    row = df.select(*x).agg(F.array(*[F.min(c) for c in names]).alias("lo"), F.array(*[F.max(c) for c in names]).alias("hi")).first()
+    lo, hi = (np.array([np.nan if v is None else v for v in r], float) for r in (row.lo, row.hi))
+    i, j = np.triu_indices(d, 1)
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[object, np.ndarray] = {}
+        for pdf in it:
+            of = pdf["_of"].astype("Int64")
+            for k in of.unique():
+                v = pdf.loc[of.isna() if pd.isna(k) else (of == k).fillna(False), names].to_numpy(float)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    b = np.where(hi == lo, 0, np.minimum(np.floor((v - lo) / (hi - lo) * bins), bins - 1))
+                flat = np.concatenate([(b == c) & ~np.isnan(v) for c in range(bins)], 1).astype(np.float32)
+                t = total.setdefault(None if pd.isna(k) else int(k), np.zeros((bins * d, bins * d), np.int64))
+                for a in range(0, len(flat), 1 << 20):
+                    t += np.rint(flat[a : a + (1 << 20)].T @ flat[a : a + (1 << 20)]).astype(np.int64)
+        for k, t in total.items():
+            cell = t.reshape(bins, d, bins, d)[:, i, :, j]  # pair, bin of v1, bin of v2
+            p, p1, p2 = np.nonzero(cell)
+            out = pd.DataFrame({"i": i[p], "j": j[p], "_of": k, "x_bin": p1, "y_bin": p2, "n": cell[p, p1, p2]})
+            yield out.astype({"_of": "Int64"})
+
+    part = df.select(*x, (F.col(target) if target else F.lit(0)).cast("long").alias("_of")).mapInPandas(count, "i int, j int, _of long, x_bin int, y_bin int, n long")
+    t = part.groupBy("i", "j", "_of", "x_bin", "y_bin").agg(F.sum("n").alias("n"))
+    at = F.array(*[F.lit(c) for c in names])
+    return t.select(at[F.col("i")].alias("v1"), at[F.col("j")].alias("v2"), *([F.col("_of").alias(target)] if target else []), "x_bin", "y_bin", "n")
 
 
 def thresholds(df: DataFrame, cols: Sequence[str], std_k: float = 2.0, iqr_k: float = 1.5) -> DataFrame:

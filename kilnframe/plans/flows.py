@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from kilnframe.operators import models as M
 from kilnframe.operators import prepare as P
+from kilnframe.operators import selection as C
 from kilnframe.operators import series as S
 
 
-def techniques(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], measure: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def techniques(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], measure: Callable[[DataFrame], DataFrame], original: bool = True) -> DataFrame:
     """Each technique's metrics: ``technique`` and the columns of ``measure``. A name leads to its own frame and no other."""
     out = None
-    for name, step in {"Original": lambda x: x, **steps}.items():
+    for name, step in {**({"Original": lambda x: x} if original else {}), **steps}.items():
         m = measure(step(df)).withColumn("technique", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
@@ -23,17 +24,16 @@ def techniques(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]]
 
 def classified(df: DataFrame, key: str, cols: Sequence[str], target: str, k: int = 5) -> DataFrame:
     """Metrics of naive Bayes and of nearest neighbours, for rows with a ``split``."""
-    nb = M.class_metrics(M.gaussian_nb(df, key, cols, target), "label", "predicted", ["split"]).withColumn("model", F.lit("NB"))
+    counted = C.naive_bayes_sets(df, cols, target, {"all": list(cols)})
+    nb = M.class_metrics(counted, "label", "predicted", ["split"], "n").withColumn("model", F.lit("NB"))
     kn = M.class_metrics(M.knn(df, key, cols, target, (k,)), "label", "predicted", ["split"]).withColumn("model", F.lit("KNN"))
     return nb.unionByName(kn)
 
 
 def imputation_study(df: DataFrame, key: str, cols: Sequence[str], target: str) -> DataFrame:
     filled = lambda how: lambda x: P.fill(x, P.fit_fill(x, cols, [], how, "train"))
-    start = df.na.drop(subset=list(cols))
-    return techniques(start, {}, lambda x: classified(x, key, cols, target)).withColumn("technique", F.lit("Remove")).unionByName(
-        techniques(df, {"Mean": filled("mean"), "Median": filled("median")}, lambda x: classified(x.na.drop(subset=list(cols)), key, cols, target)).where("technique <> 'Original'")
-    )
+    ways = {"Remove": lambda x: x.na.drop(subset=list(cols)), "Mean": filled("mean"), "Median": filled("median")}
+    return techniques(df, ways, lambda x: classified(x, key, cols, target), original=False)
 
 
 def outlier_study(df: DataFrame, key: str, cols: Sequence[str], target: str, k: float = 5.0) -> DataFrame:

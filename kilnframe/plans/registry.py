@@ -231,6 +231,24 @@ def p19_sparsity_per_class(s: SparkSession, d: str) -> DataFrame:
     return D.table(s, d, "lineitem").groupBy("l_returnflag", F.floor(F.col("l_quantity") / 5).cast("int").alias("x_bin"), F.floor(F.col("l_extendedprice") / 10000).cast("int").alias("y_bin")).agg(F.count("*").alias("n"))
 
 
+_PAIRS = f"""WITH {D.wide_sql(range(64))}, l AS (""" + union("SELECT vec_id, target, '{c}' AS v, {c} AS x FROM wide", ALL) + """), r AS (SELECT v, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1),
+g AS (SELECT vec_id, target, v, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / (hi - lo) * 10), 9) END AS INT) AS b FROM l JOIN r USING (v))
+"""
+
+
+@query(_PAIRS + "SELECT a.v AS v1, b.v AS v2, a.b AS x_bin, b.b AS y_bin, count(*) AS n FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.v < b.v GROUP BY ALL")
+def p18_sparsity_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Counts of ten by ten bins for all 2,016 pairs of components."""
+    return T.pair_counts(D.wide(s, d, range(64)), ALL)
+
+
+@query(_PAIRS + "SELECT a.v AS v1, b.v AS v2, CAST(a.target AS BIGINT) AS target, a.b AS x_bin, b.b AS y_bin, count(*) AS n FROM g a JOIN g b ON a.vec_id = b.vec_id AND a.v < b.v GROUP BY ALL")
+def p19_sparsity_pairs_per_class(s: SparkSession, d: str) -> DataFrame:
+    """The same by class."""
+    return T.pair_counts(D.wide(s, d, range(64)), ALL, target="target")
+
+
+
 CORR_SQL = f"WITH {D.wide_sql(range(64))}, l AS (" + union("SELECT vec_id, '{c}' AS v, {c} AS x FROM wide", ALL) + ")\nSELECT a.v AS v1, b.v AS v2, round(abs(corr(a.x, b.x)), 6) AS corr FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.v < b.v GROUP BY 1, 2"
 
 
@@ -288,9 +306,14 @@ def p28_describe_by_granularity(s: SparkSession, d: str) -> DataFrame:
     return r6(x.select("level", "variable", "count", "mean", "std", "p50"), "mean", "std", "p50", digits=3)
 
 
-@query(WITH_MONTHLY + "SELECT CAST(least(floor((y - lo) / (hi - lo) * 10), 9) AS INT) AS bin, round(lo + CAST(least(floor((y - lo) / (hi - lo) * 10), 9) AS INT) * (hi - lo) / 10, 3) AS left_edge, count(*) AS n FROM monthly, (SELECT min(y) AS lo, max(y) AS hi FROM monthly) GROUP BY 1, 2")
+_LEVELS = {"W": "week", "M": "month", "Q": "quarter"}
+
+
+@query(WITH_DAILY + ", a AS (" + "\nUNION ALL ".join(f"SELECT '{v}' AS level, sum(y) AS y FROM daily GROUP BY date_trunc('{n}', ts)" for v, n in _LEVELS.items()) + "), b AS (SELECT level, min(y) AS lo, max(y) AS hi FROM a GROUP BY 1) SELECT level, CAST(least(floor((y - lo) / (hi - lo) * 10), 9) AS INT) AS bin, round(lo + CAST(least(floor((y - lo) / (hi - lo) * 10), 9) AS INT) * (hi - lo) / 10, 3) AS left_edge, count(*) AS n FROM a JOIN b USING (level) GROUP BY 1, 2, 3")
 def p29_histogram_by_granularity(s: SparkSession, d: str) -> DataFrame:
-    return r6(T.histogram(D.monthly(s, d), "y", 10), "left_edge", digits=3)
+    """Histograms of the weekly, monthly and quarterly sums."""
+    x = T.histogram(S.by_levels(D.daily(s, d), list(_LEVELS), {"y": "sum"}), "y", 10, ["level"])
+    return r6(x, "left_edge", digits=3)
 
 
 @query(WITH_MONTHLY + """, a AS (SELECT ts, y, row_number() OVER w AS i, CASE WHEN lag(y, 6) OVER w IS NOT NULL AND lead(y, 6) OVER w IS NOT NULL THEN (sum(y) OVER (ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + 0.5 * lag(y, 6) OVER w + 0.5 * lead(y, 6) OVER w) / 12 END AS t FROM monthly WINDOW w AS (ORDER BY ts)),
@@ -479,10 +502,17 @@ def r05_dropna(s: SparkSession, d: str) -> DataFrame:
     return D.mixed(s, d).select("row_id", "l_tax", "text", "band").na.drop("any")
 
 
-@query(WITH_MIXED + "SELECT row_id, l_tax FROM (SELECT row_id, l_tax, CASE WHEN row_id LIKE '%7' THEN 1 END AS sparse FROM mixed)")
+_SPARSE = {"never": "row_id LIKE '%777'", "seldom": "row_id LIKE '%7'", "often": "row_id NOT LIKE '%7'", "tax": "l_tax IS NOT NULL", "named": "text IS NOT NULL", "banded": "band IS NOT NULL"}
+_SHARES = ", ".join(f"count(*) FILTER (WHERE {e}) >= count(*) * 0.095 AS {c}" for c, e in _SPARSE.items())
+
+
+@query(WITH_MIXED + f"""SELECT row_id, variable FROM (SELECT row_id, unnest([{", ".join(f"CASE WHEN {e} THEN '{c}' END" for c, e in _SPARSE.items())}]) AS variable, {" + ".join(f"CAST({e} AND k.{c} AS INT)" for c, e in _SPARSE.items())} + 1 AS there, k.*
+FROM mixed, (SELECT {_SHARES} FROM mixed) k) WHERE there >= CAST(floor(7 * 0.6) AS INT) AND variable IS NOT NULL AND CASE variable {" ".join(f"WHEN '{c}' THEN {c}" for c in _SPARSE)} END""")
 def r07_drop_sparse(s: SparkSession, d: str) -> DataFrame:
-    x = D.mixed(s, d).select("row_id", "l_tax", F.when(F.col("row_id").endswith("77"), 1).alias("sparse"))
-    return P.drop_sparse(x, 0.1)
+    """Columns with values in under 9.5 % of the rows go, then rows with fewer than four of the seven columns; what is left in long form."""
+    x = D.mixed(s, d).select("row_id", *[F.when(F.expr(e), c).alias(c) for c, e in _SPARSE.items()])
+    x = P.drop_sparse(x, 0.095, 0.6)
+    return x.unpivot("row_id", [c for c in x.columns if c != "row_id"], "variable", "value").where("value is not null").select("row_id", "variable")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5(concat(o_orderkey, ':42')), o_orderkey LIMIT 500")

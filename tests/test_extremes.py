@@ -55,3 +55,28 @@ def test_correlations_leave_out_what_is_not_finite(spark):
     df = spark.createDataFrame([*zip(a.tolist(), b.tolist()), *bad], "a double, b double")
     (r,) = T.correlations(df, ["a", "b"]).collect()
     assert r["corr"] == pytest.approx(abs(np.corrcoef(a, b)[0, 1]))
+
+
+def test_pair_counts(spark):
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    rows = [(*map(float, r), int(k) if k else None) for r, k in zip(x, rng.integers(0, 3, 90))]
+    rows += [(math.nan, 1.0, 2.0, 3.0, 1), (None, INF, 0.5, 0.1, None)]
+    rows = [(*r[:3], 7.0, r[4]) for r in rows]  # a constant column
+    df = spark.createDataFrame(rows, "d double, c double, b double, a double, k int").repartition(3)
+    names = ["a", "b", "c", "d"]
+    col = {n: [r["dcba".index(n)] for r in rows] for n in names}
+    ok = {n: [v is not None and math.isfinite(v) for v in col[n]] for n in names}
+    lo, hi = ({n: f(v for v, o in zip(col[n], ok[n]) if o) for n in names} for f in (min, max))
+    bin_ = lambda n, v: 0 if hi[n] == lo[n] else min(int((v - lo[n]) / (hi[n] - lo[n]) * 5), 4)
+    want = {}
+    for p, a in enumerate(names):
+        for b in names[p + 1 :]:
+            for i, r in enumerate(rows):
+                if ok[a][i] and ok[b][i]:
+                    key = (a, b, r[4], bin_(a, col[a][i]), bin_(b, col[b][i]))
+                    want[key] = want.get(key, 0) + 1
+    got = {(r.v1, r.v2, r.k, r.x_bin, r.y_bin): r.n for r in T.pair_counts(df, names, 5, "k").collect()}
+    assert got == want
+    assert T.pair_counts(df, names, 5).agg({"n": "sum"}).first()[0] == sum(want.values())
+    assert T.pair_counts(df.limit(0), names).count() == 0
