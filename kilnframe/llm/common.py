@@ -21,6 +21,17 @@ def texts(docs: DataFrame, *more: F.Column) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with underscores added until no column is called so, for columns of our own beside a caller's."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     known = spark.conf.get("spark.checkpoint.dir", None)

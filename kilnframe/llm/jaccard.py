@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved, small_batches, texts, whole_groups
+from .common import components, free, saved, small_batches, texts, whole_groups
 from .words import shingles
 
 HASHES, BANDS, STEP, BLOCK = 128, 32, 16, 1024
@@ -255,10 +255,11 @@ def distinct(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance:
     Of rows with equal id and text one is kept. Rows without a ``doc_id`` stay,
     and so do texts without words.
     """
+    id_, gone_, own = free(docs.columns, "_id", "_gone", "_th")
     known = _classed(docs, width, threshold, tolerance)
-    gone = known.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias("_id"), "th").distinct()
+    gone = known.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias(id_), F.col("th").alias(gone_)).distinct()
     th = F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    kept = docs.withColumn("_th", th).join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_th") == F.col("th")), "left_anti").select(*docs.columns)
+    kept = docs.withColumn(own, th).join(gone, (F.col("doc_id") == F.col(id_)) & (F.col(own) == F.col(gone_)), "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
     return kept

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import free, saved
 
 DIMS = ("source", "lang", "topic")
 #: Symbols of markup and code.
@@ -132,12 +132,13 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def sampled(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.5, budget: float = 0.5, seed: int = 42, topic: Column | None = None) -> DataFrame:
-    """The selected rows of ``docs``, all their columns; see ``mix``, whose numbers they have. Rows are decided in place, so those without an id stay or go like others."""
+    """The selected rows of ``docs``, all their columns; see ``mix``, whose numbers they have. Rows are decided in place; one without an id draws by a hash of all its columns, so equal ones stay or go together."""
     none, text = F.lit("(none)"), F.coalesce(F.col("text"), F.lit(""))
-    cells = _cells(measured(docs, topic), targets, alpha, budget).select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("probability").alias("_p"))
-    own = {"_source": F.coalesce(F.col("source").cast("string"), none), "_lang": F.coalesce(F.col("lang").cast("string"), none), "_topic": F.coalesce(topic if topic is not None else text_topic(text), none)}
-    u = uniform(F.coalesce(F.col("doc_id"), F.lit(-1)), seed)
-    return docs.withColumns(own).join(cells, list(own)).where(u < F.col("_p")).select(*docs.columns)
+    *dims, p = free(docs.columns, *[f"_{d}" for d in DIMS], "_p")
+    cells = _cells(measured(docs, topic), targets, alpha, budget).select(*[F.col(d).alias(n) for d, n in zip(DIMS, dims)], F.col("probability").alias(p))
+    own = dict(zip(dims, (F.coalesce(F.col("source").cast("string"), none), F.coalesce(F.col("lang").cast("string"), none), F.coalesce(topic if topic is not None else text_topic(text), none))))
+    u = uniform(F.coalesce(F.col("doc_id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), seed)
+    return docs.withColumns(own).join(cells, dims).where(u < F.col(p)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sql(alpha: float = 0.5, budget: float = 0.5, seed: int = 42, rounds: int = 60) -> str:

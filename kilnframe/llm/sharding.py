@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free, saved
 
 BITS = 60
 
@@ -87,10 +87,11 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, limit_bytes: int, path: str, key: str = "doc_id") -> None:
-    """The rows of ``docs``, each once, as Parquet, a folder ``shard=b<bits>`` for each shard; rows of a shard go to one task, which the limit bounds."""
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
-    placed = _placed(numbered, limit_bytes, key, F.col("_row")).select(F.col("row").alias("_row"), F.concat(F.lit("b"), "shard").alias("shard"))
-    numbered.join(placed, "_row").drop("_row").repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """The rows of ``docs``, each once, as Parquet, a folder ``shard=b<bits>`` for each shard; rows of a shard go to one task, which the limit bounds. If ``docs`` has a column ``shard``, the folders are named ``shard_``."""
+    row, shard = free(docs.columns, "_row", "shard")
+    numbered = saved(docs.withColumn(row, F.monotonically_increasing_id()))
+    placed = _placed(numbered, limit_bytes, key, F.col(row)).select(F.col("row").alias(row), F.concat(F.lit("b"), "shard").alias(shard))
+    numbered.join(placed, row).drop(row).repartition(shard).write.partitionBy(shard).mode("overwrite").parquet(path)
 
 
 #: A shard of the query: small, so that small tables are split as large ones are.

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, texts, whole_groups
+from .common import free, partitions, small_batches, texts, whole_groups
 
 LENGTH, GRAM = 50, 16
 BACK = LENGTH - GRAM
@@ -573,9 +573,10 @@ def removed(docs: DataFrame) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    m = marks(docs, [F.col("text").isNull().alias("_null"), *rest]).withColumn("_kept", cut("text", "tag", "pos", "bits"))
+    (null,) = free(docs.columns, "_null")
+    m = marks(docs, [F.col("text").isNull().alias(null), *rest]).withColumn("_kept", cut("text", "tag", "pos", "bits"))
     kinds = {f.name: f.dataType for f in docs.schema}
-    new = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col("rest._null"), F.coalesce("_kept", "text"))}
+    new = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id").cast(kinds["doc_id"]), "text": F.when(~F.col(f"rest.`{null}`"), F.coalesce("_kept", "text"))}
     if "n_chars" in new:
         new["n_chars"] = F.when(F.col("_kept").isNull(), new["n_chars"]).otherwise(F.length("_kept").cast(kinds["n_chars"]))
     return m.select(*[new[c].alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
