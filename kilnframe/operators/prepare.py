@@ -84,6 +84,12 @@ def scale(df: DataFrame, cols: Sequence[str], how: str = "zscore", scope: str =
     return apply_scale(df, fit_scale(df, cols, how, scope))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if (n + "_" * k).lower() not in taken) for n in names]
+
+
 def draw(key: Column | str, seed: int | str) -> Column:
     """A number in [0, 1) from a key: the same on any cluster and for any partitioning."""
     k = F.col(key) if isinstance(key, str) else key
@@ -101,12 +107,13 @@ def ranks(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     Rows are counted by the first bits of the hash and ranked within them, so
     no task sees all rows. Rows that share a key come next to each other.
     """
-    x = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
-    x = x.withColumn("_b", F.substring("_h", 1, 3))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = x.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", before.alias("_before"))  # at most 4,096 rows
-    r = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) - 1
-    return x.join(F.broadcast(n), "_b").withColumn("rank", (F.col("_before") + r).cast("long")).drop("_h", "_b", "_before")
+    hash_, first, before_, n_ = free(df, "_h", "_b", "_before", "_n")
+    x = df.withColumn(hash_, F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+    x = x.withColumn(first, F.substring(hash_, 1, 3))
+    before = F.coalesce(F.sum(n_).over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = x.groupBy(first).agg(F.count("*").alias(n_)).select(first, before.alias(before_))  # at most 4,096 rows
+    r = F.row_number().over(Window.partitionBy(first).orderBy(hash_, key)) - 1
+    return x.join(F.broadcast(n), first).withColumn("rank", (F.col(before_) + r).cast("long")).drop(hash_, first, before_)
 
 
 def sample_with_replacement(df: DataFrame, key: str, n: int, seed: int = 42, number: str | None = None) -> DataFrame:
@@ -123,22 +130,23 @@ def split_random(df: DataFrame, key: str, test: float = 0.3, seed: int = 42) ->
     Rows are counted by the first bits of the hash; only the bucket where the
     cut falls is ranked, so no task sees all rows.
     """
+    hash_, first, place = free(df, "_h", "_b", "_r")
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3))
-    per = x.groupBy("_b").count().orderBy("_b").collect()  # at most 4,096 rows
+    x = df.withColumn(hash_, h).withColumn(first, F.substring(hash_, 1, 3))
+    per = x.groupBy(first).agg(F.count("*").alias("count")).orderBy(first).collect()  # at most 4,096 rows
     n = sum(r["count"] for r in per)
     want, before, cut, rest = -(-n * int(round(test * 1000)) // 1000), 0, None, 0
     for r in per:
         if before + r["count"] >= want:
-            cut, rest = r._b, want - before
+            cut, rest = r[first], want - before
             break
         before += r["count"]
     if cut is None:
-        return x.withColumn("split", F.lit("train")).drop("_h", "_b")
-    edge = x.where(F.col("_b") == cut).withColumn("_r", F.row_number().over(Window.orderBy("_h", key))).where(F.col("_r") <= rest).agg(F.max(F.struct("_h", key)).alias("top")).first()
+        return x.withColumn("split", F.lit("train")).drop(hash_, first)
+    edge = x.where(F.col(first) == cut).withColumn(place, F.row_number().over(Window.orderBy(hash_, key))).where(F.col(place) <= rest).agg(F.max(F.struct(hash_, key)).alias("top")).first()
     top = edge.top
-    last = F.lit(False) if top is None else (F.col("_b") == cut) & ((F.col("_h") < top[0]) | ((F.col("_h") == top[0]) & (F.col(key) <= top[1])))
-    return x.withColumn("split", F.when((F.col("_b") < cut) | last, "test").otherwise("train")).drop("_h", "_b")
+    last = F.lit(False) if top is None else (F.col(first) == cut) & ((F.col(hash_) < top[0]) | ((F.col(hash_) == top[0]) & (F.col(key) <= top[1])))
+    return x.withColumn("split", F.when((F.col(first) < cut) | last, "test").otherwise("train")).drop(hash_, first)
 
 
 def split_temporal(df: DataFrame, ts: str, train: float = 0.9) -> DataFrame:

@@ -35,7 +35,6 @@ def naive_bayes_sets(df: DataFrame, cols: Sequence[str], target: str, sets: Sets
     x = [F.col(c).cast("double") for c in cols]
     t = df.where((F.col("split") == "train") & F.col(target).isNotNull())
     per = t.groupBy(F.col(target).cast("long").alias("class")).agg(F.count("*").alias("n"), F.array(*[F.count(c) for c in x]).alias("k"), F.array(*[F.avg(c) for c in x]).alias("mu"), F.array(*[F.var_pop(c) for c in x]).alias("var"), F.array(*[F.sum((c > 0).cast("double")) for c in x]).alias("up")).orderBy("class").collect()
-    whole = t.agg(F.array(*[F.var_pop(c) for c in x]).alias("v")).first().v
     numbers = lambda rows: np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(len(per), len(cols))
     labels = [r["class"] for r in per]
     prior = np.log(np.array([r.n for r in per], float) / max(1, sum(r.n for r in per)))
@@ -44,7 +43,10 @@ def naive_bayes_sets(df: DataFrame, cols: Sequence[str], target: str, sets: Sets
     table = np.zeros((len(cols), len(names)))
     for s, name in enumerate(names):
         table[[at[c] for c in sets[name]], s] = 1.0
-    top = np.array([v if v is not None else 0.0 for v in whole], float)
+    with np.errstate(invalid="ignore"):  # variances over all classes, from those within and the distances of the means
+        total = n.sum(0)
+        mean = np.nansum(n * mu, 0) / np.maximum(total, 1)
+        top = np.nansum(n * (var + (mu - mean) ** 2), 0) / np.maximum(total, 1)
     eps = np.array([smoothing * max((top[at[c]] for c in sets[name]), default=0.0) for name in names])
     share = (up + alpha) / (n + 2 * alpha)
 
