@@ -178,12 +178,12 @@ def oversample(df: DataFrame, key: str, target: str, seed: int = 42) -> DataFram
     return df.where(F.col(target) != low).unionByName(sample_with_replacement(df.where(F.col(target) == low), key, n[top], seed))
 
 
-def smote(df: DataFrame, key: str, cols: Sequence[str], target: str, minority: int, k: int = 5, extra: int | None = None, seed: int = 42) -> DataFrame:
+def smote(df: DataFrame, key: str, cols: Sequence[str], target: str, minority: int, k: int = 5, extra: int | None = 1, seed: int = 42) -> DataFrame:
     """``(key, copy, cols)``: new rows between minority rows and one of their ``k`` nearest minority neighbours.
 
-    As many as make the minority as large as the largest class, dealt out evenly:
-    each row gets its share and those of the first ranks by hash one more;
-    ``extra`` asks for a fixed number a row instead. A row without a missing
+    ``extra`` for each row; with None as many as make the minority as large as the
+    largest class, dealt out evenly: each row gets its share and those of the
+    first ranks by hash one more. A row without a missing
     value takes part; a minority of one row has no neighbour and no new rows.
     """
     m = df.where(F.col(target) == minority).na.drop(subset=[key, *cols]).select(key, *[F.col(c).cast("double").alias(c) for c in cols])
@@ -234,7 +234,7 @@ def balanced(df: DataFrame, key: str, cols: Sequence[str], target: str, how: str
     if how == "oversampling":
         new = sample_with_replacement(x.where(F.col(target) == low), key, most, seed, "_kiln_draw").withColumn(key, F.col("_kiln_draw") + F.lit(top + 1)).drop("_kiln_draw")
         return x.where(F.col(target) != low).unionByName(new.select(*x.columns))
-    new = ranks(smote(x, key, cols, target, low, seed=seed).withColumn("_kiln_row", F.concat_ws(":", key, "copy")), "_kiln_row", seed)
+    new = ranks(smote(x, key, cols, target, low, extra=None, seed=seed).withColumn("_kiln_row", F.concat_ws(":", key, "copy")), "_kiln_row", seed)
     kinds = dict(x.dtypes)
     new = new.withColumn(key, F.col("rank") + F.lit(top + 1)).withColumn(target, F.lit(low).cast(kinds[target]))
     wide = x.select(F.col(key).cast("long").alias(key), *[F.col(c).cast("double").alias(c) for c in cols], target)

@@ -642,7 +642,7 @@ g AS (SELECT vec_id, CAST(copy AS INT) AS copy, CAST(floor({_hash("concat_ws(':'
 SELECT g.vec_id, g.copy, {_SM} FROM g JOIN n ON n.k = g.vec_id AND n.r = g.r JOIN m a ON a.vec_id = g.vec_id JOIN m b ON b.vec_id = n.o""")
 def d16_smote(s: SparkSession, d: str) -> DataFrame:
     """As many new rows as make both classes equal, in all 64 columns."""
-    return r6(P.smote(D.wide(s, d, range(64)), "vec_id", ALL, "target", 1), *ALL)
+    return r6(P.smote(D.wide(s, d, range(64)), "vec_id", ALL, "target", 1, extra=None), *ALL)
 
 
 @query(f"WITH {D.wide_sql(range(64))} SELECT variable, round(variance, 8) AS variance FROM (" + union("SELECT '{c}' AS variable, var_samp({c}) AS variance FROM wide", ALL) + ") WHERE variance < 0.0156")

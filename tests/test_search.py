@@ -107,7 +107,7 @@ def test_smote_balances(spark):
     f = table()
     df = frame(spark, f)
     low = int(f.y.value_counts().idxmin())
-    new = P.smote(df, "id", COLS, "y", low).toPandas()
+    new = P.smote(df, "id", COLS, "y", low, extra=None).toPandas()
     n = f.y.value_counts()
     assert len(new) == n.max() - n.min() and not new.duplicated(["id", "copy"]).any()
     each = new.groupby("id").size().reindex(f[f.y == low].id, fill_value=0)
@@ -119,7 +119,7 @@ def test_smote_balances(spark):
         d = mine - a
         t = ((p - a) * d).sum(1) / np.maximum((d * d).sum(1), 1e-12)
         assert (np.abs(a + t[:, None] * d - p).max(1) < 1e-9).any()
-    assert P.smote(df.where(f"y <> {low} or id = {int(f[f.y == low].id.iloc[0])}"), "id", COLS, "y", low).count() == 0
+    assert P.smote(df.where(f"y <> {low} or id = {int(f[f.y == low].id.iloc[0])}"), "id", COLS, "y", low, extra=None).count() == 0
 
 
 def test_scores_of_sets_as_one_by_one(spark):
