@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnframe.operators.ranges import running
+
 
 def ordinal(c: Column | str, ranks: Mapping[str, float]) -> Column:
     """The rank of a listed value; null for any other."""
@@ -30,12 +32,11 @@ def below(c: Column | str, limit: float, yes: str, no: str) -> Column:
 def codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """The place of each value among the sorted distinct ones, from 0; null stays null.
 
-    Distinct values are few and are ranked apart; the rows are joined to them.
+    Distinct values are ranked apart, by ranges of them; the rows are joined to them.
     """
-    from pyspark.sql.window import Window
-
-    v = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("long"))
-    return df.join(v, col, "left")
+    v = df.select(col).where(F.col(col).isNotNull()).distinct().select(F.col(col).alias("v"), F.lit(1).alias("one"))
+    ranked, _ = running(v, "v", {"one": "upto"})
+    return df.join(ranked.select(F.col("v").alias(col), (F.col("upto") - 1).cast("long").alias(out)), col, "left")
 
 
 def combined_code(df: DataFrame, col: str, out: str, prefix: int = 3) -> DataFrame:
@@ -62,11 +63,16 @@ def cyclic_by_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(new)
 
 
-def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """A flag for each value, false for null; of two values only the second gets one."""
+def one_hot(df: DataFrame, cols: Sequence[str], most: int = 1_000) -> DataFrame:
+    """A flag for each value, false for null; of two values only the second gets one.
+
+    A column of more than ``most`` values raises, as each value is a column.
+    """
     flags = {}
     for c in cols:
-        values = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
+        values = [r[0] for r in df.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{c} has more than {most} values")
         for v in values[1:] if len(values) == 2 else values:
             flags[f"{c}_{v}"] = F.coalesce(F.col(c).cast("string") == v, F.lit(False))
     return df.withColumns(flags).drop(*cols)

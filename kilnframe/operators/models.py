@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kilnframe.operators import neighbours as N
+from kilnframe.operators.ranges import running
 
 # -- evaluation ---------------------------------------------------------------
 
@@ -35,12 +36,10 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def roc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """False and true positive rates at each distinct score."""
+    """False and true positive rates at each distinct score, the highest first; summed by ranges of scores."""
     g = df.groupBy(F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    a = g.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    c = g.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w)).crossJoin(F.broadcast(a))
-    return c.select("score", F.try_divide(F.col("fp"), F.col("all_n")).alias("fpr"), F.try_divide(F.col("tp"), F.col("all_p")).alias("tpr"))
+    c, total = running(g, "score", {"p": "tp", "n": "fp"}, falling=True)
+    return c.select("score", F.try_divide(F.col("fp"), F.lit(total["n"])).alias("fpr"), F.try_divide(F.col("tp"), F.lit(total["p"])).alias("tpr"))
 
 
 def forecast_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ()) -> DataFrame:

@@ -118,7 +118,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], sma
 def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), distinct: bool = True) -> DataFrame:
     """Count, distinct values (if asked for), mean, sample deviation and exact quartiles of each column.
 
-    ``by`` is for groups of bounded size, whose quartiles are taken in memory.
+    With ``by`` for each group, of which there may be any number of any size (``grouped.describe``).
     """
     if not by:
         row = df.agg(*[f.alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count(c)), ("mean", F.avg(F.col(c).cast("double"))), ("std", F.stddev_samp(F.col(c).cast("double"))), ("lo", F.min(F.col(c).cast("double"))), ("hi", F.max(F.col(c).cast("double"))))]).first()
@@ -133,24 +133,24 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), distinc
         rows = [(c, row[f"{i}n"], *([seen[c]] if distinct else []), row[f"{i}mean"], row[f"{i}std"], row[f"{i}lo"], *q[c], row[f"{i}hi"]) for i, c in enumerate(cols)]
         kinds = "variable string, count long, " + ("nunique long, " if distinct else "") + "mean double, std double, min double, p25 double, p50 double, p75 double, max double"
         return df.sparkSession.createDataFrame(rows, kinds)
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(c).alias(f"{c}__count"), F.count_distinct(F.col(c)).alias(f"{c}__nunique"), F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), q.alias(f"{c}__q"), F.max(x).alias(f"{c}__max")]
-    row = df.groupBy(*by).agg(*aggs)
-    items = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{f}").alias(f) for f in ("count", "nunique", "mean", "std", "min")], *[F.col(f"{c}__q")[i].alias(p) for i, p in enumerate(("p25", "p50", "p75"))], F.col(f"{c}__max").alias("max")) for c in cols]
-    return row.select(*by, F.explode(F.array(*items)).alias("r")).select(*by, "r.*")
+    from kilnframe.operators import grouped
+
+    return grouped.describe(df, cols, by)
 
 
 def variable_types(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Two distinct values: binary; else castable to a number: numeric; else to a date: date; else symbolic."""
+    """Two distinct values: binary; else castable to a number: numeric; else to a date: date; else symbolic.
+
+    Two passes of one aggregation: a column has two values if its extremes
+    differ and nothing lies between them.
+    """
+    ends = df.agg(*[f(c).alias(f"{c}__{n}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))])
     aggs = []
     for c in cols:
-        s = F.col(c).cast("string")
-        aggs += [F.count_distinct(F.col(c)).alias(f"{c}__d"), F.count(c).alias(f"{c}__n"), F.count(s.try_cast("double")).alias(f"{c}__f"), F.count(F.try_to_timestamp(s)).alias(f"{c}__t")]
-    got = long_form(df.agg(*aggs), cols, ("d", "n", "f", "t"))
-    return got.select("variable", F.when(F.col("d") == 2, "binary").when(F.col("f") == F.col("n"), "numeric").when(F.col("t") == F.col("n"), "date").otherwise("symbolic").alias("type"))
+        s, lo, hi = F.col(c).cast("string"), F.col(f"{c}__lo"), F.col(f"{c}__hi")
+        aggs += [(F.bool_or(lo != hi) & (F.count_if((F.col(c) != lo) & (F.col(c) != hi)) == 0)).alias(f"{c}__two"), F.count(c).alias(f"{c}__n"), F.count(s.try_cast("double")).alias(f"{c}__f"), F.count(F.try_to_timestamp(s)).alias(f"{c}__t")]
+    got = long_form(df.select(*cols).crossJoin(F.broadcast(ends)).agg(*aggs), cols, ("two", "n", "f", "t"))
+    return got.select("variable", F.when(F.col("two"), "binary").when(F.col("f") == F.col("n"), "numeric").when(F.col("t") == F.col("n"), "date").otherwise("symbolic").alias("type"))
 
 
 def missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:

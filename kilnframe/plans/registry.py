@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kilnframe.functions import encode as E
+from kilnframe.operators import densities as Y
+from kilnframe.operators import grouped as G
 from kilnframe.operators import models as M
 from kilnframe.operators import neighbours as N
 from kilnframe.operators import prepare as P
@@ -99,6 +101,30 @@ def s05_describe(s: SparkSession, d: str) -> DataFrame:
     return r6(r6(T.describe(D.table(s, d, "lineitem"), NUM), *STATS), "mean", "std", digits=4)
 
 
+_SCAN = "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"
+_SCANNED = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders"
+
+
+def _scanned(df: DataFrame) -> DataFrame:
+    return df.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_orderpriority")
+
+
+@query(_SCANNED)
+def s01_csv_scan(s: SparkSession, d: str) -> DataFrame:
+    """The orders written as CSV and scanned with a schema."""
+    path = folder(s, "csv")
+    D.write_csv(_scanned(D.table(s, d, "orders")), path)
+    return D.read_csv(s, path, target="o_orderstatus", schema=_SCAN).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
+@query(_SCANNED)
+def s07_json_round(s: SparkSession, d: str) -> DataFrame:
+    """The orders written as JSON and read again."""
+    path = folder(s, "json")
+    D.write_json(_scanned(D.table(s, d, "orders")), path)
+    return s.read.schema(_SCAN).json(path).withColumn("o_orderdate", F.col("o_orderdate").cast("string"))
+
+
 @query("SELECT DISTINCT label FROM embeddings ORDER BY label")
 def s08_labels(s: SparkSession, d: str) -> DataFrame:
     return D.table(s, d, "embeddings").select("label").distinct().orderBy("label")
@@ -161,6 +187,24 @@ def p08_density_fits(s: SparkSession, d: str) -> DataFrame:
     return f.withColumns({"normal_mean": F.round("normal_mean", 4), "normal_std": F.round("normal_std", 4), "exp_scale": F.round("exp_scale", 4), "log_mean": F.round("log_mean", 6), "log_std": F.round("log_std", 6)})
 
 
+_LO, _WIDTH = "(SELECT min(o_totalprice) FROM orders)", "(SELECT (max(o_totalprice) - min(o_totalprice)) / 20 FROM orders)"
+
+
+@query(f"""WITH f AS (SELECT count(*) AS k, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d, min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 20 AS w FROM orders),
+b AS (SELECT CAST(least(floor((o_totalprice - {_LO}) / {_WIDTH}), 19) AS INT) AS bin, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT *, lo + (bin + 0.5) * w AS c FROM b, f)
+SELECT bin, round(c, 4) AS center, n, round(1e6 * n / (k * w), 6) AS density, round(1e6 * exp(-(c - m) * (c - m) / (2 * d * d)) / (d * sqrt(2 * pi())), 6) AS normal, round(1e6 * exp(-(c - lo) / (m - lo)) / (m - lo), 6) AS exponential FROM c""")
+def p08_densities(s: SparkSession, d: str) -> DataFrame:
+    """Twenty bins of prices with the fitted densities at their centres, for each million."""
+    x = Y.densities(D.table(s, d, "orders"), "o_totalprice")
+    return x.select("bin", F.round("center", 4).alias("center"), "n", *[F.round(F.col(c) * 1e6, 6).alias(c) for c in ("density", "normal", "exponential")])
+
+
+@query()
+def p08_lognormal(s: SparkSession, d: str) -> DataFrame:
+    """The shifted lognormal of prices, of the largest likelihood, at the centre of each bin."""
+    return Y.densities(D.table(s, d, "orders"), "o_totalprice").select("bin", "center", "n", "density", "lognormal")
+
+
 THRESH = "SELECT '{c}' AS variable, round(avg({c}) - 2 * stddev_samp({c}), 5) AS std_low, round(avg({c}) + 2 * stddev_samp({c}), 5) AS std_top, round(quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 5) AS iqr_low, round(quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 5) AS iqr_top FROM lineitem"
 
 
@@ -306,6 +350,13 @@ def p28_describe_by_granularity(s: SparkSession, d: str) -> DataFrame:
     return r6(x.select("level", "variable", "count", "mean", "std", "p50"), "mean", "std", "p50", digits=3)
 
 
+@query(DESCRIBE.replace("{by}", "l_returnflag, l_linestatus, ").replace("{c}", "l_extendedprice").replace("{t}", "lineitem GROUP BY l_returnflag, l_linestatus") + "\nUNION ALL " + DESCRIBE.replace("{by}", "l_returnflag, l_linestatus, ").replace("{c}", "l_quantity").replace("{t}", "lineitem GROUP BY l_returnflag, l_linestatus"))
+def p28_describe_by_class(s: SparkSession, d: str) -> DataFrame:
+    """Rows of a fact table described by group, in rounds that close group by group."""
+    x = G.describe(D.table(s, d, "lineitem"), ["l_extendedprice", "l_quantity"], ["l_returnflag", "l_linestatus"])
+    return r6(r6(x, *STATS), "mean", "std", digits=4)
+
+
 _LEVELS = {"W": "week", "M": "month", "Q": "quarter"}
 
 
