@@ -4,8 +4,10 @@ Paragraphs are lines and runs of adjacent lines, as notices are often wrapped;
 a line without words ends a run. Their features are words and pairs of words that occur in
 the templates. A softmax regression gives the probability of each licence family
 and of ``unknown``; it is trained on varied templates and on paragraphs of the
-corpus itself, and its temperature is fitted on other variations. A predicted
-family counts only if the paragraph holds most of one of its templates.
+corpus itself, and its temperature is fitted on other variations. Notices that
+are denied or past ("is not licensed under", "was licensed under") are trained as
+``unknown``. A predicted family counts only if the paragraph holds most of one of
+its templates, and something of it that no other family's templates have.
 """
 
 from __future__ import annotations
@@ -37,14 +39,16 @@ TEMPLATES = {
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
         "Released under the GPL v3 license.",
     ),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License.", "Licensed under the LGPL version 2.1 or later."),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "LGPL": ("This library is licensed under the GNU Lesser General Public License.", "Licensed under the LGPL version 2.1 or later.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     "BSD": (
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD 2-Clause License.",
@@ -61,8 +65,17 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved. No part of this work may be reproduced without permission.", "This software is proprietary and confidential."),
 }
 UNKNOWN = "unknown"
+#: The tags by which files name their licence.
+TAGS = {
+    "MIT": ("MIT",), "Apache-2.0": ("Apache-2.0",), "GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"), "GPL-3.0": ("GPL-3.0-only", "GPL-3.0-or-later"),
+    "LGPL": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"), "AGPL-3.0": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "BSD": ("BSD-2-Clause", "BSD-3-Clause"),
+    "MPL-2.0": ("MPL-2.0",), "CC-BY": ("CC-BY-4.0",), "CC-BY-SA": ("CC-BY-SA-4.0",), "CC-BY-NC": ("CC-BY-NC-4.0",), "CC0": ("CC0-1.0",), "ISC": ("ISC",), "Unlicense": ("Unlicense",),
+}
+#: What makes a notice one that doesn't hold, in place of "is".
+DENIALS = ("is not", "is never", "is no longer", "was", "was not", "was never", "was formerly", "was previously", "was originally")
+DENYING = frozenset(d.split()[-1] for d in DENIALS)
 #: Words too common to say that a paragraph could be a notice.
-COMMON = frozenset("a all and any author be by can do except files for form forms free from in is it its may met no not of on or other part person possible purpose source that the this to under use used version with without work you your 0 1 2 3 4 v3".split())
+COMMON = frozenset("a all and any as author be by can do either except files for form forms foundation free from in is it its later library may met modify no not of on only option or other part person possible program published purpose redistribute software source terms that the this to under use used version with without work you your 0 1 2 3 4 v3".split())
 _WORD = re.compile(r"[a-z]+|\d+")
 
 
@@ -70,6 +83,14 @@ def features(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:]))}
 
 
+def denials(words: list[str]) -> list[tuple[list[str], list[str]]]:
+    """A notice denied or put in the past, and for each the word that does so with the next one; none if it has no "is" and begins with no participle."""
+    before, after = (words[: words.index("is")], words[words.index("is") + 1 :]) if "is" in words else (["this"], words)
+    if after == words and not words[0].endswith("ed"):
+        return []
+    return [([*before, *d.split(), *after], [d.split()[-1], after[0]]) for d in DENIALS]
+
+
 @dataclass
 class Classifier:
     families: list[str]
@@ -80,53 +101,73 @@ class Classifier:
     templates: dict[str, list[frozenset[str]]]
     reach: int
 
+    def __post_init__(self) -> None:
+        own = {f: frozenset().union(*ts) - frozenset().union(*(t for g, us in self.templates.items() if g != f for t in us)) for f, ts in self.templates.items()}
+        self.listed = [(f, t, t & own[f]) for f, ts in self.templates.items() for t in ts]
+        self.holding: dict[str, list[int]] = {}
+        for k, (_, t, _) in enumerate(self.listed):
+            for w in t:
+                self.holding.setdefault(w, []).append(k)
+
     def row(self, words: list[str]) -> np.ndarray:
-        return np.array(sorted({self.names[f] for f in features(words) if f in self.names}), np.int64)
+        return self.numbers(features(words))
 
-    def probabilities(self, words: list[str]) -> np.ndarray:
-        z = (self.weights[0] + self.weights[1:][self.row(words)].sum(0)) / self.temperature
+    def numbers(self, have: set[str]) -> np.ndarray:
+        return np.array(sorted({self.names[f] for f in have if f in self.names}), np.int64)
+
+    def probabilities(self, have: set[str]) -> np.ndarray:
+        z = (self.weights[0] + self.weights[1:][self.numbers(have)].sum(0)) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
 
-    def confirmed(self, words: list[str], family: str, share: float) -> float:
-        """How much of a template of the family the paragraph holds, if that is ``share`` at least."""
-        have = features(words)
-        best = max((len(t & have) / len(t) for t in self.templates[family]), default=0.0)
+    def confirmed(self, have: set[str], family: str, share: float) -> float:
+        """How much of a template of the family is there, if that is ``share`` at least, with something that only this family has (if its template has such)."""
+        best = max((len(t & have) / len(t) for f, t, own in self.listed if f == family and (not own or own & have)), default=0.0)
         return best if best >= share else 0.0
 
-    def paragraph(self, words: list[str], least: float, share: float) -> tuple[str, float, float] | None:
-        if self.triggers.isdisjoint(words):
-            return None
-        have = features(words) & self.names.keys()
-        if not any(len(t & have) >= share * len(t) for ts in self.templates.values() for t in ts):
-            return None
-        p = self.probabilities(words)
+    def paragraph(self, have: set[str], least: float, share: float) -> tuple[str, float, float] | None:
+        p = self.probabilities(have)
         k = int(p.argmax())
         if self.families[k] == UNKNOWN or p[k] < least:
             return None
-        held = self.confirmed(words, self.families[k], share)
+        held = self.confirmed(have, self.families[k], share)
         return (self.families[k], float(p[k]), held) if held else None
 
     def notices(self, text: str, least: float, share: float) -> list[tuple[int, str, float, float]]:
         """Confirmed paragraphs by their first line, no two with a line in common.
 
         A run goes on until the lines after its first hold twice the words of
-        the longest template. Of paragraphs that overlap, the one that holds
-        most of its template counts, then the one of fewest lines.
+        the longest template; what it holds of each template is counted as
+        lines join it. If the line before it ends in a word of denial, that
+        word counts as the run's first. Of paragraphs that overlap, the one that
+        holds most of its template counts, then the one of fewest lines.
         """
         lines = [_WORD.findall(line) for line in text.lower().split("\n")]
         hot = [not self.triggers.isdisjoint(w) for w in lines]
         found = []
         for i, first in enumerate(lines):
-            words, any_hot, j = list(first), hot[i], i
-            while words:
-                if any_hot and (f := self.paragraph(words, least, share)):
-                    found.append((-f[2], j - i, i, f))
+            if not first:
+                continue
+            last = lines[i - 1][-1] if i and lines[i - 1] and lines[i - 1][-1] in DENYING else None
+            have: set[str] = {last} if last else set()
+            counts, full = [0] * len(self.listed), False
+            any_hot, j, n = False, i, 0
+            while True:
+                any_hot = any_hot or hot[j]
+                for w in lines[j]:
+                    for f in (w, f"{last} {w}") if last else (w,):
+                        if f in self.names and f not in have:
+                            have.add(f)
+                            for k in self.holding.get(f, ()):
+                                counts[k] += 1
+                                full = full or counts[k] >= share * len(self.listed[k][1])
+                    last = w
+                if full and any_hot and (hit := self.paragraph(have, least, share)):
+                    found.append((-hit[2], j - i, i, hit))
+                n += len(lines[j]) if j > i else 0
                 j += 1
-                if j == len(lines) or not lines[j] or len(words) - len(first) >= self.reach:
+                if j == len(lines) or not lines[j] or n >= self.reach:
                     break
-                words += lines[j]
-                any_hot = any_hot or hot[j]
         taken: set[int] = set()
         out = []
         for _, more, i, f in sorted(found):
@@ -140,7 +181,10 @@ def _varied(words: list[str], rng: np.random.Generator, noise: list[str]) -> lis
     """A notice as it might stand in a text: some words gone, others around it."""
     kept = [w for w in words if rng.random() > 0.1] or words
     pad = lambda: [noise[int(i)] for i in rng.integers(0, len(noise), rng.integers(0, 8))] if noise else []
-    return pad() + kept + pad()
+    before = pad()
+    while before and before[-1] in DENYING:  # else it would be denied
+        before.pop()
+    return before + kept + pad()
 
 
 def _softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, rate: float = 2.0, l2: float = 1e-4) -> np.ndarray:
@@ -153,12 +197,18 @@ def _softmax(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, rate: floa
     return w
 
 
-def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, most_paragraphs: int = 3_000, copies: int = 30, seed: int = 7) -> Classifier:
+def notices_of(templates: dict[str, tuple[str, ...]], tags: dict[str, tuple[str, ...]]) -> dict[str, tuple[str, ...]]:
+    """Templates with a tag line for each of a family's tags."""
+    return {f: (*ts, *(f"SPDX-License-Identifier: {v}" for v in tags.get(f, ()))) for f, ts in templates.items()}
+
+
+def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, tags: dict[str, tuple[str, ...]] = TAGS, most_paragraphs: int = 3_000, copies: int = 30, seed: int = 7) -> Classifier:
     """Train on ``copies`` variations of each template and on paragraphs of ``docs`` for ``unknown``.
 
     At most ``most_paragraphs`` of those are taken, the first by a hash, without
     any that hold half of a template; the driver gets no more.
     """
+    templates = notices_of(templates, tags)
     sets = {f: [frozenset(features(_WORD.findall(t.lower()))) for t in ts] for f, ts in templates.items()}
     line = F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
     h = F.xxhash64("doc_id")
@@ -169,8 +219,12 @@ def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, most
     rng = np.random.default_rng(seed)
     noise = [w for p in plain[:300] for w in p]
     families = [UNKNOWN, *templates]
-    names = {f: i for i, f in enumerate(sorted(set().union(*(t for ts in sets.values() for t in ts))))}
-    model = Classifier(families, names, np.zeros((len(names) + 1, len(families))), 1.0, frozenset(w for w in names if " " not in w and w not in COMMON), sets, 2 * max(len(_WORD.findall(t.lower())) for ts in templates.values() for t in ts))
+    denied = [d for ts in templates.values() for t in ts for d in denials(_WORD.findall(t.lower()))]
+    marks = {f for _, mark in denied for f in features(mark)}
+    held = set().union(*(t for ts in sets.values() for t in ts))
+    names = {f: i for i, f in enumerate(sorted(held))}
+    names |= {f: len(held) for f in sorted(marks - held) if " " in f}  # all words of denial before a participle are one feature
+    model = Classifier(families, names, np.zeros((len(names) + 1, len(families))), 1.0, frozenset(w for w in held if " " not in w and w not in COMMON), sets, 2 * max(len(_WORD.findall(t.lower())) for ts in templates.values() for t in ts))
 
     def sample(n: int) -> tuple[np.ndarray, np.ndarray]:
         rows, y = [], []
@@ -184,6 +238,14 @@ def fit(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, most
             rows.append(p)
             rows.append(p[:40] + [vocabulary[int(i)] for i in rng.integers(0, len(vocabulary), 2)])
             y += [0, 0]
+        for words, _ in denied:
+            for _ in range(max(1, n // 3)):
+                pad = [noise[int(i)] for i in rng.integers(0, len(noise), rng.integers(0, 8))] if noise else []
+                rows.append(words + pad)
+                y.append(0)
+        for k in range(2 * n):  # tags of other licences
+            rows.append(["spdx", "license", "identifier", *[noise[int(i)] for i in rng.integers(0, len(noise), k % 3)]] if noise else ["spdx"])
+            y.append(0)
         rows.append([])
         y.append(0)
         x = np.zeros((len(rows), len(names) + 1))
