@@ -11,13 +11,17 @@ from kilnframe.operators import models as M
 from kilnframe.operators import prepare as P
 from kilnframe.operators import selection as C
 from kilnframe.operators import series as S
+from kilnframe.sources.shared import kept
 
 
 def techniques(df: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], measure: Callable[[DataFrame], DataFrame], original: bool = True) -> DataFrame:
-    """Each technique's metrics: ``technique`` and the columns of ``measure``. A name leads to its own frame and no other."""
-    out = None
+    """Each technique's metrics: ``technique`` and the columns of ``measure``. A name leads to its own frame and no other.
+
+    The rows, and what a technique makes of them, are written once: they are read several times.
+    """
+    out, df = None, kept(df, "study")
     for name, step in {**({"Original": lambda x: x} if original else {}), **steps}.items():
-        m = measure(step(df)).withColumn("technique", F.lit(name))
+        m = measure(kept(step(df), "technique")).withColumn("technique", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -32,7 +36,7 @@ def classified(df: DataFrame, key: str, cols: Sequence[str], target: str, k: int
 
 def imputation_study(df: DataFrame, key: str, cols: Sequence[str], target: str) -> DataFrame:
     filled = lambda how: lambda x: P.fill(x, P.fit_fill(x, cols, [], how, "train"))
-    ways = {"Remove": lambda x: x.na.drop(subset=list(cols)), "Mean": filled("mean"), "Median": filled("median")}
+    ways = {"Remove": lambda x: P.whole(x, cols), "Mean": filled("mean"), "Median": filled("median")}
     return techniques(df, ways, lambda x: classified(x, key, cols, target), original=False)
 
 

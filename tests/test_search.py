@@ -193,3 +193,13 @@ def test_tree_search(spark):
     assert fit is not None and {r.params for r in rows if r.winner and r.study == "grid"} <= {r.params for r in rows if r.study == "curve"}
     counted = X.counts(df, COLS, "y", [fit], (3,)).agg(F.sum("n")).first()[0]
     assert counted == 200
+
+
+def test_rows_without_gaps_of_many_renamed_columns(spark):
+    df = spark.range(20).select("id", *[F.when(F.col("id") != c, (F.col("id") + c).cast("double")).alias(f"v{c}") for c in range(8)], F.array(*[F.col("id") + F.lit(0.5) for _ in range(56)]).alias("a"))
+    cols = [f"v{c}" for c in range(64)]
+    df = df.select("id", *cols[:8], *[F.when(F.col("id") < 19, F.col("a")[c]).otherwise(float("nan")).alias(f"v{c + 8}") for c in range(56)])
+    x = P.whole(df, cols)
+    assert sorted(r.id for r in x.select("id").collect()) == list(range(8, 19))
+    n = x.groupBy((F.col("id") % 2).alias("odd")).agg(*[F.avg(c) for c in cols]).count()
+    assert n == 2 and x.count() == df.na.drop().count()
