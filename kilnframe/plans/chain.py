@@ -21,6 +21,7 @@ from kilnframe.operators import models as M
 from kilnframe.operators import prepare as P
 from kilnframe.operators import selection as C
 from kilnframe.operators import series as S
+from kilnframe.sources.shared import kept
 
 LEAST = 0.001
 STEPS = "place int, stage string, technique string, parameters string, scores map<string,double>, value double, winner boolean"
@@ -90,7 +91,7 @@ def _select(sets: Callable[[DataFrame, Sequence[str], Sequence[float]], Mapping[
 def classification_stages(variances: Sequence[float], correlations: Sequence[float], measure: str = "recall") -> dict[str, dict[str, Technique]]:
     """Missing values, outliers, scaling, balancing and selection, with the techniques of each."""
     return {
-        "missing": {"Remove": (lambda t: {}, lambda t, p: t._replace(rows=t.rows.na.drop(subset=list(t.cols)))), "Mean": _fill("mean"), "Median": _fill("median")},
+        "missing": {"Remove": (lambda t: {}, lambda t, p: t._replace(rows=P.whole(t.rows, t.cols))), "Mean": _fill("mean"), "Median": _fill("median")},
         "outliers": {"Drop": _outliers(P.drop_outliers), "Replace": _outliers(P.replace_outliers), "Truncate": _outliers(P.truncate_outliers)},
         "scaling": {"Standard": _scale("zscore"), "MinMax": _scale("minmax")},
         "balancing": {"Undersampling": _balance("undersampling"), "Oversampling": _balance("oversampling"), "SMOTE": _balance("smote")},
@@ -167,9 +168,11 @@ def run(t: Table, stages: Mapping[str, Mapping[str, Technique]], scores: Callabl
 
     A technique replaces the one before it only if its mean score is better by
     more than ``least``; ties stay with 'Original'. What ``path`` already holds of
-    a chain is read, not computed; to choose anew, give another path.
+    a chain is read, not computed; to choose anew, give another path. Rows that a
+    technique makes are written once, as they are read for each model.
     """
     spark, before, tables = t.rows.sparkSession, None, []
+    t = t._replace(rows=kept(t.rows, "start"))
     for place, (stage, ways) in enumerate(stages.items()):
         at = f"{path}/{place}_{stage}"
         try:
@@ -182,7 +185,8 @@ def run(t: Table, stages: Mapping[str, Mapping[str, Technique]], scores: Callabl
             tried = [("Original", {}, before)]
             for name, (fit, apply) in ways.items():
                 p = json.loads(json.dumps(fit(t)))
-                tried.append((name, p, scores(apply(t, p))))
+                made = apply(t, p)
+                tried.append((name, p, scores(made._replace(rows=kept(made.rows, "tried")))))
             values = [_value(s) for _, _, s in tried]
             best = 0
             for i, v in enumerate(values):
@@ -193,8 +197,8 @@ def run(t: Table, stages: Mapping[str, Mapping[str, Technique]], scores: Callabl
             rows = [(place, stage, n, json.dumps(p), {k: v for k, v in s.items() if v is not None}, v, i == best) for i, ((n, p, s), v) in enumerate(zip(tried, values))]
             spark.createDataFrame(rows, STEPS).coalesce(1).write.mode("overwrite").parquet(f"{at}/steps")
             steps = sorted(spark.read.schema(STEPS).parquet(f"{at}/steps").collect(), key=lambda r: not r.winner)
-        kept = spark.read.parquet(f"{at}/rows")
-        t = t._replace(rows=kept, cols=tuple(c for c in t.cols if c in kept.columns))
+        left = spark.read.parquet(f"{at}/rows")
+        t = t._replace(rows=left, cols=tuple(c for c in t.cols if c in left.columns))
         before = dict(steps[0].scores)
         tables.append(spark.read.schema(STEPS).parquet(f"{at}/steps"))
     out = tables[0]
