@@ -203,3 +203,21 @@ def test_rows_without_gaps_of_many_renamed_columns(spark):
     assert sorted(r.id for r in x.select("id").collect()) == list(range(8, 19))
     n = x.groupBy((F.col("id") % 2).alias("odd")).agg(*[F.avg(c) for c in cols]).count()
     assert n == 2 and x.count() == df.na.drop().count()
+
+
+def test_a_search_without_a_winner_still_has_a_model(spark):
+    f = table(200, 8)
+    f["y"] = np.where(f.split == "test", f.y, 0)  # nothing to learn: recall 0 for every candidate
+    rows, fit = X.search(frame(spark, f), COLS, "y", "forest", [{"maxDepth": 2}, {"maxDepth": 3}], (2, 3))
+    assert not any(r.winner for r in rows.collect())
+    assert len(fit.trees) == 2 and X.importances(spark, fit, COLS).count() == len(COLS)
+
+
+def test_the_winner_has_its_own_size(spark):
+    df = frame(spark, table(200, 7)).coalesce(1).persist()
+    (full,) = X.fitted(df, COLS, "y", "tree", [{}], 8)
+    (two,) = X.fitted(df, COLS, "y", "tree", [{}], 2)
+    cut = X.sized(full, 2)
+    assert cut.trees[0].depth.max() == 2 < full.trees[0].depth.max()
+    key = lambda fit: [(r.variable, round(r.importance, 9)) for r in X.importances(spark, fit, COLS).collect()]
+    assert key(cut) == key(two)
