@@ -1,10 +1,12 @@
-"""Exact nearest neighbours: blocks of rows against blocks of rows, the best of each block merged.
+"""Exact nearest neighbours: blocks of queries against chunks of points, the best of each chunk merged.
 
 Points are dealt by a hash of their key into groups, and packed there into
-blocks that are matrices; so are queries, and each of their blocks goes to every
-group. A task computes a matrix of distances for a pair of blocks, variable by
-variable, and keeps the ``k`` best of each query; lists of the best meet by query.
-Pairs of rows never exist as rows.
+blocks that are matrices; so are queries. A task holds one chunk of points, of
+bounded size, and a share of the queries goes past it. Rough distances in single
+precision, with a bound on their error, leave out the pairs that can't be among
+the ``k`` best of a query so far; the others are measured in double precision.
+A query's lists of the best, one for each chunk, meet by query. Pairs of rows
+never exist as rows.
 """
 
 from __future__ import annotations
@@ -13,10 +15,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 512
+#: Points that a task holds, and those that are compared at once with a block of queries.
+CHUNK, TILE = 65_536, 4_096
 METRICS = ("manhattan", "euclidean", "chebyshev")
 #: A way to compare rows: its name, the metric, and which of the variables count.
 Slot = tuple[str, str, Sequence[int]]
@@ -67,82 +72,260 @@ def _packed(rows: DataFrame, key_type: str, groups: int, block: int, take: str)
     return dealt.select("g", "key", "val", "v").mapInArrow(pack, f"g int, keys array<{key_type}>, vals array<double>, m binary")
 
 
-def _best(d: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` smallest of each row, in order; ties go to the earlier column."""
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
-
+def _exact(a: np.ndarray, b: np.ndarray, q: np.ndarray, p: np.ndarray, metric: str, cols: Sequence[int]) -> np.ndarray:
+    """Distances of the pairs ``(q, p)`` in double precision, to nine digits; ``gaps`` is euclidean over the variables that both rows have, scaled up to all of them."""
+    total, n = np.zeros(len(q)), np.zeros(len(q))
+    with np.errstate(all="ignore"):
+        for j in cols:
+            d = np.abs(a[q, j] - b[p, j])
+            if metric == "chebyshev":
+                np.maximum(total, d, out=total)
+            elif metric == "manhattan":
+                total += d
+            elif metric == "euclidean":
+                total += d * d
+            else:
+                there = ~np.isnan(d)
+                total += np.where(there, d * d, 0.0)
+                n += there
+        if metric == "gaps":
+            total = total * a.shape[1] / n
+        return np.round(np.sqrt(total) if metric in ("euclidean", "gaps") else total, 9)
+
+
+class Rough:
+    """Distances of blocks from a chunk of points in single precision, each with a bound on its error.
+
+    They only tell which pairs are measured: all whose rough distance, less the
+    bound, is not above the largest one wanted. Squared euclidean distances are
+    a product of matrices. ``values`` are squares for euclidean and ``gaps``.
+    """
 
-def _distances(a: np.ndarray, b: np.ndarray, slots: Sequence[Slot]) -> Iterator[tuple[str, np.ndarray]]:
-    """The matrix of distances of each slot, to nine digits; sums go on from slot to slot where variables are only added."""
-    for metric in dict.fromkeys(m for _, m, _ in slots):
-        have: list[int] = []
-        total = np.zeros((len(a), len(b)))
-        for name, _, cols in sorted((s for s in slots if s[1] == metric), key=lambda s: (len(s[2]), list(s[2]))):
-            if not set(have) <= set(cols):
-                have, total = [], np.zeros((len(a), len(b)))
-            for j in sorted(set(cols) - set(have)):
-                d = np.abs(a[:, j, None] - b[None, :, j])
-                if metric == "chebyshev":
-                    np.maximum(total, d, out=total)
+    def __init__(self, b: np.ndarray, metric: str, cols: Sequence[int]):
+        self.metric, self.cols = metric, list(cols)
+        self.squared = metric in ("euclidean", "gaps")
+        b = b[:, self.cols]
+        with np.errstate(all="ignore"):
+            mean = np.nanmean(b, 0) if len(b) else np.zeros(len(self.cols))
+        self.mean = np.where(np.isfinite(mean), mean, 0.0)
+        self.large = self._large(b)
+        with np.errstate(all="ignore"):
+            x = b - self.mean
+            there = ~np.isnan(x)
+            if metric == "gaps":
+                x = np.nan_to_num(x, posinf=np.inf, neginf=-np.inf)
+            self.size = self._size(x)
+            if metric == "euclidean":
+                self.b = np.column_stack([x, np.ones(len(x)), (x * x).sum(1)]).astype(np.float32)
+            elif metric == "gaps":
+                self.b, self.there = np.column_stack([there, x * x, x]).astype(np.float32), there.astype(np.float32)
+            else:
+                self.b = np.ascontiguousarray(x.T.astype(np.float32))
+
+    def _large(self, x: np.ndarray) -> float:
+        top = np.nanmax(np.abs(x), initial=0.0)
+        return float(top + np.abs(self.mean).max(initial=0.0))
+
+    def _size(self, x: np.ndarray) -> np.ndarray:
+        x = np.abs(x)
+        size = (x * x).sum(1) if self.squared else x.max(1, initial=0.0) if self.metric == "chebyshev" else x.sum(1)
+        return np.where(size < 1e30, size, np.inf)  # what single precision can't hold has no bound
+
+    def queries(self, a: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            a = a[:, self.cols]
+            #: what centring may add to a distance, in double precision
+            self.shift = 4.0 * 2.0**-53 * (len(self.cols) + 1) * (self.large + self._large(a))
+            x = a - self.mean
+            mine = ~np.isnan(x)
+            if self.metric == "gaps":
+                x = np.nan_to_num(x, posinf=np.inf, neginf=-np.inf)
+            self.mine = self._size(x)
+            if self.metric == "euclidean":
+                self.a = np.column_stack([-2 * x, (x * x).sum(1), np.ones(len(x))]).astype(np.float32)
+            elif self.metric == "gaps":
+                self.a, self.has = np.column_stack([x * x, mine, -2 * x]).astype(np.float32), mine.astype(np.float32)
+            else:
+                self.a = x.T.astype(np.float32)
+
+    def errors(self, at: slice) -> np.ndarray:
+        """For each query the bound over the points of ``at``."""
+        return 8.0 * 2.0**-24 * (len(self.cols) + 8) * (self.mine + self.size[at].max(initial=0.0)) + 1e-38
+
+    def values(self, at: slice) -> tuple[np.ndarray, np.ndarray | None]:
+        """Rough distances, and for ``gaps`` the share of the variables they are over."""
+        with np.errstate(all="ignore"):
+            if self.metric == "euclidean":
+                return self.a @ self.b[at].T, None
+            if self.metric == "gaps":
+                return self.a @ self.b[at].T, self.has @ self.there[at].T / np.float32(len(self.cols))
+            b = self.b[:, at]
+            out = np.zeros((self.a.shape[1], b.shape[1]), np.float32)
+            for i in range(0, out.shape[0], 64):
+                for j in range(0, out.shape[1], 512):
+                    total = out[i : i + 64, j : j + 512]
+                    d, sum_ = np.empty(total.shape, np.float32), np.zeros(total.shape, np.float32)
+                    for x, y in zip(self.a[:, i : i + 64, None], b[:, None, j : j + 512]):
+                        np.subtract(x, y, out=d)
+                        np.abs(d, out=d)
+                        (np.maximum if self.metric == "chebyshev" else np.add)(sum_, d, out=sum_)
+                    total[:] = sum_
+            return out, None
+
+
+class Lists:
+    """The ``k`` nearest points found so far of the queries ``rows``: flat, in the order of query, distance and point."""
+
+    def __init__(self, rows: np.ndarray, k: int):
+        self.rows, self.k = rows, k
+        self.q, self.p, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.top = np.full(len(rows), np.inf)
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, q: np.ndarray, p: np.ndarray, d: np.ndarray) -> None:
+        fine = np.isfinite(d) & (d <= self.top[q])
+        self.new.append((q[fine], p[fine], d[fine]))
+
+    def merge(self) -> None:
+        q, p, d = (np.concatenate(x) for x in zip((self.q, self.p, self.d), *self.new))
+        order = np.lexsort((p, d, q))
+        q, p, d = q[order], p[order], d[order]
+        first = np.searchsorted(q, np.arange(len(self.rows)))
+        rank = np.arange(len(q)) - first[q]
+        last = rank == self.k - 1
+        self.top[q[last]] = d[last]
+        kept = rank < self.k
+        self.q, self.p, self.d, self.new = q[kept], p[kept], d[kept], []
+
+
+def _found(a: np.ndarray, b: np.ndarray, rough: Rough, wanted: Sequence[tuple[np.ndarray, np.ndarray | None]], k: int, own: tuple[np.ndarray, np.ndarray] | None) -> list[Lists]:
+    """The ``k`` nearest points of each query, exact, for each ``(rows, points)`` of ``wanted``: some of the queries, and a mask of the points that count.
+
+    ``own`` has numbers of the queries and of the points; points of the query's
+    number are left out. After the first tile few pairs are measured: those that
+    may be among the ``k`` best so far.
+    """
+    rough.queries(a)
+    lists = [Lists(rows, k) for rows, _ in wanted]
+    done = 0
+    for t, lo in enumerate(range(0, len(b), TILE)):
+        at = slice(lo, min(lo + TILE, len(b)))
+        values, share = rough.values(at)
+        error = rough.errors(at)
+        for mine, (rows, points) in zip(lists, wanted):
+            v, s, e = (values, share, error) if len(rows) == len(a) else (values[rows], None if share is None else share[rows], error[rows])
+            there = None if points is None else points[at]
+            if t == 0 and v.shape[1] > k + 1:  # no more than this is wanted
+                with np.errstate(all="ignore"):
+                    near = v if s is None else (v + e[:, None].astype(np.float32)) / s
+                    near = np.where(np.isnan(near) | (False if there is None else ~there), np.float32(np.inf), near)
+                    if own is not None:
+                        near[own[0][rows, None] == own[1][None, at]] = np.inf
+                    top = np.partition(near, k, axis=1)[:, k].astype(float) * (1 + 1e-6) + (e if s is None else 0.0)
+                    mine.top = np.fmin(mine.top, (np.sqrt(np.maximum(top, 0.0)) if rough.squared else top) + rough.shift + 2e-9)
+            with np.errstate(all="ignore"):
+                most = mine.top + rough.shift + 2e-9
+                most = most * most if rough.squared else most
+                if s is None:
+                    far = v > (np.nextafter(most.astype(np.float32), np.float32(np.inf)) + np.nextafter(e.astype(np.float32), np.float32(np.inf)))[:, None] * np.float32(1 + 1e-6)
                 else:
-                    total += d * d if metric == "euclidean" else d
-            have = list(cols)
-            yield name, np.round(np.sqrt(total) if metric == "euclidean" else total, 9)
-
-
-def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances over the variables that both rows have, scaled up to all of them; NaN without any."""
-    total, n = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = a[:, j, None] - b[None, :, j]
-        there = ~np.isnan(d)
-        total += np.where(there, d * d, 0.0)
-        n += there
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.round(np.sqrt(total * a.shape[1] / n), 9)
+                    far = v > (s * (most * (1 + 1e-5)).astype(np.float32)[:, None] + (e * (1 + 1e-5)).astype(np.float32)[:, None])
+            if there is not None:
+                far |= ~there
+            flat = np.flatnonzero(~far)
+            q, p = flat // far.shape[1], flat % far.shape[1] + lo
+            if own is not None:
+                other = own[0][rows[q]] != own[1][p]
+                q, p = q[other], p[other]
+            mine.add(q, p, _exact(a, b, rows[q], p, rough.metric, rough.cols))
+            if t + 1 >= 2 * done or at.stop == len(b):
+                mine.merge()
+        if t + 1 >= 2 * done:
+            done = t + 1
+    return lists
 
 
 def _met(queries: DataFrame, points: DataFrame, key_type: str, block: int, take: tuple[str, str]) -> DataFrame:
+    """``(cell, side, keys, vals, m)``: a partition for each cell, which holds a chunk of the points (side 0) and then a share of the queries (side 1).
+
+    A chunk is bounded, so the lists of a query are as many as there are chunks;
+    queries are dealt over as many shares as make some tasks for each core.
+    """
     spark = points.sparkSession
-    groups = groups_for(spark, points.count(), block)
-    p = _packed(points, key_type, groups, block, take[1])
-    q = _packed(queries, key_type, groups_for(spark, queries.count(), block), block, take[0])
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("keys").alias("qkeys"), F.col("m").alias("qm"))
-    return q.join(p, "g").select("qkeys", "qm", "keys", "vals", "m")
+    sizes = points.count(), queries.count()
+    chunks = max(1, -(-sizes[0] // CHUNK))
+    shares = max(1, min(-(-sizes[1] // block), -(-4 * spark.sparkContext.defaultParallelism // chunks)))
+    p = _packed(points, key_type, max(chunks, groups_for(spark, sizes[0], block)), block, take[1])
+    q = _packed(queries, key_type, max(shares, groups_for(spark, sizes[1], block)), block, take[0])
+
+    def dealt(x: DataFrame, mine: int, others: int, side: int) -> DataFrame:
+        other, own = F.explode(F.sequence(F.lit(0), F.lit(others - 1))), F.col("g") % mine
+        x = x.select(own.alias("own"), other.alias("other"), F.lit(side).alias("side"), "keys", "vals", "m")
+        return x.select((F.col("own") + F.col("other") * chunks if side == 0 else F.col("other") + F.col("own") * chunks).cast("int").alias("cell"), "side", "keys", "vals", "m")
+
+    both = dealt(p, chunks, shares, 0).unionByName(dealt(q, shares, chunks, 1))
+    return both.repartitionById(chunks * shares, "cell").sortWithinPartitions("cell", "side")
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """``(slot, key, near)``: the best ``k`` of the blocks' lists, as ``(d, other, val)``."""
+    """``(slot, key, near)``: the best ``k`` of the chunks' lists, as ``(d, other, val)``."""
     near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
     return found.groupBy("slot", "key").agg(near.alias("near"))
 
 
 def _small_batches(spark, size: int = 64 << 20) -> None:
-    """Limit what a worker gets at once to ``size`` bytes: a row holds two blocks. The session keeps the setting, as a plan reads it when it runs."""
+    """Limit what a worker gets at once to ``size`` bytes: a row holds a block. The session keeps the setting, as a plan reads it when it runs."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(name).removesuffix("b")) > size:
         spark.conf.set(name, str(size))
 
 
-def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, kernel, block: int, take: tuple[str, str]) -> DataFrame:
+def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, slots: Sequence[Slot] | None, cols: Sequence[str], apart: bool, block: int, take: tuple[str, str]) -> DataFrame:
+    """The lists of ``_met``'s cells, merged; without ``slots`` the donors of each gap, by column."""
     _small_batches(points.sparkSession)
     kind = f"slot string, key {key_type}, near array<struct<d:double,other:{key_type},val:double>>"
-    item = pa.struct([("d", pa.float64()), ("other", pa.int64() if key_type == "bigint" else pa.string()), ("val", pa.float64())])
+    key = pa.int64() if key_type == "bigint" else pa.string()
+
+    def lists(slot: str, qkeys: pa.Array, got: Lists, keys: pa.Array, vals: pa.Array) -> pa.RecordBatch:
+        ends = np.r_[0, np.cumsum(np.bincount(got.q, minlength=len(got.rows)))].astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(got.d), keys.take(pa.array(got.p)), vals.take(pa.array(got.p))], ["d", "other", "val"])
+        return pa.RecordBatch.from_arrays([pa.array([slot] * len(got.rows), pa.string()), qkeys.take(pa.array(got.rows)), pa.ListArray.from_arrays(pa.array(ends), items)], ["slot", "key", "near"])
+
+    def asked(qkeys: pa.Array, a: np.ndarray, keys: pa.Array, b: np.ndarray, vals: pa.Array, rough: list[tuple[str, Rough]]) -> Iterator[pa.RecordBatch]:
+        if slots is None:
+            gaps, there = np.isnan(a), ~np.isnan(b)
+            mine = [j for j in range(a.shape[1]) if gaps[:, j].any() and there[:, j].any()]
+            for j, got in zip(mine, _found(a, b, rough[0][1], [(np.flatnonzero(gaps[:, j]), there[:, j]) for j in mine], k, None)):
+                yield lists(cols[j], qkeys, got, keys, pa.array(b[:, j]))
+            return
+        own = None
+        if apart:
+            number = {x: i for i, x in enumerate(keys.to_pylist())}
+            own = np.array([number.get(x, -1) for x in qkeys.to_pylist()]), np.array([number[x] for x in keys.to_pylist()])
+        for name, way in rough:
+            yield lists(name, qkeys, _found(a, b, way, [(np.arange(len(a)), None)], k, own)[0], keys, vals)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, chunk = None, [], None
         for batch in it:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                qkeys, keys = row["qkeys"].as_py(), row["keys"].as_py()
-                a = np.frombuffer(row["qm"].as_buffer(), np.float64).reshape(len(qkeys), -1)
-                b = np.frombuffer(row["m"].as_buffer(), np.float64).reshape(len(keys), -1)
-                for slot, qk, d, others, vals in kernel(qkeys, a, keys, b, row["vals"].as_py()):
-                    at = _best(d, k)
-                    near = np.take_along_axis(d, at, 1)
-                    there = np.isfinite(near)
-                    flat, ends = pa.array(at[there]), np.r_[0, np.cumsum(there.sum(1))].astype(np.int32)
-                    items = pa.StructArray.from_arrays([pa.array(near[there]), pa.array(others, item.field("other").type).take(flat), pa.array(vals, pa.float64()).take(flat)], ["d", "other", "val"])
-                    yield pa.RecordBatch.from_arrays([pa.array([slot] * len(qk)), pa.array(qk, item.field("other").type), pa.ListArray.from_arrays(pa.array(ends), items)], ["slot", "key", "near"])
+                if row["cell"].as_py() != cell:
+                    cell, held, chunk = row["cell"].as_py(), [], None
+                keys = row["keys"].values.cast(key)
+                m = np.frombuffer(row["m"].as_buffer(), np.float64).reshape(len(keys), -1)
+                if row["side"].as_py() == 0:
+                    held.append((keys, row["vals"].values, m.copy()))
+                    continue
+                if not held:
+                    continue
+                if chunk is None:  # points in the order of their keys, so that ties go to the earlier place
+                    keys_, vals_, b = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
+                    order = pc.sort_indices(pa.table({"key": keys_, "val": vals_}), [("key", "ascending"), ("val", "ascending")])
+                    b = b[order.to_numpy()]
+                    rough = [(n, Rough(b, w, c)) for n, w, c in slots] if slots is not None else [("", Rough(b, "gaps", range(len(cols))))]
+                    chunk, held = (keys_.take(order), b, vals_.take(order), rough), [()]
+                yield from asked(keys, m, *chunk)
 
     return _merged(_met(queries, points, key_type, block, take).mapInArrow(run, kind), k)
 
@@ -163,28 +346,13 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, cols: Sequence[str]
     slots = list(slots or [("euclidean", "euclidean", range(len(cols)))])
     p, kind = _keyed(points, key, cols, F.col(val) if val else F.lit(None))
     q, _ = _keyed(queries, key, cols, F.lit(None))
-
-    def kernel(qkeys, a, keys, b, vals):
-        same = np.array(qkeys)[:, None] == np.array(keys)[None, :] if apart else None
-        for name, d in _distances(a, b, slots):
-            yield name, qkeys, np.where(same, np.inf, d) if apart else d, keys, vals
-
-    return _compare(q, p, kind, k, kernel, block, ("whole", "whole"))
+    return _compare(q, p, kind, k, slots, cols, apart, block, ("whole", "whole"))
 
 
 def donors(df: DataFrame, key: str, cols: Sequence[str], k: int, block: int = BLOCK) -> DataFrame:
     """``(slot, key, near)``: for each gap, ``slot`` being its column, the ``k`` nearest rows that have the value ``val``."""
     x, kind = _keyed(df, key, cols, F.lit(None))
-
-    def kernel(qkeys, a, keys, b, vals):
-        d = _gaps(a, b)
-        d = np.where(np.isnan(d), np.inf, d)
-        for j, c in enumerate(cols):
-            rows, there = np.flatnonzero(np.isnan(a[:, j])), np.flatnonzero(~np.isnan(b[:, j]))
-            if len(rows) and len(there):
-                yield c, [qkeys[r] for r in rows], d[np.ix_(rows, there)], [keys[t] for t in there], b[there, j].tolist()
-
-    return _compare(x, x, kind, k, kernel, block, ("gaps", "all"))
+    return _compare(x, x, kind, k, None, cols, False, block, ("gaps", "all"))
 
 
 def vote(near: F.Column, k: int) -> F.Column:

@@ -221,3 +221,35 @@ def test_the_winner_has_its_own_size(spark):
     assert cut.trees[0].depth.max() == 2 < full.trees[0].depth.max()
     key = lambda fit: [(r.variable, round(r.importance, 9)) for r in X.importances(spark, fit, COLS).collect()]
     assert key(cut) == key(two)
+
+
+def test_keys_that_repeat_are_apart(spark):
+    f = table(60, 11)
+    f["id"] = f["id"] // 9  # three rows a key
+    df = frame(spark, f)
+    got = {(r.key): [x.other for x in r.near] for r in N.nearest(df, df.dropDuplicates(["id"]).union(df), "id", COLS, 5, "y", apart=True).collect()}
+    assert all(k not in near and len(near) == 5 for k, near in got.items())
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 1e7), (1e25, 0.0), (1e-30, 0.0), (1.0, 0.0)])
+def test_nearest_over_tiles_and_chunks(spark, monkeypatch, scale, shift):
+    monkeypatch.setattr(N, "CHUNK", 50)
+    monkeypatch.setattr(N, "TILE", 16)
+    f = table(140, 12)
+    f[COLS] = f[COLS] * scale + shift
+    df = frame(spark, f)
+    x = f[COLS].to_numpy(float)
+    for r in N.nearest(df, df, "id", COLS, 6, "y", [(m, m, range(6)) for m in N.METRICS]).collect():
+        q = x[f.id.tolist().index(r.key)]
+        want = sorted(zip(np.round(DIST[r.slot](x - q), 9), f.id))[:6]
+        assert [n.d for n in r.near] == pytest.approx([d for d, _ in want]) and (scale > 1 or [n.other for n in r.near] == [o for _, o in want])
+
+
+def test_a_row_meets_each_query_once(spark, monkeypatch):
+    """Lists of the best are one for each chunk of points, however many blocks there are."""
+    df = frame(spark, table(140, 13))
+    seen = []
+    merged = N._merged
+    monkeypatch.setattr(N, "_merged", lambda found, k: seen.append(found.count()) or merged(found, k))
+    N.nearest(df, df, "id", COLS, 3, block=8)
+    assert seen == [140]
