@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,23 @@ def long_form(row: DataFrame, cols: Sequence[str], fields: Sequence[str]) -> Dat
 SMALL = 10_000
 
 
+@contextmanager
+def held(df: DataFrame, cols: Sequence[str]) -> Iterator[DataFrame]:
+    """The columns of ``df``, stored while they are read several times: what leads to them, such as joins, runs once."""
+    x = df.select(*dict.fromkeys(cols)).persist()
+    try:
+        yield x
+    finally:
+        x.unpersist()
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], small: int = SMALL, buckets: int = 512) -> dict[str, list[float | None]]:
+    """``held_quantiles`` of columns that are stored for its passes."""
+    with held(df, cols) as x:
+        return held_quantiles(x, cols, ps, small, buckets)
+
+
+def held_quantiles(df: DataFrame, cols: Sequence[str], ps: Sequence[float], small: int = SMALL, buckets: int = 512) -> dict[str, list[float | None]]:
     """Interpolated quantiles of each column, exact, without sorting it or holding its distinct values.
 
     Values are counted by equal buckets of their range; the bucket that holds a
@@ -121,15 +138,16 @@ def describe(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), distinc
     With ``by`` for each group, of which there may be any number of any size (``grouped.describe``).
     """
     if not by:
-        row = df.agg(*[f.alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count(c)), ("mean", F.avg(F.col(c).cast("double"))), ("std", F.stddev_samp(F.col(c).cast("double"))), ("lo", F.min(F.col(c).cast("double"))), ("hi", F.max(F.col(c).cast("double"))))]).first()
-        q = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
-        seen: dict[str, int] = {}
-        if distinct:
-            each = None
-            for c in cols:  # a distinct for each column, added up before the shuffle
-                one = df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*").alias("n")).select(F.lit(c).alias("variable"), "n")
-                each = one if each is None else each.unionByName(one)
-            seen = {r.variable: r.n for r in each.collect()}
+        with held(df, cols) as x:
+            row = x.agg(*[f.alias(f"{i}{n}") for i, c in enumerate(cols) for n, f in (("n", F.count(c)), ("mean", F.avg(F.col(c).cast("double"))), ("std", F.stddev_samp(F.col(c).cast("double"))), ("lo", F.min(F.col(c).cast("double"))), ("hi", F.max(F.col(c).cast("double"))))]).first()
+            q = held_quantiles(x, cols, (0.25, 0.5, 0.75))
+            seen: dict[str, int] = {}
+            if distinct:
+                each = None
+                for c in cols:  # a distinct for each column, added up before the shuffle
+                    one = x.select(c).where(F.col(c).isNotNull()).distinct().agg(F.count("*").alias("n")).select(F.lit(c).alias("variable"), "n")
+                    each = one if each is None else each.unionByName(one)
+                seen = {r.variable: r.n for r in each.collect()}
         rows = [(c, row[f"{i}n"], *([seen[c]] if distinct else []), row[f"{i}mean"], row[f"{i}std"], row[f"{i}lo"], *q[c], row[f"{i}hi"]) for i, c in enumerate(cols)]
         kinds = "variable string, count long, " + ("nunique long, " if distinct else "") + "mean double, std double, min double, p25 double, p50 double, p75 double, max double"
         return df.sparkSession.createDataFrame(rows, kinds)

@@ -142,3 +142,19 @@ def test_densities_without_a_fit(spark):
     (b,) = Y.densities(spark.createDataFrame([(2.0,)] * 5, "x double"), "x").collect()
     assert (b.n, b.density, b.normal, b.exponential, b.lognormal) == (5, None, None, None, None)
     assert Y.densities(spark.createDataFrame([], "x double"), "x").where("n > 0").collect() == []
+
+
+def test_rows_behind_quantiles_are_made_once(spark):
+    """What leads to the columns, such as joins, runs once for all passes."""
+    from kilnframe.operators import prepare as P
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            made.add(len(pdf))
+            yield pdf.assign(x=pdf.id * 1.5)[["x"]]
+
+    df = spark.range(30_000).mapInPandas(count, "x double")
+    ((low, top, mid),) = P.fit_bounds(df, ["x"], 2.0).values()
+    assert mid == 29_999 * 0.75 and made.value == 30_000
