@@ -3,8 +3,9 @@
 Points are dealt by a hash of their key into groups, and packed there into
 blocks that are matrices; so are queries. A task holds one chunk of points, of
 bounded size, and a share of the queries goes past it. Rough distances in single
-precision, with a bound on their error, leave out the pairs that can't be among
-the ``k`` best of a query so far; the others are measured in double precision.
+precision or small whole numbers, with a bound on their error, leave out the
+pairs that can't be among the ``k`` best of a query so far; the others are
+measured in double precision.
 A query's lists of the best, one for each chunk, meet by query. Pairs of rows
 never exist as rows.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 BLOCK = 512
 #: Points that a task holds, and those that are compared at once with a block of queries.
 CHUNK, TILE = 65_536, 4_096
+#: Points of the first tile, which give a first bound, and pairs measured at once.
+FIRST, PAIRS = 1_024, 1_024
 METRICS = ("manhattan", "euclidean", "chebyshev")
 #: A way to compare rows: its name, the metric, and which of the variables count.
 Slot = tuple[str, str, Sequence[int]]
@@ -73,43 +76,56 @@ def _packed(rows: DataFrame, key_type: str, groups: int, block: int, take: str)
 
 
 def _exact(a: np.ndarray, b: np.ndarray, q: np.ndarray, p: np.ndarray, metric: str, cols: Sequence[int]) -> np.ndarray:
-    """Distances of the pairs ``(q, p)`` in double precision, to nine digits; ``gaps`` is euclidean over the variables that both rows have, scaled up to all of them."""
-    total, n = np.zeros(len(q)), np.zeros(len(q))
+    """Distances of the pairs ``(q, p)`` in double precision, to nine digits; ``gaps`` is euclidean over the variables that both rows have, scaled up to all of them.
+
+    Rows are fetched whole, some thousand pairs at a time, and their variables added in order.
+    """
+    out, some = np.zeros(len(q)), list(cols) != list(range(a.shape[1]))
     with np.errstate(all="ignore"):
-        for j in cols:
-            d = np.abs(a[q, j] - b[p, j])
-            if metric == "chebyshev":
-                np.maximum(total, d, out=total)
-            elif metric == "manhattan":
-                total += d
-            elif metric == "euclidean":
-                total += d * d
-            else:
+        for at in range(0, len(q), PAIRS):
+            x, y = a[q[at : at + PAIRS]], b[p[at : at + PAIRS]]
+            if some:
+                x, y = x[:, list(cols)], y[:, list(cols)]
+            d = np.ascontiguousarray(np.abs(np.subtract(x, y, out=x), out=x).T)
+            total, n = np.zeros(d.shape[1]), 0
+            if metric == "gaps":
                 there = ~np.isnan(d)
-                total += np.where(there, d * d, 0.0)
-                n += there
-        if metric == "gaps":
-            total = total * a.shape[1] / n
-        return np.round(np.sqrt(total) if metric in ("euclidean", "gaps") else total, 9)
+                n = there.sum(0)
+                d[~there] = 0.0
+            if metric in ("euclidean", "gaps"):
+                np.multiply(d, d, out=d)
+            for v in d:
+                (np.maximum if metric == "chebyshev" else np.add)(total, v, out=total)
+            if metric == "gaps":
+                total = total * a.shape[1] / n
+            out[at : at + PAIRS] = np.round(np.sqrt(total) if metric in ("euclidean", "gaps") else total, 9)
+    return out
 
 
 class Rough:
-    """Distances of blocks from a chunk of points in single precision, each with a bound on its error.
+    """Distances of blocks from a chunk of points, rough, each with a bound on its error.
 
     They only tell which pairs are measured: all whose rough distance, less the
     bound, is not above the largest one wanted. Squared euclidean distances are
-    a product of matrices. ``values`` are squares for euclidean and ``gaps``.
+    a product of matrices in single precision. For the other metrics values are
+    whole numbers of 16 bits: each variable cut to eight deviations around its
+    mean, which makes no distance larger, in steps of one width.
     """
 
     def __init__(self, b: np.ndarray, metric: str, cols: Sequence[int]):
         self.metric, self.cols = metric, list(cols)
         self.squared = metric in ("euclidean", "gaps")
+        self.scratch: dict[object, np.ndarray] = {}
         b = b[:, self.cols]
         with np.errstate(all="ignore"):
             mean = np.nanmean(b, 0) if len(b) else np.zeros(len(self.cols))
         self.mean = np.where(np.isfinite(mean), mean, 0.0)
         self.large = self._large(b)
         with np.errstate(all="ignore"):
+            if not self.squared:
+                self._steps(b)
+                self.b = self._whole(b)
+                return
             x = b - self.mean
             there = ~np.isnan(x)
             if metric == "gaps":
@@ -117,18 +133,33 @@ class Rough:
             self.size = self._size(x)
             if metric == "euclidean":
                 self.b = np.column_stack([x, np.ones(len(x)), (x * x).sum(1)]).astype(np.float32)
-            elif metric == "gaps":
-                self.b, self.there = np.column_stack([there, x * x, x]).astype(np.float32), there.astype(np.float32)
             else:
-                self.b = np.ascontiguousarray(x.T.astype(np.float32))
+                self.b, self.there = np.column_stack([there, x * x, x]).astype(np.float32), there.astype(np.float32)
+
+    def _steps(self, b: np.ndarray) -> None:
+        """Where each variable starts and ends, and the width of a step: sums of all variables' steps stay within 16 bits."""
+        n = max(1, len(self.cols))
+        levels = 32_767 if self.metric == "chebyshev" else max(1, min(32_767, 65_535 // n))
+        x = np.where(np.isfinite(b), b, np.nan)
+        sd, low, top = (f(x, 0) if len(x) else np.zeros(len(self.cols)) for f in (np.nanstd, np.nanmin, np.nanmax))
+        self.low, self.top = np.fmax(low, self.mean - 8 * sd), np.fmin(top, self.mean + 8 * sd)
+        fine = np.isfinite(self.low) & np.isfinite(self.top) & (self.low <= self.top)
+        self.low, self.top = np.where(fine, self.low, 0.0), np.where(fine, self.top, 0.0)
+        self.step = float((self.top - self.low).max(initial=0.0) / levels)
+        if not 1e-290 < self.step < 1e290:  # no steps: every pair is measured
+            self.step, self.top = 1.0, self.low
+        #: how many steps a distance may be rounded up by
+        self.slack = (1 if self.metric == "chebyshev" else n) * (1 + 1e-6) + 1e-3
+
+    def _whole(self, x: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(np.rint((np.clip(x, self.low, self.top) - self.low) / self.step).astype(np.int16).T)
 
     def _large(self, x: np.ndarray) -> float:
         top = np.nanmax(np.abs(x), initial=0.0)
         return float(top + np.abs(self.mean).max(initial=0.0))
 
     def _size(self, x: np.ndarray) -> np.ndarray:
-        x = np.abs(x)
-        size = (x * x).sum(1) if self.squared else x.max(1, initial=0.0) if self.metric == "chebyshev" else x.sum(1)
+        size = (x * x).sum(1)
         return np.where(size < 1e30, size, np.inf)  # what single precision can't hold has no bound
 
     def queries(self, a: np.ndarray) -> None:
@@ -136,6 +167,9 @@ class Rough:
             a = a[:, self.cols]
             #: what centring may add to a distance, in double precision
             self.shift = 4.0 * 2.0**-53 * (len(self.cols) + 1) * (self.large + self._large(a))
+            if not self.squared:
+                self.a = self._whole(a)
+                return
             x = a - self.mean
             mine = ~np.isnan(x)
             if self.metric == "gaps":
@@ -143,34 +177,63 @@ class Rough:
             self.mine = self._size(x)
             if self.metric == "euclidean":
                 self.a = np.column_stack([-2 * x, (x * x).sum(1), np.ones(len(x))]).astype(np.float32)
-            elif self.metric == "gaps":
-                self.a, self.has = np.column_stack([x * x, mine, -2 * x]).astype(np.float32), mine.astype(np.float32)
             else:
-                self.a = x.T.astype(np.float32)
+                self.a, self.has = np.column_stack([x * x, mine, -2 * x]).astype(np.float32), mine.astype(np.float32)
 
-    def errors(self, at: slice) -> np.ndarray:
-        """For each query the bound over the points of ``at``."""
-        return 8.0 * 2.0**-24 * (len(self.cols) + 8) * (self.mine + self.size[at].max(initial=0.0)) + 1e-38
+    def room(self, name: str, shape: tuple[int, int], kind) -> np.ndarray:
+        """An array that is used again by the next tile: new ones cost more than what is written into them."""
+        size = shape[0] * shape[1]
+        if name not in self.scratch or self.scratch[name].size < size:
+            self.scratch[name] = np.empty(-(-size // 8) * 8, kind)
+        return self.scratch[name][:size].reshape(shape)
 
     def values(self, at: slice) -> tuple[np.ndarray, np.ndarray | None]:
         """Rough distances, and for ``gaps`` the share of the variables they are over."""
+        n = at.stop - at.start
         with np.errstate(all="ignore"):
-            if self.metric == "euclidean":
-                return self.a @ self.b[at].T, None
-            if self.metric == "gaps":
-                return self.a @ self.b[at].T, self.has @ self.there[at].T / np.float32(len(self.cols))
-            b = self.b[:, at]
-            out = np.zeros((self.a.shape[1], b.shape[1]), np.float32)
-            for i in range(0, out.shape[0], 64):
-                for j in range(0, out.shape[1], 512):
-                    total = out[i : i + 64, j : j + 512]
-                    d, sum_ = np.empty(total.shape, np.float32), np.zeros(total.shape, np.float32)
-                    for x, y in zip(self.a[:, i : i + 64, None], b[:, None, j : j + 512]):
-                        np.subtract(x, y, out=d)
-                        np.abs(d, out=d)
-                        (np.maximum if self.metric == "chebyshev" else np.add)(sum_, d, out=sum_)
-                    total[:] = sum_
-            return out, None
+            if self.squared:
+                out = np.matmul(self.a, self.b[at].T, out=self.room("values", (len(self.a), n), np.float32))
+                if self.metric == "euclidean":
+                    return out, None
+                share = np.matmul(self.has, self.there[at].T, out=self.room("share", out.shape, np.float32))
+                return out, np.divide(share, np.float32(len(self.cols)), out=share)
+        # some rows by a whole tile: long inner loops, and both arrays stay in a core's cache
+        out = self.room("values", (self.a.shape[1], n), np.uint16)
+        for i in range(0, len(out), 16):
+            total = out[i : i + 16]
+            total[:] = 0
+            d = self.room("difference", total.shape, np.int16)
+            for x, y in zip(self.a[:, i : i + 16, None], self.b[:, None, at]):
+                np.subtract(x, y, out=d)
+                np.abs(d, out=d)
+                (np.maximum if self.metric == "chebyshev" else np.add)(total, d.view(np.uint16), out=total)
+        return out, None
+
+    def far(self, values: np.ndarray, share: np.ndarray | None, top: np.ndarray, rows: np.ndarray, at: slice) -> np.ndarray:
+        """Which pairs of the queries ``rows`` are certainly farther than ``top``; what has no bound isn't."""
+        out = self.room("far", values.shape, bool)
+        with np.errstate(all="ignore"):
+            most = top + self.shift + 2e-9
+            if not self.squared:
+                most = np.floor(most / self.step + self.slack)
+                return np.greater(values, np.where(most < 65_535, most, 65_535).astype(np.uint16)[:, None], out=out)
+            most = most * most
+            e = 8.0 * 2.0**-24 * (len(self.cols) + 8) * (self.mine[rows] + self.size[at].max(initial=0.0)) + 1e-38
+            if share is None:
+                most = (np.nextafter(most.astype(np.float32), np.float32(np.inf)) + np.nextafter(e.astype(np.float32), np.float32(np.inf))) * np.float32(1 + 1e-6)
+                return np.greater(values, most[:, None], out=out)
+            limit = np.multiply(share, (most * (1 + 1e-5)).astype(np.float32)[:, None], out=self.room("limit", values.shape, np.float32))
+            limit += (e * (1 + 1e-5)).astype(np.float32)[:, None]
+            return np.greater(values, limit, out=out)
+
+
+def _false(x: np.ndarray) -> np.ndarray:
+    """The places of what is false in ``x``, nearly all of which is true; eight at a time."""
+    flat = x.reshape(-1)
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64) != np.uint64(0x0101010101010101))
+    at = (words[:, None] * 8 + np.arange(8)).ravel()
+    return np.r_[at[~flat[at]], whole + np.flatnonzero(~flat[whole:])]
 
 
 class Lists:
@@ -207,44 +270,50 @@ def _found(a: np.ndarray, b: np.ndarray, rough: Rough, wanted: Sequence[tuple[np
     """
     rough.queries(a)
     lists = [Lists(rows, k) for rows, _ in wanted]
-    done = 0
-    for t, lo in enumerate(range(0, len(b), TILE)):
-        at = slice(lo, min(lo + TILE, len(b)))
+    lo = done = 0
+    size = min(FIRST, TILE)
+    while lo < len(b):
+        at = slice(lo, min(lo + size, len(b)))
         values, share = rough.values(at)
-        error = rough.errors(at)
+        last = at.stop >= 2 * done or at.stop == len(b)
         for mine, (rows, points) in zip(lists, wanted):
-            v, s, e = (values, share, error) if len(rows) == len(a) else (values[rows], None if share is None else share[rows], error[rows])
+            v, s = (values, share) if len(rows) == len(a) else (values[rows], None if share is None else share[rows])
             there = None if points is None else points[at]
-            if t == 0 and v.shape[1] > k + 1:  # no more than this is wanted
-                with np.errstate(all="ignore"):
-                    near = v if s is None else (v + e[:, None].astype(np.float32)) / s
-                    near = np.where(np.isnan(near) | (False if there is None else ~there), np.float32(np.inf), near)
-                    if own is not None:
-                        near[own[0][rows, None] == own[1][None, at]] = np.inf
-                    top = np.partition(near, k, axis=1)[:, k].astype(float) * (1 + 1e-6) + (e if s is None else 0.0)
-                    mine.top = np.fmin(mine.top, (np.sqrt(np.maximum(top, 0.0)) if rough.squared else top) + rough.shift + 2e-9)
-            with np.errstate(all="ignore"):
-                most = mine.top + rough.shift + 2e-9
-                most = most * most if rough.squared else most
-                if s is None:
-                    far = v > (np.nextafter(most.astype(np.float32), np.float32(np.inf)) + np.nextafter(e.astype(np.float32), np.float32(np.inf)))[:, None] * np.float32(1 + 1e-6)
-                else:
-                    far = v > (s * (most * (1 + 1e-5)).astype(np.float32)[:, None] + (e * (1 + 1e-5)).astype(np.float32)[:, None])
+            if lo == 0 and v.shape[1] > k + 1:
+                mine.top = np.fmin(mine.top, _first(a, b, rough, v, s, rows, there, k, own))
+            far = rough.far(v, s, mine.top, rows, at)
             if there is not None:
                 far |= ~there
-            flat = np.flatnonzero(~far)
+            flat = _false(far)
             q, p = flat // far.shape[1], flat % far.shape[1] + lo
             if own is not None:
                 other = own[0][rows[q]] != own[1][p]
                 q, p = q[other], p[other]
             mine.add(q, p, _exact(a, b, rows[q], p, rough.metric, rough.cols))
-            if t + 1 >= 2 * done or at.stop == len(b):
+            if last:
                 mine.merge()
-        if t + 1 >= 2 * done:
-            done = t + 1
+        if last:
+            done = at.stop
+        lo, size = at.stop, min(2 * size, TILE)
     return lists
 
 
+def _first(a: np.ndarray, b: np.ndarray, rough: Rough, v: np.ndarray, s: np.ndarray | None, rows: np.ndarray, there: np.ndarray | None, k: int, own: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+    """For each query a distance that ``k`` points of the first tile are within: those that seem nearest are measured."""
+    with np.errstate(all="ignore"):
+        near = v.astype(np.float32) if s is None else v / s
+        near[np.isnan(near)] = np.inf
+    out = np.zeros(near.shape, bool) if there is None else np.broadcast_to(~there, near.shape).copy()
+    if own is not None:
+        out |= own[0][rows, None] == own[1][None, : near.shape[1]]
+    near[out] = np.inf
+    p = np.argpartition(near, k, axis=1)[:, :k]
+    q = np.repeat(np.arange(len(p)), k)
+    d = _exact(a, b, rows[q], p.ravel(), rough.metric, rough.cols)
+    d[out[q, p.ravel()] | np.isnan(d)] = np.inf
+    return d.reshape(-1, k).max(1)
+
+
 def _met(queries: DataFrame, points: DataFrame, key_type: str, block: int, take: tuple[str, str]) -> DataFrame:
     """``(cell, side, keys, vals, m)``: a partition for each cell, which holds a chunk of the points (side 0) and then a share of the queries (side 1).
 

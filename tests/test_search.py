@@ -253,3 +253,38 @@ def test_a_row_meets_each_query_once(spark, monkeypatch):
     monkeypatch.setattr(N, "_merged", lambda found, k: seen.append(found.count()) or merged(found, k))
     N.nearest(df, df, "id", COLS, 3, block=8)
     assert seen == [140]
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "chebyshev"])
+@pytest.mark.parametrize("odd", [0.0, 1e6, 1e300, np.inf])
+def test_whole_numbers_leave_out_no_near_pair(metric, odd):
+    """Rough distances take two bytes, and what lies far from all else makes none of them too large."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(40, 9)), rng.normal(size=(700, 9))
+    b[::97, 3], a[::13, 5] = odd, -odd
+    a[:, 7] = b[:, 7] = 2.0
+    rough = N.Rough(b, metric, range(9))
+    rough.queries(a)
+    values, _ = rough.values(slice(0, 700))
+    assert values.dtype == np.uint16
+    with np.errstate(all="ignore"):
+        x = np.abs(b[None] - a[:, None])
+        d = np.round(x.sum(2) if metric == "manhattan" else x.max(2), 9)
+    top = np.sort(d, 1)[:, 20]
+    far = rough.far(values, None, top, np.arange(40), slice(0, 700))
+    assert not (far & (d <= top[:, None])).any()
+    assert odd or far.mean() > 0.8
+
+
+def test_first_bounds_hold_with_copies_and_own_rows(monkeypatch):
+    rng = np.random.default_rng(6)
+    b = np.repeat(rng.normal(size=(60, 5)), 30, 0)[rng.permutation(1800)]
+    a, own = b[:50].copy(), (np.arange(50), np.arange(1800))
+    monkeypatch.setattr(N, "TILE", 256)
+    for metric in N.METRICS:
+        got = N._found(a, b, N.Rough(b, metric, range(5)), [(np.arange(50), None)], 40, own)[0]
+        for q in range(50):
+            x = np.abs(b - a[q])
+            d = np.round({"manhattan": x.sum(1), "euclidean": np.sqrt((x * x).sum(1)), "chebyshev": x.max(1)}[metric], 9)
+            want = [p for p in np.lexsort((np.arange(1800), d)) if p != q][:40]
+            assert got.p[got.q == q].tolist() == want
