@@ -96,13 +96,10 @@ def sides(text: bytes, pos: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Two short hashes for each anchor: of the 17 bytes before and of the 17 bytes after it, each with the gram's own; a side that the text cuts off has none (0)."""
     b = np.frombuffer(text, np.uint8)
     out = np.zeros((len(pos), 2), np.uint16)
+    eight = np.ndarray((max(0, len(b) - 7),), "<u8", b, strides=(1,))  # the eight bytes from each place on
     for k, (ok, first) in enumerate(((pos >= HALF, pos - HALF), (pos + GRAM + HALF <= len(b), pos + GRAM))):
         at = first[ok]
-        x = np.zeros((len(at), 24), np.uint8)
-        for j in range(HALF):
-            x[:, j] = b[at + j]
-        y = x.view("<u8")
-        v = _mixed(_mixed(y[:, 0], y[:, 1]), y[:, 2]) ^ h[ok]
+        v = _mixed(_mixed(eight[at], eight[at + 8]), b[at + 16].astype(np.uint64)) ^ h[ok]
         out[ok, k] = np.maximum((v * _MIX) >> np.uint64(48), 1)
     return out
 
@@ -498,10 +495,11 @@ def covered(raw: bytes, tag: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> n
     mine = tag == zlib.crc32(raw)
     pos, bits = pos[mine], bits[mine]
     edge = np.zeros(len(raw) + 1, np.int64)
-    for o in range(BACK + 1):
-        start = pos[(bits >> o & 1) == 1] - o
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + LENGTH, -1)
+    offsets = np.arange(BACK + 1)
+    for i in range(0, len(pos), TOGETHER):  # all offsets of some marks at once
+        start = (pos[i : i + TOGETHER, None] - offsets)[(bits[i : i + TOGETHER, None] >> offsets & 1).astype(bool)]
+        edge += np.bincount(start, minlength=len(edge))
+        edge -= np.bincount(start + LENGTH, minlength=len(edge))
     return np.cumsum(edge[:-1]) > 0
 
 

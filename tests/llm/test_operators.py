@@ -491,3 +491,38 @@ def test_polytope_recall_by_inner_product(spark, sigma):
 def test_ranges_of_norms():
     assert crosspolytope.ranges(np.array([1.0, 1.0 - 1e-9, 0.8, 0.5, 1e-9]), 1.0).tolist() == [0, 0, 1, 3, crosspolytope.RANGES - 1]
     assert np.allclose(crosspolytope.norms(np.array([[3e300, 4e300], [3e-300, 4e-300]])), [5e300, 5e-300])
+
+
+def test_marks_of_a_text_are_covered_at_once():
+    """All offsets together, not one after another: a text takes few steps, whatever its marks are."""
+    import sys
+    import zlib
+
+    from kilnframe.llm import suffixes
+
+    rng = np.random.default_rng(4)
+    raw = rng.integers(97, 123, 900).astype(np.uint8).tobytes()
+    pos = np.sort(rng.choice(np.arange(34, 850), 40, replace=False))
+    bits = rng.integers(0, 1 << 35, 40)
+    tag = np.full(40, zlib.crc32(raw))
+    tag[::9] += 1  # marks of another text
+    want = np.zeros(len(raw), bool)
+    for t, p, b in zip(tag.tolist(), pos.tolist(), bits.tolist()):
+        for o in range(35):
+            if t == tag[1] and b >> o & 1:
+                want[p - o : p - o + 50] = True
+    lines = []
+
+    def trace(frame, event, _):
+        if frame.f_code is not suffixes.covered.__code__:
+            return None
+        lines.append(event)
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        got = suffixes.covered(raw, tag, pos, bits)
+    finally:
+        sys.settrace(before)
+    assert got.tolist() == want.tolist() and len(lines) < 30
