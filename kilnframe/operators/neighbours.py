@@ -7,7 +7,9 @@ precision or small whole numbers, with a bound on their error, leave out the
 pairs that can't be among the ``k`` best of a query so far; the others are
 measured in double precision.
 A query's lists of the best, one for each chunk, meet by query. Pairs of rows
-never exist as rows.
+never exist as rows. If there are several chunks, queries first go past a part
+of the points, at most a chunk: what is farther than the ``k``-th of these is in
+no list.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 BLOCK = 512
 #: Points that a task holds, and those that are compared at once with a block of queries.
 CHUNK, TILE = 65_536, 4_096
+#: One in so many points gives the bounds that queries start with.
+PART = 16
 #: Points of the first tile, which give a first bound, and pairs measured at once.
 FIRST, PAIRS = 1_024, 1_024
+#: Queries whose rough distances from a tile are added up at once, ranges of a variable in bits, and bytes that all bits may take.
+ROWS, RANGES, BITS = 64, 48, 1 << 27
 METRICS = ("manhattan", "euclidean", "chebyshev")
 #: A way to compare rows: its name, the metric, and which of the variables count.
 Slot = tuple[str, str, Sequence[int]]
@@ -72,7 +78,11 @@ def _packed(rows: DataFrame, key_type: str, groups: int, block: int, take: str)
         if keys:
             yield out()
 
-    return dealt.select("g", "key", "val", "v").mapInArrow(pack, f"g int, keys array<{key_type}>, vals array<double>, m binary")
+    return dealt.select("g", "key", "val", "v").mapInArrow(pack, _blocks(key_type)).withColumn("tops", F.lit(None).cast("binary"))
+
+
+def _blocks(key_type: str) -> str:
+    return f"g int, keys array<{key_type}>, vals array<double>, m binary"
 
 
 def _exact(a: np.ndarray, b: np.ndarray, q: np.ndarray, p: np.ndarray, metric: str, cols: Sequence[int]) -> np.ndarray:
@@ -109,7 +119,10 @@ class Rough:
     bound, is not above the largest one wanted. Squared euclidean distances are
     a product of matrices in single precision. For the other metrics values are
     whole numbers of 16 bits: each variable cut to eight deviations around its
-    mean, which makes no distance larger, in steps of one width.
+    mean, which makes no distance larger, in steps of one width. Chebyshev
+    distances are not added up at all while ``bits`` holds: a bit for each point
+    and range of a variable says whether it is near in that one, and a pair is
+    close if it is so in all of them.
     """
 
     def __init__(self, b: np.ndarray, metric: str, cols: Sequence[int]):
@@ -125,6 +138,10 @@ class Rough:
             if not self.squared:
                 self._steps(b)
                 self.b = self._whole(b)
+                #: whether the bits are used, until they leave too many pairs
+                self.bits = metric == "chebyshev" and self.fine and 0 < len(self.cols) * (RANGES + 1) * len(b) <= BITS * 4
+                if self.bits:
+                    self._ranges()
                 return
             x = b - self.mean
             there = ~np.isnan(x)
@@ -146,7 +163,8 @@ class Rough:
         fine = np.isfinite(self.low) & np.isfinite(self.top) & (self.low <= self.top)
         self.low, self.top = np.where(fine, self.low, 0.0), np.where(fine, self.top, 0.0)
         self.step = float((self.top - self.low).max(initial=0.0) / levels)
-        if not 1e-290 < self.step < 1e290:  # no steps: every pair is measured
+        self.fine = 1e-290 < self.step < 1e290
+        if not self.fine:  # no steps: every pair is measured
             self.step, self.top = 1.0, self.low
         #: how many steps a distance may be rounded up by
         self.slack = (1 if self.metric == "chebyshev" else n) * (1 + 1e-6) + 1e-3
@@ -154,6 +172,51 @@ class Rough:
     def _whole(self, x: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(np.rint((np.clip(x, self.low, self.top) - self.low) / self.step).astype(np.int16).T)
 
+    def _ranges(self) -> None:
+        """For each variable the number of the range that a step is in, by ranges of equally many points."""
+        self.codes, self.tiles = np.empty(self.b.shape, np.uint8), {}
+        self.table = np.empty((len(self.cols), 32_769), np.uint8)
+        for table, code, v in zip(self.table, self.codes, self.b):
+            ends = np.sort(v[:: max(1, len(v) // 8_192)])
+            ends = ends[np.linspace(0, len(ends) - 1, RANGES).astype(int)]
+            # the number of ends below a step
+            table[:] = np.searchsorted(ends, np.arange(32_769))
+            np.take(table, v, out=code)
+            table[-1] = RANGES  # beyond all steps
+
+    def _bits(self, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Points up to the end of each range, and from the start of each range, a bit each."""
+        if at.start not in self.tiles:
+            n = at.stop - at.start
+            up, down = (np.zeros((len(self.cols), RANGES + 1, -(-n // 64)), np.uint64) for _ in range(2))
+            ranges = np.arange(RANGES + 1, dtype=np.uint8)[:, None]
+            for u, d, code in zip(up, down, self.codes[:, at]):
+                u.view(np.uint8)[:, : -(-n // 8)] = np.packbits(code <= ranges, axis=1, bitorder="little")
+                d.view(np.uint8)[:, : -(-n // 8)] = np.packbits(code >= ranges, axis=1, bitorder="little")
+            self.tiles[at.start] = up, down
+        return self.tiles[at.start]
+
+    def within(self, top: np.ndarray, rows: np.ndarray, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that ``far`` would leave, or some more: places among ``rows`` and in the tile."""
+        up, down = self._bits(at)
+        width = np.floor((top + self.shift + 2e-9) / self.step + self.slack)
+        width = np.where(width < 65_535, width, 65_535).astype(np.int32)
+        a = self.a if len(rows) == self.a.shape[1] else self.a[:, rows]
+        found = np.empty((len(rows), up.shape[2]), np.uint64)
+        for i in range(0, len(rows), BLOCK):
+            x, w, both = a[:, i : i + BLOCK].astype(np.int32), width[i : i + BLOCK], found[i : i + BLOCK]
+            both[:] = ~np.uint64(0)
+            some = self.room("some", both.shape, np.uint64)
+            for v, table, u, d in zip(x, self.table, up, down):
+                for steps, bits in ((np.minimum(v + w, 32_768), u), (np.maximum(v - w, 0), d)):
+                    np.take(bits, table[steps], axis=0, out=some, mode="clip")
+                    np.bitwise_and(both, some, out=both)
+        words = np.flatnonzero(found)
+        place, bit = np.divmod(np.flatnonzero(np.unpackbits(found.reshape(-1)[words].view(np.uint8), bitorder="little")), 64)
+        q, p = np.divmod(words[place], found.shape[1])
+        self.bits = len(q) * 16 <= len(rows) * (at.stop - at.start)
+        return q, p * 64 + bit
+
     def _large(self, x: np.ndarray) -> float:
         top = np.nanmax(np.abs(x), initial=0.0)
         return float(top + np.abs(self.mean).max(initial=0.0))
@@ -197,13 +260,13 @@ class Rough:
                     return out, None
                 share = np.matmul(self.has, self.there[at].T, out=self.room("share", out.shape, np.float32))
                 return out, np.divide(share, np.float32(len(self.cols)), out=share)
-        # some rows by a whole tile: long inner loops, and both arrays stay in a core's cache
+        # rows enough that the calls cost little, and few enough that both arrays stay in a core's cache
         out = self.room("values", (self.a.shape[1], n), np.uint16)
-        for i in range(0, len(out), 16):
-            total = out[i : i + 16]
+        for i in range(0, len(out), ROWS):
+            total = out[i : i + ROWS]
             total[:] = 0
             d = self.room("difference", total.shape, np.int16)
-            for x, y in zip(self.a[:, i : i + 16, None], self.b[:, None, at]):
+            for x, y in zip(self.a[:, i : i + ROWS, None], self.b[:, None, at]):
                 np.subtract(x, y, out=d)
                 np.abs(d, out=d)
                 (np.maximum if self.metric == "chebyshev" else np.add)(total, d.view(np.uint16), out=total)
@@ -239,16 +302,22 @@ def _false(x: np.ndarray) -> np.ndarray:
 class Lists:
     """The ``k`` nearest points found so far of the queries ``rows``: flat, in the order of query, distance and point."""
 
-    def __init__(self, rows: np.ndarray, k: int):
+    def __init__(self, rows: np.ndarray, k: int, top: np.ndarray | None = None):
         self.rows, self.k = rows, k
         self.q, self.p, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.top = np.full(len(rows), np.inf)
+        self.top = np.full(len(rows), np.inf) if top is None else top.copy()
         self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, q: np.ndarray, p: np.ndarray, d: np.ndarray) -> None:
         fine = np.isfinite(d) & (d <= self.top[q])
         self.new.append((q[fine], p[fine], d[fine]))
 
+    def measure(self, a: np.ndarray, b: np.ndarray, rough: Rough, q: np.ndarray, p: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None) -> None:
+        if own is not None:
+            other = own[0][self.rows[q]] != own[1][p]
+            q, p = q[other], p[other]
+        self.add(q, p, _exact(a, b, self.rows[q], p, rough.metric, rough.cols))
+
     def merge(self) -> None:
         q, p, d = (np.concatenate(x) for x in zip((self.q, self.p, self.d), *self.new))
         order = np.lexsort((p, d, q))
@@ -261,35 +330,39 @@ class Lists:
         self.q, self.p, self.d, self.new = q[kept], p[kept], d[kept], []
 
 
-def _found(a: np.ndarray, b: np.ndarray, rough: Rough, wanted: Sequence[tuple[np.ndarray, np.ndarray | None]], k: int, own: tuple[np.ndarray, np.ndarray] | None) -> list[Lists]:
+def _found(a: np.ndarray, b: np.ndarray, rough: Rough, wanted: Sequence[tuple[np.ndarray, np.ndarray | None]], k: int, own: tuple[np.ndarray, np.ndarray] | None, tops: np.ndarray | None = None) -> list[Lists]:
     """The ``k`` nearest points of each query, exact, for each ``(rows, points)`` of ``wanted``: some of the queries, and a mask of the points that count.
 
     ``own`` has numbers of the queries and of the points; points of the query's
-    number are left out. After the first tile few pairs are measured: those that
+    number are left out, and so are points farther than ``tops``. After the first tile few pairs are measured: those that
     may be among the ``k`` best so far.
     """
     rough.queries(a)
-    lists = [Lists(rows, k) for rows, _ in wanted]
+    lists = [Lists(rows, k, tops) for rows, _ in wanted]
     lo = done = 0
-    size = min(FIRST, TILE)
+    size = min(FIRST, TILE) if tops is None else TILE
     while lo < len(b):
         at = slice(lo, min(lo + size, len(b)))
-        values, share = rough.values(at)
+        quick = lo > 0 and rough.metric == "chebyshev" and rough.bits
+        values, share = (None, None) if quick else rough.values(at)
         last = at.stop >= 2 * done or at.stop == len(b)
         for mine, (rows, points) in zip(lists, wanted):
-            v, s = (values, share) if len(rows) == len(a) else (values[rows], None if share is None else share[rows])
             there = None if points is None else points[at]
-            if lo == 0 and v.shape[1] > k + 1:
+            if quick:
+                q, p = rough.within(mine.top, rows, at)
+                fine = slice(None) if there is None else there[p]
+                mine.measure(a, b, rough, q[fine], p[fine] + lo, own)
+                if last:
+                    mine.merge()
+                continue
+            v, s = (values, share) if len(rows) == len(a) else (values[rows], None if share is None else share[rows])
+            if lo == 0 and v.shape[1] > k + 1 and not np.isfinite(mine.top).all():
                 mine.top = np.fmin(mine.top, _first(a, b, rough, v, s, rows, there, k, own))
             far = rough.far(v, s, mine.top, rows, at)
             if there is not None:
                 far |= ~there
             flat = _false(far)
-            q, p = flat // far.shape[1], flat % far.shape[1] + lo
-            if own is not None:
-                other = own[0][rows[q]] != own[1][p]
-                q, p = q[other], p[other]
-            mine.add(q, p, _exact(a, b, rows[q], p, rough.metric, rough.cols))
+            mine.measure(a, b, rough, flat // far.shape[1], flat % far.shape[1] + lo, own)
             if last:
                 mine.merge()
         if last:
@@ -314,23 +387,22 @@ def _first(a: np.ndarray, b: np.ndarray, rough: Rough, v: np.ndarray, s: np.ndar
     return d.reshape(-1, k).max(1)
 
 
-def _met(queries: DataFrame, points: DataFrame, key_type: str, block: int, take: tuple[str, str]) -> DataFrame:
-    """``(cell, side, keys, vals, m)``: a partition for each cell, which holds a chunk of the points (side 0) and then a share of the queries (side 1).
+def _shares(chunks: int, blocks: int, cores: int) -> int:
+    """Shares of the queries: some tasks for each core, of numbers that would do the one by which fewest cores wait at the end."""
+    least = -(-4 * cores // chunks)
+    return max(1, min(blocks, min(range(least, 2 * least + 1), key=lambda n: (-(-chunks * n // cores) / (chunks * n), n))))
 
-    A chunk is bounded, so the lists of a query are as many as there are chunks;
-    queries are dealt over as many shares as make some tasks for each core.
+
+def _met(q: DataFrame, p: DataFrame, chunks: int, shares: int) -> DataFrame:
+    """``(cell, side, keys, vals, m, tops)``: a partition for each cell, which holds a chunk of the points (side 0) and then a share of the queries (side 1).
+
+    A chunk is bounded, so the lists of a query are as many as there are chunks.
     """
-    spark = points.sparkSession
-    sizes = points.count(), queries.count()
-    chunks = max(1, -(-sizes[0] // CHUNK))
-    shares = max(1, min(-(-sizes[1] // block), -(-4 * spark.sparkContext.defaultParallelism // chunks)))
-    p = _packed(points, key_type, max(chunks, groups_for(spark, sizes[0], block)), block, take[1])
-    q = _packed(queries, key_type, max(shares, groups_for(spark, sizes[1], block)), block, take[0])
 
     def dealt(x: DataFrame, mine: int, others: int, side: int) -> DataFrame:
         other, own = F.explode(F.sequence(F.lit(0), F.lit(others - 1))), F.col("g") % mine
-        x = x.select(own.alias("own"), other.alias("other"), F.lit(side).alias("side"), "keys", "vals", "m")
-        return x.select((F.col("own") + F.col("other") * chunks if side == 0 else F.col("other") + F.col("own") * chunks).cast("int").alias("cell"), "side", "keys", "vals", "m")
+        x = x.select(own.alias("own"), other.alias("other"), F.lit(side).alias("side"), "g", "keys", "vals", "m", "tops")
+        return x.select((F.col("own") + F.col("other") * chunks if side == 0 else F.col("other") + F.col("own") * chunks).cast("int").alias("cell"), "side", "g", "keys", "vals", "m", "tops")
 
     both = dealt(p, chunks, shares, 0).unionByName(dealt(q, shares, chunks, 1))
     return both.repartitionById(chunks * shares, "cell").sortWithinPartitions("cell", "side")
@@ -351,7 +423,8 @@ def _small_batches(spark, size: int = 64 << 20) -> None:
 
 def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, slots: Sequence[Slot] | None, cols: Sequence[str], apart: bool, block: int, take: tuple[str, str]) -> DataFrame:
     """The lists of ``_met``'s cells, merged; without ``slots`` the donors of each gap, by column."""
-    _small_batches(points.sparkSession)
+    spark = points.sparkSession
+    _small_batches(spark)
     kind = f"slot string, key {key_type}, near array<struct<d:double,other:{key_type},val:double>>"
     key = pa.int64() if key_type == "bigint" else pa.string()
 
@@ -360,21 +433,35 @@ def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, slots
         items = pa.StructArray.from_arrays([pa.array(got.d), keys.take(pa.array(got.p)), vals.take(pa.array(got.p))], ["d", "other", "val"])
         return pa.RecordBatch.from_arrays([pa.array([slot] * len(got.rows), pa.string()), qkeys.take(pa.array(got.rows)), pa.ListArray.from_arrays(pa.array(ends), items)], ["slot", "key", "near"])
 
-    def asked(qkeys: pa.Array, a: np.ndarray, keys: pa.Array, b: np.ndarray, vals: pa.Array, rough: list[tuple[str, Rough]]) -> Iterator[pa.RecordBatch]:
+    def asked(qkeys: pa.Array, a: np.ndarray, tops: np.ndarray | None, keys: pa.Array, b: np.ndarray, vals: pa.Array, rough: list[tuple[str, Rough]]) -> Iterator[tuple[str, Lists]]:
         if slots is None:
             gaps, there = np.isnan(a), ~np.isnan(b)
             mine = [j for j in range(a.shape[1]) if gaps[:, j].any() and there[:, j].any()]
             for j, got in zip(mine, _found(a, b, rough[0][1], [(np.flatnonzero(gaps[:, j]), there[:, j]) for j in mine], k, None)):
-                yield lists(cols[j], qkeys, got, keys, pa.array(b[:, j]))
+                yield lists(cols[j], qkeys, got, keys, pa.array(b[:, j])), got
             return
         own = None
         if apart:
             number = {x: i for i, x in enumerate(keys.to_pylist())}
             own = np.array([number.get(x, -1) for x in qkeys.to_pylist()]), np.array([number[x] for x in keys.to_pylist()])
-        for name, way in rough:
-            yield lists(name, qkeys, _found(a, b, way, [(np.arange(len(a)), None)], k, own)[0], keys, vals)
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, (name, way) in enumerate(rough):
+            got = _found(a, b, way, [(np.arange(len(a)), None)], k, own, None if tops is None else tops[i])[0]
+            yield lists(name, qkeys, got, keys, vals), got
+
+    def bounds(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of queries with the distance of the ``k``-th point for each slot, or infinity."""
+        for row, got in run(it, True):
+            tops = b"".join(x.top.tobytes() for _, x in got) or None
+            kept = [c for c in row.schema.names if c in ("g", "keys", "vals", "m")]
+            yield pa.RecordBatch.from_arrays([*[row.column(c) for c in kept], pa.array([tops], pa.binary())], [*kept, "tops"])
+
+    def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, got in run(it, False):
+            for batch, _ in got:
+                yield batch
+
+    def run(it: Iterator[pa.RecordBatch], empty: bool):
+        """Each block of queries and its lists; with ``empty`` also blocks that meet no points."""
         cell, held, chunk = None, [], None
         for batch in it:
             for i in range(batch.num_rows):
@@ -387,6 +474,8 @@ def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, slots
                     held.append((keys, row["vals"].values, m.copy()))
                     continue
                 if not held:
+                    if empty:
+                        yield batch.slice(i, 1), []
                     continue
                 if chunk is None:  # points in the order of their keys, so that ties go to the earlier place
                     keys_, vals_, b = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
@@ -394,9 +483,22 @@ def _compare(queries: DataFrame, points: DataFrame, key_type: str, k: int, slots
                     b = b[order.to_numpy()]
                     rough = [(n, Rough(b, w, c)) for n, w, c in slots] if slots is not None else [("", Rough(b, "gaps", range(len(cols))))]
                     chunk, held = (keys_.take(order), b, vals_.take(order), rough), [()]
-                yield from asked(keys, m, *chunk)
-
-    return _merged(_met(queries, points, key_type, block, take).mapInArrow(run, kind), k)
+                tops = row["tops"].as_buffer()
+                yield batch.slice(i, 1), list(asked(keys, m, None if tops is None else np.frombuffer(tops, np.float64).reshape(-1, len(keys)), *chunk))
+
+    n, asking, cores = points.count(), queries.count(), spark.sparkContext.defaultParallelism
+    chunks, blocks = max(1, -(-n // CHUNK)), -(-asking // block)
+    shares, few = _shares(chunks, blocks, cores), _shares(1, blocks, cores)
+
+    def packed(x: DataFrame, rows: int, parts: int, which: str) -> DataFrame:
+        return _packed(x, key_type, -(-groups_for(spark, rows, block) // parts) * parts, block, which)
+
+    q = packed(queries, asking, shares, take[0])
+    if slots is not None and chunks > 1:
+        part = max(PART, chunks)
+        some = points.where(F.pmod(F.xxhash64(F.lit(PART), "key"), F.lit(part)) == 0)
+        q = _met(q, packed(some, -(-n // part), 1, take[1]), 1, few).mapInArrow(bounds, f"{_blocks(key_type)}, tops binary")
+    return _merged(_met(q, packed(points, n, chunks, take[1]), chunks, shares).mapInArrow(found, kind), k)
 
 
 def _keyed(df: DataFrame, key: str, cols: Sequence[str], val: F.Column) -> tuple[DataFrame, str]:
